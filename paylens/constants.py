@@ -175,3 +175,47 @@ EVENT_TERMINAL = [
 FRAUD_EVENT_TYPE = "error"
 FRAUD_MIN_VALUE = 150.0
 AS_OF = date(2024, 1, 31)
+
+# ---- FIXED VALUES: model feature columns (training order) ---------------------
+FEATURE_COLUMNS = [
+    "txn_velocity_1h",
+    "txn_velocity_24h",
+    "avg_amount_7d",
+    "stddev_amount_30d",
+    "amount_zscore",
+    "max_amount_7d",
+    "unique_customers_1d",
+    "pct_tap_payments_7d",
+    "hour_of_day",
+    "is_outside_business_hours",
+    "pct_debit_7d",
+    "off_hours_txn_ratio_7d",
+    "state_avg_amount_deviation",
+    "is_manual_entry",
+    "is_chip_and_pin",
+    "is_credit_card",
+    "amount_to_merchant_avg_7d",
+]
+
+# Feature registry: (name, computation, window) in registry order.
+FEATURE_REGISTRY = [
+    ("txn_velocity_1h", "count", "1H"),
+    ("txn_velocity_24h", "count", "24H"),
+    ("avg_amount_7d", "mean", "7D"),
+    ("stddev_amount_30d", "std", "30D"),
+    ("amount_zscore", "zscore", "30D"),
+    ("max_amount_7d", "max", "7D"),
+    ("unique_customers_1d", "nunique", "1D"),
+    ("pct_tap_payments_7d", "ratio", "7D"),
+    ("hour_of_day", "extract_hour", "none"),
+    ("is_outside_business_hours", "business_hours_check", "none"),
+    ("pct_debit_7d", "debit_ratio", "7D"),
+    ("off_hours_txn_ratio_7d", "off_hours_ratio", "7D"),
+    ("state_avg_amount_deviation", "state_deviation", "30D"),
+]
+# Monitored drift columns.
+DRIFT_COLUMNS = [
+    "txn_velocity_1h", "txn_velocity_24h", "avg_amount_7d", "stddev_amount_30d",
+    "amount_zscore", "max_amount_7d", "unique_customers_1d", "pct_tap_payments_7d",
+    "hour_of_day", "is_outside_business_hours",
+]
