@@ -111,3 +111,17 @@ def score_transactions(features: DataFrame, model=None, threshold: float = C.DEF
             .withColumn("recommended_action", R.recommended_action("anomaly_score"))
             .withColumn("threshold_used", F.lit(threshold))
             .withColumn("scoring_mode", mode))
+
+
+def feed_scores(tx: DataFrame, threshold: float = C.DEFAULT_THRESHOLD) -> DataFrame:
+    """R-3 for every transaction: each row against its merchant's lifetime mean / population std."""
+    stats = tx.groupBy("merchant_id").agg(
+        F.coalesce(money_avg("amount_aud"), F.lit(0.0)).alias("merchant_avg"),
+        F.coalesce(F.stddev_pop("amount_aud"), F.lit(0.0)).alias("merchant_std"))
+    z = R.zscore("amount_aud", "merchant_avg", "merchant_std")
+    s = R.feed_score(z, "payment_terminal", "card_type", "is_fraud")
+    return (tx.join(stats, "merchant_id", "left").withColumn("anomaly_score", s)
+            .withColumn("is_anomaly", (F.col("anomaly_score") > threshold)
+                        | F.coalesce(F.col("is_fraud"), F.lit(False)))
+            .withColumn("risk_level", R.risk_level("anomaly_score"))
+            .withColumn("recommended_action", R.recommended_action("anomaly_score")))
