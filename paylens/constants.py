@@ -219,3 +219,7 @@ DRIFT_COLUMNS = [
     "amount_zscore", "max_amount_7d", "unique_customers_1d", "pct_tap_payments_7d",
     "hour_of_day", "is_outside_business_hours",
 ]
+
+# Default governance config: declared PII fields and handling strategy.
+DEFAULT_PII_FIELDS = ["customer_email"]
+DEFAULT_PII_HANDLING = "mask"

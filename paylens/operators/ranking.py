@@ -27,13 +27,14 @@ def global_cumulative(df: DataFrame, key: str, measures: list[str], buckets: int
                .agg(*[F.sum(m).alias(m) for m in measures]))
     fractions = [i / buckets for i in range(1, buckets)]
     bounds = per_key.select(F.percentile_approx("_k", fractions, 10_000).alias("b")).scalar()
-    # bucket = number of bounds below the key (monotone in the key; equal keys share a bucket)
-    below = [F.coalesce((F.element_at(bounds, i) < F.col("_k")).cast("int"), F.lit(0))
-             for i in range(1, buckets)]
-    bucket = below[0]
-    for b in below[1:]:
-        bucket = bucket + b
-    per_key = per_key.withColumn("_bucket", bucket)
+    # bounds enter the plan once, as a column; the bucket is the number of bounds below the key
+    # (monotone in the key, so equal keys share a bucket)
+    per_key = per_key.withColumn("_bounds", bounds)
+    bucket = None
+    for i in range(1, buckets):
+        below = F.coalesce((F.element_at(F.col("_bounds"), i) < F.col("_k")).cast("int"), F.lit(0))
+        bucket = below if bucket is None else bucket + below
+    per_key = per_key.withColumn("_bucket", bucket).drop("_bounds")
     totals = per_key.groupBy("_bucket").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)   # <= B rows
     offsets = totals.select("_bucket", *[F.coalesce(F.sum(f"_t_{m}").over(upto), F.lit(0))

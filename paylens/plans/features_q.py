@@ -179,3 +179,12 @@ FROM (SELECT amount_aud, COUNT(*) AS n FROM transactions GROUP BY amount_aud) a"
 def q_global_cumulative(spark, sf_dir):
     tx = transactions(spark, sf_dir).select("amount_aud", F.lit(1).cast("bigint").alias("n"))
     return RK.global_cumulative(tx, "amount_aud", ["n"])
+
+
+ROUNDED_FEATURES_CTE = ("tf AS (SELECT " + ", ".join(_q(c) for c in TX_COLS) + ", "
+                        + ", ".join(_feature_sql(c) for c in C.FEATURE_COLUMNS) + " FROM feat)")
+
+
+def rounded_training_features(spark, sf_dir):
+    """W-11 output rounded to 6 decimals (the feature table other queries read)."""
+    return q_training_features(spark, sf_dir)
