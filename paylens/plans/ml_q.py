@@ -1 +1,36 @@
-"""Registered queries."""
+"""Model queries (rows-only checks: trained models are not SQL-expressible)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from paylens.functions.numeric import round_half
+from paylens.operators import ml as ML
+from paylens.operators.evaluation import is_healthy
+from paylens.plans.features_q import rounded_training_features
+from paylens.plans.registry import register
+
+
+@register("isolation_forest_scores", "M-2")
+def q_isolation_forest_scores(spark, sf_dir):
+    from paylens.session import cut_lineage
+    f = cut_lineage(rounded_training_features(spark, sf_dir))
+    nodes = ML.fit_isolation_forest(f, trees=100, psi=256, seed=42)
+    model = ML.load_isolation_forest(nodes, psi=256)
+    return model.transform(f).select("transaction_id", "merchant_id", "is_fraud",
+                                     round_half("iso_score", 6).alias("iso_score"))
+
+
+@register("train_ensemble", "M-3")
+def q_train_ensemble(spark, sf_dir):
+    f = rounded_training_features(spark, sf_dir)
+    _, _, _, _, metrics = ML.train_ensemble(f, trees=100, psi=256, max_iter=60)
+    return is_healthy(metrics)
+
+
+@register("ensemble_scores", "M-6")
+def q_ensemble_scores(spark, sf_dir):
+    """Test-split rows with iso, classifier and min-max ensemble scores."""
+    f = rounded_training_features(spark, sf_dir)
+    _, _, _, scored, _ = ML.train_ensemble(f, trees=50, psi=256, max_iter=30)
+    return scored.select("transaction_id", "merchant_id", "is_fraud", "iso_score", "clf_score", "anomaly_score")
