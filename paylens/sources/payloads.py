@@ -28,8 +28,8 @@ def parse_statistical_payload(payloads: DataFrame, col: str = "payload") -> Data
     lst = F.from_json(txt, OBS_LIST)["data"]["observations"]
     mp = F.from_json(txt, OBS_MAP)["data"]["observations"]
     is_list = F.coalesce(F.trim(F.get_json_object(txt, "$.data.observations")).startswith("["), F.lit(False))
-    list_rows = (payloads.filter(is_list & (F.size(lst) > 0)
-                                 & lst[0]["TIME_PERIOD"].isNotNull() & lst[0]["OBS_VALUE"].isNotNull())
+    first = F.get(lst, 0)                                   # NULL (not an error) for an empty list
+    list_rows = (payloads.filter(is_list & first["TIME_PERIOD"].isNotNull() & first["OBS_VALUE"].isNotNull())
                  .select(F.explode(lst).alias("o"))
                  .select(F.col("o.TIME_PERIOD").alias("TIME_PERIOD"), F.col("o.OBS_VALUE").alias("OBS_VALUE")))
     entries = payloads.filter(~is_list).select(F.explode(mp).alias("k", "v"))
