@@ -43,9 +43,8 @@ _REDACT_SQL = (f"regexp_replace(regexp_replace(regexp_replace(text, {_sql_str(CA
 SELECT doc_id, {_REDACT_SQL} AS redacted, {_REDACT_SQL} <> text AS changed FROM documents""")
 def q_redact_pii(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")
-    return d.select("doc_id", T.redact_pii("text").alias("redacted")) \
-            .join(d.select("doc_id", "text"), "doc_id") \
-            .select("doc_id", "redacted", (F.col("redacted") != F.col("text")).alias("changed"))
+    return (d.select("doc_id", "text", T.redact_pii("text").alias("redacted"))
+            .select("doc_id", "redacted", (F.col("redacted") != F.col("text")).alias("changed")))
 
 
 _LOCAL = "split_part(email, '@', 1)"
