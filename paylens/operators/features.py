@@ -35,9 +35,12 @@ def ts_micros(c: str = "timestamp") -> Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-def _frame(width_us: int, closed_start: bool = False):
+PARTITION = ["merchant_id", "_block"]     # merchant, and time block for heavy merchants
+
+
+def _frame(width_us: int, closed_start: bool = False, keys=("merchant_id",)):
     lo = -width_us if closed_start else -(width_us - 1)
-    return (Window.partitionBy("merchant_id").orderBy("_ts_us").rangeBetween(lo, 0))
+    return (Window.partitionBy(*keys).orderBy("_ts_us").rangeBetween(lo, 0))
 
 
 def indicator(cond: Column) -> Column:
@@ -45,10 +48,10 @@ def indicator(cond: Column) -> Column:
     return F.coalesce(cond.cast("double"), F.lit(0.0))
 
 
-def with_customer_pair_flags(df: DataFrame, width_us: int) -> DataFrame:
+def with_customer_pair_flags(df: DataFrame, width_us: int, keys=("merchant_id",)) -> DataFrame:
     """Flags for the exact moving distinct count over ``width_us``."""
     cust = F.coalesce(F.col("customer_id"), F.lit(NULL_CUSTOMER))
-    w = Window.partitionBy("merchant_id", "_cust").orderBy("_ts_us", "transaction_id")
+    w = Window.partitionBy(*keys, "_cust").orderBy("_ts_us", "transaction_id")
     return (df.withColumn("_cust", cust)
               .withColumn("_prev_gap", F.col("_ts_us") - F.lag("_ts_us").over(w))
               .withColumn("_next_gap", F.lead("_ts_us").over(w) - F.col("_ts_us"))
@@ -57,12 +60,12 @@ def with_customer_pair_flags(df: DataFrame, width_us: int) -> DataFrame:
               .drop("_cust", "_prev_gap", "_next_gap"))
 
 
-def moving_distinct_customers(width_us: int) -> Column:
+def moving_distinct_customers(width_us: int, keys=("merchant_id",)) -> Column:
     """Exact distinct customers in (t-w, t] from the pair flags (see module doc)."""
-    upto_t = Window.partitionBy("merchant_id").orderBy("_ts_us").rangeBetween(Window.unboundedPreceding, 0)
-    upto_t_minus_w = (Window.partitionBy("merchant_id").orderBy("_ts_us")
+    upto_t = Window.partitionBy(*keys).orderBy("_ts_us").rangeBetween(Window.unboundedPreceding, 0)
+    upto_t_minus_w = (Window.partitionBy(*keys).orderBy("_ts_us")
                       .rangeBetween(Window.unboundedPreceding, -width_us))
-    in_frame = F.count(F.lit(1)).over(_frame(width_us))
+    in_frame = F.count(F.lit(1)).over(_frame(width_us, keys=keys))
     pairs = (F.sum("_close_prev").over(upto_t)
              - F.coalesce(F.sum("_close_next").over(upto_t_minus_w), F.lit(0)))
     return (in_frame - pairs).cast("double")
@@ -72,35 +75,94 @@ def state_means(tx: DataFrame) -> DataFrame:
     return tx.groupBy("state").agg(money_avg("amount_aud").alias("_state_avg"))
 
 
-def training_features(tx: DataFrame, max_states: int = 10_000) -> DataFrame:
+def heavy_merchants(tx: DataFrame, heavy_rows: int) -> DataFrame:
+    """Merchants with more than ``heavy_rows`` rows (too many for one window task)."""
+    return (tx.groupBy("merchant_id").agg(F.count(F.lit(1)).alias("_n"))
+            .filter(F.col("_n") > heavy_rows)
+            .select("merchant_id", F.lit(True).alias("_heavy")))
+
+
+def time_blocks(rows: DataFrame, heavy: DataFrame | None, block_us: int, context_us: int) -> DataFrame:
+    """Split heavy merchants into time blocks with one window of replicated context.
+
+    A heavy merchant's row at time t belongs to block floor(t / block_us) and is
+    also copied, flagged as context, into the next block when it lies within
+    ``context_us`` of that block's start (block_us >= context_us, so at most one
+    copy).  Every frame of width <= context_us ending at a row of block b then
+    lies inside block b plus its context, so windows partitioned by
+    (merchant, block) are exact for the block's own rows; other merchants keep a
+    single block.  Only heavy merchants' rows are replicated (at most
+    context_us / block_us of them).
+    """
+    if block_us < context_us:
+        raise ValueError("block must be at least as wide as the widest frame")
+    if heavy is None:
+        return rows.withColumn("_block", F.lit(0).cast("long")).withColumn("_primary", F.lit(True))
+    if heavy == "all":
+        r, is_heavy = rows, F.lit(True)
+    else:
+        r = rows.join(F.broadcast(heavy), "merchant_id", "left")
+        is_heavy = F.coalesce(F.col("_heavy"), F.lit(False))
+    block = F.when(is_heavy, F.floor(F.col("_ts_us") / F.lit(block_us))).otherwise(F.lit(0)).cast("long")
+    r = r.withColumn("_block", block)
+    ctx = is_heavy & (F.col("_ts_us") >= (F.col("_block") + 1) * F.lit(block_us) - F.lit(context_us))
+    copies = F.when(ctx, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return (r.select("*", F.explode(copies).alias("_copy"))
+            .withColumn("_block", F.col("_block") + F.col("_copy"))
+            .withColumn("_primary", F.col("_copy") == 0)
+            .drop("_copy", *(["_heavy"] if "_heavy" in r.columns else [])))
+
+
+def plan_blocks(tx: DataFrame, heavy_rows: int | None, max_heavy: int = 1_000_000):
+    """None (no merchant too large), a broadcastable heavy set, or "all" beyond ``max_heavy``.
+
+    Only counts reach the driver: ``limit(max_heavy + 1).count()`` on the heavy set.
+    """
+    if heavy_rows is None:
+        return None
+    heavy = heavy_merchants(tx, heavy_rows)
+    n = heavy.limit(max_heavy + 1).count()
+    if n == 0:
+        return None
+    return heavy if n <= max_heavy else "all"
+
+
+def training_features(tx: DataFrame, max_states: int = 10_000, heavy_rows: int | None = 2_000_000,
+                      block_days: int = 60) -> DataFrame:
     """W-11: the 17 model features beside the transaction columns.
 
-    One hash shuffle by merchant (the pair-flag window is partitioned by
-    (merchant, customer), a refinement that the merchant partitioning satisfies),
-    then one sort per window ordering.  The state mean (J-5) is a tiny aggregate
-    joined back behind a size check.
+    One hash shuffle by (merchant, time block): ordinary merchants form one
+    block; merchants with more than ``heavy_rows`` rows are cut into
+    ``block_days`` blocks with 30 days of replicated context, so no merchant's
+    whole history has to fit one task.  The pair-flag window is partitioned by
+    (merchant, block, customer), a refinement the same shuffle satisfies.  The
+    state mean (J-5) is a tiny aggregate joined back behind a size check.
+    ``heavy_rows=None`` disables blocking; ``heavy_rows=0`` blocks everyone.
     """
     base = (tx.filter(F.col("timestamp").isNotNull())       # P-3
-              .withColumn("_ts_us", ts_micros())
-              .repartition("merchant_id"))
-    base = with_customer_pair_flags(base, DAY_US)
+              .withColumn("_ts_us", ts_micros()))
+    widest = WINDOW_US["30D"]
+    heavy = plan_blocks(base, heavy_rows)
+    base = time_blocks(base, heavy, block_days * DAY_US, widest).repartition(*PARTITION)
+    keys = tuple(PARTITION)
+    base = with_customer_pair_flags(base, DAY_US, keys)
     amt = F.col("amount_aud")
-    w1h, w24h, w7d, w30d = (_frame(WINDOW_US[k]) for k in ("1H", "24H", "7D", "30D"))
+    w1h, w24h, w7d, w30d = (_frame(WINDOW_US[k], keys=keys) for k in ("1H", "24H", "7D", "30D"))
     f = base.select(
-        *[F.col(c) for c in tx.columns],
+        *[F.col(c) for c in tx.columns], "_primary",
         F.count("transaction_id").over(w1h).cast("double").alias("txn_velocity_1h"),
         F.count("transaction_id").over(w24h).cast("double").alias("txn_velocity_24h"),
         F.avg(amt).over(w7d).alias("avg_amount_7d"),
         F.coalesce(F.stddev_samp(amt).over(w30d), F.lit(0.0)).alias("stddev_amount_30d"),
         F.max(amt).over(w7d).alias("max_amount_7d"),
-        moving_distinct_customers(DAY_US).alias("unique_customers_1d"),
+        moving_distinct_customers(DAY_US, keys).alias("unique_customers_1d"),
         F.coalesce(F.avg(indicator(F.col("payment_terminal") == "tap_and_go")).over(w7d),
                    F.lit(0.0)).alias("pct_tap_payments_7d"),
         F.coalesce(F.avg(indicator(F.col("card_type") == "debit")).over(w7d),
                    F.lit(0.0)).alias("pct_debit_7d"),
         F.coalesce(F.avg(indicator(F.col("is_outside_business_hours"))).over(w7d),
                    F.lit(0.0)).alias("off_hours_txn_ratio_7d"),
-    )
+    ).filter(F.col("_primary")).drop("_primary")
     f = f.select(
         *[c for c in f.columns if c != "is_outside_business_hours"],
         F.hour("timestamp").cast("double").alias("hour_of_day"),                    # P-11

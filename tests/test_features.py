@@ -60,9 +60,12 @@ def brute(df: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out).set_index("transaction_id")
 
 
-def test_training_features_match_brute_force(spark):
+@pytest.mark.parametrize("mode", [dict(heavy_rows=None), dict(heavy_rows=0, block_days=31),
+                                  dict(heavy_rows=3, block_days=40)])
+def test_training_features_match_brute_force(spark, mode):
     df = spark.createDataFrame(ROWS, schemas.TRANSACTIONS)
-    got = FT.training_features(df).toPandas().set_index("transaction_id")
+    got = FT.training_features(df, **mode).toPandas().set_index("transaction_id")
+    assert len(got) == len(ROWS)
     exp = brute(pd.DataFrame(ROWS, columns=[f.name for f in schemas.TRANSACTIONS.fields]))
     for col in exp.columns:
         for tid in exp.index:
@@ -82,8 +85,22 @@ def test_one_window_exchange(spark):
     """W-11 shuffles the rows once by merchant (the state mean is a separate tiny aggregate)."""
     df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     from paylens.sources.tables import events_to_transactions
-    plan = FT.training_features(events_to_transactions(df))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("hashpartitioning(merchant_id") == 1
+    plan = FT.training_features(events_to_transactions(df), heavy_rows=10)._jdf.queryExecution().executedPlan().toString()
+    import re
+    assert len(re.findall(r"Exchange hashpartitioning\(merchant_id#\d+L?, _block#\d+L?", plan)) == 1
+
+
+def test_blocked_equals_unblocked_on_driver_data(spark):
+    """Every merchant forced heavy with tight 30-day blocks equals the single-block plan."""
+    from paylens.sources.tables import transactions
+    tx = transactions(spark, "/root/testdata/sf0.01")
+    a = FT.training_features(tx, heavy_rows=None)
+    b = FT.training_features(tx, heavy_rows=0, block_days=30)
+    cols = ["transaction_id"] + C.FEATURE_COLUMNS
+    pa = a.select(*cols).toPandas().set_index("transaction_id").sort_index()
+    pb = b.select(*cols).toPandas().set_index("transaction_id").sort_index()
+    assert len(pa) == len(pb) == 10000
+    assert np.allclose(pa.to_numpy(), pb.to_numpy(), rtol=1e-9, atol=1e-9)
 
 
 def test_latest_snapshot_and_history(spark):
