@@ -129,7 +129,7 @@ SELECT g.merchant_id,
   {R('COALESCE(u1d, 0.0)', 6)} AS unique_customers_1d,
   {R('COALESCE(tap7, 0.0)', 6)} AS pct_tap_payments_7d,
   CAST(hour(c."timestamp") AS DOUBLE) AS hour_of_day,
-  CASE WHEN hour(c."timestamp") < 8 OR hour(c."timestamp") > 20 THEN 1.0 ELSE 0.0 END AS is_outside_business_hours,
+  CAST(CASE WHEN hour(c."timestamp") < 8 OR hour(c."timestamp") > 20 THEN 1 ELSE 0 END AS DOUBLE) AS is_outside_business_hours,
   {R('COALESCE(deb7, 0.0)', 6)} AS pct_debit_7d,
   {R('COALESCE(off7, 0.0)', 6)} AS off_hours_txn_ratio_7d,
   {R('COALESCE(a30 - COALESCE(sa.state_avg, a30), 0.0)', 6)} AS state_avg_amount_deviation
