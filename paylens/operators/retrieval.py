@@ -90,3 +90,10 @@ def retrieval_answer(neighbours: DataFrame, sources: DataFrame | None = None,
         F.array_join(F.transform(ctx, lambda h: F.concat(F.lit("[Source: "), h[source_col], F.lit("]"))),
                      "\n\n").alias("context"),
         F.size(ctx).alias("context_hits"))
+
+
+def write_vectors(vectors: DataFrame, path: str, id_col: str = "vec_id", source_col: str | None = None,
+                  vec_col: str = "embedding") -> None:
+    """K-2: persist (id, source, embedding) as Parquet for later kNN scans."""
+    src = F.col(source_col) if source_col else F.concat(F.lit("vec-"), F.col(id_col).cast("string"))
+    vectors.select(id_col, src.alias("source"), vec_col).write.mode("overwrite").parquet(path)

@@ -48,8 +48,7 @@ def read_raw_json(spark: SparkSession, path: str) -> DataFrame:
 
 def read_markdown_corpus(spark: SparkSession, root: str) -> DataFrame:
     """SRC-10: every ``*.md`` below ``root`` as one row (source path, whole text)."""
-    return (spark.read.option("wholetext", True).option("pathGlobFilter", "*.md")
-            .option("recursiveFileLookup", True).text(root)
+    return (spark.read.text(root, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True)
             .select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text")))
 
 

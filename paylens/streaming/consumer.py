@@ -57,6 +57,15 @@ def score_events(valid: DataFrame) -> DataFrame:
     return valid.withColumn("anomaly_score", s).withColumn("is_alert", s > C.STREAM_ALERT_CUTOFF)
 
 
+def enrich(events: DataFrame, snapshot: DataFrame, key: str = "merchant_id") -> DataFrame:
+    """J-7: stream-static left join of events to a feature snapshot on the merchant key.
+
+    The static side is re-read each micro-batch, so a refreshed snapshot version
+    is picked up without restarting the query.
+    """
+    return events.join(snapshot, key, "left")
+
+
 def _write_batch(df: DataFrame, root: str, name: str, batch_id: int, partition_cols=None) -> None:
     w = df.write.mode("overwrite")
     if partition_cols:
@@ -65,13 +74,16 @@ def _write_batch(df: DataFrame, root: str, name: str, batch_id: int, partition_c
 
 
 def start_consumer(spark: SparkSession, records: DataFrame, out_root: str, checkpoint: str,
-                   trigger_once: bool = True):
-    """ST-1: start the consumer; sinks under ``out_root`` (raw, alerts, rejects, snapshots)."""
+                   trigger_once: bool = True, features: DataFrame | None = None):
+    """ST-1: start the consumer; sinks under ``out_root`` (raw, alerts, rejects, snapshots).
+
+    ``features`` (merchant_id, feature columns…) is joined to every event (J-7).
+    """
     from paylens.sinks.writers import with_processing_partitions
     from paylens.streaming.snapshots import upsert_snapshot
 
     valid, rejects = decode_stream(records)
-    scored = score_events(valid)
+    scored = score_events(valid if features is None else enrich(valid, features))
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
