@@ -25,7 +25,8 @@ TRANSACTION_COLUMNS = [
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    return cached(spark, ("table", path), lambda: spark.read.parquet(path))
 
 
 def _literal_map(pairs) -> Column:
@@ -53,32 +54,57 @@ def off_hours_flag(category: Column, hour: Column) -> Column:
     return (hour < opens) | (hour > closes)
 
 
+def _spark_case(expr: str, pairs) -> str:
+    whens = " ".join(f"WHEN {k!r} THEN {v!r}" if isinstance(k, str) else f"WHEN {k} THEN {v!r}"
+                     for k, v in pairs)
+    return f"CASE {expr} {whens} END"
+
+
+def _adapter_exprs() -> tuple[list[str], list[str]]:
+    """The adapter as Spark SQL expression strings (parsed once on the JVM side)."""
+    k = "get_json_object(props, '$.k')"
+    first = [
+        "concat('T', lpad(CAST(event_id AS STRING), 10, '0')) AS transaction_id",
+        "concat('M', lpad(CAST(user_id AS STRING), 5, '0')) AS merchant_id",
+        "lpad(CAST(10000000000L + user_id AS STRING), 11, '0') AS merchant_abn",
+        f"concat('C', lpad({k}, 8, '0')) AS customer_id",
+        "CAST(value AS DOUBLE) AS amount_aud",
+        f"{C.CURRENCY!r} AS currency",
+        "ts AS timestamp",
+        _spark_case(f"pmod(user_id, {len(C.CATEGORIES)})", list(enumerate(C.CATEGORIES))) + " AS merchant_category",
+        _spark_case(f"pmod(user_id, {len(C.STATES)})", list(enumerate(C.STATES))) + " AS state",
+        _spark_case("event_type", C.EVENT_TERMINAL) + " AS payment_terminal",
+        f"CASE WHEN pmod(CAST({k} AS BIGINT), 3) = 0 THEN 'credit' ELSE 'debit' END AS card_type",
+        f"coalesce(event_type = {C.FRAUD_EVENT_TYPE!r} AND value > {C.FRAUD_MIN_VALUE!r}D, false) AS is_fraud",
+    ]
+    opens = _spark_case("merchant_category", [(c, o) for c, o, _ in C.BUSINESS_HOURS])
+    closes = _spark_case("merchant_category", [(c, h) for c, _, h in C.BUSINESS_HOURS])
+    second = [c for c in TRANSACTION_COLUMNS if c != "is_outside_business_hours"] + [
+        f"(hour(timestamp) < coalesce({opens}, {C.DEFAULT_OPEN_HOUR}) OR "
+        f"hour(timestamp) > coalesce({closes}, {C.DEFAULT_CLOSE_HOUR})) AS is_outside_business_hours"]
+    return first, second
+
+
 def events_to_transactions(events: DataFrame) -> DataFrame:
     """Map the driver ``events`` table onto the 13-column transactions schema."""
-    k = F.get_json_object(F.col("props"), "$.k")
-    category = _pick(F.col("user_id"), C.CATEGORIES)
-    terminal = _literal_map(C.EVENT_TERMINAL)[F.col("event_type")]
-    return events.select(
-        F.concat(F.lit("T"), F.lpad(F.col("event_id").cast("string"), 10, "0")).alias("transaction_id"),
-        F.concat(F.lit("M"), F.lpad(F.col("user_id").cast("string"), 5, "0")).alias("merchant_id"),
-        F.lpad((F.lit(10000000000) + F.col("user_id")).cast("string"), 11, "0").alias("merchant_abn"),
-        F.concat(F.lit("C"), F.lpad(k, 8, "0")).alias("customer_id"),
-        F.col("value").cast("double").alias("amount_aud"),
-        F.lit(C.CURRENCY).alias("currency"),
-        F.col("ts").alias("timestamp"),
-        category.alias("merchant_category"),
-        _pick(F.col("user_id"), C.STATES).alias("state"),
-        terminal.alias("payment_terminal"),
-        F.when(F.pmod(k.cast("bigint"), F.lit(3)) == 0, F.lit("credit"))
-         .otherwise(F.lit("debit")).alias("card_type"),
-        F.coalesce((F.col("event_type") == C.FRAUD_EVENT_TYPE) & (F.col("value") > C.FRAUD_MIN_VALUE),
-                   F.lit(False)).alias("is_fraud"),
-        off_hours_flag(category, F.hour(F.col("ts"))).alias("is_outside_business_hours"),
-    )
+    first, second = _adapter_exprs()
+    return events.selectExpr(*first).selectExpr(*second)
+
+
+_CACHE: dict[tuple, DataFrame] = {}
+
+
+def cached(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """Per-session reuse of table definitions (lazy DataFrames; no data is cached)."""
+    k = (id(spark), spark.sparkContext.applicationId) + key
+    if k not in _CACHE:
+        _CACHE[k] = build()
+    return _CACHE[k]
 
 
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events_to_transactions(read_table(spark, sf_dir, "events"))
+    return cached(spark, ("transactions", sf_dir),
+                  lambda: events_to_transactions(read_table(spark, sf_dir, "events")))
 
 
 # ---- DuckDB twin ----------------------------------------------------------------
