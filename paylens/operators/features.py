@@ -127,6 +127,47 @@ def plan_blocks(tx: DataFrame, heavy_rows: int | None, max_heavy: int = 1_000_00
     return heavy if n <= max_heavy else "all"
 
 
+def _upto(keys, lag_us: int = 0):
+    """Rows with ts <= t - lag: an unbounded-preceding frame (incremental, O(1) per row)."""
+    w = Window.partitionBy(*keys).orderBy("_ts_us")
+    return w.rangeBetween(Window.unboundedPreceding, -lag_us if lag_us else 0)
+
+
+def moving_sum(c: Column, keys, width_us: int) -> Column:
+    """Sum over (t - w, t] as S(t) - S(t - w): two incremental frames instead of a
+    sliding frame, whose cost Spark pays per row in proportion to the frame size."""
+    return F.coalesce(F.sum(c).over(_upto(keys)), F.lit(0)) - F.coalesce(F.sum(c).over(_upto(keys, width_us)),
+                                                                       F.lit(0))
+
+
+def max_queries(df: DataFrame, keys, width_us: int, row_id: str) -> DataFrame:
+    """Synthetic query rows for ``moving_max``: one per row, at t - w (value columns NULL)."""
+    return df.select(*keys, row_id, (F.col("_ts_us") - F.lit(width_us)).alias("_ts_us"), F.lit(True).alias("_q"))
+
+
+def moving_max(value: str, keys, width_us: int, row_id: str) -> tuple[Column, ...]:
+    """Max over (t - w, t] in O(n log n) without a sliding frame.
+
+    Time is cut into w-wide segments.  The frame of a row in segment k is the
+    prefix [k*w, t] of its own segment (a running max) plus the part of segment
+    k-1 after t - w.  That suffix max is read by a synthetic query row (from
+    ``max_queries``, flagged ``_q``) at t - w, ordered before equal-time data
+    rows so the start stays exclusive, and handed back to its row by a window
+    on the row id.  Returns the three stage columns; apply them in order.
+    All windows refine ``keys``, so they reuse the existing shuffle.
+    """
+    seg = F.floor(F.col("_ts_us") / F.lit(width_us)).cast("long")
+    prefix = (Window.partitionBy(*keys, "_seg").orderBy("_ts_us")
+              .rangeBetween(Window.unboundedPreceding, 0))
+    suffix = (Window.partitionBy(*keys, "_seg").orderBy(F.desc("_ts_us"), F.desc("_q"))
+              .rowsBetween(Window.unboundedPreceding, -1))
+    back = Window.partitionBy(*keys, row_id)
+    return (seg,
+            F.max(F.when(~F.col("_q"), F.col(value))).over(prefix),
+            F.when(F.col("_q"), F.max(F.when(~F.col("_q"), F.col(value))).over(suffix)),
+            back)
+
+
 def training_features(tx: DataFrame, max_states: int = 10_000, heavy_rows: int | None = 2_000_000,
                       block_days: int = 60) -> DataFrame:
     """W-11: the 17 model features beside the transaction columns.
@@ -134,8 +175,12 @@ def training_features(tx: DataFrame, max_states: int = 10_000, heavy_rows: int |
     One hash shuffle by (merchant, time block): ordinary merchants form one
     block; merchants with more than ``heavy_rows`` rows are cut into
     ``block_days`` blocks with 30 days of replicated context, so no merchant's
-    whole history has to fit one task.  The pair-flag window is partitioned by
-    (merchant, block, customer), a refinement the same shuffle satisfies.  The
+    whole history has to fit one task.  Every later window refines those keys and
+    reuses the shuffle.  Moving counts, sums, means, ratios and the 30-day sample
+    std are differences of incremental running sums (money in exact integer
+    cents, the variance numerator in exact DECIMAL, so a constant window has a
+    std of exactly 0); the 7-day max uses segment prefix/suffix maxima.  No frame
+    is re-aggregated per row, so cost stays O(n log n) for dense merchants.  The
     state mean (J-5) is a tiny aggregate joined back behind a size check.
     ``heavy_rows=None`` disables blocking; ``heavy_rows=0`` blocks everyone.
     """
@@ -143,26 +188,51 @@ def training_features(tx: DataFrame, max_states: int = 10_000, heavy_rows: int |
               .withColumn("_ts_us", ts_micros()))
     widest = WINDOW_US["30D"]
     heavy = plan_blocks(base, heavy_rows)
-    base = time_blocks(base, heavy, block_days * DAY_US, widest).repartition(*PARTITION)
     keys = tuple(PARTITION)
-    base = with_customer_pair_flags(base, DAY_US, keys)
+    d7 = WINDOW_US["7D"]
+    rows = (time_blocks(base, heavy, block_days * DAY_US, widest)
+            .withColumn("_rid", F.monotonically_increasing_id()).withColumn("_q", F.lit(False)))
+    # data rows and the 7-day-max query rows meet in one shuffle by (merchant, block)
+    base = (rows.unionByName(max_queries(rows, keys, d7, "_rid"), allowMissingColumns=True)
+            .repartition(*PARTITION))
+    data = ~F.col("_q")
+    base = with_customer_pair_flags(base, DAY_US, keys + ("_q",))
+    seg, pre, suf, back = moving_max("amount_aud", keys, d7, "_rid")
+    base = (base.withColumn("_seg", seg).withColumn("_pre", pre).withColumn("_suf", suf)
+            .withColumn("max_amount_7d", F.greatest(F.col("_pre"), F.max("_suf").over(back)))
+            .drop("_seg", "_pre", "_suf"))
     amt = F.col("amount_aud")
-    w1h, w24h, w7d, w30d = (_frame(WINDOW_US[k], keys=keys) for k in ("1H", "24H", "7D", "30D"))
+    cents = F.when(data, F.rint(amt * 100.0).cast("long"))
+    has_amt = (data & amt.isNotNull()).cast("long")
+    has_id = (data & F.col("transaction_id").isNotNull()).cast("long")
+    one = data.cast("long")
+    h1, d1, d30 = WINDOW_US["1H"], WINDOW_US["24H"], WINDOW_US["30D"]
+    n7 = moving_sum(has_amt, keys, d7)
+    n30 = moving_sum(has_amt, keys, d30)
+    s7 = moving_sum(cents, keys, d7)
+    s30 = moving_sum(cents, keys, d30)
+    q30 = moving_sum(cents.cast("decimal(38,0)") * cents.cast("decimal(38,0)"), keys, d30)
+    rows7 = moving_sum(one, keys, d7)
     f = base.select(
-        *[F.col(c) for c in tx.columns], "_primary",
-        F.count("transaction_id").over(w1h).cast("double").alias("txn_velocity_1h"),
-        F.count("transaction_id").over(w24h).cast("double").alias("txn_velocity_24h"),
-        F.avg(amt).over(w7d).alias("avg_amount_7d"),
-        F.coalesce(F.stddev_samp(amt).over(w30d), F.lit(0.0)).alias("stddev_amount_30d"),
-        F.max(amt).over(w7d).alias("max_amount_7d"),
-        moving_distinct_customers(DAY_US, keys).alias("unique_customers_1d"),
-        F.coalesce(F.avg(indicator(F.col("payment_terminal") == "tap_and_go")).over(w7d),
-                   F.lit(0.0)).alias("pct_tap_payments_7d"),
-        F.coalesce(F.avg(indicator(F.col("card_type") == "debit")).over(w7d),
-                   F.lit(0.0)).alias("pct_debit_7d"),
-        F.coalesce(F.avg(indicator(F.col("is_outside_business_hours"))).over(w7d),
-                   F.lit(0.0)).alias("off_hours_txn_ratio_7d"),
-    ).filter(F.col("_primary")).drop("_primary")
+        *[F.col(c) for c in tx.columns], "_primary", "_q", "max_amount_7d",
+        moving_sum(has_id, keys, h1).cast("double").alias("txn_velocity_1h"),
+        moving_sum(has_id, keys, d1).cast("double").alias("txn_velocity_24h"),
+        (s7.cast("double") / 100.0 / F.nullif(n7, F.lit(0)).cast("double")).alias("avg_amount_7d"),
+        n30.alias("_n30"), s30.alias("_s30"), q30.alias("_q30"),
+        (moving_sum(one, keys, d1)
+         - (F.coalesce(F.sum(F.when(data, F.col("_close_prev"))).over(_upto(keys)), F.lit(0))
+            - F.coalesce(F.sum(F.when(data, F.col("_close_next"))).over(_upto(keys, d1)), F.lit(0))))
+        .cast("double").alias("unique_customers_1d"),
+        (moving_sum(indicator(data & (F.col("payment_terminal") == "tap_and_go")), keys, d7) / rows7)
+        .alias("pct_tap_payments_7d"),
+        (moving_sum(indicator(data & (F.col("card_type") == "debit")), keys, d7) / rows7).alias("pct_debit_7d"),
+        (moving_sum(indicator(data & F.col("is_outside_business_hours")), keys, d7) / rows7)
+        .alias("off_hours_txn_ratio_7d"),
+    ).filter(F.col("_primary") & data).drop("_primary", "_q")
+    n = F.col("_n30")
+    var_num = n.cast("decimal(20,0)") * F.col("_q30") - F.col("_s30").cast("decimal(38,0)") * F.col("_s30")
+    std = F.when(n >= 2, F.sqrt(var_num.cast("double") / (n * (n - 1)).cast("double")) / 100.0)
+    f = f.withColumn("stddev_amount_30d", F.coalesce(std, F.lit(0.0))).drop("_n30", "_s30", "_q30")
     f = f.select(
         *[c for c in f.columns if c != "is_outside_business_hours"],
         F.hour("timestamp").cast("double").alias("hour_of_day"),                    # P-11
