@@ -60,17 +60,6 @@ def with_customer_pair_flags(df: DataFrame, width_us: int, keys=("merchant_id",)
               .drop("_cust", "_prev_gap", "_next_gap"))
 
 
-def moving_distinct_customers(width_us: int, keys=("merchant_id",)) -> Column:
-    """Exact distinct customers in (t-w, t] from the pair flags (see module doc)."""
-    upto_t = Window.partitionBy(*keys).orderBy("_ts_us").rangeBetween(Window.unboundedPreceding, 0)
-    upto_t_minus_w = (Window.partitionBy(*keys).orderBy("_ts_us")
-                      .rangeBetween(Window.unboundedPreceding, -width_us))
-    in_frame = F.count(F.lit(1)).over(_frame(width_us, keys=keys))
-    pairs = (F.sum("_close_prev").over(upto_t)
-             - F.coalesce(F.sum("_close_next").over(upto_t_minus_w), F.lit(0)))
-    return (in_frame - pairs).cast("double")
-
-
 def state_means(tx: DataFrame) -> DataFrame:
     return tx.groupBy("state").agg(money_avg("amount_aud").alias("_state_avg"))
 
@@ -266,12 +255,23 @@ def batch_day_features(tx: DataFrame, day: date, lookback: bool = False) -> Data
     rows = (tx.filter((F.col("timestamp") >= F.lit(lo).cast("timestamp_ntz"))
                       & (F.col("timestamp") < F.lit(end).cast("timestamp_ntz")))
               .withColumn("_ts_us", ts_micros()))
+    # closed frames [t - w, t] as running-sum differences (rows at or before t - w - 1us drop out)
+    keys = ("merchant_id",)
     amt = F.col("amount_aud")
+    cents = F.rint(amt * 100.0).cast("long")
+    has_amt = amt.isNotNull().cast("long")
+    n7 = moving_sum(has_amt, keys, 7 * DAY_US + 1)
+    n30 = moving_sum(has_amt, keys, 30 * DAY_US + 1)
+    s30 = moving_sum(cents, keys, 30 * DAY_US + 1)
+    q30 = moving_sum(cents.cast("decimal(38,0)") * cents.cast("decimal(38,0)"), keys, 30 * DAY_US + 1)
+    var_num = n30.cast("decimal(20,0)") * q30 - s30.cast("decimal(38,0)") * s30
     out = rows.select(
         "merchant_id", "transaction_id", "timestamp",
-        F.count(F.lit(1)).over(_frame(HOUR_US, closed_start=True)).alias("txn_velocity_1h"),
-        F.avg(amt).over(_frame(7 * DAY_US, closed_start=True)).alias("avg_amount_7d"),
-        F.stddev_samp(amt).over(_frame(30 * DAY_US, closed_start=True)).alias("stddev_amount_30d"),
+        moving_sum(F.lit(1).cast("long"), keys, HOUR_US + 1).alias("txn_velocity_1h"),
+        (moving_sum(cents, keys, 7 * DAY_US + 1).cast("double") / 100.0
+         / F.nullif(n7, F.lit(0)).cast("double")).alias("avg_amount_7d"),
+        F.when(n30 >= 2, F.sqrt(var_num.cast("double") / (n30 * (n30 - 1)).cast("double")) / 100.0)
+         .alias("stddev_amount_30d"),
         F.hour("timestamp").alias("hour_of_day"),
         "is_fraud",
     )
