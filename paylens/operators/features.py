@@ -130,8 +130,13 @@ def moving_sum(c: Column, keys, width_us: int) -> Column:
 
 
 def max_queries(df: DataFrame, keys, width_us: int, row_id: str) -> DataFrame:
-    """Synthetic query rows for ``moving_max``: one per row, at t - w (value columns NULL)."""
-    return df.select(*keys, row_id, (F.col("_ts_us") - F.lit(width_us)).alias("_ts_us"), F.lit(True).alias("_q"))
+    """Synthetic query rows for ``moving_max``: one per row, at t - w (value columns NULL).
+
+    ``row_id`` is the hand-back key; the row's own time is enough (rows with equal
+    times in a partition share their frame), which keeps the plan deterministic.
+    """
+    return df.select(*keys, F.col("_ts_us").alias(row_id),
+                     (F.col("_ts_us") - F.lit(width_us)).alias("_ts_us"), F.lit(True).alias("_q"))
 
 
 def moving_max(value: str, keys, width_us: int, row_id: str) -> tuple[Column, ...]:
@@ -180,7 +185,7 @@ def training_features(tx: DataFrame, max_states: int = 10_000, heavy_rows: int |
     keys = tuple(PARTITION)
     d7 = WINDOW_US["7D"]
     rows = (time_blocks(base, heavy, block_days * DAY_US, widest)
-            .withColumn("_rid", F.monotonically_increasing_id()).withColumn("_q", F.lit(False)))
+            .withColumn("_rid", F.col("_ts_us")).withColumn("_q", F.lit(False)))
     # data rows and the 7-day-max query rows meet in one shuffle by (merchant, block)
     base = (rows.unionByName(max_queries(rows, keys, d7, "_rid"), allowMissingColumns=True)
             .repartition(*PARTITION))
