@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from paylens import constants as C
 from paylens.functions import text as T
-from paylens.operators import dashboards as D
 
 
 def questions_from_conversations(conversations: DataFrame, events: DataFrame) -> DataFrame:
@@ -43,27 +42,50 @@ def guard_questions(q: DataFrame) -> DataFrame:
 
 
 def merchant_answers(tx: DataFrame) -> DataFrame:
-    """Per-merchant answer sentences for the four chat intents."""
-    rev = D.merchant_revenue(tx)
-    fr = D.merchant_fraud(tx)
-    peaks = (D.merchant_peak_hours(tx, 3)
+    """Per-merchant answer sentences for the four chat intents, from one scan.
+
+    The rows are aggregated once by (merchant, category, state, hour); revenue,
+    fraud, peak-hour and profile answers are all re-aggregations of that small
+    table, so the transactions are read and shuffled a single time.
+    """
+    from paylens.functions.numeric import round_half
+    cube = tx.groupBy("merchant_id", "merchant_category", "state", F.hour("timestamp").alias("hour")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("amount_aud").cast("decimal(18,2)")).alias("s"),
+        F.count("amount_aud").alias("na"),
+        F.count(F.when(F.col("is_fraud"), 1)).alias("f"),
+        F.sum(F.when(F.col("is_fraud"), F.col("amount_aud")).otherwise(F.lit(0.0)).cast("decimal(18,2)")).alias("fs"))
+    per_m = cube.groupBy("merchant_id").agg(
+        F.sum("n").alias("transaction_count"), F.sum("s").alias("_s"), F.sum("na").alias("_na"),
+        F.sum("f").alias("fraud_count"), F.sum("fs").alias("_fs"))
+    per_m = per_m.select(
+        "merchant_id", "transaction_count", "fraud_count",
+        round_half(F.col("_s").cast("double"), 2).alias("total_revenue"),
+        round_half(F.col("_s").cast("double") / F.nullif(F.col("_na").cast("double"), F.lit(0.0)), 2)
+        .alias("avg_transaction"),
+        round_half(F.col("_fs").cast("double"), 2).alias("fraud_value"))
+    hours = cube.groupBy("merchant_id", "hour").agg(F.sum("n").alias("txn_count"))
+    rank = Window.partitionBy("merchant_id").orderBy(F.desc("txn_count"), "hour")          # <= 24 rows
+    peaks = (hours.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= 3)
              .groupBy("merchant_id")
-             .agg(F.array_sort(F.collect_list(F.struct("rank", "hour", "txn_count"))).alias("_p")))  # <= 3
-    prof = (D.merchant_profile(tx)
+             .agg(F.array_sort(F.collect_list(F.struct("rank", "hour", "txn_count"))).alias("_p")))   # <= 3
+    prof = (cube.groupBy("merchant_id", "merchant_category", "state")
+            .agg(F.sum("n").alias("profile_count"), F.sum("s").alias("_ps"))
             .withColumn("_r", F.row_number().over(Window.partitionBy("merchant_id")
                                                   .orderBy("merchant_category", "state")))
-            .filter(F.col("_r") == 1).drop("_r")
-            .withColumnRenamed("txn_count", "profile_count").withColumnRenamed("total", "profile_total"))
+            .filter(F.col("_r") == 1)
+            .select("merchant_id", "merchant_category", "state", "profile_count",
+                    round_half(F.col("_ps").cast("double"), 2).alias("profile_total")))
     peak_text = F.array_join(F.transform("_p", lambda p: F.format_string(
         "%02d:00 (%d txns)", p["hour"], p["txn_count"])), ", ")
-    m = (rev.join(fr, "merchant_id", "full").join(peaks, "merchant_id", "full").join(prof, "merchant_id", "full"))
+    m = per_m.join(peaks, "merchant_id", "left").join(prof, "merchant_id", "left")
     return m.select(
         "merchant_id",
         F.format_string("Merchant %s processed %d transactions with total revenue of %.2f AUD and average "
                         "transaction %.2f AUD.", "merchant_id", "transaction_count", "total_revenue",
                         "avg_transaction").alias("revenue_answer"),
         F.format_string("Merchant %s: %d suspicious transactions out of %d total, potential fraud value %.2f AUD.",
-                        "merchant_id", "fraud_count", "total", "fraud_value").alias("fraud_answer"),
+                        "merchant_id", "fraud_count", "transaction_count", "fraud_value").alias("fraud_answer"),
         F.concat(F.lit("Peak hours for "), F.col("merchant_id"), F.lit(": "), peak_text).alias("peak_answer"),
         F.format_string("Merchant %s is a %s business in %s with %d transactions totaling %.2f AUD.",
                         "merchant_id", "merchant_category", "state", "profile_count", "profile_total")
