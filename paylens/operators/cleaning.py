@@ -57,7 +57,8 @@ def scoped(df: DataFrame, merchant_id: str, caller_merchant: str | None = None,
 def last_days(df: DataFrame, days: int, as_of: date = C.AS_OF, column: str = "timestamp") -> DataFrame:
     """P-5: ``date(ts) >= as_of - days`` written on the raw column so it pushes to the scan."""
     start = datetime.combine(as_of - timedelta(days=days), datetime.min.time())
-    return df.filter(F.col(column) >= F.lit(start).cast("timestamp_ntz"))
+    from paylens.functions.timecols import ntz_literal
+    return df.filter(F.col(column) >= ntz_literal(start))
 
 
 def clamp_limit(limit: int, lo: int = 1, hi: int = 50) -> int:

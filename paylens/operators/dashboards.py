@@ -38,7 +38,8 @@ _L = _Lazy()
 def _since(as_of: date, days: int):
     """``CAST(ts AS DATE) >= as_of - days`` written on the raw column so it pushes down."""
     start = datetime.combine(as_of - timedelta(days=days), datetime.min.time())
-    return F.col("timestamp") >= F.lit(start).cast("timestamp_ntz")
+    from paylens.functions.timecols import ntz_literal
+    return F.col("timestamp") >= ntz_literal(start)
 
 
 def overview(tx: DataFrame) -> DataFrame:

@@ -87,7 +87,8 @@ def chronological_split(df: DataFrame, train_fraction: float = 0.8,
     is the first whose cumulative count reaches k.  Only the rows sharing the cut
     timestamp are ranked by key (a window over that one timestamp's rows).
     """
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    from paylens.functions.timecols import epoch_micros
+    us = epoch_micros(ts)
     n = df.select(F.count(F.lit(1))).scalar()
     k = F.floor(n.cast("double") * F.lit(float(train_fraction))).cast("bigint")
     per_ts = df.select(us.alias("_us"), F.lit(1).cast("bigint").alias("c"))

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from paylens import constants as C
 from paylens.functions.numeric import money_avg, zero_if_not_finite
+from paylens.functions.timecols import epoch_micros, ntz_literal
 from paylens.operators.joins import checked_broadcast
 
 US = 1_000_000
@@ -32,7 +33,7 @@ NULL_CUSTOMER = "<null>"
 
 
 def ts_micros(c: str = "timestamp") -> Column:
-    return F.unix_micros(F.col(c).cast("timestamp"))
+    return epoch_micros(c)
 
 
 PARTITION = ["merchant_id", "_block"]     # merchant, and time block for heavy merchants
@@ -257,8 +258,7 @@ def batch_day_features(tx: DataFrame, day: date, lookback: bool = False) -> Data
     start = datetime.combine(day, datetime.min.time())
     end = start + timedelta(days=1)
     lo = start - timedelta(days=30) if lookback else start
-    rows = (tx.filter((F.col("timestamp") >= F.lit(lo).cast("timestamp_ntz"))
-                      & (F.col("timestamp") < F.lit(end).cast("timestamp_ntz")))
+    rows = (tx.filter((F.col("timestamp") >= ntz_literal(lo)) & (F.col("timestamp") < ntz_literal(end)))
               .withColumn("_ts_us", ts_micros()))
     # closed frames [t - w, t] as running-sum differences (rows at or before t - w - 1us drop out)
     keys = ("merchant_id",)
@@ -281,7 +281,7 @@ def batch_day_features(tx: DataFrame, day: date, lookback: bool = False) -> Data
         "is_fraud",
     )
     if lookback:
-        out = out.filter(F.col("timestamp") >= F.lit(start).cast("timestamp_ntz"))
+        out = out.filter(F.col("timestamp") >= ntz_literal(start))
     return out
 
 

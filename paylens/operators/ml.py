@@ -181,11 +181,12 @@ def train_classifier(train: DataFrame, label: str = "is_fraud", max_iter: int =
     neg = F.count(F.when(~F.col(label), 1)).cast("double")
     pos = F.greatest(F.count(F.when(F.col(label), 1)), F.lit(1)).cast("double")
     weight = train.agg((neg / pos).alias("w")).scalar()
-    cut = train.select(F.percentile_approx(F.unix_micros(F.col("timestamp").cast("timestamp")),
+    from paylens.functions.timecols import epoch_micros
+    cut = train.select(F.percentile_approx(epoch_micros("timestamp"),
                                            1.0 - validation_fraction, 10_000)).scalar()
     data = (train.withColumn("label", F.col(label).cast("double"))
             .withColumn("weight", F.when(F.col(label), weight).otherwise(F.lit(1.0)))
-            .withColumn("is_validation", F.unix_micros(F.col("timestamp").cast("timestamp")) > cut))
+            .withColumn("is_validation", epoch_micros("timestamp") > cut))
     gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxDepth=5,
                         stepSize=0.03, subsamplingRate=0.9, minInstancesPerNode=8, maxIter=max_iter,
                         featureSubsetStrategy="all", validationIndicatorCol="is_validation", seed=seed)

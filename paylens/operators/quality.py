@@ -129,9 +129,9 @@ def table_health(tx: DataFrame, scores: DataFrame, as_of: date = C.AS_OF) -> Dat
     Long table (metric, key, value); ``scores`` has an ``anomaly_score`` column.
     """
     end = datetime.combine(as_of + timedelta(days=1), datetime.min.time())
-    fresh = tx.agg(((F.lit(end).cast("timestamp_ntz").cast("timestamp").cast("long")
-                     - F.unix_micros(F.max("timestamp").cast("timestamp")) / 1_000_000)
-                    .cast("double")).alias("v"))
+    from paylens.functions.timecols import epoch_micros, ntz_literal
+    fresh = tx.agg(((epoch_micros(ntz_literal(end)) / 1_000_000).cast("long")
+                    - epoch_micros(F.max("timestamp")) / 1_000_000).cast("double").alias("v"))
     fresh = fresh.select(F.lit("freshness_seconds").alias("metric"), F.lit("").alias("key"), F.col("v").alias("value"))
     alarm = fresh.select(F.lit("freshness_alarm").alias("metric"), F.lit("").alias("key"),
                          (F.col("value") > C.FRESHNESS_ALARM_SECONDS).cast("double").alias("value"))

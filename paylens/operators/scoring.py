@@ -68,7 +68,8 @@ def anomaly_review(tx: DataFrame, days: int = 7, as_of: date = C.AS_OF) -> DataF
     """R-5: last-N-days rows scored clamp(z/10) (sign kept), flagged above .7, per merchant."""
     start = datetime.combine(as_of - timedelta(days=days), datetime.min.time())
     b = merchant_baseline(tx)
-    recent = tx.filter(F.col("timestamp") >= F.lit(start).cast("timestamp_ntz"))
+    from paylens.functions.timecols import ntz_literal
+    recent = tx.filter(F.col("timestamp") >= ntz_literal(start))
     scored = (recent.join(b, "merchant_id", "left")
               .withColumn("_s", R.review_score(R.zscore("amount_aud", "avg_amount", "std_amount"))))
     return scored.groupBy("merchant_id").agg(

@@ -26,7 +26,8 @@ CUR_SQL = f"\"timestamp\" >= TIMESTAMP '{CURRENT_FROM.isoformat(sep=' ')}'"
 
 
 def _is_current():
-    return F.col("timestamp") >= F.lit(CURRENT_FROM).cast("timestamp_ntz")
+    from paylens.functions.timecols import ntz_literal
+    return F.col("timestamp") >= ntz_literal(CURRENT_FROM)
 
 
 _cats = ", ".join(f"'{c}'" for c in C.CATEGORIES)
