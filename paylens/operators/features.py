@@ -1,16 +1,19 @@
 """Rolling per-merchant features (W-1 … W-13, W-16, W-17, J-5, P-9 … P-16).
 
-All offline frames share one partitioning (merchant) and one ordering (event
-time in microseconds), so the plan has a single Exchange, a single Sort and one
-Window node for every frame.  Frames are half-open ``(t-w, t]`` like a pandas
-time-rolling window: ``rangeBetween(-(w-1us), 0)``.
-
-The distinct-customer count in a moving frame is exact without per-row sets:
-distinct = rows in frame - #(consecutive same-customer pairs with both rows in
-the frame).  A pair (p, j) with gap < w is inside the frame ending at t exactly
-when ts_j <= t < ts_p + w, so the pair count is a running sum of a "has close
-predecessor" flag minus a running sum of a "has close successor" flag lagged by
-w — two range-frame sums, O(1) state per row, no collect_set.
+Frames are half-open ``(t-w, t]`` like a pandas time-rolling window.  No
+sliding frame is used: Spark re-aggregates a sliding range frame over its whole
+buffer for every row, which is quadratic for dense merchants.  Instead every
+additive aggregate is ``S(t) - S(t-w)`` of two incremental unbounded-preceding
+frames, the moving max uses segment prefix/suffix maxima, and the moving
+distinct-customer count is exact without per-row sets: distinct = rows in frame
+- #(consecutive same-customer pairs with both rows in the frame); a pair (p, j)
+with gap < w is inside the frame ending at t exactly when ts_j <= t < ts_p + w,
+so the pair count is a running sum of a "has close predecessor" flag minus a
+running sum of a "has close successor" flag lagged by w.
+
+All windows refine one partitioning — (merchant, time block) — so the plan has
+a single Exchange; merchants too large for one task are split into time blocks
+with replicated context (``time_blocks``).
 """
 
 from __future__ import annotations
@@ -39,11 +42,6 @@ def ts_micros(c: str = "timestamp") -> Column:
 PARTITION = ["merchant_id", "_block"]     # merchant, and time block for heavy merchants
 
 
-def _frame(width_us: int, closed_start: bool = False, keys=("merchant_id",)):
-    lo = -width_us if closed_start else -(width_us - 1)
-    return (Window.partitionBy(*keys).orderBy("_ts_us").rangeBetween(lo, 0))
-
-
 def indicator(cond: Column) -> Column:
     """P-10: boolean condition as 0/1 double (null -> 0)."""
     return F.coalesce(cond.cast("double"), F.lit(0.0))
