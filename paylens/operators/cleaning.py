@@ -24,16 +24,18 @@ def dedupe_latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 
 def clean_raw(raw: DataFrame, stamp: bool = True) -> DataFrame:
-    """P-1: id and merchant present, amount > 0 (cast), timestamp parsed, dedupe by id.
+    """P-1: id and merchant present, amount > 0, every column cast to the declared
+    schema (timestamp parsed), dedupe by id.
 
     Text fields are cast with ``try_cast`` so bad values become NULL instead of
     failing the job; the duplicate kept is the one with the latest timestamp.
     """
-    amount = F.col("amount_aud").cast("string").try_cast("double")
-    ts = F.col("timestamp").cast("string").try_cast("timestamp_ntz")
-    cleaned = (raw.filter(F.col("transaction_id").isNotNull() & F.col("merchant_id").isNotNull())
-               .withColumn("amount_aud", amount).filter(F.col("amount_aud") > 0)
-               .withColumn("timestamp", ts))
+    from paylens import schemas
+    typed = raw.select(*[F.col(f.name).cast("string").try_cast(f.dataType).alias(f.name)
+                         if f.name in raw.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                         for f in schemas.TRANSACTIONS.fields])
+    cleaned = (typed.filter(F.col("transaction_id").isNotNull() & F.col("merchant_id").isNotNull())
+               .filter(F.col("amount_aud") > 0))
     cleaned = dedupe_latest(cleaned, ["transaction_id"], ["timestamp"])
     if stamp:
         cleaned = cleaned.withColumn("processed_at", F.current_timestamp())

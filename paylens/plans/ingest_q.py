@@ -283,3 +283,20 @@ def q_merchant_dashboard(spark, sf_dir):
                   .alias("peak_hours")))                                                              # <= 5
     return (sev.join(trend, "merchant_id", "full").join(pct, "merchant_id", "full")
             .join(share, "merchant_id", "full").join(peaks, "merchant_id", "full"))
+
+
+@register("nightly_curated", "SNK-1", with_transactions(f"""
+SELECT {TXC}, 'PASSED' AS data_quality_flag FROM transactions
+WHERE transaction_id IS NOT NULL AND merchant_id IS NOT NULL AND amount_aud > 0"""))
+def q_nightly_curated(spark, sf_dir):
+    """Landed raw JSON -> clean -> cleaned layer partitioned by category/state -> read back."""
+    import uuid
+    from paylens.session import checkpoint_dir
+    from paylens.sinks.writers import write_partitioned
+    from paylens.sources.files import read_raw_json
+    root = f"{checkpoint_dir(spark).rstrip('/')}/nightly/{uuid.uuid4().hex}"
+    tx = transactions(spark, sf_dir)
+    tx.write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(f"{root}/raw")
+    curated = CL.clean_raw(read_raw_json(spark, f"{root}/raw"), stamp=False)
+    write_partitioned(curated, f"{root}/cleaned", ["merchant_category", "state"])
+    return spark.read.parquet(f"{root}/cleaned").select(*TRANSACTION_COLUMNS, "data_quality_flag")
