@@ -50,13 +50,13 @@ def indicator(cond: Column) -> Column:
 def with_customer_pair_flags(df: DataFrame, width_us: int, keys=("merchant_id",)) -> DataFrame:
     """Flags for the exact moving distinct count over ``width_us``."""
     cust = F.coalesce(F.col("customer_id"), F.lit(NULL_CUSTOMER))
-    w = Window.partitionBy(*keys, "_cust").orderBy("_ts_us", "transaction_id")
-    return (df.withColumn("_cust", cust)
-              .withColumn("_prev_gap", F.col("_ts_us") - F.lag("_ts_us").over(w))
-              .withColumn("_next_gap", F.lead("_ts_us").over(w) - F.col("_ts_us"))
-              .withColumn("_close_prev", (F.coalesce(F.col("_prev_gap"), F.lit(width_us)) < width_us).cast("int"))
-              .withColumn("_close_next", (F.coalesce(F.col("_next_gap"), F.lit(width_us)) < width_us).cast("int"))
-              .drop("_cust", "_prev_gap", "_next_gap"))
+    w = Window.partitionBy(*keys, cust).orderBy("_ts_us", "transaction_id")
+    prev_gap = F.col("_ts_us") - F.lag("_ts_us").over(w)
+    next_gap = F.lead("_ts_us").over(w) - F.col("_ts_us")
+    return df.select(
+        "*",
+        (F.coalesce(prev_gap, F.lit(width_us)) < width_us).cast("int").alias("_close_prev"),
+        (F.coalesce(next_gap, F.lit(width_us)) < width_us).cast("int").alias("_close_next"))
 
 
 def state_means(tx: DataFrame) -> DataFrame:
@@ -92,13 +92,12 @@ def time_blocks(rows: DataFrame, heavy: DataFrame | None, block_us: int, context
         r = rows.join(F.broadcast(heavy), "merchant_id", "left")
         is_heavy = F.coalesce(F.col("_heavy"), F.lit(False))
     block = F.when(is_heavy, F.floor(F.col("_ts_us") / F.lit(block_us))).otherwise(F.lit(0)).cast("long")
-    r = r.withColumn("_block", block)
-    ctx = is_heavy & (F.col("_ts_us") >= (F.col("_block") + 1) * F.lit(block_us) - F.lit(context_us))
+    ctx = is_heavy & (F.col("_ts_us") >= (block + 1) * F.lit(block_us) - F.lit(context_us))
     copies = F.when(ctx, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    return (r.select("*", F.explode(copies).alias("_copy"))
-            .withColumn("_block", F.col("_block") + F.col("_copy"))
-            .withColumn("_primary", F.col("_copy") == 0)
-            .drop("_copy", *(["_heavy"] if "_heavy" in r.columns else [])))
+    keep = [c for c in r.columns if c != "_heavy"]
+    exploded = r.select(*keep, block.alias("_b0"), F.explode(copies).alias("_copy"))
+    return exploded.select(*keep, (F.col("_b0") + F.col("_copy")).alias("_block"),
+                           (F.col("_copy") == 0).alias("_primary"))
 
 
 def plan_blocks(tx: DataFrame, heavy_rows: int | None, max_heavy: int = 1_000_000):
@@ -191,9 +190,9 @@ def training_features(tx: DataFrame, max_states: int = 10_000, heavy_rows: int |
     data = ~F.col("_q")
     base = with_customer_pair_flags(base, DAY_US, keys + ("_q",))
     seg, pre, suf, back = moving_max("amount_aud", keys, d7, "_rid")
-    base = (base.withColumn("_seg", seg).withColumn("_pre", pre).withColumn("_suf", suf)
-            .withColumn("max_amount_7d", F.greatest(F.col("_pre"), F.max("_suf").over(back)))
-            .drop("_seg", "_pre", "_suf"))
+    cols = base.columns
+    base = (base.select("*", seg.alias("_seg")).select(*cols, pre.alias("_pre"), suf.alias("_suf"))
+            .select(*cols, F.greatest(F.col("_pre"), F.max("_suf").over(back)).alias("max_amount_7d")))
     amt = F.col("amount_aud")
     cents = F.when(data, F.rint(amt * 100.0).cast("long"))
     has_amt = (data & amt.isNotNull()).cast("long")
@@ -221,29 +220,31 @@ def training_features(tx: DataFrame, max_states: int = 10_000, heavy_rows: int |
         (moving_sum(indicator(data & (F.col("card_type") == "debit")), keys, d7) / rows7).alias("pct_debit_7d"),
         (moving_sum(indicator(data & F.col("is_outside_business_hours")), keys, d7) / rows7)
         .alias("off_hours_txn_ratio_7d"),
-    ).filter(F.col("_primary") & data).drop("_primary", "_q")
+    ).filter(F.col("_primary") & data)
     n = F.col("_n30")
     var_num = n.cast("decimal(20,0)") * F.col("_q30") - F.col("_s30").cast("decimal(38,0)") * F.col("_s30")
-    std = F.when(n >= 2, F.sqrt(var_num.cast("double") / (n * (n - 1)).cast("double")) / 100.0)
-    f = f.withColumn("stddev_amount_30d", F.coalesce(std, F.lit(0.0))).drop("_n30", "_s30", "_q30")
+    std = F.coalesce(F.when(n >= 2, F.sqrt(var_num.cast("double") / (n * (n - 1)).cast("double")) / 100.0),
+                     F.lit(0.0))
+    std_safe = F.when(std == 0, F.lit(C.STD_FLOOR)).otherwise(std)
+    avg7 = F.col("avg_amount_7d")
+    passthrough = [c for c in tx.columns if c not in C.FEATURE_COLUMNS]
     f = f.select(
-        *[c for c in f.columns if c != "is_outside_business_hours"],
-        F.hour("timestamp").cast("double").alias("hour_of_day"),                    # P-11
-        indicator(F.col("is_outside_business_hours")).alias("is_outside_business_hours"),
+        *passthrough,
+        "txn_velocity_1h", "txn_velocity_24h", "avg_amount_7d", std.alias("stddev_amount_30d"),
+        ((amt - avg7) / std_safe).alias("amount_zscore"),                                   # P-15 offline
+        "max_amount_7d", "unique_customers_1d", "pct_tap_payments_7d",
+        F.hour("timestamp").cast("double").alias("hour_of_day"),                            # P-11
+        indicator(F.col("is_outside_business_hours")).alias("is_outside_business_hours"),   # P-10
+        "pct_debit_7d", "off_hours_txn_ratio_7d",
         indicator(F.col("payment_terminal") == "manual_entry").alias("is_manual_entry"),
         indicator(F.col("payment_terminal") == "chip_and_pin").alias("is_chip_and_pin"),
         indicator(F.col("card_type") == "credit").alias("is_credit_card"),
-    )
-    std_safe = F.when(F.col("stddev_amount_30d") == 0, F.lit(C.STD_FLOOR)).otherwise(F.col("stddev_amount_30d"))
-    f = (f.withColumn("amount_zscore", (amt - F.col("avg_amount_7d")) / std_safe)             # P-15 offline
-          .withColumn("amount_to_merchant_avg_7d",
-                      amt / F.greatest(F.col("avg_amount_7d"), F.lit(1.0))))                 # P-16
+        (amt / F.greatest(avg7, F.lit(1.0))).alias("amount_to_merchant_avg_7d"))            # P-16
     states = checked_broadcast(state_means(tx), max_states)
-    f = (f.join(states, "state", "left")                                                      # J-5
-          .withColumn("state_avg_amount_deviation", F.col("avg_amount_7d") - F.col("_state_avg"))
-          .drop("_state_avg"))
-    keep = [c for c in tx.columns if c not in C.FEATURE_COLUMNS]
-    return f.select(*keep, *[zero_if_not_finite(c).alias(c) for c in C.FEATURE_COLUMNS])  # P-9
+    dev = (F.col("avg_amount_7d") - F.col("_state_avg")).alias("state_avg_amount_deviation")   # J-5
+    j = f.join(states, "state", "left")
+    return j.select(*passthrough, *[zero_if_not_finite(dev if c == "state_avg_amount_deviation" else F.col(c))
+                                   .alias(c) for c in C.FEATURE_COLUMNS])                        # P-9
 
 
 def batch_day_features(tx: DataFrame, day: date, lookback: bool = False) -> DataFrame:
