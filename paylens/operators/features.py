@@ -302,6 +302,13 @@ def merchant_history(tx: DataFrame, limit: int = C.HISTORY_LIMIT) -> DataFrame:
     ``row_number() <= k`` plans as WindowGroupLimit, which also runs map-side
     before the shuffle, so at most k rows per merchant and map task move.
     """
+    spark = tx.sparkSession
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    threshold = int(spark.conf.get(key, "1000"))
+    if 0 <= threshold < limit:
+        # the planner infers WindowGroupLimit only for k <= threshold; raise it so the
+        # newest-k rows are cut before the shuffle (a planning switch, results unchanged)
+        spark.conf.set(key, str(limit))
     w = Window.partitionBy("merchant_id").orderBy(F.desc("timestamp"), F.desc("transaction_id"))
     return tx.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit).drop("_rn")
 

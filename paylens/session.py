@@ -16,6 +16,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # top-k per group (row_number <= k) is trimmed map-side only for k up to this threshold
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

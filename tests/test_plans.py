@@ -32,3 +32,9 @@ def test_top_k_is_take_ordered(spark):
 def test_latest_snapshot_is_an_aggregate(spark):
     plan = E.queries()["latest_snapshot"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Aggregate" in plan
+
+
+def test_history_trimmed_before_shuffle(spark):
+    """W-17's newest-2000 history is cut map-side (partial WindowGroupLimit below the Exchange)."""
+    plan = E.queries()["realtime_features"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2
