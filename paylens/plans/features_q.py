@@ -109,9 +109,9 @@ def q_latest_snapshot(spark, sf_dir):
 @register("merchant_history", "SRC-8", with_transactions(
     "SELECT " + ", ".join(_q(c) for c in TRANSACTION_COLUMNS) + f""" FROM (
   SELECT *, row_number() OVER (PARTITION BY merchant_id ORDER BY "timestamp" DESC, transaction_id DESC) AS rn
-  FROM transactions) t WHERE rn <= 50"""))
+  FROM transactions) t WHERE rn <= {C.HISTORY_LIMIT}"""))
 def q_merchant_history(spark, sf_dir):
-    return FT.merchant_history(transactions(spark, sf_dir), 50).select(*TRANSACTION_COLUMNS)
+    return FT.merchant_history(transactions(spark, sf_dir), C.HISTORY_LIMIT).select(*TRANSACTION_COLUMNS)
 
 
 def _rt_cond(key: str) -> str:
