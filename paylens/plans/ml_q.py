@@ -15,7 +15,7 @@ from paylens.plans.registry import register
 def q_isolation_forest_scores(spark, sf_dir):
     from paylens.session import cut_lineage
     f = cut_lineage(rounded_training_features(spark, sf_dir))
-    nodes = ML.fit_isolation_forest(f, trees=100, psi=256, seed=42)
+    nodes = ML.fit_isolation_forest(f, trees=200, psi=256, seed=42)
     model = ML.load_isolation_forest(nodes, psi=256)
     return model.transform(f).select("transaction_id", "merchant_id", "is_fraud",
                                      round_half("iso_score", 6).alias("iso_score"))
@@ -24,7 +24,7 @@ def q_isolation_forest_scores(spark, sf_dir):
 @register("train_ensemble", "M-3")
 def q_train_ensemble(spark, sf_dir):
     f = rounded_training_features(spark, sf_dir)
-    _, _, _, _, metrics = ML.train_ensemble(f, trees=100, psi=256, max_iter=60)
+    _, _, _, _, metrics = ML.train_ensemble(f, trees=200, psi=256, max_iter=450)
     return is_healthy(metrics)
 
 
@@ -32,5 +32,5 @@ def q_train_ensemble(spark, sf_dir):
 def q_ensemble_scores(spark, sf_dir):
     """Test-split rows with iso, classifier and min-max ensemble scores."""
     f = rounded_training_features(spark, sf_dir)
-    _, _, _, scored, _ = ML.train_ensemble(f, trees=50, psi=256, max_iter=30)
+    _, _, _, scored, _ = ML.train_ensemble(f, trees=200, psi=256, max_iter=450)
     return scored.select("transaction_id", "merchant_id", "is_fraud", "iso_score", "clf_score", "anomaly_score")
