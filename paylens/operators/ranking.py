@@ -51,9 +51,9 @@ def merchant_percentile(tx: DataFrame) -> DataFrame:
     """W-15 / J-3 for all merchants: % of merchants whose mean ticket <= own."""
     from paylens.functions.numeric import money_avg
     avg = tx.groupBy("merchant_id").agg(money_avg("amount_aud").alias("avg_ticket"))
-    per_value = avg.groupBy("avg_ticket").agg(F.count(F.lit(1)).alias("n"))
     total = avg.select(F.count(F.lit(1))).scalar()
-    cum = global_cumulative(per_value, "avg_ticket", ["n"])
+    # G-1 pre-aggregates by the key itself, so merchants sharing a mean collapse there
+    cum = global_cumulative(avg.select("avg_ticket", F.lit(1).cast("bigint").alias("n")), "avg_ticket", ["n"])
     return (avg.join(cum.select("avg_ticket", "cum_n"), "avg_ticket", "left")
             .select("merchant_id",
                     round_half(F.lit(100.0) * F.col("cum_n").cast("double") / total.cast("double"), 2)
