@@ -300,3 +300,16 @@ def q_nightly_curated(spark, sf_dir):
     curated = CL.clean_raw(read_raw_json(spark, f"{root}/raw"), stamp=False)
     write_partitioned(curated, f"{root}/cleaned", ["merchant_category", "state"])
     return spark.read.parquet(f"{root}/cleaned").select(*TRANSACTION_COLUMNS, "data_quality_flag")
+
+
+@register("csv_dataset", "SRC-1", with_transactions(f"SELECT {TXC} FROM transactions"))
+def q_csv_dataset(spark, sf_dir):
+    """SNK-3 CSV write, then SRC-2/SRC-1: extension-resolved CSV read under the declared schema."""
+    import uuid
+    from paylens import schemas
+    from paylens.session import checkpoint_dir
+    from paylens.sinks.writers import write_dataset
+    from paylens.sources.files import read_dataset
+    path = f"{checkpoint_dir(spark).rstrip('/')}/csv/{uuid.uuid4().hex}/transactions.csv"
+    write_dataset(transactions(spark, sf_dir), path, fmt="csv")
+    return read_dataset(spark, path, schemas.TRANSACTIONS)

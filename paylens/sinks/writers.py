@@ -35,7 +35,7 @@ def write_dataset(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "o
     """SNK-3: write Parquet (or CSV with header when asked) — no silent fallback."""
     w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", True).csv(path)
+        w.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(path)
     elif fmt == "parquet":
         w.parquet(path)
     else:

@@ -13,7 +13,8 @@ from paylens import schemas
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """SRC-1: CSV with header under a declared schema (PERMISSIVE: bad fields -> NULL)."""
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    reader = (spark.read.option("header", True).option("mode", "PERMISSIVE")
+              .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"))
     if schema is not None:
         reader = reader.schema(schema)
     return reader.csv(path)
