@@ -80,7 +80,8 @@ def evaluate(df: DataFrame, score: str = "score", label: str = "label", threshol
 
 
 def chronological_split(df: DataFrame, train_fraction: float = 0.8,
-                        ts: str = "timestamp", key: str = "transaction_id") -> DataFrame:
+                        ts: str = "timestamp", key: str = "transaction_id",
+                        max_tie_rows: int = 1_000_000) -> DataFrame:
     """M-1: the first ``floor(n * fraction)`` rows by (ts, key) are train, the rest test.
 
     G-1 gives the count of rows up to each distinct timestamp; the cut timestamp
@@ -102,9 +103,14 @@ def chronological_split(df: DataFrame, train_fraction: float = 0.8,
     # (one timestamp's rows) are ranked by key
     away = (rows.filter(F.col("_us") != cut_us)
             .withColumn("split", F.when(F.col("_us") < cut_us, F.lit("train")).otherwise(F.lit("test"))))
-    at = (rows.filter(F.col("_us") == cut_us)
-          .withColumn("_r", F.row_number().over(Window.orderBy(key)))
-          .withColumn("split", F.when(before_cut + F.col("_r") <= k, F.lit("train")).otherwise(F.lit("test")))
+    ties = rows.filter(F.col("_us") == cut_us)
+    if ties.limit(max_tie_rows + 1).count() <= max_tie_rows:
+        ranked = ties.withColumn("_r", F.row_number().over(Window.orderBy(key)))        # <= max_tie_rows
+    else:
+        from paylens.operators.ranking import ordered_positions
+        ranked = ordered_positions(ties, [key], out="_r")
+    at = (ranked.withColumn("split", F.when(before_cut + F.col("_r") <= k, F.lit("train"))
+                            .otherwise(F.lit("test")))
           .drop("_r"))
     return away.unionByName(at).drop("_us")
 

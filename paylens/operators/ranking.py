@@ -58,3 +58,26 @@ def merchant_percentile(tx: DataFrame) -> DataFrame:
             .select("merchant_id",
                     round_half(F.lit(100.0) * F.col("cum_n").cast("double") / total.cast("double"), 2)
                     .alias("state_percentile")))
+
+
+def ordered_positions(df: DataFrame, order_cols: list[str], partitions: int = 64,
+                      out: str = "_pos") -> DataFrame:
+    """1-based global position by ``order_cols`` (any orderable types; make them unique).
+
+    G-1 for keys that are not numbers: range-partition by the ordering, freeze
+    that partitioning with a reliable checkpoint (range bounds are sampled, so
+    they must not be recomputed), count rows per partition (<= ``partitions``
+    rows), turn the counts into exclusive offsets, broadcast them (bounded by
+    ``partitions``) and add a row number inside each partition.  No step
+    gathers the rows in one task.
+    """
+    from paylens.session import cut_lineage
+    ranged = cut_lineage(df.repartitionByRange(partitions, *order_cols)
+                         .withColumn("_pid", F.spark_partition_id()))
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)      # <= partitions rows
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_off"))
+    local = Window.partitionBy("_pid").orderBy(*order_cols)
+    return (ranged.join(F.broadcast(offsets), "_pid")
+            .withColumn(out, F.col("_off") + F.row_number().over(local))
+            .drop("_pid", "_off"))

@@ -58,3 +58,21 @@ def test_chronological_split(spark):
     df = spark.createDataFrame(rows, "transaction_id string, timestamp timestamp_ntz")
     got = {r.transaction_id: r.split for r in EV.chronological_split(df, 0.8).collect()}
     assert [got[f"T{i:02d}"] for i in range(10)] == ["train"] * 8 + ["test"] * 2
+
+
+def test_ordered_positions_strings(spark):
+    from paylens.operators.ranking import ordered_positions
+    ids = [f"K{(i * 7919) % 1000:04d}" for i in range(1000)]
+    df = spark.createDataFrame([(x,) for x in ids], "k string")
+    got = {r.k: r._pos for r in ordered_positions(df, ["k"], partitions=8).collect()}
+    assert [got[k] for k in sorted(ids)] == list(range(1, 1001))
+
+
+def test_chronological_split_large_tie_group(spark):
+    from datetime import datetime
+    rows = [(f"T{i:03d}", datetime(2024, 1, 1)) for i in range(50)]          # all share one timestamp
+    df = spark.createDataFrame(rows, "transaction_id string, timestamp timestamp_ntz")
+    a = {r.transaction_id: r.split for r in EV.chronological_split(df, 0.8).collect()}
+    b = {r.transaction_id: r.split for r in EV.chronological_split(df, 0.8, max_tie_rows=0).collect()}
+    assert a == b and sum(v == "train" for v in b.values()) == 40
+    assert all(b[f"T{i:03d}"] == ("train" if i < 40 else "test") for i in range(50))
