@@ -274,3 +274,25 @@ def q_retrieval_answer(spark, sf_dir):
     a = K.retrieval_answer(K.knn(e, K.label_exemplars(e)))
     return a.select("query_id", F.array_join("sources", ",").alias("sources"),
                     round_half("confidence", 6).alias("confidence"), "context", "context_hits")
+
+
+@register("corpus_chunks", "SRC-10", f"""
+SELECT doc_id, CAST(k AS INTEGER) AS chunk_id, CAST(k * {C.CHUNK_SIZE - C.CHUNK_OVERLAP} AS INTEGER) AS chunk_start,
+       substring(text, k * {C.CHUNK_SIZE - C.CHUNK_OVERLAP} + 1, {C.CHUNK_SIZE}) AS chunk
+FROM (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil((length(text) - {C.CHUNK_SIZE}) / {float(C.CHUNK_SIZE - C.CHUNK_OVERLAP)}) AS BIGINT), 0) + 1)) AS k
+      FROM documents) d""")
+def q_corpus_chunks(spark, sf_dir):
+    """Documents landed as one file each, read back as a corpus (whole files), then chunked."""
+    import uuid
+    from paylens.session import checkpoint_dir
+    from paylens.sources.files import read_markdown_corpus
+    root = f"{checkpoint_dir(spark).rstrip('/')}/corpus/{uuid.uuid4().hex}"
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs.repartition("doc_id").write.partitionBy("doc_id").text(root)
+    corpus = read_markdown_corpus(spark, root, pattern="*.txt")
+    doc_id = F.regexp_extract("source", r"doc_id=(\d+)", 1).cast("bigint")
+    # the text writer ends each file with one line separator; drop exactly that one
+    text = F.when(F.col("text").endswith("\n"), F.expr("substring(text, 1, length(text) - 1)")) \
+            .otherwise(F.col("text"))
+    return K.chunk_text(corpus.select(doc_id.alias("doc_id"), text.alias("text"))) \
+            .select("doc_id", "chunk_id", "chunk_start", "chunk")

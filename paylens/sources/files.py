@@ -47,9 +47,9 @@ def read_raw_json(spark: SparkSession, path: str) -> DataFrame:
             .json(path))
 
 
-def read_markdown_corpus(spark: SparkSession, root: str) -> DataFrame:
-    """SRC-10: every ``*.md`` below ``root`` as one row (source path, whole text)."""
-    return (spark.read.text(root, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True)
+def read_markdown_corpus(spark: SparkSession, root: str, pattern: str = "*.md") -> DataFrame:
+    """SRC-10: every file matching ``pattern`` below ``root`` as one row (source path, whole text)."""
+    return (spark.read.text(root, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
             .select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text")))
 
 
