@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from paylens.functions.numeric import round_half
 from paylens.operators import ml as ML
 from paylens.operators.evaluation import is_healthy

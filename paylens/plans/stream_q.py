@@ -8,7 +8,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from paylens.functions.numeric import round_half
 from paylens.plans.features_q import _frame
 from paylens.operators import features as FT
 from paylens.plans.registry import register

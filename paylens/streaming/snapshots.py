@@ -9,7 +9,6 @@ and readers always pick the highest complete version.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 SNAPSHOT_COLS = ["merchant_id", "event_ts", "transaction_id", "amount_aud", "state", "payment_terminal",
                  "card_type", "anomaly_score"]
