@@ -145,8 +145,23 @@ def q_explain_topk(spark, sf_dir):
         F.col("explanation")[i]["value"].alias(f"value_{i + 1}"))])
 
 
-@register("score_transactions", "R-9")
+_SCORE = "least(greatest(abs(amount_zscore) / 10.0, 0.0), 1.0)"
+_SCORE_SQL = _EXPLAIN_SQL.replace("\nSELECT merchant_id,\n  MAX(CASE WHEN rk = 1", ", ex AS (\nSELECT merchant_id,\n  MAX(CASE WHEN rk = 1", 1) + f""")
+SELECT rt.merchant_id, {R(_SCORE, 4)} AS anomaly_score, {_SCORE} > 0.85 AS is_anomaly,
+       {sql_risk_level(_SCORE)} AS risk_level, {sql_recommended_action(_SCORE)} AS recommended_action,
+       CAST(0.85 AS DOUBLE) AS threshold_used, 'heuristic' AS scoring_mode,
+       ex.feature_1, ex.value_1, ex.feature_2, ex.value_2, ex.feature_3, ex.value_3
+FROM rt JOIN ex ON ex.merchant_id = rt.merchant_id"""
+
+
+@register("score_transactions", "R-9", _SCORE_SQL)
 def q_score_transactions(spark, sf_dir):
-    """Heuristic mode over realtime features (model mode when a trained model is passed)."""
+    """Heuristic mode over the realtime features (model mode when a trained model is passed)."""
     f = FT.realtime_features(transactions(spark, sf_dir))
-    return S.score_transactions(f)
+    f = f.select("merchant_id", *[round_half(c, 6).alias(c) for c in _EXPLAIN_FEATURES])
+    s = S.score_transactions(f)
+    return s.select("merchant_id", round_half("anomaly_score", 4).alias("anomaly_score"), "is_anomaly",
+                    "risk_level", "recommended_action", "threshold_used", "scoring_mode",
+                    *[x for i in range(3) for x in (
+                        F.col("explanation")[i]["feature"].alias(f"feature_{i + 1}"),
+                        F.col("explanation")[i]["value"].alias(f"value_{i + 1}"))])
