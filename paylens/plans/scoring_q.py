@@ -49,12 +49,15 @@ def q_live_feed_base(spark, sf_dir):
             .withColumn("merchant_std", round_half("merchant_std", 6))
 
 
-@register("live_feed", "R-3", with_transactions(f"""
+LIVE_FEED_SQL = with_transactions(f"""
 SELECT transaction_id, merchant_id, merchant_category, state, {R('amount_aud', 2)} AS amount_aud,
        payment_terminal, "timestamp", {R('anomaly_score', 4)} AS anomaly_score,
        (anomaly_score > 0.85 OR COALESCE(is_fraud, FALSE)) AS is_anomaly,
        {sql_risk_level('anomaly_score')} AS risk_level, CAST(0.85 AS DOUBLE) AS threshold_used
-FROM scored ORDER BY "timestamp" DESC, transaction_id DESC LIMIT 10""", FEED_STATS, FEED_ALL))
+FROM scored ORDER BY "timestamp" DESC, transaction_id DESC LIMIT 10""", FEED_STATS, FEED_ALL)
+
+
+@register("live_feed", "R-3", LIVE_FEED_SQL)
 def q_live_feed(spark, sf_dir):
     return S.live_feed(transactions(spark, sf_dir), 10)
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from paylens.plans.features_q import _frame
 from paylens.operators import features as FT
 from paylens.plans.registry import register
+from paylens.plans.scoring_q import LIVE_FEED_SQL
 from paylens.session import checkpoint_dir
 from paylens.sources.records import encode_records, to_base64
 from paylens.sources.tables import events_to_transactions, transactions, with_transactions
@@ -56,9 +57,9 @@ def q_stream_consumer(spark, sf_dir):
     return raw.select("transaction_id", "merchant_id", "anomaly_score", "is_alert")
 
 
-@register("stream_live_feed", "ST-7")
+@register("stream_live_feed", "ST-7", LIVE_FEED_SQL)
 def q_stream_live_feed(spark, sf_dir):
-    """R-3 over the consumer's raw sink (rows-only: same rows as live_feed)."""
+    """R-3 over the consumer's raw sink: must equal the batch live feed."""
     root = _scratch(spark)
     tx = transactions(spark, sf_dir)
     to_base64(encode_records(tx)).write.mode("overwrite").json(f"{root}/landing")
