@@ -25,14 +25,26 @@ def period_means(df: DataFrame, period: Column, cols: list[str]) -> DataFrame:
 
 
 def mean_shift_columns(df: DataFrame, is_current: Column, cols: list[str] | None = None) -> DataFrame:
-    """J-8 + D-1 per column: min(|cur - ref| / max(|ref|, 1), 1)."""
+    """J-8 + D-1 per column: min(|cur - ref| / max(|ref|, 1), 1).
+
+    Reference and current means are aligned by feature name.  Both periods are
+    averaged side by side in one aggregation (one row) and unpivoted, so the
+    feature table is read once instead of once per side of a join.
+    """
     cols = [c for c in (cols or C.DRIFT_COLUMNS) if c in df.columns]
-    m = period_means(df, F.when(is_current, F.lit("current")).otherwise(F.lit("reference")), cols)
-    ref = m.filter(F.col("period") == "reference").select("feature", F.col("mean").alias("ref_mean"))
-    cur = m.filter(F.col("period") == "current").select("feature", F.col("mean").alias("cur_mean"))
-    j = ref.join(cur, "feature")
-    return j.withColumn("shift", F.least(F.abs(F.col("cur_mean") - F.col("ref_mean"))
-                                         / F.greatest(F.abs(F.col("ref_mean")), F.lit(1.0)), F.lit(1.0)))
+    cur = F.coalesce(is_current, F.lit(False))
+
+    def mean(c: str, current: bool) -> Column:
+        x = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+        return F.avg(F.when(cur if current else ~cur, x))
+
+    wide = df.agg(*[F.struct(mean(c, False).alias("ref_mean"), mean(c, True).alias("cur_mean")).alias(c)
+                    for c in cols])
+    long = wide.unpivot([], cols, "feature", "s").select("feature", "s.ref_mean", "s.cur_mean")
+    both = F.col("ref_mean").isNotNull() & F.col("cur_mean").isNotNull()      # columns present in both
+    return long.filter(both).withColumn(
+        "shift", F.least(F.abs(F.col("cur_mean") - F.col("ref_mean"))
+                         / F.greatest(F.abs(F.col("ref_mean")), F.lit(1.0)), F.lit(1.0)))
 
 
 def mean_shift_drift(df: DataFrame, is_current: Column, cols: list[str] | None = None,
