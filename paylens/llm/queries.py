@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paylens.llm import minhash
+from paylens.llm import minhash, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": minhash.op1,
+    "op4_quality_rules": quality.op4,
 }
 
 ORACLES: dict[str, str] = {}

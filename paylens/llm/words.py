@@ -44,30 +44,42 @@ def mix(h: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F)
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end), which do not overlap and ascend."""
-    table, out = (_BYTE_LOWER if lower else _BYTE), np.zeros(len(starts), np.uint64)
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True,
+                upto: tuple[int, ...] = ()) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end), which do not overlap and ascend.
+
+    With ``upto``, one row for the whole spans and one for each length in it:
+    the hashes of the spans' first so many bytes (whole shorter spans).
+    """
+    table = _BYTE_LOWER if lower else _BYTE
+    stops = [ends, *(np.minimum(ends, starts + n) for n in upto)]
+    out = np.zeros((len(stops), len(starts)), np.uint64)
     i = 0
     while i < len(starts):
         j = int(np.searchsorted(ends, starts[i] + _CAP, "right"))
         if j <= i:  # one span longer than the cap: sum its parts
-            lo, part, total, shift = int(starts[i]), 0, 0, 1
-            while lo < ends[i]:
-                hi = min(lo + _CAP, int(ends[i]))
-                up, _ = _powers(hi - lo)
-                part = int((table[buf[lo:hi]] * up[: hi - lo]).sum(dtype=np.uint64))
-                total = (total + part * shift) & 0xFFFFFFFFFFFFFFFF
-                shift, lo = shift * pow(_BASE, _CAP, 1 << 64) & 0xFFFFFFFFFFFFFFFF, hi
-            out[i], i = total, i + 1
+            for k, stop in enumerate(stops):
+                lo, total, shift = int(starts[i]), 0, 1
+                while lo < stop[i]:
+                    hi = min(lo + _CAP, int(stop[i]))
+                    up, _ = _powers(hi - lo)
+                    part = int((table[buf[lo:hi]] * up[: hi - lo]).sum(dtype=np.uint64))
+                    total = (total + part * shift) & 0xFFFFFFFFFFFFFFFF
+                    shift, lo = shift * pow(_BASE, _CAP, 1 << 64) & 0xFFFFFFFFFFFFFFFF, hi
+                out[k, i] = total
+            i += 1
             continue
         lo, hi = int(starts[i]), int(ends[j - 1])
         up, down = _powers(hi - lo)
         sums = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(table[buf[lo:hi]] * up[: hi - lo], dtype=np.uint64, out=sums[1:])
-        s, e = starts[i:j] - lo, ends[i:j] - lo
-        out[i:j] = (sums[e] - sums[s]) * down[s]
+        s = starts[i:j] - lo
+        for k, stop in enumerate(stops):
+            out[k, i:j] = (sums[stop[i:j] - lo] - sums[s]) * down[s]
         i = j
-    return mix(out + (ends - starts).astype(np.uint64))
+    for k, stop in enumerate(stops):
+        out[k] = mix(out[k] + (stop - starts).astype(np.uint64))
+    return out if upto else out[0]
 
 
 @dataclass
@@ -103,15 +115,18 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offs
 
 
-def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[Block]:
-    """Rows of ``column`` in blocks of about ``size`` bytes (a longer text is a block of its own)."""
+def blocks(column: pa.Array, size: int = BLOCK_BYTES, between: np.ndarray = SPACE) -> Iterator[Block]:
+    """Rows of ``column`` in blocks of about ``size`` bytes (a longer text is a block of its own).
+
+    ``between``: which bytes separate words.
+    """
     data, offs = text_bytes(column)
     lo, n = 0, len(offs) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + size, "right")) - 1)
         hi = min(hi, n)
         buf, o = data[offs[lo]:offs[hi]], offs[lo:hi + 1] - offs[lo]
-        in_word = ~SPACE[buf]
+        in_word = ~between[buf]
         start, end = in_word.copy(), in_word.copy()
         start[1:] &= ~in_word[:-1]
         end[:-1] &= ~in_word[1:]
