@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paylens.llm import langid, minhash, quality
+from paylens.llm import langid, minhash, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": minhash.op1,
     "op4_quality_rules": quality.op4,
+    "op5_toxicity": toxicity.op5,
     "op6_language_id": langid.op6,
 }
 
