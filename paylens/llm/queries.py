@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paylens.llm import langid, minhash, quality, toxicity
+from paylens.llm import bpe, langid, minhash, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": minhash.op1,
+    "op3_byte_bpe": bpe.op3,
     "op4_quality_rules": quality.op4,
     "op5_toxicity": toxicity.op5,
     "op6_language_id": langid.op6,
