@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paylens.llm import bpe, langid, lengths, minhash, packing, quality, sharding, toxicity
+from paylens.llm import bpe, langid, lengths, minhash, packing, quality, sharding, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": minhash.op1,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": toxicity.op5,
     "op6_language_id": langid.op6,
     "op7_packing": packing.op7,
+    "op8_embedding_near_dedup": vectors.op8,
     "op9_sharding": sharding.op9,
     "op10_token_counts": lengths.op10,
 }
