@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paylens.llm import bpe, langid, lengths, minhash, packing, quality, sharding, toxicity, vectors
+from paylens.llm import bpe, langid, lengths, licenses, minhash, packing, quality, sharding, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": minhash.op1,
+    "op2_license_scan": licenses.op2,
     "op3_byte_bpe": bpe.op3,
     "op4_quality_rules": quality.op4,
     "op5_toxicity": toxicity.op5,
