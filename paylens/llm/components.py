@@ -37,10 +37,9 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                    .filter("a < b").distinct(), name)
     while True:
-        leaves = links.groupBy("b").agg(F.count(F.lit(1)).alias("c"))
-        open_ = leaves.filter("c > 1").limit(1).count() or \
-            links.select("a").distinct().join(leaves, F.col("a") == leaves.b, "leftsemi").limit(1).count()
-        if not open_:
+        roles = links.select(F.col("a").alias("n"), F.lit(1).alias("centre"), F.lit(0).alias("leaf")).union(
+            links.select("b", F.lit(0), F.lit(1))).groupBy("n").agg(F.max("centre").alias("centre"), F.sum("leaf").alias("leaf"))
+        if not roles.filter("leaf > 1 or (leaf = 1 and centre = 1)").limit(1).count():
             break
         links = stored(_small_star(_large_star(links)), name)
     return (links.select(F.col("b").alias("id"), F.col("a").alias("component"))

@@ -4,18 +4,22 @@ A text's word 5-shingles give 40 minimum hashes of 16 bits each, four to a
 64-bit chunk.  Two signatures that differ in at most 19 of the 40 symbols
 differ in at most one symbol of some chunk (pigeonhole: 10 chunks with two
 errors each would be 20), so each chunk is indexed under the four keys that
-leave one symbol out: every pair within that distance shares a key.  A bucket
-links its members to three hubs; what the hubs did not join is compared over
-the whole bucket, and buckets too large for that are first split by a second
-key from another chunk, which by the same count still guarantees every pair
-within 17 symbols.  At a Jaccard similarity of 0.75 a pair differs in 10
-symbols on average and misses all keys with a probability of about 2e-6.
-Pairs near in signature are confirmed on their full shingle sets.
+leave one symbol out: every pair within that distance shares a bucket.  At a
+Jaccard similarity of 0.75 a pair differs in 10 symbols on average.  Pairs
+near in signature are confirmed on their full shingle sets.
+
+Buckets are searched in two waves.  First every member is paired with two hubs
+of its bucket, the smallest id and the most popular member (the one whose
+buckets are largest: of a text and its edited copies, the text).  The
+confirmed links' components leave few buckets with members of different
+components.  These are merged by their popular hub, so that the up to 40
+buckets of a group of copies become one, cut into blocks of ``BLOCK`` members,
+and compared block against block: on signatures first, which names the
+documents that still have a near partner in another component, then on those
+documents' full sets.  Tasks return documents and links between components,
+never pairs, so no row count grows with the square of a group.
 
 Equal sets are one node from the start, so groups of copies cost one row.
-Buckets never emit all their pairs: hub pairs are linear in the bucket, and the
-residual join emits only pairs in different components that pass the signature
-and size tests.
 
 Defined results: a null or wordless text has no shingles and links with
 nothing (its component is its own id); rows with a null id keep a null
@@ -38,10 +42,10 @@ from paylens.llm.words import blocks, mix, row_shingles, span_hashes
 
 CHUNKS, PER_CHUNK = 10, 4
 SYMBOLS = CHUNKS * PER_CHUNK
-#: pairs beyond this signature distance are not verified (J = 0.75 exceeds it with a probability of 2e-5)
-MAX_DISTANCE = 22
-#: residual buckets above this are split by a second key
-SPLIT_ABOVE = 256
+#: the signature threshold; the index finds every pair within it
+MAX_DISTANCE = 2 * CHUNKS - 1
+#: members of a residual group that one task compares with as many others
+BLOCK = 256
 
 _rng = np.random.Generator(np.random.PCG64(75))
 _A = _rng.integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -154,26 +158,109 @@ def _ordered(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _residual(members: DataFrame, nodes: DataFrame, comp: DataFrame, done: DataFrame, percent: int) -> DataFrame:
-    """Near pairs of one bucket in different components that no hub has tried."""
-    comps = comp.select("id", F.col("component").alias("c"))
-    rows = members.join(comps, "id", "left").select("key", "id", F.coalesce("c", "id").alias("c"))
-    rows = stored(rows, "minhash-rows")
-    mixed = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")) \
-        .filter("size > 2 and c0 < c1").select("key", "size")
-    mixed = stored(mixed, "minhash-mixed")
-    rows = rows.join(mixed, "key").join(nodes, "id").select("key", "size", "id", "c", "n", *_SIG)
-    small = rows.filter(F.col("size") <= SPLIT_ABOVE).drop("size")
-    large = rows.filter(F.col("size") > SPLIT_ABOVE).select(
-        F.explode(_keys()).alias("second"), "key", "id", "c", "n", *_SIG).select(
-        F.xxhash64("key", "second").alias("key"), "id", "c", "n", *_SIG)
-    rows = stored(small.union(large), "minhash-residual")
-    a = rows.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("an"),
-                    *[F.col(s).alias("a" + s) for s in _SIG])
-    b = rows.select("key", F.col("id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("bn"),
-                    *[F.col(s).alias("b" + s) for s in _SIG])
-    near = a.join(b, (a.key == b.key) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _near("a", "b", percent))
-    return near.select("a", "b").distinct().join(done, ["a", "b"], "leftanti")
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows with equal first ``keys`` columns; a run may span batches."""
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        if not len(t):
+            continue
+        new = np.zeros(len(t), bool)
+        for i in range(keys):
+            v = t.column(i).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        cut = np.flatnonzero(new)
+        for a, b in zip([0, *cut[:-1]] if len(cut) else [], cut):
+            yield t.slice(a, b - a)
+        rest = t.slice(cut[-1] if len(cut) else 0)
+    if rest is not None and len(rest):
+        yield rest
+
+
+def _columns(t: pa.Table) -> dict[str, np.ndarray]:
+    return {c: t.column(c).to_numpy() for c in ("i", "j", "block", "id", "c", "n")}
+
+
+def _open(v: dict[str, np.ndarray], percent: int) -> np.ndarray:
+    """Pairs of a block task to compare: across its two blocks, in different components, of fitting sizes."""
+    n, c = v["n"], v["c"]
+    fit = np.minimum(n[:, None], n) * 100 >= np.maximum(n[:, None], n) * percent
+    fit &= c[:, None] != c
+    if v["i"][0] != v["j"][0]:
+        fit &= (v["block"] == v["i"])[:, None] & (v["block"] == v["j"])
+    return fit
+
+
+def _near_task(percent: int):
+    """Blocks of signatures to the ids that are near another one in a different component."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches, 3):
+            v = _columns(t)
+            pairs = _open(v, percent)
+            if not pairs.any():
+                continue
+            sig = np.stack([t.column(s).to_numpy() for s in _SIG], 1).view(np.uint16)
+            far = np.zeros(pairs.shape, np.uint8)
+            for k in range(SYMBOLS):
+                far += sig[:, k, None] != sig[:, k]
+            pairs &= far <= MAX_DISTANCE
+            found = pairs.any(1) | pairs.any(0)
+            if found.any():
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(v["id"][found]))], names=["id"])
+    return task
+
+
+def _link_task(percent: int):
+    """Blocks of full sets to links between components (a spanning forest of the confirmed pairs)."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches, 3):
+            v = _columns(t)
+            pairs = _open(v, percent)
+            if not pairs.any():
+                continue
+            sets = t.column("shingles").combine_chunks()
+            sets = sets.chunk(0) if isinstance(sets, pa.ChunkedArray) else sets
+            offs = sets.offsets.to_numpy()
+            flat = sets.values.to_numpy()[offs[0]:offs[-1]]
+            _, code = np.unique(flat, return_inverse=True)
+            owner = np.repeat(np.arange(len(t)), np.diff(offs))
+            order = np.argsort(code, kind="stable")
+            holder, first = owner[order], np.concatenate([[0], np.cumsum(np.bincount(code))])
+            links, root = [], {}
+            for x in np.flatnonzero(pairs.any(1)):
+                own = code[offs[x] - offs[0]:offs[x + 1] - offs[0]]
+                lo, size = first[own], first[own + 1] - first[own]
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+                both = np.bincount(holder[at], minlength=len(t))
+                ok = pairs[x] & (both * 100 >= (v["n"] + v["n"][x] - both) * percent)
+                for y in np.flatnonzero(ok):
+                    a, b = _root(root, int(v["c"][x])), _root(root, int(v["c"][y]))
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        links.append((int(v["c"][x]), int(v["c"][y])))
+            if links:
+                a, b = zip(*links)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    return task
+
+
+def _root(root: dict[int, int], x: int) -> int:
+    while x in root:
+        x = root[x]
+    return x
+
+
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Rows (hub, id, c, ...) of hubs with members in different components, once for each block pair they are in."""
+    sizes = rows.groupBy("hub").agg(F.count(F.lit(1)).alias("size"), F.min("c").alias("c0"), F.max("c").alias("c1")) \
+        .filter("size > 1 and c0 < c1").select("hub", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(stored(sizes, "minhash-sizes"), "hub") \
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")) \
+        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))) \
+        .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return dealt.select("hub", "i", "j", "block", *[c for c in rows.columns if c != "hub"]) \
+        .repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75,
@@ -187,30 +274,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75,
     nodes = classes.drop("fp")
 
     keys = nodes.select("id", F.explode(_keys()).alias("key"))
-    hubs = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("h0"),
-                                   *[F.min_by("id", F.xxhash64("id", F.lit(r))).alias(f"h{r}") for r in (1, 2)])
-    hubs = stored(hubs.filter("size > 1").drop("size"), "minhash-hubs")
-    members = stored(keys.join(hubs, "key"), "minhash-members")
-    pairs = members.select("id", F.explode(F.array("h0", "h1", "h2")).alias("h")).filter("id <> h") \
+    sizes = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "minhash-buckets")
+    members = stored(keys.join(sizes, "key"), "minhash-members")
+    fame = stored(members.groupBy("id").agg(F.sum("size").alias("fame")), "minhash-fame")
+    famed = members.join(fame, "id").groupBy("key").agg(
+        F.min("id").alias("h0"), F.max(F.struct("fame", (-F.col("id")).alias("id"))).alias("h1"))
+    hubs = stored(famed.select("key", "h0", (-F.col("h1.id")).alias("h1")), "minhash-hubs")
+    groups = stored(members.select("key", "id").join(hubs, "key").groupBy("h1", "id", "h0").agg(F.lit(1).alias("one"))
+                    .select("h0", "h1", "id"), "minhash-groups")
+
+    pairs = groups.select("id", F.explode(F.array("h0", "h1")).alias("h")).filter("id <> h") \
         .select(*_ordered(F.col("id"), F.col("h"))).distinct()
     pairs = pairs.join(_sided(nodes, "a"), "a").join(_sided(nodes, "b"), "b").filter(_near("a", "b", percent))
-    pairs = stored(pairs.select("a", "b").distinct(), "minhash-pairs")
-
-    def touched(p: DataFrame) -> DataFrame:
-        return p.select(F.col("a").alias("id")).union(p.select(F.col("b").alias("id"))).distinct()
-
-    sets = _sets(docs, touched(pairs), shingle, id_col, text_col)
-    links = stored(_confirmed(pairs, sets, percent), "minhash-links")
-    comp = stored(components(links), "minhash-components")
-    rest = stored(_residual(members.select("key", "id"), nodes, comp, pairs, percent), "minhash-rest")
-    if rest.limit(1).count():
-        more = _sets(docs, touched(rest), shingle, id_col, text_col)
-        links = stored(links.union(_confirmed(rest, more, percent)), "minhash-links")
-        comp = stored(components(links), "minhash-components")
-
-    found = stored(classes.select("fp", "id").join(comp, "id", "left").select(
-        "fp", F.coalesce("component", "id").alias("component")), "minhash-found")
-    return sig.join(found, "fp", "left").select(
+    pairs = stored(pairs.select("a", "b"), "minhash-pairs")
+    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), shingle, id_col, text_col)
+    comp = stored(components(_confirmed(pairs, sets, percent)), "minhash-components")
+
+    named_groups = groups.select(F.col("h1").alias("hub"), "id").distinct().join(comp, "id", "left") \
+        .select("hub", "id", F.coalesce("component", "id").alias("c"))
+    named_groups = stored(named_groups, "minhash-named")
+    near = _in_blocks(named_groups.join(nodes, "id")).mapInArrow(_near_task(percent), "id long")
+    near = stored(near.distinct(), "minhash-near")
+    more = _sets(docs, near, shingle, id_col, text_col).withColumn("n", F.size("shingles"))
+    found = _in_blocks(named_groups.join(more, "id")).mapInArrow(_link_task(percent), "a long, b long")
+    top = components(found).select(F.col("id").alias("component"), F.col("component").alias("top"))
+
+    whole = classes.select("fp", "id").join(comp, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
+    whole = stored(whole.join(stored(top, "minhash-top"), "component", "left")
+                   .select("fp", F.coalesce("top", "component").alias("component")), "minhash-found")
+    return sig.join(whole, "fp", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
         F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept"))
 
