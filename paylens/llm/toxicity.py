@@ -246,7 +246,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE,
     draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text is not null")
     offset = F.pmod(F.xxhash64("doc_id", F.lit("offset")), F.greatest(F.length("text") - doc_bytes, F.lit(0)) + 1)
-    rows = marks.filter(draw < rate).join(texts, "doc_id").select(
+    sampled = marks.filter(draw < rate)  # about 2 * sample rows, whatever the table's size
+    rows = texts.join(F.broadcast(sampled), "doc_id").select(
         "doc_id", "toxic", F.substring(F.col("text"), offset.cast("int") + 1, F.lit(doc_bytes)).alias("text"))
     return rows, sizes
 
