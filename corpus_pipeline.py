@@ -2,36 +2,54 @@
 
 Each stage is ``(spark, docs, sf_dir) -> DataFrame``; its result is written as
 Parquet and reread as the next one's ``docs``.  All but the last return the
-columns of ``documents``.  A stage decides about everything that its
-predecessor kept, and drops what its operator rejects.
+columns of ``documents``.  A stage decides about every row that its predecessor
+kept, and drops what its operator rejects.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paylens.llm import minhash
+from paylens.llm import langid, minhash, packing, toxicity
 from paylens.llm.store import stored, table
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be told (no letters, or a narrow margin) go."""
+    found = langid.identify(docs, langid.fit_dictionaries(docs), COLUMNS)
+    return found.filter("not rejected").select(*COLUMNS)
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted to be toxic go."""
+    field = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, field, COLUMNS).filter("score < 0.5").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays (its smallest id)."""
-    kept = minhash.near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "leftsemi").select(*COLUMNS)
+    """One document of each near-duplicate group stays (its smallest id); rows without an id stay."""
+    kept = minhash.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
+    chosen = docs.join(kept, "doc_id", "leftsemi").dropDuplicates(["doc_id"])
+    return chosen.select(*COLUMNS).union(docs.filter("doc_id is null").select(*COLUMNS))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every id of the remaining documents gets its place in a sequence."""
+    return packing.pack(docs)
 
 
-STAGES = [("minhash_near_dedup", near_dedup)]
+STAGES = [("language_id", language_id), ("toxicity", toxicity_filter), ("minhash_near_dedup", near_dedup),
+          ("packing", pack_sequences)]
 
-#: trained models and signatures cannot be written in SQL; the stages are tested against brute force
+#: compression, trained fields, signatures and BPE have no SQL form; the stages are tested against brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole documents table."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -34,7 +34,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window, functions as F
 
 from paylens.llm.store import stored, table
-from paylens.llm.words import text_bytes
+from paylens.llm.words import texts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 CHUNK, OVERLAP = 1 << 16, 1 << 10
@@ -52,14 +52,6 @@ def encoding(path: str, pattern: str = public_tokenizers.PATTERN) -> tiktoken.En
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks(path), special_tokens={})
 
 
-def texts(column: pa.Array) -> Iterator[str]:
-    """The strings of a column; null reads as empty, invalid bytes as U+FFFD."""
-    data, offs = text_bytes(column)
-    raw = memoryview(data)
-    for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
-        yield str(raw[a:b], "utf-8", "replace")
-
-
 def id_lists(lists: list[np.ndarray]) -> pa.ListArray:
     offs = np.zeros(len(lists) + 1, np.int32)
     np.cumsum([len(x) for x in lists], out=offs[1:])

@@ -27,7 +27,8 @@ import regex
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from paylens.llm.store import held_out, table
+from paylens.llm.store import held_out, table, with_text
+from paylens.llm.words import texts
 
 SAMPLE_DOCS, DOC_CHARS, DICT_BYTES = 160, 4000, 192 << 10
 BLOCK, LEVEL = 4096, 7
@@ -90,19 +91,21 @@ def judge(text: str | None, compressors) -> tuple[str, float, float]:
     return lang, score, (second - best) / second
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
-    """doc_id, lang_pred, score, margin and rejected for every whole text."""
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], columns: tuple[str, ...] = ("doc_id",),
+             min_margin: float = MIN_MARGIN) -> DataFrame:
+    """``columns`` of every row with lang_pred, score, margin and rejected for its whole text."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = _compressors(dictionaries)
         for batch in batches:
-            found = [judge(t.as_py(), compressors) for t in batch.column(1)]
+            found = [judge(t, compressors) for t in texts(batch.column(at))]
             langs, scores, margins = zip(*found) if found else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
-                 pa.array(margins, pa.float64())], names=["doc_id", "lang_pred", "score", "margin"])
+                [batch.column(i) for i in range(len(columns))] + [pa.array(langs, pa.string()),
+                 pa.array(scores, pa.float64()), pa.array(margins, pa.float64())],
+                names=[*columns, "lang_pred", "score", "margin"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(task, "doc_id long, lang_pred string, score double, margin double")
+    rows, at, schema = with_text(docs, columns)
+    found = rows.mapInArrow(task, schema + ", lang_pred string, score double, margin double")
     return found.withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("margin") < min_margin))
 
 

@@ -39,8 +39,9 @@ import tiktoken
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from paylens.llm.bpe import RANKS, ranks, texts
+from paylens.llm.bpe import RANKS, ranks
 from paylens.llm.store import stored, table
+from paylens.llm.words import texts
 
 CAPACITY, END = 1024, 0
 GAP, MAX_COLUMNS = 1e-3, 400

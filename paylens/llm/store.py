@@ -53,9 +53,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def empty_as_null_safe(text: str):
-    """The text column as a string that is never null."""
-    return F.coalesce(F.col(text).cast("string"), F.lit(""))
+def with_text(docs: DataFrame, columns: tuple[str, ...], text: str = "text") -> tuple[DataFrame, int, str]:
+    """``columns`` and the text (sent once), the text's place among them, and the columns' schema."""
+    sent = [F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in columns]
+    if text not in columns:
+        sent.append(F.col(text).cast("string").alias(text))
+    rows = docs.select(*sent)
+    schema = ", ".join(f"`{c}` {t}" for c, t in rows.select(*columns).dtypes)
+    return rows, rows.columns.index(text), schema
 
 
 def held_out(doc_id):

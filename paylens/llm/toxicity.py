@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from paylens.llm.store import held_out, table
+from paylens.llm.store import held_out, table, with_text
 from paylens.llm.words import blocks, span_hashes
 
 SAMPLE, DOC_BYTES = 2000, 1 << 16
@@ -267,11 +267,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field | Non
     return fit_field(np.concatenate(feats, 1), first, toxic, sizes[1] / (sizes[0] + sizes[1]))
 
 
-def score(docs: DataFrame, field: Field | None) -> DataFrame:
-    """doc_id, score, n_toxic_tokens and the spans (character offsets) of every whole text."""
+def score(docs: DataFrame, field: Field | None, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``columns`` of every row with score, n_toxic_tokens and the spans (character offsets) of its whole text."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1), between=NOT_LETTER):
+            for block in blocks(batch.column(at), between=NOT_LETTER):
                 n = block.hi - block.lo
                 if field is None:
                     scores, flagged = np.zeros(n), np.zeros(0, int)
@@ -288,13 +288,13 @@ def score(docs: DataFrame, field: Field | None) -> DataFrame:
                 counts = np.bincount(row, minlength=n)
                 offs = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(block.lo, n), pa.array(scores), pa.array(counts.astype(np.int64)),
-                     pa.ListArray.from_arrays(pa.array(offs), spans)],
-                    names=["doc_id", "score", "n_toxic_tokens", "spans"])
+                    [batch.column(i).slice(block.lo, n) for i in range(len(columns))]
+                    + [pa.array(scores), pa.array(counts.astype(np.int64)), pa.ListArray.from_arrays(pa.array(offs), spans)],
+                    names=[*columns, "score", "n_toxic_tokens", "spans"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows, at, schema = with_text(docs, columns)
     return rows.mapInArrow(
-        task, "doc_id long, score double, n_toxic_tokens long, spans array<struct<start:int,end:int>>")
+        task, schema + ", score double, n_toxic_tokens long, spans array<struct<start:int,end:int>>")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
