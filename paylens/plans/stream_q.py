@@ -53,8 +53,8 @@ def q_stream_consumer(spark, sf_dir):
     q1, q2 = CS.start_consumer(spark, CS.record_stream(spark, f"{root}/landing"), f"{root}/out", f"{root}/ckpt")
     q1.awaitTermination()
     q2.awaitTermination()
-    raw = spark.read.parquet(f"{root}/out/raw")
-    return raw.select("transaction_id", "merchant_id", "anomaly_score", "is_alert")
+    scored = spark.read.parquet(f"{root}/out/scored")
+    return scored.select("transaction_id", "merchant_id", "anomaly_score", "is_alert")
 
 
 @register("stream_live_feed", "ST-7", LIVE_FEED_SQL)
@@ -67,3 +67,58 @@ def q_stream_live_feed(spark, sf_dir):
     q1.awaitTermination()
     q2.awaitTermination()
     return CS.live_feed_from_sink(spark, f"{root}/out", 10)
+
+
+# Landing of the zones query: every branch occurs.  n is the event number; the first seven of
+# ten land first, the rest in a second run, when most of them are older than the watermark.
+ZONE_LATENESS = "10 days"
+_ZONE_CASES = """CASE WHEN n % 97 = 0 THEN 'undecodable' WHEN n % 89 = 0 THEN 'not_json_object'
+  WHEN n % 83 = 0 THEN 'missing:amount_aud' WHEN n % 79 = 0 THEN 'bad_timestamp' WHEN n % 73 = 0 THEN 'bad_amount'
+  ELSE 'accepted' END"""
+
+
+def zone_landing(tx):
+    """Transactions as stream records with broken, duplicate and extra-key ones; ``n`` numbers them."""
+    n = F.regexp_extract("transaction_id", r"(\d+)$", 1).cast("long")
+    rec = encode_records(tx).select("key", "value", F.get_json_object("value", "$.transaction_id").alias("transaction_id"))
+    rec = rec.withColumn("n", n).withColumn("case", F.expr(_ZONE_CASES))
+    swap = {"missing:amount_aud": ('"amount_aud":', '"amount":'), "bad_timestamp": ('"timestamp":"', '"timestamp":"about '),
+            "bad_amount": ('"amount_aud":', '"amount_aud":"some ')}
+    value = F.col("value")
+    for case, (old, new) in swap.items():
+        value = F.when(F.col("case") == case, F.replace(F.col("value"), F.lit(old), F.lit(new))).otherwise(value)
+    value = F.when(F.col("case") == "bad_amount", F.regexp_replace(value, r'(some [^,}]*)', '$1"')).otherwise(value)
+    value = F.when(F.col("n") % 7 == 0, F.concat(F.lit('{"channel":"web",'), F.substr(value, F.lit(2)))).otherwise(value)
+    value = F.when(F.col("case") == "not_json_object", F.lit("[1, 2]")).otherwise(value)
+    data = F.when(F.col("case") == "undecodable", F.lit("@@@")).otherwise(F.base64(F.encode(value, "UTF-8")))
+    copies = F.when(F.col("n") % 5 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return rec.select("key", data.alias("data"), "n", F.explode(copies).alias("_copy")).drop("_copy")
+
+
+@register("stream_zones", "ST-2", with_transactions("""
+SELECT zone, reason, merchant_id, COUNT(*) AS records FROM (
+  SELECT r.merchant_id, CASE WHEN c <> 'accepted' THEN c END AS reason,
+         CASE WHEN c <> 'accepted' THEN 'rejects'
+              WHEN n % 10 >= 7 AND "timestamp" < (SELECT max("timestamp") FROM recs WHERE n % 10 < 7 AND c = 'accepted') - INTERVAL 10 DAY
+              THEN 'late' ELSE 'raw' END AS zone
+  FROM recs r, (VALUES (1), (2)) copies(k) WHERE k = 1 OR n % 5 = 0) z
+GROUP BY 1, 2, 3""", f"""recs AS (SELECT *, {_ZONE_CASES} AS c FROM (
+  SELECT *, CAST(regexp_extract(transaction_id, '(\\d+)$', 1) AS BIGINT) AS n FROM transactions) t)"""))
+def q_stream_zones(spark, sf_dir):
+    """ST-1/2/3, SNK-5: broken, late, duplicate and extra-key records; raw + late + rejects = landed."""
+    root = _scratch(spark)
+    records = zone_landing(transactions(spark, sf_dir))
+    for first in (True, False):
+        part = records.filter((F.col("n") % 10 < 7) == F.lit(first)).drop("n")
+        part.write.mode("append").json(f"{root}/landing")
+        for q in CS.start_consumer(spark, CS.record_stream(spark, f"{root}/landing"), f"{root}/out", f"{root}/ckpt",
+                                   watermark=ZONE_LATENESS):
+            q.awaitTermination()
+
+    def zone(name):
+        z = spark.read.parquet(f"{root}/out/{name}")
+        reason = F.col("reason") if name == "rejects" else F.lit(None).cast("string")
+        return z.select(F.lit(name).alias("zone"), reason.alias("reason"), F.col("key").alias("merchant_id"))
+
+    zones = zone("raw").union(zone("late")).union(zone("rejects"))
+    return zones.groupBy("zone", "reason", "merchant_id").agg(F.count(F.lit(1)).alias("records"))

@@ -1,27 +1,31 @@
-"""ST-1 … ST-4, ST-6, ST-7: the stream consumer as one Structured Streaming query.
-
-records (key, data) --decode (SRC-9)--> JSON --validate (P-2)--> valid | rejects
-valid --dedupe within watermark (ST-3)--> score (R-6) --foreachBatch-->
-    raw sink (SNK-5 layout), alert sink (score > .85), reject sink, feature snapshot (ST-6)
-
-A bad record no longer aborts its batch (ST-2): it lands in the reject table
-with the reason.  Every sink write inside ``foreachBatch`` is keyed by the
-batch id (``batch_id=N`` directories written in overwrite mode), so a replayed
-micro-batch after a failure rewrites the same files instead of duplicating.
+"""ST-1 … ST-4, ST-6, ST-7: the stream consumer as two Structured Streaming queries.
+
+records (key, data) --decode (SRC-9)--> classify (P-2, ST-2) --zones query-->
+    raw      every accepted record verbatim, duplicates included (SNK-5 layout)
+    late     accepted records older than the watermark of their micro-batch
+    rejects  undecodable, not an object, missing keys, bad timestamp, bad amount
+accepted --dedupe within watermark (ST-3)--> score (R-6) --events query-->
+    scored events, alerts (score > .85), feature snapshot (ST-6)
+
+Every landed record is in exactly one of raw, late and rejects, so nothing is
+lost silently: a bad record does not abort its batch, and a record too late for
+the stateful query is kept.  Every sink write inside ``foreachBatch`` is keyed
+by the batch id (``batch_id=N`` directories written in overwrite mode), so a
+replayed micro-batch rewrites the same files instead of duplicating.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paylens import constants as C
 from paylens.functions import risk as R
 from paylens.sources.records import decode_and_validate
 
-PARSED = ("transaction_id string, merchant_id string, customer_id string, amount_aud double, "
-          "timestamp string, merchant_category string, state string, payment_terminal string, "
-          "card_type string, is_fraud boolean")
+PARSED = ("transaction_id string, merchant_id string, merchant_abn string, customer_id string, "
+          "amount_aud double, currency string, timestamp string, merchant_category string, state string, "
+          "payment_terminal string, card_type string, is_outside_business_hours boolean, is_fraud boolean")
 
 
 def record_stream(spark: SparkSession, path: str, fmt: str = "json", max_files: int | None = None) -> DataFrame:
@@ -32,23 +36,43 @@ def record_stream(spark: SparkSession, path: str, fmt: str = "json", max_files:
     return r.load(path)
 
 
-def decode_stream(records: DataFrame, watermark: str = "1 hour") -> tuple[DataFrame, DataFrame]:
-    """Decode + validate; returns (valid events with event time, rejects)."""
+def event_time(text: Column) -> Column:
+    return text.try_cast("timestamp_ntz").cast("timestamp")
+
+
+def classify(records: DataFrame) -> DataFrame:
+    """ST-2: key, data, the decoded JSON ``value``, its event time, and ``reason`` (null: accepted).
+
+    A key that is present with a null value passes; a timestamp must be
+    readable, since the record cannot be placed in time without it; an amount
+    that is present must be a number.
+    """
     d = decode_and_validate(records)
-    parsed = F.from_json(F.col("value"), PARSED)
-    valid = (d.filter(F.col("valid"))
-             .select("key", parsed.alias("p"))
-             .select("key", "p.*")
-             .withColumn("event_ts", F.col("timestamp").try_cast("timestamp_ntz").cast("timestamp"))
-             .filter(F.col("event_ts").isNotNull())
-             .withWatermark("event_ts", watermark)
-             .dropDuplicatesWithinWatermark(["transaction_id"]))                      # ST-3
-    rejects = d.filter(~F.col("valid")).select(
-        "key", "data", "value",
-        F.when(F.col("value").isNull(), F.lit("undecodable"))
-         .when(F.json_object_keys("value").isNull(), F.lit("not_json_object"))
-         .otherwise(F.concat(F.lit("missing:"), F.array_join("missing_keys", ","))).alias("reason"))
-    return valid, rejects
+    stamp = F.get_json_object("value", "$.timestamp")
+    amount = F.get_json_object("value", "$.amount_aud")
+    reason = (F.when(F.col("value").isNull(), F.lit("undecodable"))
+              .when(F.json_object_keys("value").isNull(), F.lit("not_json_object"))
+              .when(F.size("missing_keys") > 0, F.concat(F.lit("missing:"), F.array_join("missing_keys", ",")))
+              .when(event_time(stamp).isNull(), F.lit("bad_timestamp"))
+              .when(amount.isNotNull() & amount.try_cast("double").isNull(), F.lit("bad_amount")))
+    return d.select("key", "data", "value", event_time(stamp).alias("event_ts"), reason.alias("reason"))
+
+
+def parse_events(accepted: DataFrame) -> DataFrame:
+    """Accepted records as typed columns beside key and event_ts."""
+    amount = F.get_json_object("value", "$.amount_aud").try_cast("double")
+    parsed = accepted.select("key", "event_ts", "value", F.from_json("value", PARSED).alias("p"))
+    return parsed.select("key", "p.*", "event_ts", amount.alias("_amount")) \
+                 .withColumn("amount_aud", F.col("_amount")).drop("_amount")
+
+
+def decode_stream(records: DataFrame, watermark: str = "1 hour") -> tuple[DataFrame, DataFrame]:
+    """Returns (deduplicated events with event time, all records classified)."""
+    classified = classify(records)
+    events = (parse_events(classified.filter(F.col("reason").isNull()))
+              .withWatermark("event_ts", watermark)
+              .dropDuplicatesWithinWatermark(["transaction_id"]))                      # ST-3
+    return events, classified
 
 
 def score_events(valid: DataFrame) -> DataFrame:
@@ -73,40 +97,76 @@ def _write_batch(df: DataFrame, root: str, name: str, batch_id: int, partition_c
     w.parquet(f"{root}/{name}/batch_id={batch_id}")
 
 
-def start_consumer(spark: SparkSession, records: DataFrame, out_root: str, checkpoint: str,
-                   trigger_once: bool = True, features: DataFrame | None = None):
-    """ST-1: start the consumer; sinks under ``out_root`` (raw, alerts, rejects, snapshots).
+def _newest_before(spark: SparkSession, root: str, batch_id: int) -> Column:
+    """The newest event time of the batches before this one (null for the first), one row a batch."""
+    if batch_id == 0:
+        return F.lit(None).cast("timestamp")
+    seen = spark.read.schema("newest timestamp, batch_id long").parquet(f"{root}/progress")
+    return seen.filter(F.col("batch_id") < batch_id).select(F.max("newest")).scalar()
 
-    ``features`` (merchant_id, feature columns…) is joined to every event (J-7).
-    """
+
+def zone_sink(out_root: str, watermark: str):
+    """foreachBatch writer of the raw, late and reject zones and the batch's newest event time."""
     from paylens.sinks.writers import with_processing_partitions
-    from paylens.streaming.snapshots import upsert_snapshot
 
-    valid, rejects = decode_stream(records)
-    scored = score_events(valid if features is None else enrich(valid, features))
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            ok = F.col("reason").isNull()
+            limit = _newest_before(batch.sparkSession, out_root, batch_id) - F.expr(f"INTERVAL {watermark}")
+            late = F.coalesce(F.col("event_ts") < F.col("_limit"), F.lit(False))
+            accepted = batch.filter(ok).withColumn("_limit", limit).withColumn("_late", late)
+            verbatim = ["key", "value", "event_ts"]
+            _write_batch(with_processing_partitions(accepted.filter(~F.col("_late")).select(*verbatim)),
+                         out_root, "raw", batch_id, ["year", "month", "day", "hour"])
+            _write_batch(accepted.filter("_late").select(*verbatim), out_root, "late", batch_id)
+            _write_batch(batch.filter(~ok).select("key", "data", "value", "reason"), out_root, "rejects", batch_id)
+            _write_batch(batch.filter(ok).agg(F.max("event_ts").alias("newest")), out_root, "progress", batch_id)
+        finally:
+            batch.unpersist()
+    return sink
+
+
+def event_sink(out_root: str):
+    """foreachBatch writer of scored events, alerts and the feature snapshot."""
+    from paylens.streaming.snapshots import upsert_snapshot
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        _write_batch(with_processing_partitions(batch.drop("event_ts")), out_root, "raw", batch_id,
-                     ["year", "month", "day", "hour"])
-        _write_batch(batch.filter(F.col("is_alert")).drop("event_ts"), out_root, "alerts", batch_id)
-        upsert_snapshot(batch, f"{out_root}/snapshots", batch_id)
-        batch.unpersist()
+        batch = batch.persist()
+        try:
+            _write_batch(batch.drop("event_ts"), out_root, "scored", batch_id)
+            _write_batch(batch.filter(F.col("is_alert")).drop("event_ts"), out_root, "alerts", batch_id)
+            upsert_snapshot(batch, f"{out_root}/snapshots", batch_id)
+        finally:
+            batch.unpersist()
+    return sink
 
-    def reject_sink(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch, out_root, "rejects", batch_id)
 
+def start_consumer(spark: SparkSession, records: DataFrame, out_root: str, checkpoint: str,
+                   trigger_once: bool = True, features: DataFrame | None = None, watermark: str = "1 hour"):
+    """ST-1: start the consumer; zones and sinks lie under ``out_root``.
+
+    ``features`` (merchant_id, feature columns…) is joined to every event (J-7).
+    """
+    events, classified = decode_stream(records, watermark)
+    scored = score_events(events if features is None else enrich(events, features))
     t = {"availableNow": True} if trigger_once else {"processingTime": "10 seconds"}
-    q1 = (scored.writeStream.foreachBatch(sink).option("checkpointLocation", f"{checkpoint}/main")
-          .trigger(**t).start())
-    q2 = (rejects.writeStream.foreachBatch(reject_sink).option("checkpointLocation", f"{checkpoint}/rejects")
+    q1 = (classified.writeStream.foreachBatch(zone_sink(out_root, watermark))
+          .option("checkpointLocation", f"{checkpoint}/zones").trigger(**t).start())
+    q2 = (scored.writeStream.foreachBatch(event_sink(out_root)).option("checkpointLocation", f"{checkpoint}/events")
           .trigger(**t).start())
     return q1, q2
 
 
+def read_raw(spark: SparkSession, out_root: str) -> DataFrame:
+    """The raw zone parsed, one row per transaction id (copies of a record are equal)."""
+    from paylens.operators.cleaning import dedupe_latest
+    raw = spark.read.parquet(f"{out_root}/raw").select("key", "value", "event_ts")
+    events = parse_events(raw).withColumn("timestamp", F.col("timestamp").try_cast("timestamp_ntz"))
+    return dedupe_latest(events.drop("key", "event_ts"), ["transaction_id"], ["timestamp"])
+
+
 def live_feed_from_sink(spark: SparkSession, out_root: str, limit: int = 10) -> DataFrame:
-    """ST-7: the R-3 live feed over the raw sink table."""
+    """ST-7: the R-3 live feed over the raw zone."""
     from paylens.operators.scoring import live_feed
-    raw = spark.read.parquet(f"{out_root}/raw")
-    tx = raw.withColumn("timestamp", F.col("timestamp").try_cast("timestamp_ntz"))
-    return live_feed(tx, limit)
+    return live_feed(read_raw(spark, out_root), limit)

@@ -3,12 +3,12 @@
 ``windowed_velocity`` — sliding event-time windows with a watermark: partial
 aggregation per task, state per (merchant, window) only; scales with any key
 skew.  ``exact_velocity`` — per-event counts over (t-1h, t] and (t-24h, t]
-with ``applyInPandasWithState``: the state per merchant holds only the event
-times of the last 24 hours (older times are pruned each batch and the whole
-state expires through an event-time timeout), so state is bounded by one
-merchant's 24-hour volume.  Events later than the watermark are dropped by
-Spark; an event that arrives after newer events of its merchant is counted
-for itself but does not revise counts already emitted.
+with ``applyInPandasWithState``: the state per merchant holds the event times
+of the last 24 hours before the oldest event that the watermark still admits
+(older times are pruned each batch and the whole state expires through an
+event-time timeout), so a late event finds its whole frame.  Events later than
+the watermark are dropped by Spark; an event that arrives after newer events of
+its merchant is counted for itself but does not revise counts already emitted.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def windowed_velocity(events: DataFrame, width: str = "1 hour", slide: str | Non
             .groupBy("merchant_id", w.alias("window")).agg(F.count(F.lit(1)).alias("txn_count")))
 
 
-def _velocity(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _velocity(key, pdfs: Iterator[pd.DataFrame], state: GroupState, lateness_us: int = DAY_US) -> Iterator[pd.DataFrame]:
     (merchant,) = key
     if state.hasTimedOut:
         state.remove()
@@ -48,17 +48,21 @@ def _velocity(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[
     c1 = upto - np.searchsorted(times, ts - HOUR_US, side="right")
     c24 = upto - np.searchsorted(times, ts - DAY_US, side="right")
     newest = int(times[-1])
-    keep = times[times > newest - DAY_US]
+    # an event may still arrive lateness_us before the newest one, and its frame begins a day earlier
+    keep = times[times > newest - DAY_US - lateness_us]
     state.update((keep.tolist(),))
-    state.setTimeoutTimestamp(int(newest // 1000) + DAY_US // 1000)
+    state.setTimeoutTimestamp((newest + DAY_US + lateness_us) // 1000)
     yield pd.DataFrame({"merchant_id": merchant, "transaction_id": batch["transaction_id"],
                         "event_ts": batch["event_ts"], "txn_velocity_1h": c1.astype("int64"),
                         "txn_velocity_24h": c24.astype("int64")})
 
 
-def exact_velocity(events: DataFrame, watermark: str = "24 hours") -> DataFrame:
-    """Per-event rolling counts (stream twin of W-1 / W-2)."""
-    return (events.withWatermark("event_ts", watermark)
+def exact_velocity(events: DataFrame, lateness_hours: int = 24) -> DataFrame:
+    """Per-event rolling counts (stream twin of W-1 / W-2); events up to ``lateness_hours`` late are exact."""
+    def counts(key, pdfs, state):
+        return _velocity(key, pdfs, state, lateness_hours * HOUR_US)
+
+    return (events.withWatermark("event_ts", f"{lateness_hours} hours")
             .groupBy("merchant_id")
-            .applyInPandasWithState(_velocity, OUT_SCHEMA, STATE_SCHEMA, "append",
+            .applyInPandasWithState(counts, OUT_SCHEMA, STATE_SCHEMA, "append",
                                     GroupStateTimeout.EventTimeTimeout))

@@ -16,26 +16,77 @@ def _b64(d) -> str:
     return base64.b64encode((d if isinstance(d, str) else json.dumps(d)).encode()).decode()
 
 
+def _run(spark, root, recs, **kw):
+    spark.createDataFrame(recs, "key string, data string").write.mode("append").json(f"{root}/landing")
+    for q in CS.start_consumer(spark, CS.record_stream(spark, f"{root}/landing"), f"{root}/out", f"{root}/ck", **kw):
+        q.awaitTermination()
+
+
+def _zone(spark, root, name):
+    return spark.read.parquet(f"{root}/out/{name}").collect()
+
+
 def test_consumer_rejects_dedupes_and_alerts(spark):
     root = f"{checkpoint_dir(spark)}/t-{uuid.uuid4().hex}"
-    base = {"transaction_id": "T1", "merchant_id": "M1", "amount_aud": 5000.0, "timestamp": "2026-01-01T10:00:00"}
+    base = {"transaction_id": "T1", "merchant_id": "M1", "amount_aud": 5000.0, "timestamp": "2026-01-01T10:00:00",
+            "merchant_abn": "1", "currency": "AUD", "is_outside_business_hours": True, "channel": "web"}
     recs = [("M1", _b64(base)), ("M1", _b64(base)),                                  # duplicate id
             ("M1", _b64({**base, "transaction_id": "T2", "amount_aud": 10.0})),
+            ("M1", _b64({**base, "transaction_id": "T3", "amount_aud": None})),      # a null value passes
+            ("M1", _b64({**base, "transaction_id": "T4", "timestamp": "soon"})),
+            ("M1", _b64({**base, "transaction_id": "T5", "amount_aud": "much"})),
             ("M1", _b64({"merchant_id": "M1"})), ("M1", "@@@"), ("M1", _b64("[1, 2]"))]
-    spark.createDataFrame(recs, "key string, data string").write.json(f"{root}/landing")
-    q1, q2 = CS.start_consumer(spark, CS.record_stream(spark, f"{root}/landing"), f"{root}/out", f"{root}/ck")
-    q1.awaitTermination()
-    q2.awaitTermination()
-    raw = spark.read.parquet(f"{root}/out/raw")
-    assert sorted(r.transaction_id for r in raw.collect()) == ["T1", "T2"]
-    alerts = spark.read.parquet(f"{root}/out/alerts").collect()
+    _run(spark, root, recs)
+    raw = _zone(spark, root, "raw")
+    want = [json.dumps({**base, "transaction_id": t, **x}) for t, x in
+            (("T1", {}), ("T1", {}), ("T2", {"amount_aud": 10.0}), ("T3", {"amount_aud": None}))]
+    assert sorted(r.value for r in raw) == sorted(want)                              # verbatim, before the dedupe
+    assert sorted(r.transaction_id for r in _zone(spark, root, "scored")) == ["T1", "T2", "T3"]
+    scored = next(r for r in _zone(spark, root, "scored") if r.transaction_id == "T1")
+    assert (scored.merchant_abn, scored.currency, scored.is_outside_business_hours) == ("1", "AUD", True)
+    alerts = _zone(spark, root, "alerts")
     assert [(a.transaction_id, a.anomaly_score) for a in alerts] == [("T1", 1.0)]
-    reasons = sorted(r.reason for r in spark.read.parquet(f"{root}/out/rejects").collect())
-    assert reasons == ["missing:amount_aud,timestamp,transaction_id", "not_json_object", "undecodable"]
+    rejects = _zone(spark, root, "rejects")
+    assert sorted(r.reason for r in rejects) == [
+        "bad_amount", "bad_timestamp", "missing:amount_aud,timestamp,transaction_id", "not_json_object", "undecodable"]
+    assert len(raw) + len(rejects) + len(_zone(spark, root, "late")) == len(recs)
     snap = spark.read.parquet(f"{root}/out/snapshots/version={0:012d}").collect()
     assert [s.merchant_id for s in snap] == ["M1"]
 
 
+def test_late_records_are_kept(spark):
+    root = f"{checkpoint_dir(spark)}/t-{uuid.uuid4().hex}"
+    rec = lambda t, h: ("M1", _b64({"transaction_id": t, "merchant_id": "M1", "amount_aud": 1.0,
+                                    "timestamp": f"2026-01-01T{h:02d}:30:00"}))
+    _run(spark, root, [rec("A", 12)])
+    _run(spark, root, [rec("LATE3H", 9), rec("B", 12)])
+    _run(spark, root, [rec("LATE2H", 10), rec("C", 11)])
+    ids = lambda name: sorted(json.loads(r.value)["transaction_id"] for r in _zone(spark, root, name))
+    assert ids("raw") == ["A", "B", "C"] and ids("late") == ["LATE2H", "LATE3H"]
+    assert sorted(r.transaction_id for r in CS.read_raw(spark, f"{root}/out").collect()) == ["A", "B", "C"]
+
+
+def test_velocity_of_late_events():
+    """20:00 on day 1, 00:00 on day 3, then 10:00 on day 2: the last sees the first inside its 24 hours."""
+    from paylens.streaming import velocity as V
+
+    class State:
+        exists, hasTimedOut, value = False, False, None
+        get = property(lambda self: self.value)
+
+        def update(self, value):
+            self.value, self.exists = value, True
+
+        def setTimeoutTimestamp(self, ms):  # noqa: N802
+            self.timeout = ms
+
+    state, out = State(), []
+    for t in ("2026-01-01 20:00", "2026-01-03 00:00", "2026-01-02 10:00"):
+        pdf = pd.DataFrame({"transaction_id": [t], "event_ts": pd.to_datetime([t])})
+        out += [int(x.txn_velocity_24h.iloc[0]) for x in V._velocity(("M1",), iter([pdf]), state)]
+    assert out == [1, 1, 2]
+
+
 def test_isolation_forest_flags_outliers(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 3))
@@ -59,21 +110,14 @@ def test_c_factor():
 def test_consumer_restart_without_duplicates(spark):
     """A second run on the same checkpoint processes only new files; replays add nothing."""
     root = f"{checkpoint_dir(spark)}/t-{uuid.uuid4().hex}"
-    mk = lambda i: {"transaction_id": f"T{i}", "merchant_id": "M1", "amount_aud": 1.0 * i,
-                    "timestamp": f"2026-01-01T10:{i:02d}:00"}
-    spark.createDataFrame([("M1", _b64(mk(i))) for i in range(5)], "key string, data string") \
-         .write.mode("append").json(f"{root}/landing")
-    for _ in range(2):                                   # first run, then a restart with nothing new
-        q1, q2 = CS.start_consumer(spark, CS.record_stream(spark, f"{root}/landing"), f"{root}/out", f"{root}/ck")
-        q1.awaitTermination()
-        q2.awaitTermination()
-    spark.createDataFrame([("M1", _b64(mk(i))) for i in range(5, 8)], "key string, data string") \
-         .write.mode("append").json(f"{root}/landing")
-    q1, q2 = CS.start_consumer(spark, CS.record_stream(spark, f"{root}/landing"), f"{root}/out", f"{root}/ck")
-    q1.awaitTermination()
-    q2.awaitTermination()
-    ids = [r.transaction_id for r in spark.read.parquet(f"{root}/out/raw").collect()]
-    assert sorted(ids) == sorted(f"T{i}" for i in range(8))
+    mk = lambda i: ("M1", _b64({"transaction_id": f"T{i}", "merchant_id": "M1", "amount_aud": 1.0 * i,
+                                "timestamp": f"2026-01-01T10:{i:02d}:00"}))
+    _run(spark, root, [mk(i) for i in range(5)])
+    for q in CS.start_consumer(spark, CS.record_stream(spark, f"{root}/landing"), f"{root}/out", f"{root}/ck"):
+        q.awaitTermination()                             # a restart with nothing new
+    _run(spark, root, [mk(i) for i in range(5, 8)])
+    assert sorted(r.transaction_id for r in _zone(spark, root, "scored")) == sorted(f"T{i}" for i in range(8))
+    assert len(_zone(spark, root, "raw")) == 8
 
 
 def test_windowed_velocity(spark):
