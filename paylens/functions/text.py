@@ -41,6 +41,8 @@ def to_java(pattern: str) -> str:
             out.append(pattern[i:i + 2])
             i += 2
             continue
+        if ch == "." and not _inside_class(pattern, i):
+            ch = r"[^\n]"                       # java.util.regex also stops at \r, U+0085, U+2028, U+2029
         out.append(ch)
         i += 1
     return "".join(out)
@@ -130,7 +132,7 @@ def sql_guard_reason(sql, merchant) -> Column:
 
 def is_readonly(sql) -> Column:
     """X-6: starts with select/with and no space-delimited write keyword."""
-    cand = F.lower(F.trim(col(sql)))
+    cand = F.lower(F.regexp_replace(col(sql), rf"^{SPACE}+|{SPACE}+$", ""))
     starts = cand.startswith("select") | cand.startswith("with")
     padded = F.concat(F.lit(" "), cand, F.lit(" "))
     blocked = None

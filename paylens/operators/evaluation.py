@@ -6,11 +6,11 @@ G-1 global cumulative, never by sorting all rows in one partition.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paylens import constants as C
-from paylens.operators.ranking import global_cumulative
+from paylens.operators.ranking import global_cumulative, ordered_positions
 
 
 def score_counts(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
@@ -80,13 +80,12 @@ def evaluate(df: DataFrame, score: str = "score", label: str = "label", threshol
 
 
 def chronological_split(df: DataFrame, train_fraction: float = 0.8,
-                        ts: str = "timestamp", key: str = "transaction_id",
-                        max_tie_rows: int = 1_000_000) -> DataFrame:
+                        ts: str = "timestamp", key: str = "transaction_id") -> DataFrame:
     """M-1: the first ``floor(n * fraction)`` rows by (ts, key) are train, the rest test.
 
     G-1 gives the count of rows up to each distinct timestamp; the cut timestamp
     is the first whose cumulative count reaches k.  Only the rows sharing the cut
-    timestamp are ranked by key (a window over that one timestamp's rows).
+    timestamp are ranked by key, in range partitions however many they are.
     """
     from paylens.functions.timecols import epoch_micros
     us = epoch_micros(ts)
@@ -104,11 +103,7 @@ def chronological_split(df: DataFrame, train_fraction: float = 0.8,
     away = (rows.filter(F.col("_us") != cut_us)
             .withColumn("split", F.when(F.col("_us") < cut_us, F.lit("train")).otherwise(F.lit("test"))))
     ties = rows.filter(F.col("_us") == cut_us)
-    if ties.limit(max_tie_rows + 1).count() <= max_tie_rows:
-        ranked = ties.withColumn("_r", F.row_number().over(Window.orderBy(key)))        # <= max_tie_rows
-    else:
-        from paylens.operators.ranking import ordered_positions
-        ranked = ordered_positions(ties, [key], out="_r")
+    ranked = ordered_positions(ties, [key], out="_r")
     at = (ranked.withColumn("split", F.when(before_cut + F.col("_r") <= k, F.lit("train"))
                             .otherwise(F.lit("test")))
           .drop("_r"))

@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from paylens import constants as C
 from paylens.functions.numeric import money_avg, zero_if_not_finite
 from paylens.functions.timecols import epoch_micros, ntz_literal
-from paylens.operators.joins import checked_broadcast
 
 US = 1_000_000
 HOUR_US = 3600 * US
@@ -160,7 +159,7 @@ def moving_max(value: str, keys, width_us: int, row_id: str) -> tuple[Column, ..
             back)
 
 
-def training_features(tx: DataFrame, max_states: int = 10_000, heavy_rows: int | None = 2_000_000,
+def training_features(tx: DataFrame, heavy_rows: int | None = 2_000_000,
                       block_days: int = 60) -> DataFrame:
     """W-11: the 17 model features beside the transaction columns.
 
@@ -173,7 +172,7 @@ def training_features(tx: DataFrame, max_states: int = 10_000, heavy_rows: int |
     cents, the variance numerator in exact DECIMAL, so a constant window has a
     std of exactly 0); the 7-day max uses segment prefix/suffix maxima.  No frame
     is re-aggregated per row, so cost stays O(n log n) for dense merchants.  The
-    state mean (J-5) is a tiny aggregate joined back behind a size check.
+    state mean (J-5) is an aggregate joined back.
     ``heavy_rows=None`` disables blocking; ``heavy_rows=0`` blocks everyone.
     """
     base = (tx.filter(F.col("timestamp").isNotNull())       # P-3
@@ -240,7 +239,7 @@ def training_features(tx: DataFrame, max_states: int = 10_000, heavy_rows: int |
         indicator(F.col("payment_terminal") == "chip_and_pin").alias("is_chip_and_pin"),
         indicator(F.col("card_type") == "credit").alias("is_credit_card"),
         (amt / F.greatest(avg7, F.lit(1.0))).alias("amount_to_merchant_avg_7d"))            # P-16
-    states = checked_broadcast(state_means(tx), max_states)
+    states = state_means(tx)
     dev = (F.col("avg_amount_7d") - F.col("_state_avg")).alias("state_avg_amount_deviation")   # J-5
     j = f.join(states, "state", "left")
     return j.select(*passthrough, *[zero_if_not_finite(dev if c == "state_avg_amount_deviation" else F.col(c))

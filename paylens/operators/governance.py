@@ -12,23 +12,32 @@ CHECK_SCHEMA = "name string, status string, value double"
 
 def category_precision(df: DataFrame, score: str, label: str,
                        cutoff: float = C.BIAS_SCORE_CUTOFF) -> DataFrame:
-    """B-1 per category: tp, fp, precision = tp / max(tp + fp, 1) at score >= cutoff."""
+    """B-1 per category: tp, fp, precision = tp / max(tp + fp, 1) at score >= cutoff.
+
+    Rows without a category form no group.
+    """
     pred = F.col(score) >= cutoff
     lab = F.col(label).cast("int") == 1
-    return (df.groupBy("merchant_category").agg(
+    return (df.filter(F.col("merchant_category").isNotNull()).groupBy("merchant_category").agg(
         F.count(F.when(pred & lab, 1)).alias("tp"), F.count(F.when(pred & ~lab, 1)).alias("fp"))
         .withColumn("precision", F.col("tp").cast("double")
                     / F.greatest(F.col("tp") + F.col("fp"), F.lit(1)).cast("double")))
 
 
+def scored_labels(scores: DataFrame, labels: DataFrame, key: str = "transaction_id") -> DataFrame:
+    """J-9: scores beside their labels from a separate table (rows without a label are not evaluated)."""
+    return scores.join(labels, key)
+
+
 def category_bias(df: DataFrame, score: str, label: str) -> DataFrame:
-    """B-1 summary: status and max precision gap (no_data / missing_category / ok)."""
+    """B-1 summary: status and max precision gap (no_data / missing_category / no_groups / ok)."""
     if "merchant_category" not in df.columns:
         return df.sparkSession.createDataFrame([("missing_category", 0.0)],
                                                "status string, max_precision_gap double")
     per = category_precision(df, score, label)
+    rows = df.select(F.count(F.lit(1))).scalar()
     return per.agg(F.count(F.lit(1)).alias("n"), (F.max("precision") - F.min("precision")).alias("gap")).select(
-        F.when(F.col("n") == 0, F.lit("no_data")).otherwise(F.lit("ok")).alias("status"),
+        F.when(rows == 0, F.lit("no_data")).when(F.col("n") == 0, F.lit("no_groups")).otherwise(F.lit("ok")).alias("status"),
         F.coalesce(F.col("gap"), F.lit(0.0)).alias("max_precision_gap"))
 
 

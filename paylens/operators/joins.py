@@ -1,4 +1,4 @@
-"""Join helpers (J-1 … J-9): size-checked broadcast, dimension lookups, baselines."""
+"""Join helpers (J-1, J-2): dimension lookups; join strategies are left to the planner and AQE."""
 
 from __future__ import annotations
 
@@ -8,27 +8,15 @@ from pyspark.sql import functions as F
 from paylens import constants as C
 
 
-def checked_broadcast(small: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``small`` only when it provably has at most ``max_rows`` rows.
-
-    The check runs ``limit(max_rows + 1).count()`` (only a count reaches the
-    driver); beyond the bound the frame is returned unhinted and the planner /
-    AQE choose a shuffle join.
-    """
-    n = small.limit(max_rows + 1).count()
-    return F.broadcast(small) if n <= max_rows else small
-
-
 def hours_profile(spark) -> DataFrame:
     """SRC-6 business-hours profile as a DataFrame."""
     return spark.createDataFrame(C.BUSINESS_HOURS, "merchant_category string, open_hour int, close_hour int")
 
 
-def join_business_hours(tx: DataFrame, profile: DataFrame, max_rows: int = 1000) -> DataFrame:
-    """J-1 with a profile given as data: left join behind a size check, 8/20 default."""
-    p = checked_broadcast(profile, max_rows)
+def join_business_hours(tx: DataFrame, profile: DataFrame) -> DataFrame:
+    """J-1 with a profile given as data: left join (planner and AQE pick the strategy by size), 8/20 default."""
     h = F.hour("timestamp")
-    return (tx.drop("is_outside_business_hours").join(p, "merchant_category", "left")
+    return (tx.drop("is_outside_business_hours").join(profile, "merchant_category", "left")
             .withColumn("is_outside_business_hours",
                         (h < F.coalesce("open_hour", F.lit(C.DEFAULT_OPEN_HOUR)))
                         | (h > F.coalesce("close_hour", F.lit(C.DEFAULT_CLOSE_HOUR))))

@@ -163,11 +163,8 @@ class IsolationForestModel:
 
 
 def load_isolation_forest(nodes: DataFrame, columns: list[str] = C.FEATURE_COLUMNS,
-                          psi: int = 256, max_nodes: int = 2_000_000) -> IsolationForestModel:
-    """Collect the node table (bounded by trees * (2 psi - 1)) into a scorer."""
-    n = nodes.limit(max_nodes + 1).count()
-    if n > max_nodes:
-        raise ValueError("node table larger than its parameter bound")
+                          psi: int = 256) -> IsolationForestModel:
+    """Collect the node table into a scorer; fitting bounds it by trees * (2 psi - 1) rows."""
     return IsolationForestModel(nodes.toPandas(), columns, psi)
 
 
@@ -228,7 +225,7 @@ def train_ensemble(features: DataFrame, trees: int = 200, psi: int = 256, max_it
     split = cut_lineage(chronological_split(features))
     train = split.filter(F.col("split") == "train").drop("split")
     test = split.filter(F.col("split") == "test").drop("split")
-    nodes = fit_isolation_forest(train, trees=trees, psi=psi, seed=seed)
+    nodes = cut_lineage(fit_isolation_forest(train, trees=trees, psi=psi, seed=seed))   # grown once, read twice
     iso = load_isolation_forest(nodes, psi=psi)
     clf = train_classifier(train, max_iter=max_iter, seed=seed)
     scored = ensemble(classifier_scores(clf, iso.transform(test)), "iso_score", "clf_score")

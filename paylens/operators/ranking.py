@@ -19,8 +19,19 @@ from pyspark.sql import functions as F
 from paylens.functions.numeric import round_half
 
 
-def global_cumulative(df: DataFrame, key: str, measures: list[str], buckets: int = 64,
+#: bytes of the planner's size estimate that one bucket should hold, and the least number of buckets
+BUCKET_BYTES, LEAST_BUCKETS = 64 << 20, 64
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Buckets for ``df`` from the planner's size estimate (no job is run)."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(LEAST_BUCKETS, min(10_000, size // BUCKET_BYTES))
+
+
+def global_cumulative(df: DataFrame, key: str, measures: list[str], buckets: int | None = None,
                       descending: bool = False) -> DataFrame:
+    buckets = buckets or bucket_count(df)
     k = F.col(key).cast("double")
     ordered = -k if descending else k
     per_key = (df.groupBy(ordered.alias("_k"))
@@ -29,12 +40,8 @@ def global_cumulative(df: DataFrame, key: str, measures: list[str], buckets: int
     bounds = per_key.select(F.percentile_approx("_k", fractions, 10_000).alias("b")).scalar()
     # bounds enter the plan once, as a column; the bucket is the number of bounds below the key
     # (monotone in the key, so equal keys share a bucket)
-    per_key = per_key.withColumn("_bounds", bounds)
-    bucket = None
-    for i in range(1, buckets):
-        below = F.coalesce((F.element_at(F.col("_bounds"), i) < F.col("_k")).cast("int"), F.lit(0))
-        bucket = below if bucket is None else bucket + below
-    per_key = per_key.withColumn("_bucket", bucket).drop("_bounds")
+    bucket = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col("_k"))), F.lit(0))
+    per_key = per_key.withColumn("_bounds", bounds).withColumn("_bucket", bucket).drop("_bounds")
     totals = per_key.groupBy("_bucket").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)   # <= B rows
     offsets = totals.select("_bucket", *[F.coalesce(F.sum(f"_t_{m}").over(upto), F.lit(0))
@@ -60,7 +67,7 @@ def merchant_percentile(tx: DataFrame) -> DataFrame:
                     .alias("state_percentile")))
 
 
-def ordered_positions(df: DataFrame, order_cols: list[str], partitions: int = 64,
+def ordered_positions(df: DataFrame, order_cols: list[str], partitions: int | None = None,
                       out: str = "_pos") -> DataFrame:
     """1-based global position by ``order_cols`` (any orderable types; make them unique).
 
@@ -72,6 +79,7 @@ def ordered_positions(df: DataFrame, order_cols: list[str], partitions: int = 64
     gathers the rows in one task.
     """
     from paylens.session import cut_lineage
+    partitions = partitions or bucket_count(df)
     ranged = cut_lineage(df.repartitionByRange(partitions, *order_cols)
                          .withColumn("_pid", F.spark_partition_id()))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

@@ -218,18 +218,20 @@ def q_business_hours_join(spark, sf_dir):
 
 
 @register("merchant_dimension", "J-2", with_transactions("""
-SELECT f.merchant_category, COUNT(*) AS transactions, COUNT(DISTINCT f.merchant_id) AS merchants
+SELECT dim.merchant_category AS dim_category, dim.state AS dim_state, COUNT(*) AS transactions,
+       COUNT(DISTINCT f.merchant_id) AS merchants
 FROM transactions f LEFT JOIN (
-  SELECT merchant_id, merchant_category FROM (
-    SELECT merchant_id, merchant_category,
+  SELECT merchant_id, merchant_category, state FROM (
+    SELECT merchant_id, merchant_category, state,
            row_number() OVER (PARTITION BY merchant_id ORDER BY "timestamp" DESC, transaction_id DESC) AS rn
     FROM transactions) d WHERE rn = 1) dim ON dim.merchant_id = f.merchant_id
-GROUP BY f.merchant_category"""))
+GROUP BY dim.merchant_category, dim.state"""))
 def q_merchant_dimension(spark, sf_dir):
     tx = transactions(spark, sf_dir)
-    dim = J.merchant_dimension(tx).select("merchant_id", F.col("merchant_category").alias("dim_category"))
-    facts = J.attach_merchant_dim(tx.select("merchant_id", "merchant_category"), dim)
-    return facts.groupBy("merchant_category").agg(F.count(F.lit(1)).alias("transactions"),
+    dim = J.merchant_dimension(tx).select("merchant_id", F.col("merchant_category").alias("dim_category"),
+                                          F.col("state").alias("dim_state"))
+    facts = J.attach_merchant_dim(tx.select("merchant_id"), dim)
+    return facts.groupBy("dim_category", "dim_state").agg(F.count(F.lit(1)).alias("transactions"),
                                                   F.count_distinct("merchant_id").alias("merchants"))
 
 

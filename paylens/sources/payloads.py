@@ -10,15 +10,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CANONICAL = ["month", "contactless_ratio", "debit_ratio", "fraud_rate"]
-OBS_LIST = "struct<data: struct<observations: array<struct<TIME_PERIOD: string, OBS_VALUE: double>>>>"
+OBS_LIST = "struct<data: struct<observations: array<map<string, string>>>>"
 OBS_MAP = "struct<data: struct<observations: map<string, string>>>"
 
 
-def parse_statistical_payload(payloads: DataFrame, col: str = "payload") -> DataFrame:
+def parse_statistical_payload(payloads: DataFrame, col: str = "payload", text: bool = False) -> DataFrame:
     """SRC-4: JSON payload -> (TIME_PERIOD, OBS_VALUE, MEASURE, FREQUENCY).
 
-    List form: rows kept as they are (only rows from payloads whose first
-    observation carries both keys).  Dict form: key -> object or bare number;
+    List form: rows kept as they are, values unconverted in ``OBS_TEXT`` and as
+    numbers where they are numbers, if some observation of the payload has the
+    one key and some the other (the columns of the payload's table).  Dict form: key -> object or bare number;
     the period falls back to the key; values are coerced to numbers and rows
     without a number dropped.  A zero OBS_VALUE inside an object without a
     lower-case twin is treated as missing, as falsy values are in the source
@@ -28,10 +29,14 @@ def parse_statistical_payload(payloads: DataFrame, col: str = "payload") -> Data
     lst = F.from_json(txt, OBS_LIST)["data"]["observations"]
     mp = F.from_json(txt, OBS_MAP)["data"]["observations"]
     is_list = F.coalesce(F.trim(F.get_json_object(txt, "$.data.observations")).startswith("["), F.lit(False))
-    first = F.get(lst, 0)                                   # NULL (not an error) for an empty list
-    list_rows = (payloads.filter(is_list & first["TIME_PERIOD"].isNotNull() & first["OBS_VALUE"].isNotNull())
+    def some(key: str) -> Column:
+        return F.exists(lst, lambda o: F.coalesce(F.map_contains_key(o, key), F.lit(False)))
+
+    list_rows = (payloads.filter(is_list & some("TIME_PERIOD") & some("OBS_VALUE"))
                  .select(F.explode(lst).alias("o"))
-                 .select(F.col("o.TIME_PERIOD").alias("TIME_PERIOD"), F.col("o.OBS_VALUE").alias("OBS_VALUE")))
+                 .select(F.try_element_at("o", F.lit("TIME_PERIOD")).alias("TIME_PERIOD"),
+                         F.try_element_at("o", F.lit("OBS_VALUE")).alias("OBS_TEXT"))
+                 .withColumn("OBS_VALUE", F.col("OBS_TEXT").try_cast("double")))
     entries = payloads.filter(~is_list).select(F.explode(mp).alias("k", "v"))
     obj = F.from_json(F.col("v"), "map<string,string>")     # exact-case key lookups
     is_obj = F.coalesce(F.trim(F.col("v")).startswith("{"), F.lit(False))
@@ -43,9 +48,12 @@ def parse_statistical_payload(payloads: DataFrame, col: str = "payload") -> Data
     period = F.when(is_obj, F.coalesce(truthy(obj["TIME_PERIOD"]), truthy(obj["time_period"]), F.col("k"))) \
               .otherwise(F.col("k"))
     raw_val = F.when(is_obj, F.coalesce(truthy(obj["OBS_VALUE"]), truthy(obj["obs_value"]))).otherwise(F.col("v"))
-    dict_rows = (entries.select(period.alias("TIME_PERIOD"), raw_val.try_cast("double").alias("OBS_VALUE"))
+    dict_rows = (entries.select(period.alias("TIME_PERIOD"), raw_val.alias("OBS_TEXT"),
+                                raw_val.try_cast("double").alias("OBS_VALUE"))
                  .filter(F.col("OBS_VALUE").isNotNull()))
-    return list_rows.unionByName(dict_rows).withColumn("MEASURE", F.lit("index")).withColumn("FREQUENCY", F.lit("M"))
+    rows = list_rows.unionByName(dict_rows).select("TIME_PERIOD", "OBS_VALUE", "OBS_TEXT")
+    return rows.withColumn("MEASURE", F.lit("index")).withColumn("FREQUENCY", F.lit("M")) \
+               .select("TIME_PERIOD", "OBS_VALUE", "MEASURE", "FREQUENCY", *(["OBS_TEXT"] if text else []))
 
 
 def pick_column(columns: list[str], tokens: list[str]) -> str | None:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from paylens import constants as C
 from paylens.functions import text as T
-from paylens.operators.sqlscope import check_sql
+from paylens.operators.sqlscope import check_sql, run_scoped_sql
 
 QUERIES = [
     ("What was my revenue last week?", None),
@@ -68,9 +68,47 @@ def test_sql_guards(spark):
     got = df.select(T.sql_guard_reason("sql", "m").alias("r"), T.is_readonly("sql").alias("ro")).collect()
     assert [r.r for r in got] == [None, "missing_merchant_filter", "dangerous:DROP", "dangerous:UPDATE"]
     assert [r.ro for r in got] == [True, True, False, True]
+    ws = spark.createDataFrame([("\nSELECT 1",), ("\t with x as (select 1) select * from x\u00a0",)], "s string")
+    assert [r[0] for r in ws.select(T.is_readonly("s")).collect()] == [True, True]
+    line_separator = spark.createDataFrame([("/* a\u2028b */",)], "s string")
+    assert line_separator.select(T.query_guard_reason("s")).first()[0] == "injection"
+
+
+REFUSED = [
+    "SELECT 1", "SELECT count(*) FROM transactions", "DROP TABLE transactions -- 'M00001'", "not sql 'M00001'",
+    "SELECT count(DISTINCT user_id), 'M00001' FROM parquet.`/root/testdata/sf0.001/events.parquet`",
+    "SELECT * FROM other_table WHERE merchant_id = 'M00001'",
+    "SELECT * FROM transactions WHERE merchant_id = 'M00001' AND amount_aud > (SELECT max(x) FROM other_table)",
+    "WITH a AS (SELECT * FROM other_table) SELECT * FROM a WHERE merchant_id = 'M00001'",
+    "SELECT reflect('java.lang.System', 'getProperty', 'user.home') FROM transactions WHERE merchant_id = 'M00001'",
+    "SELECT * FROM range(5), transactions WHERE merchant_id = 'M00001'",
+    "INSERT INTO transactions SELECT * FROM transactions WHERE merchant_id = 'M00001'",
+    "SELECT 1 FROM transactions WHERE merchant_id = 'M00001'; SELECT 2",
+]
+
+
+@pytest.mark.parametrize("sql", REFUSED)
+def test_statements_outside_the_scope_are_refused(spark, sql):
     with pytest.raises(ValueError):
-        check_sql("SELECT 1", "M1")
-    assert check_sql("SELECT 1 FROM transactions WHERE merchant_id = 'M1';", "M1").endswith("'M1'")
+        check_sql(spark, sql, "M00001")
+
+
+def test_scoped_statements(spark):
+    from paylens.sources.tables import transactions
+    tx = transactions(spark, "/root/testdata/sf0.001")
+    tx.createOrReplaceTempView("transactions")                       # a view of all rows must not be read
+    own = tx.filter("merchant_id = 'M00001'").count()
+    run = lambda sql: run_scoped_sql(spark, sql, "M00001", tx).collect()
+    assert run("SELECT count(*) FROM transactions WHERE merchant_id = 'M00001';")[0][0] == own
+    assert run("SELECT count(*) FROM transactions WHERE merchant_id IN ('M00001', 'M00002')")[0][0] == own
+    assert run("SELECT count(*) FROM (SELECT * FROM Transactions) t WHERE '{M00001}' <> 'M00001'")[0][0] == own
+    rows = run("SELECT 'all transactions' AS transactions, 'M00001' AS m FROM transactions LIMIT 1")
+    assert rows[0].asDict() == {"transactions": "all transactions", "m": "M00001"}
+    assert run("WITH transactions AS (SELECT * FROM transactions WHERE merchant_id = 'M00001') "
+               "SELECT count(*) FROM transactions")[0][0] == own
+    assert run("SELECT max(n) FROM (WITH a AS (SELECT count(*) n FROM transactions WHERE merchant_id = 'M00001') "
+               "SELECT * FROM a)")[0][0] == own
+    spark.catalog.dropTempView("transactions")
 
 
 def test_intents(spark):

@@ -73,6 +73,6 @@ def test_chronological_split_large_tie_group(spark):
     rows = [(f"T{i:03d}", datetime(2024, 1, 1)) for i in range(50)]          # all share one timestamp
     df = spark.createDataFrame(rows, "transaction_id string, timestamp timestamp_ntz")
     a = {r.transaction_id: r.split for r in EV.chronological_split(df, 0.8).collect()}
-    b = {r.transaction_id: r.split for r in EV.chronological_split(df, 0.8, max_tie_rows=0).collect()}
+    b = {r.transaction_id: r.split for r in EV.chronological_split(df, 0.8).collect()}
     assert a == b and sum(v == "train" for v in b.values()) == 40
     assert all(b[f"T{i:03d}"] == ("train" if i < 40 else "test") for i in range(50))

@@ -3,22 +3,11 @@
 from pyspark.sql import functions as F
 
 from paylens.operators import features as FT
-from paylens.operators.joins import checked_broadcast
 from paylens.sources.tables import transactions
 
 SF = "/root/testdata/sf0.001"
 
 
-def _hinted(df) -> bool:
-    return "broadcast" in df._jdf.queryExecution().logical().toString().lower()
-
-
-def test_checked_broadcast_respects_bound(spark):
-    small = spark.range(5)
-    assert _hinted(checked_broadcast(small, 10))
-    assert not _hinted(checked_broadcast(small, 4))          # beyond the bound: left to the planner
-
-
 def test_plan_blocks_modes(spark):
     tx = transactions(spark, SF).withColumn("_ts_us", FT.ts_micros())
     assert FT.plan_blocks(tx, None) is None                  # disabled
