@@ -141,7 +141,8 @@ def _sided(nodes: DataFrame, side: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    texts = _texts(docs, id_col, text_col).join(ids.select(F.col("id").alias("doc_id")), "doc_id", "leftsemi")
+    wanted = ids.select(F.col("id").alias("doc_id")).hint("merge")  # their number has no bound: never broadcast
+    texts = _texts(docs, id_col, text_col).join(wanted, "doc_id", "leftsemi")
     return stored(texts.mapInArrow(_set_task(shingle), "id long, shingles array<long>"), "minhash-sets")
 
 
@@ -302,9 +303,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75,
     whole = classes.select("fp", "id").join(comp, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
     whole = stored(whole.join(stored(top, "minhash-top"), "component", "left")
                    .select("fp", F.coalesce("top", "component").alias("component")), "minhash-found")
+    group = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return sig.join(whole, "fp", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
-        F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept"))
+        "doc_id", "n_shingles", group.alias("component_id"), F.col("doc_id").eqNullSafe(group).alias("kept"))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
