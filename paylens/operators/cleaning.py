@@ -56,7 +56,7 @@ def scoped(df: DataFrame, merchant_id: str, caller_merchant: str | None = None,
     return df.filter(F.col("merchant_id") == merchant_id)
 
 
-def last_days(df: DataFrame, days: int, as_of: date = C.AS_OF, column: str = "timestamp") -> DataFrame:
+def last_days(df: DataFrame, days: int, as_of: date, column: str = "timestamp") -> DataFrame:
     """P-5: ``date(ts) >= as_of - days`` written on the raw column so it pushes to the scan."""
     start = datetime.combine(as_of - timedelta(days=days), datetime.min.time())
     from paylens.functions.timecols import ntz_literal

@@ -164,7 +164,7 @@ def spine_fill(rows: DataFrame, key: str, spine: list[str], sums: list[str]) ->
             .unionByName(zero).groupBy(key).agg(*[F.sum(s).alias(s) for s in sums]))
 
 
-def threat_map(tx: DataFrame, days: int = 30, as_of: date = C.AS_OF) -> DataFrame:
+def threat_map(tx: DataFrame, days: int, as_of: date) -> DataFrame:
     """A-9: last-N-days per state over the fixed state spine, zero filled, with totals."""
     days = max(1, min(int(days), 365))
     recent = (tx.filter(_since(as_of, days))
@@ -233,7 +233,7 @@ def merchant_baseline(tx: DataFrame) -> DataFrame:
         F.count(_L.ONE).alias("txn_count"))
 
 
-def merchant_revenue_trend(tx: DataFrame, days: int = 30, as_of: date = C.AS_OF) -> DataFrame:
+def merchant_revenue_trend(tx: DataFrame, days: int, as_of: date) -> DataFrame:
     """A-15: daily revenue per merchant over the last ``days`` days."""
     return (tx.filter(_since(as_of, days))
             .groupBy("merchant_id", F.to_date("timestamp").alias("day"))

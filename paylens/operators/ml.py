@@ -216,6 +216,16 @@ def predict(df: DataFrame, iso: IsolationForestModel, clf: PipelineModel,
     return scored.withColumn("anomaly_score", F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)))
 
 
+class EnsembleModel:
+    """M-7 as an object for R-9: ``transform`` adds anomaly_score; absent features count as 0."""
+
+    def __init__(self, iso: IsolationForestModel, clf: PipelineModel, iso_range: tuple[float, float] | None = None):
+        self.iso, self.clf, self.iso_range = iso, clf, iso_range
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return predict(df, self.iso, self.clf, self.iso_range).drop("iso_score", "clf_score")
+
+
 def train_ensemble(features: DataFrame, trees: int = 200, psi: int = 256, max_iter: int = 450,
                    seed: int = 42):
     """M-1 … M-6: chronological split, fit both models on train, min-max ensemble on test, metrics."""

@@ -123,8 +123,8 @@ def calibration_check(tx: DataFrame) -> DataFrame:
     return shares.unionByName(bounds)
 
 
-def table_health(tx: DataFrame, scores: DataFrame, as_of: date = C.AS_OF) -> DataFrame:
-    """Q-4: freshness, null rate per column, daily row counts, score histogram, prediction count.
+def table_health(tx: DataFrame, scores: DataFrame, as_of: date) -> DataFrame:
+    """Q-4: freshness, null rate per column, daily row counts, score histogram, prediction count, pass rate of Q-1.
 
     Long table (metric, key, value); ``scores`` has an ``anomaly_score`` column.
     """
@@ -148,4 +148,7 @@ def table_health(tx: DataFrame, scores: DataFrame, as_of: date = C.AS_OF) -> Dat
             .select(F.lit("score_histogram").alias("metric"), "key", "value"))
     preds = scores.agg(F.count(F.lit(1)).cast("double").alias("value")) \
                   .select(F.lit("prediction_count").alias("metric"), F.lit("").alias("key"), "value")
+    rate = expectations(tx).agg(F.avg(F.col("passed").cast("double")).alias("value")) \
+                           .select(F.lit("check_pass_rate").alias("metric"), F.lit("").alias("key"), "value")
+    preds = preds.unionByName(rate)
     return fresh.unionByName(alarm).unionByName(nulls).unionByName(daily).unionByName(hist).unionByName(preds)

@@ -113,7 +113,7 @@ def answer_questions(questions: DataFrame, tx: DataFrame) -> DataFrame:
     response = F.when(F.col("status") == "blocked", blocked_text).otherwise(T.response_guard(answer))
     return j.select("conv_id", "turn", "merchant_id", "status", "reason", "intent",
                     response.alias("response"),
-                    F.left(F.col("question"), F.lit(100)).alias("query_snippet"),
+                    F.left(F.col("question"), F.lit(100)).alias("query_snippet"), "question",
                     F.length(response).alias("response_length"))
 
 

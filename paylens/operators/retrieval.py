@@ -1,19 +1,22 @@
 """Chunking and nearest-neighbour retrieval (K-1 … K-4, SRC-10).
 
-kNN is brute force over an ``ArrayType(float)`` column: the query set is a
-bounded, size-checked array carried as one column value, each vector row
-computes squared L2 distances to every query with ``zip_with``/``aggregate``
-(JVM-side), and ``row_number() <= k`` per query plans as a WindowGroupLimit
-that also trims map-side, so at most k candidates per query and task move.
+kNN is exact: blocks of queries meet blocks of vectors, each pair of blocks
+returns the k nearest of the block for every query, and ``row_number() <= k``
+per query (a WindowGroupLimit, trimmed before the shuffle) merges them.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paylens import constants as C
 
+#: bytes of the planner's size estimate in one block of the kNN search
+BLOCK_BYTES = 32 << 20
+
 
 def chunk_text(df: DataFrame, text: str = "text", size: int = C.CHUNK_SIZE,
                overlap: int = C.CHUNK_OVERLAP) -> DataFrame:
@@ -32,31 +35,54 @@ def chunk_text(df: DataFrame, text: str = "text", size: int = C.CHUNK_SIZE,
             .withColumn("chunk_id", (F.col("chunk_start") / step).cast("int")))
 
 
-def sq_l2(a, b):
-    """Squared L2 distance between two float arrays, summed in element order as DOUBLE."""
-    diffs = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
-    return F.aggregate(diffs, F.lit(0.0), lambda acc, d: acc + d)
+def _nearest(k: int):
+    """Cogrouped blocks (query_id, query_vec) and (id, vec) to each query's k nearest vectors of the block."""
+    def task(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        ids = vectors["id"].to_numpy()
+        x = np.stack(vectors["vec"].to_numpy()).astype(float) if len(vectors) else np.zeros((0, 0))
+        out = []
+        for query, vec in zip(queries["query_id"], queries["query_vec"]):
+            if not len(x):
+                continue
+            d = x - np.asarray(vec, float)
+            d = (d * d).cumsum(1)[:, -1]                          # summed in element order
+            best = np.lexsort((ids, d))[:k] if len(d) <= 4 * k else _smallest(d, ids, k)
+            out += [(query, int(ids[i]), float(d[i])) for i in best]
+        return pd.DataFrame(out, columns=["query_id", "id", "distance"])
+    return task
+
+
+def _smallest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the k smallest (distance, id)."""
+    near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+    return near[np.lexsort((ids[near], d[near]))][:k]
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = C.KNN_K, id_col: str = "vec_id",
-        vec_col: str = "embedding", max_queries: int = 10_000) -> DataFrame:
-    """K-3: k nearest vectors per query by squared L2 (ties -> lower id).
+        vec_col: str = "embedding") -> DataFrame:
+    """K-3: k nearest vectors per query by squared L2 (ties -> lower id), exact, for any number of queries.
 
-    ``queries`` has (query_id, query_vec).  The query set is checked to hold at
-    most ``max_queries`` rows before it is shipped to every task (as a scalar
-    array); beyond that bound use a blocked join instead.
+    ``queries`` has (query_id, query_vec).  Both sides are dealt into blocks by a
+    hash and every pair of blocks is one group; a group returns k rows per query,
+    so no row is made for each pair of a query and a vector.  The blocks' numbers
+    follow the planner's size estimates.
     """
-    n = queries.limit(max_queries + 1).count()
-    if n > max_queries:
-        raise ValueError(f"query set larger than {max_queries}; split it into batches")
-    qarr = queries.select(F.collect_list(F.struct("query_id", "query_vec")).alias("q")).scalar()
-    scored = (vectors.select(id_col, vec_col).withColumn("_q", qarr)
-              .select(id_col, F.explode(F.transform("_q", lambda q: F.struct(
-                  q["query_id"].alias("query_id"), sq_l2(q["query_vec"], F.col(vec_col)).alias("distance"))))
-                  .alias("_m"))
-              .select("_m.query_id", id_col, "_m.distance"))
-    w = Window.partitionBy("query_id").orderBy("distance", id_col)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    def blocks(df: DataFrame, size: int) -> int:
+        return max(1, min(10_000, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // size))
+
+    vb, qb = max(8, blocks(vectors, BLOCK_BYTES)), blocks(queries, BLOCK_BYTES)
+    v = vectors.filter(F.col(vec_col).isNotNull()).select(
+        F.pmod(F.xxhash64(id_col), F.lit(vb).cast("long")).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("_q"),
+        F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
+    q = queries.select(
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(vb - 1).cast("long"))).alias("_v"),
+        F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int").alias("_q"), "query_id", "query_vec")
+    kind = dict(queries.dtypes)["query_id"]
+    found = q.groupBy("_v", "_q").cogroup(v.groupBy("_v", "_q")).applyInPandas(
+        _nearest(k), f"query_id {kind}, id long, distance double")
+    w = Window.partitionBy("query_id").orderBy("distance", "id")
+    return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .withColumnRenamed("id", id_col))
 
 
 def label_exemplars(vectors: DataFrame, label: str = "label", id_col: str = "vec_id",
@@ -67,19 +93,22 @@ def label_exemplars(vectors: DataFrame, label: str = "label", id_col: str = "vec
 
 
 def retrieval_answer(neighbours: DataFrame, sources: DataFrame | None = None,
-                     source_col: str = "source", id_col: str = "vec_id") -> DataFrame:
+                     source_col: str = "source", id_col: str = "vec_id", text_col: str = "passage") -> DataFrame:
     """K-4: top-3 sources, confidence = clamp(1 - best distance), context of hits with score < .8.
 
-    ``neighbours`` is a K-3 result (query_id, id, distance, rank), at most k rows
-    per query, so the per-query ``collect_list`` is bounded by k.
+    ``sources`` gives each vector's source tag and passage; the context holds the
+    passages under their tags, joined by blank lines.  ``neighbours`` is a K-3
+    result (query_id, id, distance, rank), at most k rows per query, so the
+    per-query ``collect_list`` is bounded by k.
     """
     nb = neighbours
     if sources is not None:
-        nb = nb.join(sources.select(id_col, source_col), id_col, "left")
+        nb = nb.join(sources.select(id_col, source_col, text_col), id_col, "left") \
+               .withColumn(source_col, F.coalesce(source_col, F.lit("unknown")))
     else:
-        nb = nb.withColumn(source_col, F.concat(F.lit("vec-"), F.col(id_col).cast("string")))
+        nb = nb.withColumn(source_col, F.concat(F.lit("vec-"), F.col(id_col).cast("string"))).withColumn(text_col, F.lit(""))
     g = nb.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", source_col, "distance"))).alias("_hits"))
+        F.array_sort(F.collect_list(F.struct("rank", source_col, "distance", text_col))).alias("_hits"))
     top = F.slice("_hits", 1, C.ANSWER_TOP_SOURCES)
     ctx = F.filter("_hits", lambda h: h["distance"] < C.KNN_CONTEXT_MAX_DISTANCE)
     return g.select(
@@ -87,7 +116,8 @@ def retrieval_answer(neighbours: DataFrame, sources: DataFrame | None = None,
         F.transform(top, lambda h: h[source_col]).alias("sources"),
         F.least(F.greatest(1.0 - F.least(F.element_at("_hits", 1)["distance"], F.lit(1.0)), F.lit(0.0)),
                 F.lit(1.0)).alias("confidence"),
-        F.array_join(F.transform(ctx, lambda h: F.concat(F.lit("[Source: "), h[source_col], F.lit("]"))),
+        F.array_join(F.transform(ctx, lambda h: F.concat(F.lit("[Source: "), h[source_col], F.lit("]\n"),
+                                                    F.coalesce(h[text_col], F.lit("")))),
                      "\n\n").alias("context"),
         F.size(ctx).alias("context_hits"))
 

@@ -64,7 +64,7 @@ def baseline_scores(tx: DataFrame, threshold: float = C.DEFAULT_THRESHOLD) -> Da
             .withColumn("known_merchant", F.col("txn_count").isNotNull()))
 
 
-def anomaly_review(tx: DataFrame, days: int = 7, as_of: date = C.AS_OF) -> DataFrame:
+def anomaly_review(tx: DataFrame, days: int, as_of: date) -> DataFrame:
     """R-5: last-N-days rows scored clamp(z/10) (sign kept), flagged above .7, per merchant."""
     start = datetime.combine(as_of - timedelta(days=days), datetime.min.time())
     b = merchant_baseline(tx)
@@ -98,6 +98,46 @@ def explain(features: DataFrame) -> DataFrame:
     return features.withColumn("explanation", R.explain_topk(cols))
 
 
+def score_requests(requests: DataFrame, tx: DataFrame, features: DataFrame | None = None, model=None,
+                   threshold: float = C.DEFAULT_THRESHOLD) -> DataFrame:
+    """R-9 per request: score, level, mode and explanation; unknown merchants are rejected.
+
+    ``requests`` has request_id, merchant_id, amount_aud and hour_of_day.  Each is
+    held against its merchant's mean and sample deviation; ``features`` (W-17 per
+    merchant) joins the other inputs for ``model`` (M-7: ``transform`` adds
+    anomaly_score).  Without a model the score is the heuristic one.
+    """
+    base = merchant_baseline(tx)
+    r = requests.join(base, "merchant_id", "left")
+    known = F.coalesce(F.col("txn_count"), F.lit(0)) > 0
+    avg, std = F.coalesce("avg_amount", F.lit(0.0)), F.coalesce("std_amount", F.lit(0.0))
+    hour = F.col("hour_of_day")
+    r = r.withColumn("_known", known).withColumn(
+        "amount_zscore", (F.col("amount_aud") - avg) / F.greatest(std, F.lit(C.STD_FLOOR)))
+    r = r.withColumn("is_outside_business_hours", ((hour < 8) | (hour > 20)).cast("double"))
+    if model is not None:
+        if features is not None:
+            rest = [c for c in features.columns if c == "merchant_id" or c not in r.columns]
+            r = r.join(features.select(*rest), "merchant_id", "left")
+        r = model.transform(r)
+        mode = F.lit("model")
+    else:
+        r = r.withColumn("anomaly_score", R.heuristic_score("amount_zscore"))
+        mode = F.lit("heuristic")
+    score = F.col("anomaly_score")
+    explanation = F.struct(
+        round_half("amount_zscore", 3).alias("amount_zscore"), hour.cast("int").alias("hour_of_day"),
+        round_half(avg, 2).alias("merchant_avg"), round_half(std, 2).alias("merchant_std"),
+        (F.col("is_outside_business_hours") >= 0.5).alias("is_outside_business_hours"))
+    own = F.col("_known")
+    return r.select(
+        "request_id", "merchant_id", "amount_aud",
+        F.when(own, F.lit("scored")).otherwise(F.lit("merchant_not_found")).alias("status"),
+        F.when(own, round_half(score, 4)).alias("anomaly_score"), F.when(own, score > threshold).alias("is_anomaly"),
+        F.when(own, R.risk_level(score)).alias("risk_level"), F.when(own, F.lit(round(threshold, 4))).alias("threshold_used"),
+        F.when(own, mode).alias("scoring_mode"), F.when(own, explanation).alias("explanation"))
+
+
 def score_transactions(features: DataFrame, model=None, threshold: float = C.DEFAULT_THRESHOLD) -> DataFrame:
     """R-9: features -> model (M-7) or heuristic -> score, level, action, explanation."""
     if model is not None:

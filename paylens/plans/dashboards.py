@@ -111,7 +111,7 @@ LEFT JOIN (
   GROUP BY state) a ON a.state = s.state
 ORDER BY s.state"""))
 def q_threat_map(spark, sf_dir):
-    return D.threat_map(transactions(spark, sf_dir), 30)
+    return D.threat_map(transactions(spark, sf_dir), 30, C.AS_OF)
 
 
 @register("merchant_revenue", "A-10", with_transactions(f"""
@@ -164,7 +164,7 @@ SELECT merchant_id, CAST("timestamp" AS DATE) AS day, {R(SUM('amount_aud'), 2)}
 FROM transactions WHERE CAST("timestamp" AS DATE) >= {AS_OF} - 30
 GROUP BY 1, 2"""))
 def q_merchant_revenue_trend(spark, sf_dir):
-    return D.merchant_revenue_trend(transactions(spark, sf_dir), 30)
+    return D.merchant_revenue_trend(transactions(spark, sf_dir), 30, C.AS_OF)
 
 
 @register("merchant_severity", "A-16", with_transactions(f"""

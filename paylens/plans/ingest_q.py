@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paylens import constants as C
 from paylens.functions.numeric import round_half
+from paylens.functions.numeric import sql_money_avg as _AVG
 from paylens.functions.numeric import sql_round as R
 from paylens.operators import cleaning as CL
 from paylens.operators import dashboards as D
@@ -13,14 +14,21 @@ from paylens.operators import drift as DR
 from paylens.operators import features as FT
 from paylens.operators import joins as J
 from paylens.operators import quality as Q
-from paylens.plans.features_q import ROUNDED_FEATURES_CTE, TRAINING_FEATURES_CTES, rounded_training_features
+from paylens.plans.features_q import REALTIME_SQL, ROUNDED_FEATURES_CTE, TRAINING_FEATURES_CTES, rounded_training_features
 from paylens.plans.quality_q import _CATEG, _is_current, _psi_sql
-from paylens.plans.registry import register
+from paylens.plans import dashboards as _dashboards  # noqa: F401  (its oracles are reused)
+from paylens.plans.registry import ORACLES, register
 from paylens.sources import payloads as PL
 from paylens.sources import records as RC
 from paylens.sources import seeds as SD
 from paylens.sources.tables import TRANSACTION_COLUMNS, read_table, transactions, with_transactions
 
+def _own(name: str) -> str:
+    """The body of another query's oracle, without its table expressions."""
+    body = ORACLES[name]
+    return body[body.rindex("\nSELECT"):].strip()
+
+
 TXC = ", ".join('"timestamp"' if c == "timestamp" else c for c in TRANSACTION_COLUMNS)
 
 
@@ -260,19 +268,51 @@ def q_drift_metrics(spark, sf_dir):
                     F.col("dimensions")["Environment"].alias("environment"))
 
 
-@register("feature_records", "SNK-7")
+_RT_NAMES = [n for n, _, _ in C.FEATURE_REGISTRY]
+
+
+@register("feature_records", "SNK-7", REALTIME_SQL.replace(
+    "\nSELECT g.merchant_id,", ",\n    rt AS (SELECT g.merchant_id,", 1) + ")\n" + " UNION ALL ".join(
+    f"SELECT merchant_id, '{n}' AS \"FeatureName\", printf('%.6f', {n}) AS \"ValueAsString\" FROM rt" for n in _RT_NAMES))
 def q_feature_records(spark, sf_dir):
-    """EAV projection of the realtime feature snapshot (string values: rows-only check)."""
+    """EAV projection of the realtime feature snapshot, values in fixed notation with six decimals."""
     from paylens.sinks.writers import feature_records
-    return feature_records(FT.realtime_features(transactions(spark, sf_dir)))
+    f = FT.realtime_features(transactions(spark, sf_dir))
+    return feature_records(f.select("merchant_id", *[F.format_string("%.6f", round_half(n, 6)).alias(n) for n in _RT_NAMES]))
+
+
+_DASHBOARD_SQL = with_transactions("""
+SELECT sev.merchant_id, sev.high, sev.medium, sev.low, pct.state_percentile, tr.trend_days, tr.trend, sh.methods, pk.peak_hours
+FROM sev JOIN pct USING (merchant_id) LEFT JOIN tr USING (merchant_id) JOIN sh USING (merchant_id) JOIN pk USING (merchant_id)""",
+    *[f"{name} AS ({sql})" for name, sql in (
+        ("sev", _own("merchant_severity")), ("ms", f"SELECT merchant_id, {_AVG('amount_aud')} AS avg_ticket FROM transactions GROUP BY merchant_id"),
+        ("pct", _own("merchant_percentile")), ("trd", _own("merchant_revenue_trend")), ("shd", _own("merchant_payment_share")),
+        ("pkd", _own("merchant_peak_hours")),
+        ("tr", "SELECT merchant_id, CAST(COUNT(*) AS INTEGER) AS trend_days, string_agg(strftime(day, '%Y-%m-%d') || '=' || printf('%.2f', revenue), ',' ORDER BY day) AS trend FROM trd GROUP BY merchant_id"),
+        ("sh", "SELECT merchant_id, string_agg(method || '=' || printf('%.4f', share), ',' ORDER BY share DESC, method DESC) AS methods FROM shd GROUP BY merchant_id"),
+        ("pk", "SELECT merchant_id, string_agg(CAST(hour AS VARCHAR), ',' ORDER BY rank) AS peak_hours FROM pkd GROUP BY merchant_id"))])
 
 
-@register("merchant_dashboard", "A-18")
+@register("merchant_dashboard", "A-18", _DASHBOARD_SQL)
 def q_merchant_dashboard(spark, sf_dir):
-    """Bundle of A-15, A-16, J-3, A-17, A-12 per merchant (nested, rows-only check)."""
+    """The bundle's nested columns as text."""
+    b = merchant_bundle(spark, sf_dir)
+    join = lambda c, f: F.array_join(F.transform(c, f), ",")
+    return b.select(
+        "merchant_id", *[F.col(f"anomaly_summary.{c}").alias(c) for c in ("high", "medium", "low")],
+        F.col("category_benchmark.state_percentile").alias("state_percentile"),
+        F.when(F.col("revenue_trend_30d").isNotNull(), F.size("revenue_trend_30d")).alias("trend_days"),
+        join("revenue_trend_30d", lambda x: F.concat(x["day"].cast("string"), F.lit("="), F.format_string("%.2f", x["revenue"])))
+        .alias("trend"),
+        join("top_payment_methods", lambda x: F.concat(x["method"], F.lit("="), F.format_string("%.4f", x["s"]))).alias("methods"),
+        F.array_join(F.transform("peak_hours", lambda h: h.cast("string")), ",").alias("peak_hours"))
+
+
+def merchant_bundle(spark, sf_dir):
+    """Bundle of A-15, A-16, J-3, A-17, A-12 per merchant (nested)."""
     from paylens.operators.ranking import merchant_percentile
     tx = transactions(spark, sf_dir)
-    trend = (D.merchant_revenue_trend(tx, 30).groupBy("merchant_id")
+    trend = (D.merchant_revenue_trend(tx, 30, C.AS_OF).groupBy("merchant_id")
              .agg(F.array_sort(F.collect_list(F.struct("day", "revenue"))).alias("revenue_trend_30d")))  # <= 30+1
     sev = D.merchant_severity(tx).select("merchant_id", F.struct("high", "medium", "low").alias("anomaly_summary"))
     pct = merchant_percentile(tx).select("merchant_id", F.struct("state_percentile").alias("category_benchmark"))

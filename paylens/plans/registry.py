@@ -33,7 +33,7 @@ def register(name: str, op_id: str, oracle: str | None = None):
 def load_all() -> None:
     """Import every plan module so that their queries register."""
     from paylens.plans import (  # noqa: F401
-        dashboards, features_q, scoring_q, quality_q, text_q, ingest_q, ml_q, stream_q,
+        dashboards, features_q, scoring_q, quality_q, text_q, ingest_q, ml_q, stream_q, varied_q, operators_q,
     )
 
 

@@ -103,7 +103,7 @@ FROM (SELECT merchant_id, least(greatest({BASE_Z} / 10.0, 0.0), 1.0) AS s
       WHERE "timestamp" >= CAST({AS_OF} - 7 AS TIMESTAMP)) r
 GROUP BY merchant_id""", BASELINE))
 def q_anomaly_review(spark, sf_dir):
-    return S.anomaly_review(transactions(spark, sf_dir), 7)
+    return S.anomaly_review(transactions(spark, sf_dir), 7, C.AS_OF)
 
 
 @register("stream_score", "R-6", with_transactions("""

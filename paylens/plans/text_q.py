@@ -209,7 +209,7 @@ FROM g JOIN (
 @register("answer_questions", "X-10", _ANSWER_SQL)
 def q_answer_questions(spark, sf_dir):
     q = QA.questions_from_conversations(read_table(spark, sf_dir, "conversations"), read_table(spark, sf_dir, "events"))
-    return QA.answer_questions(q, transactions(spark, sf_dir))
+    return QA.answer_questions(q, transactions(spark, sf_dir)).drop("question")
 
 
 @register("request_scope_check", "X-11", f"""
@@ -248,15 +248,25 @@ _KNN_CTE = f"""nn AS (
   SELECT query_id, vec_id, distance, rank FROM (
     SELECT q.query_id, v.vec_id, {_DIST} AS distance,
            CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY {_DIST}, v.vec_id) AS INTEGER) AS rank
-    FROM embeddings v, (SELECT label AS query_id, arg_min(embedding, vec_id) AS query_vec FROM embeddings GROUP BY label) q
+    FROM embeddings v, (SELECT label AS query_id, arg_min(embedding, vec_id) AS query_vec FROM embeddings GROUP BY label
+                          UNION ALL SELECT 1000 + label, list_transform(arg_min(embedding, vec_id), lambda x: CAST(x * 3 AS FLOAT))
+                          FROM embeddings GROUP BY label) q
   ) s WHERE rank <= {C.KNN_K})"""
 
 
+def query_vectors(e):
+    """Every label's exemplar, and a stretched copy of it that is no vector of the corpus."""
+    own = K.label_exemplars(e)
+    far = own.select((F.col("query_id") + 1000).cast("int").alias("query_id"),
+                     F.transform("query_vec", lambda x: (x * 3).cast("float")).alias("query_vec"))
+    return own.union(far)
+
+
 @register("knn_search", "K-3", f"""
 WITH {_KNN_CTE} SELECT query_id, vec_id, {R('distance', 6)} AS distance, rank FROM nn""")
 def q_knn_search(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
-    r = K.knn(e, K.label_exemplars(e))
+    r = K.knn(e, query_vectors(e))
     return r.select("query_id", "vec_id", round_half("distance", 6).alias("distance"), "rank")
 
 
@@ -265,13 +275,16 @@ WITH {_KNN_CTE}
 SELECT query_id,
        string_agg('vec-' || CAST(vec_id AS VARCHAR), ',' ORDER BY rank) FILTER (WHERE rank <= 3) AS sources,
        {R('least(greatest(1.0 - least(MIN(distance), 1.0), 0.0), 1.0)', 6)} AS confidence,
-       COALESCE(string_agg('[Source: vec-' || CAST(vec_id AS VARCHAR) || ']', chr(10) || chr(10) ORDER BY rank)
-                FILTER (WHERE distance < 0.8), '') AS context,
+       COALESCE(string_agg('[Source: vec-' || CAST(vec_id AS VARCHAR) || ']' || chr(10) || COALESCE(substring(d.text, 1, {C.CHUNK_SIZE}), ''),
+                           chr(10) || chr(10) ORDER BY rank) FILTER (WHERE distance < 0.8), '') AS context,
        CAST(COUNT(*) FILTER (WHERE distance < 0.8) AS INTEGER) AS context_hits
-FROM nn GROUP BY query_id""")
+FROM nn LEFT JOIN documents d ON d.doc_id = nn.vec_id GROUP BY query_id""")
 def q_retrieval_answer(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
-    a = K.retrieval_answer(K.knn(e, K.label_exemplars(e)))
+    first = K.chunk_text(read_table(spark, sf_dir, "documents").select("doc_id", "text")).filter("chunk_id = 0")
+    passages = e.select("vec_id", F.concat(F.lit("vec-"), F.col("vec_id").cast("string")).alias("source")).join(
+        first.select(F.col("doc_id").alias("vec_id"), F.col("chunk").alias("passage")), "vec_id", "left")
+    a = K.retrieval_answer(K.knn(e, query_vectors(e)), passages)
     return a.select("query_id", F.array_join("sources", ",").alias("sources"),
                     round_half("confidence", 6).alias("confidence"), "context", "context_hits")
 

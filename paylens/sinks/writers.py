@@ -7,9 +7,7 @@ re-run micro-batch never duplicates rows.
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -24,12 +22,13 @@ def write_partitioned(df: DataFrame, path: str, partition_cols: list[str], mode:
      .option("partitionOverwriteMode", "static").partitionBy(*partition_cols).parquet(path))
 
 
-def append_table(df: DataFrame, table: str) -> None:
-    """SNK-2: append to a catalog table (created on first write)."""
+def append_table(df: DataFrame, table: str, path: str | None = None) -> None:
+    """SNK-2: append to a catalog table (created on first write, at ``path`` if given)."""
     if df.sparkSession.catalog.tableExists(table):
         df.write.mode("append").insertInto(table)
     else:
-        df.write.mode("append").saveAsTable(table)
+        w = df.write.mode("append")
+        (w.option("path", path) if path else w).saveAsTable(table)
 
 
 def write_dataset(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
@@ -65,8 +64,27 @@ def write_raw_json(df: DataFrame, path: str) -> None:
      .partitionBy("year", "month", "day", "hour").json(path))
 
 
-def audit_rows(answers: DataFrame) -> DataFrame:
-    """SNK-6: one audit row per question (blocked or agent interaction), union schema."""
+def prediction_rows(scores: DataFrame, model_version: str, features_used: list[str]) -> DataFrame:
+    """SNK-6 ml_prediction events of scored transactions (transaction_id, merchant_id, anomaly_score,
+    explanation)."""
+    now = F.current_timestamp()
+    return scores.select(
+        F.lit("ml_prediction").alias("event_type"), now.alias("timestamp"), "transaction_id", "merchant_id",
+        "anomaly_score", F.lit(model_version).alias("model_version"),
+        F.array(*[F.lit(f) for f in features_used]).alias("features_used"),
+        F.col("explanation").alias("explanation_summary"),
+        F.year(now).alias("year"), F.format_string("%02d", F.month(now)).alias("month"),
+        F.format_string("%02d", F.dayofmonth(now)).alias("day"))
+
+
+def audit_rows(answers: DataFrame, request_id: Column | None = None, confidence: float = 0.9) -> DataFrame:
+    """SNK-6: one audit row per question (blocked or agent interaction), union schema.
+
+    ``request_id`` defaults to conversation and turn; ``confidence`` is that of
+    answers computed from the tables.
+    """
+    if request_id is None:
+        request_id = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     now = F.current_timestamp()
     blocked = F.col("status") == "blocked"
     return answers.select(
@@ -75,6 +93,9 @@ def audit_rows(answers: DataFrame) -> DataFrame:
         F.when(blocked, F.col("query_snippet")).alias("query_snippet"),
         F.when(blocked, F.col("reason")).alias("block_reason"),
         F.when(blocked, F.lit("HIGH")).alias("severity"),
+        F.when(~blocked, request_id).alias("request_id"),
+        F.when(~blocked, F.col("question")).alias("query"),
+        F.when(~blocked, F.lit(confidence)).alias("confidence"),
         F.when(~blocked, F.col("intent")).alias("intent_classified"),
         F.when(~blocked, F.col("response_length")).alias("response_length"),
         F.year(now).alias("year"), F.format_string("%02d", F.month(now)).alias("month"),
@@ -105,7 +126,6 @@ def append_metrics(metrics: DataFrame, path: str) -> None:
     metrics.withColumn("published_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
-def write_report(spark: SparkSession, report: dict, path: str) -> None:
-    """SNK-9: a one-row JSON report."""
-    spark.createDataFrame([(json.dumps(report, default=str),)], "value string") \
-         .coalesce(1).write.mode("overwrite").text(path)
+def write_report(report: DataFrame, path: str) -> None:
+    """SNK-9: a report frame (A-21, one row) as one JSON file."""
+    report.coalesce(1).write.mode("overwrite").json(path)

@@ -8,6 +8,9 @@ twin (``TRANSACTIONS_SQL``) is generated from the same constants.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,9 +105,46 @@ def cached(spark: SparkSession, key: tuple, build) -> DataFrame:
     return _CACHE[k]
 
 
+# ---- varied twin: the same rows with the cases that the driver's events lack --------------
+
+# Changes by event number n, as expressions that both engines read alike.
+_N = "CAST(substr(transaction_id, 2) AS BIGINT)"
+VARIED = {
+    "amount_aud": f"CASE WHEN {_N} % 40 = 0 THEN amount_aud * 64 WHEN {_N} % 41 = 0 THEN NULL "
+                  f"WHEN {_N} % 43 = 0 THEN -amount_aud WHEN {_N} % 37 = 0 THEN amount_aud * 8192 ELSE amount_aud END",
+    "merchant_category": f"CASE WHEN {_N} % 47 = 0 THEN 'unknown' WHEN {_N} % 53 = 0 THEN NULL ELSE merchant_category END",
+    "state": f"CASE WHEN {_N} % 59 = 0 THEN 'ZZ' ELSE state END",
+    "payment_terminal": f"CASE WHEN {_N} % 61 = 0 THEN 'crypto' ELSE payment_terminal END",
+    "currency": f"CASE WHEN {_N} % 67 = 0 THEN 'USD' ELSE currency END",
+    "timestamp": f"CASE WHEN {_N} % 3 = 0 THEN \"timestamp\" + INTERVAL '45' DAY ELSE \"timestamp\" END",
+    "transaction_id": f"CASE WHEN {_N} % 71 = 0 THEN NULL WHEN {_N} % 73 = 0 THEN 'T0000000001' ELSE transaction_id END",
+}
+
+
+def varied_transactions(tx: DataFrame) -> DataFrame:
+    """Transactions with large, negative and null amounts, unknown and null categories, an unknown
+    state and terminal, a second currency, rows 45 days later, and null and repeated ids."""
+    return tx.selectExpr(*[f"{VARIED[c].replace(chr(34), chr(96))} AS `{c}`" if c in VARIED else f"`{c}`"
+                           for c in tx.columns])
+
+
+_variant = contextvars.ContextVar("transactions_variant", default="given")
+
+
+@contextlib.contextmanager
+def variant(name: str):
+    """Within the context, :func:`transactions` gives the named variant ("given" or "varied")."""
+    token = _variant.set(name)
+    try:
+        yield
+    finally:
+        _variant.reset(token)
+
+
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cached(spark, ("transactions", sf_dir),
-                  lambda: events_to_transactions(read_table(spark, sf_dir, "events")))
+    given = cached(spark, ("transactions", sf_dir),
+                   lambda: events_to_transactions(read_table(spark, sf_dir, "events")))
+    return varied_transactions(given) if _variant.get() == "varied" else given
 
 
 # ---- DuckDB twin ----------------------------------------------------------------
@@ -157,6 +197,16 @@ def transactions_sql() -> str:
 TRANSACTIONS_SQL = transactions_sql()
 
 
+def varied_sql(oracle: str) -> str:
+    """An oracle over transactions, read over the varied twin."""
+    given = TRANSACTIONS_SQL.strip()
+    assert given in oracle
+    columns = ", ".join((f"{VARIED[c]} AS " if c in VARIED else "") + (f'"{c}"' if c == "timestamp" else c)
+                        for c in TRANSACTION_COLUMNS)
+    renamed = given.replace("transactions AS (", "given_transactions AS (", 1)
+    return oracle.replace(given, f"{renamed},\n    transactions AS (SELECT {columns} FROM given_transactions)")
+
+
 def with_transactions(body: str, *ctes: str) -> str:
     """Prefix an oracle query with the adapter CTE (and optional further CTEs)."""
     extra = "".join(f",\n    {c}" for c in ctes)

@@ -75,7 +75,7 @@ def test_audit_snapshot_report(spark):
     assert snap.count() == tx.select("merchant_id").distinct().count()
     recs = W.feature_records(snap.select("merchant_id", "amount_aud", "state"))
     assert recs.count() == 2 * snap.count()
-    W.write_report(spark, {"success_count": 7}, f"{root}/report")
+    W.write_report(spark.range(1).select(F.lit(7).alias("success_count")), f"{root}/report")
     assert json.loads(spark.read.text(f"{root}/report").first()[0]) == {"success_count": 7}
 
 
