@@ -1,6 +1,6 @@
 """Numeric column helpers with engine-independent results.
 
-Money is summed as DECIMAL(18,2) (exact for 2-decimal amounts) and converted to
+Money is summed as DECIMAL(24,6) (exact for up to six decimals) and converted to
 DOUBLE last, so partition order never changes a result.  Rounding is half away
 from zero through ``floor`` on doubles, which every SQL engine evaluates with the
 same IEEE operations; each helper has a SQL twin used by the oracle queries.
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,2)"
+MONEY = "decimal(24,6)"
 
 
 def col(c) -> Column:
@@ -40,7 +40,7 @@ def money_sum(c) -> Column:
 
 
 def sql_money_sum(expr: str) -> str:
-    return f"CAST(SUM(CAST({expr} AS DECIMAL(18,2))) AS DOUBLE)"
+    return f"CAST(SUM(CAST({expr} AS DECIMAL(24,6))) AS DOUBLE)"
 
 
 def money_avg(c) -> Column:
@@ -49,7 +49,7 @@ def money_avg(c) -> Column:
 
 
 def sql_money_avg(expr: str) -> str:
-    return (f"(CAST(SUM(CAST({expr} AS DECIMAL(18,2))) AS DOUBLE) / "
+    return (f"(CAST(SUM(CAST({expr} AS DECIMAL(24,6))) AS DOUBLE) / "
             f"NULLIF(CAST(COUNT({expr}) AS DOUBLE), 0.0))")
 
 

@@ -51,7 +51,7 @@ def overview(tx: DataFrame) -> DataFrame:
     """
     per = tx.groupBy("merchant_id", "state").agg(
         F.count(_L.ONE).alias("n"),
-        F.sum(F.col("amount_aud").cast("decimal(18,2)")).alias("s"),
+        F.sum(F.col("amount_aud").cast("decimal(24,6)")).alias("s"),
         F.count("amount_aud").alias("na"),
         count_if(_L.FRAUD).alias("f"))
     tot = per.agg(
@@ -172,7 +172,7 @@ def threat_map(tx: DataFrame, days: int, as_of: date) -> DataFrame:
                       _L.ONE.cast("bigint").alias("transaction_count"),
                       F.when(_L.FRAUD, 1).otherwise(0).cast("bigint").alias("fraud_count"),
                       F.when(_L.FRAUD, F.col("amount_aud")).otherwise(F.lit(0.0))
-                       .cast("decimal(18,2)").alias("fraud_value")))
+                       .cast("decimal(24,6)").alias("fraud_value")))
     per_state = spine_fill(recent, "state", C.STATES,
                            ["transaction_count", "fraud_count", "fraud_value"])
     # the spine has exactly len(STATES) rows, so an unpartitioned window is bounded

@@ -66,7 +66,9 @@ def psi_columns(df: DataFrame, is_current: Column, numeric: list[str], categoric
     (min/max as scalar subqueries); categorical columns use their values.
     PSI = sum((c - r) * ln(c / r)) over bins with shares floored at ``eps``.
     """
-    tagged = df.withColumn("_period", F.when(is_current, F.lit("current")).otherwise(F.lit("reference")))
+    from paylens.session import cut_lineage
+    tagged = cut_lineage(df.select(*numeric, *categorical, F.when(is_current, F.lit("current"))
+                                   .otherwise(F.lit("reference")).alias("_period")))      # read twice below
     # numeric: long (feature, x) rows, reference ranges per feature (one row per column, a
     # bound set by the column list) joined back by broadcast
     num = tagged.select("_period", *[F.col(c).cast("double").alias(c) for c in numeric]) \

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paylens import constants as C
+from paylens.session import cut_lineage
 from paylens.operators.ranking import global_cumulative, ordered_positions
 
 
@@ -42,10 +43,10 @@ def select_threshold(curve: DataFrame):
 def evaluate(df: DataFrame, score: str = "score", label: str = "label", threshold=None) -> DataFrame:
     """M-4: ROC AUC (ties count half), average precision, P/R/F1 at the threshold, counts.
 
-    The curve is persisted once (it has one row per distinct score) and every
-    scalar below is referenced exactly once, so the plan stays linear in size.
+    The curve (one row per distinct score) is written once to the checkpoint
+    folder and read by the aggregates below.
     """
-    curve = pr_curve(df, score, label).persist()
+    curve = cut_lineage(pr_curve(df, score, label))
     if threshold is None:
         thr_row = curve.agg(F.max_by("score", F.struct(F.col("f1"), -F.col("score"))).alias("t"))
         thr = thr_row.select(F.coalesce(F.least(F.greatest(F.col("t"), F.lit(0.05)), F.lit(0.95)),

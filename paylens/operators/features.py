@@ -169,7 +169,7 @@ def training_features(tx: DataFrame, heavy_rows: int | None = 2_000_000,
     whole history has to fit one task.  Every later window refines those keys and
     reuses the shuffle.  Moving counts, sums, means, ratios and the 30-day sample
     std are differences of incremental running sums (money in exact integer
-    cents, the variance numerator in exact DECIMAL, so a constant window has a
+    millionths, the variance numerator in exact DECIMAL, so a constant window has a
     std of exactly 0); the 7-day max uses segment prefix/suffix maxima.  No frame
     is re-aggregated per row, so cost stays O(n log n) for dense merchants.  The
     state mean (J-5) is an aggregate joined back.
@@ -193,22 +193,22 @@ def training_features(tx: DataFrame, heavy_rows: int | None = 2_000_000,
     base = (base.select("*", seg.alias("_seg")).select(*cols, pre.alias("_pre"), suf.alias("_suf"))
             .select(*cols, F.greatest(F.col("_pre"), F.max("_suf").over(back)).alias("max_amount_7d")))
     amt = F.col("amount_aud")
-    cents = F.when(data, F.rint(amt * 100.0).cast("long"))
+    micros = F.when(data, F.rint(amt * 1e6).cast("long"))
     has_amt = (data & amt.isNotNull()).cast("long")
     has_id = (data & F.col("transaction_id").isNotNull()).cast("long")
     one = data.cast("long")
     h1, d1, d30 = WINDOW_US["1H"], WINDOW_US["24H"], WINDOW_US["30D"]
     n7 = moving_sum(has_amt, keys, d7)
     n30 = moving_sum(has_amt, keys, d30)
-    s7 = moving_sum(cents, keys, d7)
-    s30 = moving_sum(cents, keys, d30)
-    q30 = moving_sum(cents.cast("decimal(38,0)") * cents.cast("decimal(38,0)"), keys, d30)
+    s7 = moving_sum(micros, keys, d7)
+    s30 = moving_sum(micros, keys, d30)
+    q30 = moving_sum(micros.cast("decimal(38,0)") * micros.cast("decimal(38,0)"), keys, d30)
     rows7 = moving_sum(one, keys, d7)
     f = base.select(
         *[F.col(c) for c in tx.columns], "_primary", "_q", "max_amount_7d",
         moving_sum(has_id, keys, h1).cast("double").alias("txn_velocity_1h"),
         moving_sum(has_id, keys, d1).cast("double").alias("txn_velocity_24h"),
-        (s7.cast("double") / 100.0 / F.nullif(n7, F.lit(0)).cast("double")).alias("avg_amount_7d"),
+        (s7.cast("double") / 1e6 / F.nullif(n7, F.lit(0)).cast("double")).alias("avg_amount_7d"),
         n30.alias("_n30"), s30.alias("_s30"), q30.alias("_q30"),
         (moving_sum(one, keys, d1)
          - (F.coalesce(F.sum(F.when(data, F.col("_close_prev"))).over(_upto(keys)), F.lit(0))
@@ -222,7 +222,7 @@ def training_features(tx: DataFrame, heavy_rows: int | None = 2_000_000,
     ).filter(F.col("_primary") & data)
     n = F.col("_n30")
     var_num = n.cast("decimal(20,0)") * F.col("_q30") - F.col("_s30").cast("decimal(38,0)") * F.col("_s30")
-    std = F.coalesce(F.when(n >= 2, F.sqrt(var_num.cast("double") / (n * (n - 1)).cast("double")) / 100.0),
+    std = F.coalesce(F.when(n >= 2, F.sqrt(var_num.cast("double") / (n * (n - 1)).cast("double")) / 1e6),
                      F.lit(0.0))
     std_safe = F.when(std == 0, F.lit(C.STD_FLOOR)).otherwise(std)
     avg7 = F.col("avg_amount_7d")
@@ -261,19 +261,19 @@ def batch_day_features(tx: DataFrame, day: date, lookback: bool = False) -> Data
     # closed frames [t - w, t] as running-sum differences (rows at or before t - w - 1us drop out)
     keys = ("merchant_id",)
     amt = F.col("amount_aud")
-    cents = F.rint(amt * 100.0).cast("long")
+    micros = F.rint(amt * 1e6).cast("long")
     has_amt = amt.isNotNull().cast("long")
     n7 = moving_sum(has_amt, keys, 7 * DAY_US + 1)
     n30 = moving_sum(has_amt, keys, 30 * DAY_US + 1)
-    s30 = moving_sum(cents, keys, 30 * DAY_US + 1)
-    q30 = moving_sum(cents.cast("decimal(38,0)") * cents.cast("decimal(38,0)"), keys, 30 * DAY_US + 1)
+    s30 = moving_sum(micros, keys, 30 * DAY_US + 1)
+    q30 = moving_sum(micros.cast("decimal(38,0)") * micros.cast("decimal(38,0)"), keys, 30 * DAY_US + 1)
     var_num = n30.cast("decimal(20,0)") * q30 - s30.cast("decimal(38,0)") * s30
     out = rows.select(
         "merchant_id", "transaction_id", "timestamp",
         moving_sum(F.lit(1).cast("long"), keys, HOUR_US + 1).alias("txn_velocity_1h"),
-        (moving_sum(cents, keys, 7 * DAY_US + 1).cast("double") / 100.0
+        (moving_sum(micros, keys, 7 * DAY_US + 1).cast("double") / 1e6
          / F.nullif(n7, F.lit(0)).cast("double")).alias("avg_amount_7d"),
-        F.when(n30 >= 2, F.sqrt(var_num.cast("double") / (n30 * (n30 - 1)).cast("double")) / 100.0)
+        F.when(n30 >= 2, F.sqrt(var_num.cast("double") / (n30 * (n30 - 1)).cast("double")) / 1e6)
          .alias("stddev_amount_30d"),
         F.hour("timestamp").alias("hour_of_day"),
         "is_fraud",
@@ -325,11 +325,6 @@ def realtime_features(tx: DataFrame, current: DataFrame | None = None,
     hist = merchant_history(tx, limit)
     anchor = F.max("_ts_us").over(Window.partitionBy("merchant_id"))
     hist = hist.withColumn("_ts_us", ts_micros()).withColumn("_anchor", anchor)
-    if current is None:
-        current = latest_snapshot(tx.select("merchant_id", "timestamp", "transaction_id",
-                                            "amount_aud", "state"))
-    cur = current.select("merchant_id", F.col("amount_aud").alias("_cur_amount"),
-                         F.col("state").alias("_cur_state"), F.col("timestamp").alias("_cur_ts"))
 
     def within(key: str) -> Column:
         return F.col("_ts_us") >= F.col("_anchor") - F.lit(WINDOW_US[key])
@@ -349,10 +344,17 @@ def realtime_features(tx: DataFrame, current: DataFrame | None = None,
         F.avg(F.when(within("7D"), indicator(F.col("is_outside_business_hours")))).alias("off_hours_txn_ratio_7d"),
         F.avg(F.when(within("30D"), amt)).alias("_avg30"),
         newest_state.alias("_last_state"),
+        F.max(F.struct("timestamp", "transaction_id", "amount_aud", "state")).alias("_newest"),
         F.collect_list(F.when(within("30D"), F.struct("state", "amount_aud"))).alias("_w30"),
     )
     # per-state mean inside the merchant's 30-day window: at most `limit` entries per merchant
-    j = g.join(cur, "merchant_id", "left")
+    if current is None:                              # the newest row of the history stands in
+        j = g.select("*", F.col("_newest.amount_aud").alias("_cur_amount"), F.col("_newest.state").alias("_cur_state"),
+                     F.col("_newest.timestamp").alias("_cur_ts"))
+    else:
+        j = g.join(current.select("merchant_id", F.col("amount_aud").alias("_cur_amount"),
+                                  F.col("state").alias("_cur_state"), F.col("timestamp").alias("_cur_ts")),
+                   "merchant_id", "left")
     st = F.coalesce(F.col("_cur_state"), F.col("_last_state"))
     in_state = F.filter("_w30", lambda r: r["state"] == st)
     state_sum = F.aggregate(in_state, F.lit(0.0), lambda acc, r: acc + r["amount_aud"])

@@ -51,10 +51,10 @@ def merchant_answers(tx: DataFrame) -> DataFrame:
     from paylens.functions.numeric import round_half
     cube = tx.groupBy("merchant_id", "merchant_category", "state", F.hour("timestamp").alias("hour")).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("amount_aud").cast("decimal(18,2)")).alias("s"),
+        F.sum(F.col("amount_aud").cast("decimal(24,6)")).alias("s"),
         F.count("amount_aud").alias("na"),
         F.count(F.when(F.col("is_fraud"), 1)).alias("f"),
-        F.sum(F.when(F.col("is_fraud"), F.col("amount_aud")).otherwise(F.lit(0.0)).cast("decimal(18,2)")).alias("fs"))
+        F.sum(F.when(F.col("is_fraud"), F.col("amount_aud")).otherwise(F.lit(0.0)).cast("decimal(24,6)")).alias("fs"))
     per_m = cube.groupBy("merchant_id").agg(
         F.sum("n").alias("transaction_count"), F.sum("s").alias("_s"), F.sum("na").alias("_na"),
         F.sum("f").alias("fraud_count"), F.sum("fs").alias("_fs"))

@@ -57,7 +57,8 @@ def global_cumulative(df: DataFrame, key: str, measures: list[str], buckets: int
 def merchant_percentile(tx: DataFrame) -> DataFrame:
     """W-15 / J-3 for all merchants: % of merchants whose mean ticket <= own."""
     from paylens.functions.numeric import money_avg
-    avg = tx.groupBy("merchant_id").agg(money_avg("amount_aud").alias("avg_ticket"))
+    from paylens.session import cut_lineage
+    avg = cut_lineage(tx.groupBy("merchant_id").agg(money_avg("amount_aud").alias("avg_ticket")))   # one read of tx
     total = avg.select(F.count(F.lit(1))).scalar()
     # G-1 pre-aggregates by the key itself, so merchants sharing a mean collapse there
     cum = global_cumulative(avg.select("avg_ticket", F.lit(1).cast("bigint").alias("n")), "avg_ticket", ["n"])

@@ -105,7 +105,7 @@ SELECT 30 AS window_days, s.state,
 FROM (VALUES {_spine}) AS s(state)
 LEFT JOIN (
   SELECT state, COUNT(*) AS transaction_count, {FRAUD_N} AS fraud_count,
-         SUM(CAST({FRAUD_V} AS DECIMAL(18,2))) AS fraud_value
+         SUM(CAST({FRAUD_V} AS DECIMAL(24,6))) AS fraud_value
   FROM transactions
   WHERE CAST("timestamp" AS DATE) >= {AS_OF} - 30
   GROUP BY state) a ON a.state = s.state

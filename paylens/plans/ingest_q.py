@@ -117,7 +117,7 @@ def _payloads(tx):
 
 @register("statistical_payload", "SRC-4", with_transactions(f"""
 SELECT form, strftime(CAST("timestamp" AS DATE), '%Y-%m-%d') AS TIME_PERIOD,
-       {R("CAST(SUM(CAST(amount_aud AS DECIMAL(18,2))) AS DOUBLE)", 2)} AS OBS_VALUE,
+       {R("CAST(SUM(CAST(amount_aud AS DECIMAL(24,6))) AS DOUBLE)", 2)} AS OBS_VALUE,
        'index' AS MEASURE, 'M' AS FREQUENCY
 FROM transactions, (VALUES ('list'), ('dict')) f(form)
 GROUP BY form, CAST("timestamp" AS DATE)"""))

@@ -153,12 +153,12 @@ SCOPED_MERCHANT = "M00001"
 
 
 @register("scoped_sql", "X-7", with_transactions(f"""
-SELECT CAST("timestamp" AS DATE) AS day, CAST(SUM(CAST(amount_aud AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue
+SELECT CAST("timestamp" AS DATE) AS day, CAST(SUM(CAST(amount_aud AS DECIMAL(24,6))) AS DOUBLE) AS total_revenue
 FROM transactions WHERE merchant_id = '{SCOPED_MERCHANT}'
 GROUP BY CAST("timestamp" AS DATE) ORDER BY day DESC LIMIT 30"""))
 def q_scoped_sql(spark, sf_dir):
     from paylens.operators.sqlscope import run_scoped_sql
-    sql = ("SELECT DATE(timestamp) AS day, CAST(SUM(CAST(amount_aud AS DECIMAL(18,2))) AS DOUBLE) AS total_revenue "
+    sql = ("SELECT DATE(timestamp) AS day, CAST(SUM(CAST(amount_aud AS DECIMAL(24,6))) AS DOUBLE) AS total_revenue "
            f"FROM transactions WHERE merchant_id = '{SCOPED_MERCHANT}' "
            "GROUP BY DATE(timestamp) ORDER BY day DESC LIMIT 30")
     return run_scoped_sql(spark, sql, SCOPED_MERCHANT, transactions(spark, sf_dir))
@@ -187,12 +187,12 @@ FROM g JOIN (
     f"""g AS (SELECT q.*, {_GUARD_SQL.replace('text', 'question')} AS reason,
             CASE WHEN ({_GUARD_SQL.replace('text', 'question')}) IS NULL THEN 'allowed' ELSE 'blocked' END AS status,
             {_intent_sql(C.CHAT_INTENTS, C.CHAT_DEFAULT).replace('text', 'question')} AS intent FROM questions q)""",
-    f"""rv AS (SELECT merchant_id, {R("CAST(SUM(CAST(amount_aud AS DECIMAL(18,2))) AS DOUBLE)", 2)} AS total_revenue,
+    f"""rv AS (SELECT merchant_id, {R("CAST(SUM(CAST(amount_aud AS DECIMAL(24,6))) AS DOUBLE)", 2)} AS total_revenue,
             COUNT(*) AS transaction_count,
-            {R("CAST(SUM(CAST(amount_aud AS DECIMAL(18,2))) AS DOUBLE) / CAST(COUNT(amount_aud) AS DOUBLE)", 2)} AS avg_transaction
+            {R("CAST(SUM(CAST(amount_aud AS DECIMAL(24,6))) AS DOUBLE) / CAST(COUNT(amount_aud) AS DOUBLE)", 2)} AS avg_transaction
             FROM transactions GROUP BY merchant_id)""",
     f"""fr AS (SELECT merchant_id, COUNT(*) AS total, COUNT(CASE WHEN is_fraud THEN 1 END) AS fraud_count,
-            {R("CAST(SUM(CAST(CASE WHEN is_fraud THEN amount_aud ELSE 0.0 END AS DECIMAL(18,2))) AS DOUBLE)", 2)} AS fraud_value
+            {R("CAST(SUM(CAST(CASE WHEN is_fraud THEN amount_aud ELSE 0.0 END AS DECIMAL(24,6))) AS DOUBLE)", 2)} AS fraud_value
             FROM transactions GROUP BY merchant_id)""",
     """pk AS (SELECT merchant_id, string_agg(printf('%02d:00 (%d txns)', hour, txn_count), ', ' ORDER BY rk) AS txt FROM (
             SELECT merchant_id, hour, txn_count,
@@ -201,7 +201,7 @@ FROM g JOIN (
             WHERE rk <= 3 GROUP BY merchant_id)""",
     f"""pf AS (SELECT merchant_id, merchant_category, state, txn_count, total FROM (
             SELECT merchant_id, merchant_category, state, COUNT(*) AS txn_count,
-                   {R("CAST(SUM(CAST(amount_aud AS DECIMAL(18,2))) AS DOUBLE)", 2)} AS total,
+                   {R("CAST(SUM(CAST(amount_aud AS DECIMAL(24,6))) AS DOUBLE)", 2)} AS total,
                    row_number() OVER (PARTITION BY merchant_id ORDER BY merchant_category, state) AS rn
             FROM transactions GROUP BY 1, 2, 3) p WHERE rn = 1)""")
 
@@ -289,23 +289,28 @@ def q_retrieval_answer(spark, sf_dir):
                     round_half("confidence", 6).alias("confidence"), "context", "context_hits")
 
 
+# an ASCII record separator begins each document of a landed file
+RECORD = "\x1e"
+
+
 @register("corpus_chunks", "SRC-10", f"""
 SELECT doc_id, CAST(k AS INTEGER) AS chunk_id, CAST(k * {C.CHUNK_SIZE - C.CHUNK_OVERLAP} AS INTEGER) AS chunk_start,
        substring(text, k * {C.CHUNK_SIZE - C.CHUNK_OVERLAP} + 1, {C.CHUNK_SIZE}) AS chunk
 FROM (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil((length(text) - {C.CHUNK_SIZE}) / {float(C.CHUNK_SIZE - C.CHUNK_OVERLAP)}) AS BIGINT), 0) + 1)) AS k
       FROM documents) d""")
 def q_corpus_chunks(spark, sf_dir):
-    """Documents landed as one file each, read back as a corpus (whole files), then chunked."""
+    """Documents landed as Markdown files of many documents each, read back whole, split, then chunked."""
     import uuid
     from paylens.session import checkpoint_dir
     from paylens.sources.files import read_markdown_corpus
     root = f"{checkpoint_dir(spark).rstrip('/')}/corpus/{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs.repartition("doc_id").write.partitionBy("doc_id").text(root)
+    docs.select(F.concat(F.lit(RECORD), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text")).alias("value")) \
+        .write.option("maxRecordsPerFile", 500).text(root)
     corpus = read_markdown_corpus(spark, root, pattern="*.txt")
-    doc_id = F.regexp_extract("source", r"doc_id=(\d+)", 1).cast("bigint")
-    # the text writer ends each file with one line separator; drop exactly that one
-    text = F.when(F.col("text").endswith("\n"), F.expr("substring(text, 1, length(text) - 1)")) \
-            .otherwise(F.col("text"))
-    return K.chunk_text(corpus.select(doc_id.alias("doc_id"), text.alias("text"))) \
+    part = corpus.select(F.explode(F.split("text", RECORD)).alias("p")).filter("p <> ''")
+    doc_id, body = F.substring_index("p", "\n", 1).cast("bigint"), F.expr("substring(p, instr(p, chr(10)) + 1)")
+    # the text writer ends each document with one line separator; drop exactly that one
+    text = F.when(body.endswith("\n"), F.left(body, F.length(body) - 1)).otherwise(body)
+    return K.chunk_text(part.select(doc_id.alias("doc_id"), text.alias("text"))) \
             .select("doc_id", "chunk_id", "chunk_start", "chunk")
