@@ -38,9 +38,9 @@ from pyspark.sql import DataFrame, functions as F
 from paylens.llm.store import held_out, table, with_text
 from paylens.llm.words import blocks, span_hashes
 
-SAMPLE, DOC_BYTES = 2000, 1 << 15
+SAMPLE, DOC_BYTES = 1200, 1 << 15
 BITS, PREFIXES = 18, (4, 6, 8)
-MIN_GAIN, MIN_LOG_ODDS = 20.0, 2.0
+MIN_GAIN, MIN_LOG_ODDS = 24.0, 2.0
 WINDOW, MAX_WINDOWS, STEPS, L2 = 32, 12000, 60, 1e-4
 SEGMENT = 64
 FLAGGED, SUSPECT = 0.5, 0.2
