@@ -18,8 +18,8 @@ shuffles paths only, and only the term statistics (bounded by the templates)
 reach the driver.
 
 Defined results: null and empty texts state nothing; a null path has no
-directory; ties go to the larger cosine, then the licence's name, then the
-earlier line; rows that repeat stay rows; an empty table gives an empty result;
+directory; of a file's statements the largest cosine (to nine digits) counts,
+then the earlier line, then the licence's name; rows that repeat stay rows; an empty table gives an empty result;
 extra columns are ignored.
 """
 
@@ -132,7 +132,7 @@ def _scan_task(templates: Templates, weight: np.ndarray, unseen: float, cosine:
                     at, term_ = templates.find(words)
                     w = np.full(len(words), unseen)
                     w[at] = weight[term_]
-                    scores = dot[k] / np.sqrt(((counts * w) ** 2).sum())
+                    scores = np.round(dot[k] / np.sqrt(((counts * w) ** 2).sum()), 9)
                     t = int(scores.argmax())
                     row = int(block.row[first[k]])
                     no = int(lines[k] - np.searchsorted(breaks, block.offs[row], "right") + 2)

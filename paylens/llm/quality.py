@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from paylens.functions.numeric import round_half
 from paylens.llm.store import stored, table
 from paylens.llm.words import blocks, span_hashes, windows
 
@@ -201,4 +202,5 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def op4(spark, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "symbol_ratio_max", "upper_ratio_max", "mark_ratio_max", "dup_line_ratio_max", "word_length_min", "word_length_max")
+        *[round_half(f"{r}_max", 6).alias(f"{r}_max") for r in LEAST_RANGE],
+        *[round_half(f"{r}_min", 6).alias(f"{r}_min") for r in sorted(LOWER)])

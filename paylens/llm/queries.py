@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paylens.llm import bpe, langid, lengths, licenses, minhash, packing, quality, sharding, toxicity, vectors
+from paylens.llm import bpe, langid, lengths, licenses, minhash, oracles, packing, quality, sharding, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": minhash.op1,
@@ -21,4 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": lengths.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_minhash_near_dedup": oracles.MINHASH,
+    "op2_license_scan": oracles.LICENSES,
+    "op4_quality_rules": oracles.QUALITY,
+    "op8_embedding_near_dedup": oracles.VECTORS,
+}
