@@ -57,11 +57,6 @@ CARD_PAYMENTS_FALLBACK = [
     ("2025-12", 0.95, 0.69, 0.0013),
     ("2026-01", 0.95, 0.69, 0.0012),
 ]
-SOURCE_NAMES = [
-    "abs_retail_trade", "rba_card_payments", "merchant_population",
-    "terminal_mix", "card_type_mix", "business_hours_profile", "generated_transactions",
-]
-
 # ---- FIXED VALUES: scoring cut-offs ------------------------------------------
 RISK_LEVELS = [(0.95, "CRITICAL"), (0.85, "HIGH"), (0.70, "MEDIUM")]
 RISK_DEFAULT = "LOW"

@@ -299,28 +299,42 @@ def merchant_history(tx: DataFrame, limit: int = C.HISTORY_LIMIT) -> DataFrame:
     """SRC-8 / T-4: newest ``limit`` rows per merchant (all merchants at once).
 
     ``row_number() <= k`` plans as WindowGroupLimit, which also runs map-side
-    before the shuffle, so at most k rows per merchant and map task move.
+    before the shuffle, so at most k rows per merchant and map task move; the
+    planner infers it for k up to a threshold that the package's session raises.
     """
-    spark = tx.sparkSession
-    key = "spark.sql.optimizer.windowGroupLimitThreshold"
-    threshold = int(spark.conf.get(key, "1000"))
-    if 0 <= threshold < limit:
-        # the planner infers WindowGroupLimit only for k <= threshold; raise it so the
-        # newest-k rows are cut before the shuffle (a planning switch, results unchanged)
-        spark.conf.set(key, str(limit))
     w = Window.partitionBy("merchant_id").orderBy(F.desc("timestamp"), F.desc("transaction_id"))
     return tx.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= limit).drop("_rn")
 
 
-def realtime_features(tx: DataFrame, current: DataFrame | None = None,
-                      limit: int = C.HISTORY_LIMIT) -> DataFrame:
-    """W-17: registry features anchored at each merchant's newest history row.
+# computation name in the registry -> aggregate over the rows inside the feature's window
+_AGGREGATES = {
+    "count": lambda inside: F.count(F.when(inside, 1)).cast("double"),
+    "mean": lambda inside: F.avg(F.when(inside, F.col("amount_aud"))),
+    "std": lambda inside: F.stddev_pop(F.when(inside, F.col("amount_aud"))),
+    "max": lambda inside: F.max(F.when(inside, F.col("amount_aud"))),
+    "nunique": lambda inside: F.count_distinct(
+        F.when(inside, F.coalesce(F.col("customer_id"), F.lit(NULL_CUSTOMER)))).cast("double"),
+    "ratio": lambda inside: F.avg(F.when(inside, indicator(F.col("payment_terminal") == "tap_and_go"))),
+    "debit_ratio": lambda inside: F.avg(F.when(inside, indicator(F.col("card_type") == "debit"))),
+    "off_hours_ratio": lambda inside: F.avg(F.when(inside, indicator(F.col("is_outside_business_hours")))),
+}
+
+
+def _state_deviation(inside: Column) -> list[Column]:
+    """Inputs of the state deviation: the window's mean and its amounts by state (at most ``limit`` entries)."""
+    return [F.avg(F.when(inside, F.col("amount_aud"))).alias("_avg_w"),
+            F.collect_list(F.when(inside, F.struct("state", "amount_aud"))).alias("_by_state")]
+
+
+def realtime_features(tx: DataFrame, current: DataFrame | None = None, limit: int = C.HISTORY_LIMIT,
+                      registry: list[tuple[str, str, str]] = C.FEATURE_REGISTRY) -> DataFrame:
+    """W-17: the registry's features (name, computation, window) at each merchant's newest history row.
 
     Windows are closed ``[anchor-w, anchor]`` over the newest ``limit`` rows;
     std is the population std; empty windows give 0.  ``current`` holds the
     transaction being scored (merchant_id, amount_aud, state, timestamp); by
-    default each merchant's newest row stands in for it.  ``amount_zscore`` is
-    the 7-day mean over the 30-day std (floor 0.01), as served online.
+    default each merchant's newest row stands in for it.  A z-score is the
+    registry's mean under its std (floor 0.01), as served online.
     """
     hist = merchant_history(tx, limit)
     anchor = F.max("_ts_us").over(Window.partitionBy("merchant_id"))
@@ -329,25 +343,13 @@ def realtime_features(tx: DataFrame, current: DataFrame | None = None,
     def within(key: str) -> Column:
         return F.col("_ts_us") >= F.col("_anchor") - F.lit(WINDOW_US[key])
 
-    amt = F.col("amount_aud")
-    newest_state = F.max_by(F.col("state"), F.struct("_ts_us", "transaction_id"))
+    aggregates = [_AGGREGATES[how](within(w)).alias(name) for name, how, w in registry if how in _AGGREGATES]
+    for _, how, w in registry:
+        if how == "state_deviation":
+            aggregates += _state_deviation(within(w))
     g = hist.groupBy("merchant_id").agg(
-        F.count(F.when(within("1H"), 1)).cast("double").alias("txn_velocity_1h"),
-        F.count(F.when(within("24H"), 1)).cast("double").alias("txn_velocity_24h"),
-        F.avg(F.when(within("7D"), amt)).alias("avg_amount_7d"),
-        F.stddev_pop(F.when(within("30D"), amt)).alias("stddev_amount_30d"),
-        F.max(F.when(within("7D"), amt)).alias("max_amount_7d"),
-        F.count_distinct(F.when(within("1D"), F.coalesce(F.col("customer_id"), F.lit(NULL_CUSTOMER))))
-         .cast("double").alias("unique_customers_1d"),
-        F.avg(F.when(within("7D"), indicator(F.col("payment_terminal") == "tap_and_go"))).alias("pct_tap_payments_7d"),
-        F.avg(F.when(within("7D"), indicator(F.col("card_type") == "debit"))).alias("pct_debit_7d"),
-        F.avg(F.when(within("7D"), indicator(F.col("is_outside_business_hours")))).alias("off_hours_txn_ratio_7d"),
-        F.avg(F.when(within("30D"), amt)).alias("_avg30"),
-        newest_state.alias("_last_state"),
-        F.max(F.struct("timestamp", "transaction_id", "amount_aud", "state")).alias("_newest"),
-        F.collect_list(F.when(within("30D"), F.struct("state", "amount_aud"))).alias("_w30"),
-    )
-    # per-state mean inside the merchant's 30-day window: at most `limit` entries per merchant
+        *aggregates, F.max_by(F.col("state"), F.struct("_ts_us", "transaction_id")).alias("_last_state"),
+        F.max(F.struct("timestamp", "transaction_id", "amount_aud", "state")).alias("_newest"))
     if current is None:                              # the newest row of the history stands in
         j = g.select("*", F.col("_newest.amount_aud").alias("_cur_amount"), F.col("_newest.state").alias("_cur_state"),
                      F.col("_newest.timestamp").alias("_cur_ts"))
@@ -355,27 +357,24 @@ def realtime_features(tx: DataFrame, current: DataFrame | None = None,
         j = g.join(current.select("merchant_id", F.col("amount_aud").alias("_cur_amount"),
                                   F.col("state").alias("_cur_state"), F.col("timestamp").alias("_cur_ts")),
                    "merchant_id", "left")
-    st = F.coalesce(F.col("_cur_state"), F.col("_last_state"))
-    in_state = F.filter("_w30", lambda r: r["state"] == st)
-    state_sum = F.aggregate(in_state, F.lit(0.0), lambda acc, r: acc + r["amount_aud"])
-    state_avg = F.when(F.size(in_state) > 0, state_sum / F.size(in_state)).otherwise(F.col("_avg30"))
-    hour = F.hour(F.coalesce(F.col("_cur_ts"), F.current_timestamp().cast("timestamp_ntz")))
-    z = ((F.col("_cur_amount") - F.coalesce(F.col("avg_amount_7d"), F.lit(0.0)))
-         / F.greatest(F.coalesce(F.col("stddev_amount_30d"), F.lit(0.0)), F.lit(C.STD_FLOOR)))
     zero = F.lit(0.0)
-    return j.select(
-        "merchant_id",
-        F.coalesce("txn_velocity_1h", zero).alias("txn_velocity_1h"),
-        F.coalesce("txn_velocity_24h", zero).alias("txn_velocity_24h"),
-        F.coalesce("avg_amount_7d", zero).alias("avg_amount_7d"),
-        F.coalesce("stddev_amount_30d", zero).alias("stddev_amount_30d"),
-        z.alias("amount_zscore"),
-        F.coalesce("max_amount_7d", zero).alias("max_amount_7d"),
-        F.coalesce("unique_customers_1d", zero).alias("unique_customers_1d"),
-        F.coalesce("pct_tap_payments_7d", zero).alias("pct_tap_payments_7d"),
-        hour.cast("double").alias("hour_of_day"),
-        ((hour < 8) | (hour > 20)).cast("double").alias("is_outside_business_hours"),   # P-12
-        F.coalesce("pct_debit_7d", zero).alias("pct_debit_7d"),
-        F.coalesce("off_hours_txn_ratio_7d", zero).alias("off_hours_txn_ratio_7d"),
-        F.coalesce(F.col("_avg30") - state_avg, zero).alias("state_avg_amount_deviation"),
-    )
+    hour = F.hour(F.coalesce(F.col("_cur_ts"), F.current_timestamp().cast("timestamp_ntz")))
+    named = {how: name for name, how, _ in registry}
+
+    def finish(name: str, how: str) -> Column:
+        if how == "extract_hour":
+            return hour.cast("double")
+        if how == "business_hours_check":                                                # P-12
+            return ((hour < 8) | (hour > 20)).cast("double")
+        if how == "zscore":
+            return ((F.col("_cur_amount") - F.coalesce(F.col(named["mean"]), zero))
+                    / F.greatest(F.coalesce(F.col(named["std"]), zero), F.lit(C.STD_FLOOR)))
+        if how == "state_deviation":
+            st = F.coalesce(F.col("_cur_state"), F.col("_last_state"))
+            own = F.filter("_by_state", lambda r: r["state"] == st)
+            total = F.aggregate(own, F.lit(0.0), lambda acc, r: acc + r["amount_aud"])
+            mean = F.when(F.size(own) > 0, total / F.size(own)).otherwise(F.col("_avg_w"))
+            return F.coalesce(F.col("_avg_w") - mean, zero)
+        return F.coalesce(F.col(name), zero)
+
+    return j.select("merchant_id", *[finish(name, how).alias(name) for name, how, _ in registry])
