@@ -90,10 +90,10 @@ def chronological_split(df: DataFrame, train_fraction: float = 0.8,
     """
     from paylens.functions.timecols import epoch_micros
     us = epoch_micros(ts)
-    n = df.select(F.count(F.lit(1))).scalar()
-    k = F.floor(n.cast("double") * F.lit(float(train_fraction))).cast("bigint")
     per_ts = df.select(us.alias("_us"), F.lit(1).cast("bigint").alias("c"))
-    cum = global_cumulative(per_ts, "_us", ["c"])
+    cum = cut_lineage(global_cumulative(per_ts, "_us", ["c"]))
+    n = F.coalesce(cum.select(F.max("cum_c")).scalar(), F.lit(0))
+    k = F.floor(n.cast("double") * F.lit(float(train_fraction))).cast("bigint")
     cut = cum.filter(F.col("cum_c") >= k).agg(F.min("_us").alias("u"), F.min_by("cum_c", "_us").alias("cc"),
                                               F.min_by("c", "_us").alias("cn"))
     cut_us = cut.select("u").scalar()

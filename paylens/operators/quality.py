@@ -89,20 +89,26 @@ def unexpected_values(df: DataFrame, column: str, allowed: list[str]) -> DataFra
 def calibration_check(tx: DataFrame) -> DataFrame:
     """Q-3: observed shares vs prior tables, plus the fraud-rate and tap-share bounds.
 
-    Observed and prior rows are unioned and aggregated (no join); shares use a
-    scalar-subquery total.
+    One read with grouping sets counts every dimension and the table; observed
+    and prior rows are unioned and aggregated (no join).
     """
+    from paylens.session import cut_lineage
     spark = tx.sparkSession
-    total = tx.select(F.count(F.lit(1))).scalar()
+    dims = ["state", "payment_terminal", "card_type"]
+    counted = cut_lineage(tx.groupingSets([[d] for d in dims] + [[]], *dims).agg(
+        F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n"), count_if(F.col("is_fraud")).alias("fraud"),
+        count_if(F.col("payment_terminal") == "tap_and_go").alias("tap")))
+    whole = counted.filter("gid = 7")
+    total = whole.select("n").scalar()
     priors = ([("state", s, w) for s, w in zip(C.STATES, C.STATE_WEIGHTS)]
               + [("payment_terminal", t, r) for t, r in zip(C.TERMINALS, C.TERMINAL_RATIOS)]
               + [("card_type", c, r) for c, r in zip(C.CARD_TYPES, C.CARD_RATIOS)])
     prior_df = spark.createDataFrame([(d, v, p, 0) for d, v, p in priors],
                                      "dimension string, value string, prior_share double, n bigint")
     obs = None
-    for d in ("state", "payment_terminal", "card_type"):
-        part = tx.groupBy(F.col(d).alias("value")).agg(F.count(F.lit(1)).alias("n")) \
-                 .select(F.lit(d).alias("dimension"), "value", F.lit(None).cast("double").alias("prior_share"), "n")
+    for i, d in enumerate(dims):
+        part = counted.filter(F.col("gid") == 7 - (4 >> i)).select(
+            F.lit(d).alias("dimension"), F.col(d).alias("value"), F.lit(None).cast("double").alias("prior_share"), "n")
         obs = part if obs is None else obs.unionByName(part)
     shares = (obs.unionByName(prior_df).groupBy("dimension", "value")
               .agg(F.sum("n").alias("n"), F.max("prior_share").alias("prior_share"))
@@ -112,9 +118,8 @@ def calibration_check(tx: DataFrame) -> DataFrame:
                       round_half(F.abs(F.col("n").cast("double") / total.cast("double")
                                        - F.coalesce("prior_share", F.lit(0.0))), 6).alias("abs_gap"),
                       F.lit(None).cast("boolean").alias("within_bounds")))
-    fraud = count_if(F.col("is_fraud")).cast("double") / F.count(F.lit(1)).cast("double")
-    tap = count_if(F.col("payment_terminal") == "tap_and_go").cast("double") / F.count(F.lit(1)).cast("double")
-    bounds = tx.agg(fraud.alias("fr"), tap.alias("tap")).selectExpr(
+    share = lambda c: F.col(c).cast("double") / F.nullif(F.col("n"), F.lit(0)).cast("double")
+    bounds = whole.select(share("fraud").alias("fr"), share("tap").alias("tap")).selectExpr(
         "stack(2, 'bound', 'fraud_rate', fr, (fr > 0.0005 AND fr < 0.005), "
         "'bound', 'tap_share', tap, (tap > 0.85 AND tap < 0.98)) AS (dimension, value, observed_share, within_bounds)"
     ).select("dimension", "value", round_half("observed_share", 6).alias("observed_share"),
@@ -130,23 +135,25 @@ def table_health(tx: DataFrame, scores: DataFrame, as_of: date) -> DataFrame:
     """
     end = datetime.combine(as_of + timedelta(days=1), datetime.min.time())
     from paylens.functions.timecols import epoch_micros, ntz_literal
-    fresh = tx.agg(((epoch_micros(ntz_literal(end)) / 1_000_000).cast("long")
-                    - epoch_micros(F.max("timestamp")) / 1_000_000).cast("double").alias("v"))
+    from paylens.session import cut_lineage
+    wide = cut_lineage(tx.agg(                                                     # one row, one read
+        ((epoch_micros(ntz_literal(end)) / 1_000_000).cast("long")
+         - epoch_micros(F.max("timestamp")) / 1_000_000).cast("double").alias("_fresh"),
+        *[(count_if(F.col(c).isNull()).cast("double") / F.count(F.lit(1)).cast("double")).alias(c) for c in tx.columns]))
+    fresh = wide.select(F.col("_fresh").alias("v"))
     fresh = fresh.select(F.lit("freshness_seconds").alias("metric"), F.lit("").alias("key"), F.col("v").alias("value"))
     alarm = fresh.select(F.lit("freshness_alarm").alias("metric"), F.lit("").alias("key"),
                          (F.col("value") > C.FRESHNESS_ALARM_SECONDS).cast("double").alias("value"))
-    nulls = tx.agg(*[(count_if(F.col(c).isNull()).cast("double") / F.count(F.lit(1)).cast("double")).alias(c)
-                     for c in tx.columns])
-    nulls = nulls.selectExpr(f"stack({len(tx.columns)}, " + ", ".join(f"'{c}', `{c}`" for c in tx.columns)
+    nulls = wide.selectExpr(f"stack({len(tx.columns)}, " + ", ".join(f"'{c}', `{c}`" for c in tx.columns)
                              + ") AS (key, value)").select(F.lit("null_rate").alias("metric"), "key", "value")
     daily = (tx.groupBy(F.date_format("timestamp", "yyyy-MM-dd").alias("key"))
              .agg(F.count(F.lit(1)).cast("double").alias("value"))
              .select(F.lit("daily_rows").alias("metric"), "key", "value"))
     bucket = F.least(F.floor(F.col("anomaly_score") * 10), F.lit(9)).cast("int")
-    hist = (scores.groupBy(F.format_string("%d", bucket).alias("key"))
-            .agg(F.count(F.lit(1)).cast("double").alias("value"))
+    hist = (cut_lineage(scores.groupBy(F.format_string("%d", bucket).alias("key"))
+                        .agg(F.count(F.lit(1)).cast("double").alias("value")))
             .select(F.lit("score_histogram").alias("metric"), "key", "value"))
-    preds = scores.agg(F.count(F.lit(1)).cast("double").alias("value")) \
+    preds = hist.agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("value")) \
                   .select(F.lit("prediction_count").alias("metric"), F.lit("").alias("key"), "value")
     rate = expectations(tx).agg(F.avg(F.col("passed").cast("double")).alias("value")) \
                            .select(F.lit("check_pass_rate").alias("metric"), F.lit("").alias("key"), "value")

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paylens.functions.numeric import round_half
+from paylens.session import cut_lineage
 
 
 #: bytes of the planner's size estimate that one bucket should hold, and the least number of buckets
@@ -34,8 +35,8 @@ def global_cumulative(df: DataFrame, key: str, measures: list[str], buckets: int
     buckets = buckets or bucket_count(df)
     k = F.col(key).cast("double")
     ordered = -k if descending else k
-    per_key = (df.groupBy(ordered.alias("_k"))
-               .agg(*[F.sum(m).alias(m) for m in measures]))
+    per_key = cut_lineage(df.groupBy(ordered.alias("_k"))           # read three times below
+                          .agg(*[F.sum(m).alias(m) for m in measures]))
     fractions = [i / buckets for i in range(1, buckets)]
     bounds = per_key.select(F.percentile_approx("_k", fractions, 10_000).alias("b")).scalar()
     # bounds enter the plan once, as a column; the bucket is the number of bounds below the key
@@ -57,7 +58,6 @@ def global_cumulative(df: DataFrame, key: str, measures: list[str], buckets: int
 def merchant_percentile(tx: DataFrame) -> DataFrame:
     """W-15 / J-3 for all merchants: % of merchants whose mean ticket <= own."""
     from paylens.functions.numeric import money_avg
-    from paylens.session import cut_lineage
     avg = cut_lineage(tx.groupBy("merchant_id").agg(money_avg("amount_aud").alias("avg_ticket")))   # one read of tx
     total = avg.select(F.count(F.lit(1))).scalar()
     # G-1 pre-aggregates by the key itself, so merchants sharing a mean collapse there
@@ -79,7 +79,6 @@ def ordered_positions(df: DataFrame, order_cols: list[str], partitions: int | No
     ``partitions``) and add a row number inside each partition.  No step
     gathers the rows in one task.
     """
-    from paylens.session import cut_lineage
     partitions = partitions or bucket_count(df)
     ranged = cut_lineage(df.repartitionByRange(partitions, *order_cols)
                          .withColumn("_pid", F.spark_partition_id()))
