@@ -78,7 +78,8 @@ def time_blocks(rows: DataFrame, heavy: DataFrame | None, block_us: int, context
     copy).  Every frame of width <= context_us ending at a row of block b then
     lies inside block b plus its context, so windows partitioned by
     (merchant, block) are exact for the block's own rows; other merchants keep a
-    single block.  Only heavy merchants' rows are replicated (at most
+    single block (``heavy`` is joined in the plan, no job runs to decide; None:
+    nobody is split, "all": everybody is).  Only heavy merchants' rows are replicated (at most
     context_us / block_us of them).
     """
     if block_us < context_us:
@@ -88,7 +89,7 @@ def time_blocks(rows: DataFrame, heavy: DataFrame | None, block_us: int, context
     if heavy == "all":
         r, is_heavy = rows, F.lit(True)
     else:
-        r = rows.join(F.broadcast(heavy), "merchant_id", "left")
+        r = rows.join(heavy, "merchant_id", "left")
         is_heavy = F.coalesce(F.col("_heavy"), F.lit(False))
     block = F.when(is_heavy, F.floor(F.col("_ts_us") / F.lit(block_us))).otherwise(F.lit(0)).cast("long")
     ctx = is_heavy & (F.col("_ts_us") >= (block + 1) * F.lit(block_us) - F.lit(context_us))
@@ -99,20 +100,6 @@ def time_blocks(rows: DataFrame, heavy: DataFrame | None, block_us: int, context
                            (F.col("_copy") == 0).alias("_primary"))
 
 
-def plan_blocks(tx: DataFrame, heavy_rows: int | None, max_heavy: int = 1_000_000):
-    """None (no merchant too large), a broadcastable heavy set, or "all" beyond ``max_heavy``.
-
-    Only counts reach the driver: ``limit(max_heavy + 1).count()`` on the heavy set.
-    """
-    if heavy_rows is None:
-        return None
-    heavy = heavy_merchants(tx, heavy_rows)
-    n = heavy.limit(max_heavy + 1).count()
-    if n == 0:
-        return None
-    return heavy if n <= max_heavy else "all"
-
-
 def _upto(keys, lag_us: int = 0):
     """Rows with ts <= t - lag: an unbounded-preceding frame (incremental, O(1) per row)."""
     w = Window.partitionBy(*keys).orderBy("_ts_us")
@@ -178,7 +165,7 @@ def training_features(tx: DataFrame, heavy_rows: int | None = 2_000_000,
     base = (tx.filter(F.col("timestamp").isNotNull())       # P-3
               .withColumn("_ts_us", ts_micros()))
     widest = WINDOW_US["30D"]
-    heavy = plan_blocks(base, heavy_rows)
+    heavy = None if heavy_rows is None else "all" if heavy_rows == 0 else heavy_merchants(base, heavy_rows)
     keys = tuple(PARTITION)
     d7 = WINDOW_US["7D"]
     rows = (time_blocks(base, heavy, block_days * DAY_US, widest)

@@ -25,9 +25,11 @@ BUCKET_BYTES, LEAST_BUCKETS = 64 << 20, 64
 
 
 def bucket_count(df: DataFrame) -> int:
-    """Buckets for ``df`` from the planner's size estimate (no job is run)."""
+    """Buckets for ``df`` from the planner's size estimate (no job is run); where it knows none, the
+    session's shuffle partitions."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(LEAST_BUCKETS, min(10_000, size // BUCKET_BYTES))
+    least = max(LEAST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return least if size >= 1 << 56 else max(least, min(10_000, size // BUCKET_BYTES))
 
 
 def global_cumulative(df: DataFrame, key: str, measures: list[str], buckets: int | None = None,

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from paylens import constants as C
 
-#: bytes of the planner's size estimate in one block of the kNN search
-BLOCK_BYTES = 32 << 20
+#: vectors and queries in one block of the kNN search
+VECTOR_BLOCK, QUERY_BLOCK = 1 << 15, 1 << 12
 
 
 def chunk_text(df: DataFrame, text: str = "text", size: int = C.CHUNK_SIZE,
@@ -65,12 +65,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = C.KNN_K, id_col: str =
     ``queries`` has (query_id, query_vec).  Both sides are dealt into blocks by a
     hash and every pair of blocks is one group; a group returns k rows per query,
     so no row is made for each pair of a query and a vector.  The blocks' numbers
-    follow the planner's size estimates.
+    follow the two row counts.
     """
-    def blocks(df: DataFrame, size: int) -> int:
-        return max(1, min(10_000, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // size))
-
-    vb, qb = max(8, blocks(vectors, BLOCK_BYTES)), blocks(queries, BLOCK_BYTES)
+    vb, qb = max(8, -(-vectors.count() // VECTOR_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
     v = vectors.filter(F.col(vec_col).isNotNull()).select(
         F.pmod(F.xxhash64(id_col), F.lit(vb).cast("long")).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("_q"),
         F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))

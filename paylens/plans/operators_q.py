@@ -284,6 +284,17 @@ def q_bias_from_tables(spark, sf_dir):
     return G.category_precision(joined, "anomaly_score", "is_fraud", 0.2).withColumn("precision", round_half("precision", 6))
 
 
+HISTORY = 20
+
+
+@register("short_history", "SRC-8", ORACLES["merchant_history"].replace(f"rn <= {C.HISTORY_LIMIT}", f"rn <= {HISTORY}"))
+def q_short_history(spark, sf_dir):
+    """The history with a limit that most merchants exceed."""
+    from paylens.operators.features import merchant_history
+    from paylens.sources.tables import TRANSACTION_COLUMNS
+    return merchant_history(transactions(spark, sf_dir), HISTORY).select(*TRANSACTION_COLUMNS)
+
+
 # ---- models -----------------------------------------------------------------
 
 _SUM = " + ".join(f"COALESCE({c}, 0.0)" for c in C.FEATURE_COLUMNS)

@@ -10,7 +10,7 @@ NAMES = [
     "expectations", "contract_check", "unexpected_values", "valid_requests", "stream_score", "anomaly_review",
     "category_precision", "category_bias", "governance_gate", "risk_level", "recommended_action",
     "merchant_severity", "merchant_dimension", "fraud_by_state", "threat_map", "curated_clean", "table_health",
-    "merchant_history", "training_features",
+    "merchant_history", "training_features", "live_feed", "live_feed_base", "score_heuristic",
 ]
 
 

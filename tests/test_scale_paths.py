@@ -1,4 +1,4 @@
-"""Scale fallbacks: bounded broadcast checks and heavy-merchant block planning."""
+"""Heavy merchants' time blocks."""
 
 from pyspark.sql import functions as F
 
@@ -8,13 +8,15 @@ from paylens.sources.tables import transactions
 SF = "/root/testdata/sf0.001"
 
 
-def test_plan_blocks_modes(spark):
+def test_only_heavy_merchants_are_split(spark):
     tx = transactions(spark, SF).withColumn("_ts_us", FT.ts_micros())
-    assert FT.plan_blocks(tx, None) is None                  # disabled
-    assert FT.plan_blocks(tx, 10**9) is None                 # nobody heavy: no blocking, no join
-    heavy = FT.plan_blocks(tx, 0)                            # everyone heavy, set small enough to broadcast
-    assert heavy is not None and heavy != "all" and heavy.count() == tx.select("merchant_id").distinct().count()
-    assert FT.plan_blocks(tx, 0, max_heavy=3) == "all"       # heavy set beyond its bound: block everyone
+    sizes = {r.merchant_id: r["count"] for r in tx.groupBy("merchant_id").count().collect()}
+    cut = sorted(sizes.values())[-3]
+    day = 24 * 3600 * 1_000_000
+    blocked = FT.time_blocks(tx, FT.heavy_merchants(tx, cut), 20 * day, 10 * day)
+    blocks = {r.merchant_id: r.n for r in blocked.groupBy("merchant_id").agg(F.count_distinct("_block").alias("n")).collect()}
+    assert all((blocks[m] > 1) == (n > cut) for m, n in sizes.items())
+    assert blocked.filter("_primary").count() == tx.count()
 
 
 def test_time_blocks_replicate_only_context(spark):

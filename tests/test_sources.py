@@ -94,3 +94,65 @@ def test_clean_raw_json(spark, tmp_path):
     out = clean_raw(read_raw_json(spark, str(p)), stamp=False).collect()
     assert [(r.transaction_id, r.amount_aud) for r in out] == [("T1", 11.0)]
     assert out[0].data_quality_flag == "PASSED"
+
+
+def test_payload_rows_are_kept_as_they_are(spark):
+    """A null, missing or text value in the first observation does not lose the payload."""
+    from paylens.sources.payloads import parse_statistical_payload
+    obs = [{"TIME_PERIOD": "2026-01", "OBS_VALUE": None}, {"TIME_PERIOD": "2026-02"},
+           {"TIME_PERIOD": "2026-03", "OBS_VALUE": "1.5"}, {"TIME_PERIOD": "2026-04", "OBS_VALUE": "n/a"},
+           {"OBS_VALUE": 7, "other": 1}]
+    wrap = lambda o: json.dumps({"data": {"observations": o}})
+    df = spark.createDataFrame([(wrap(obs),), (wrap([{"TIME_PERIOD": "x"}]),), (wrap([]),)], "payload string")
+    got = parse_statistical_payload(df, text=True).collect()
+    assert sorted((str(r.TIME_PERIOD), str(r.OBS_TEXT), r.OBS_VALUE) for r in got if r.OBS_VALUE is not None) == [
+        ("2026-03", "1.5", 1.5), ("None", "7", 7.0)]
+    assert len(got) == 5 and {r.OBS_TEXT for r in got} == {None, "1.5", "n/a", "7"}
+
+
+def test_category_bias_states(spark):
+    from paylens.operators.governance import category_bias
+    schema = "merchant_category string, s double, y int"
+    state = lambda rows: category_bias(spark.createDataFrame(rows, schema), "s", "y").first()
+    assert tuple(state([])) == ("no_data", 0.0)
+    assert tuple(state([(None, 0.9, 1)])) == ("no_groups", 0.0)
+    assert tuple(state([(None, 0.9, 1), ("a", 0.9, 0), ("a", 0.9, 1), ("b", 0.9, 1)])) == ("ok", 0.5)
+
+
+def test_knn_any_number_of_queries_and_blocks(spark, monkeypatch):
+    import numpy as np
+    from paylens.operators import retrieval as K
+    monkeypatch.setattr(K, "VECTOR_BLOCK", 5)                        # many blocks on both sides
+    monkeypatch.setattr(K, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 4, (60, 3)).astype(float)                    # many ties
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x[:25] + 0.25)], "query_id long, query_vec array<double>")
+    got = {}
+    for r in K.knn(v, q, 4).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.distance))
+    for i in range(25):
+        d = ((x - x[i] - 0.25) ** 2).sum(1)
+        best = np.lexsort((np.arange(60), d))[:4]
+        assert [(k, j) for k, j, _ in sorted(got[i])] == [(n + 1, int(j)) for n, j in enumerate(best)]
+
+
+def test_shared_folder_is_required_off_local_mode():
+    import pytest
+    from paylens import session
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):  # noqa: N802
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError):
+        session.checkpoint_dir(Session())
