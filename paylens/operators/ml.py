@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paylens import constants as C
+from paylens.session import ship_package
 
 EULER = 0.5772156649015329
 NODE_SCHEMA = ("tree_id int, node_id int, feature int, threshold double, left int, right int, "
@@ -104,6 +105,7 @@ def _grow(pdf: pd.DataFrame, columns: list[str], psi: int, seed: int) -> pd.Data
 def fit_isolation_forest(df: DataFrame, columns: list[str] = C.FEATURE_COLUMNS, id_col: str = "transaction_id",
                          trees: int = 200, psi: int = 256, seed: int = 42) -> DataFrame:
     """M-2 fit: node table (tree_id, node_id, feature, threshold, left, right, size, leaf)."""
+    ship_package(df.sparkSession)
     sample = iforest_sample(df.select(id_col, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
                                                 for c in columns]), id_col, trees, psi, seed)
     return sample.groupBy("tree_id").applyInPandas(lambda pdf: _grow(pdf, columns, psi, seed), NODE_SCHEMA)
@@ -151,6 +153,7 @@ class IsolationForestModel:
 
     def transform(self, df: DataFrame, out: str = "iso_score") -> DataFrame:
         spark = df.sparkSession
+        ship_package(spark)
         bc = spark.sparkContext.broadcast(self)
         cols = self.columns
 

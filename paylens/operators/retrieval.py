@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paylens import constants as C
+from paylens.session import ship_package
 
 #: vectors and queries in one block of the kNN search
 VECTOR_BLOCK, QUERY_BLOCK = 1 << 15, 1 << 12
@@ -67,6 +68,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = C.KNN_K, id_col: str =
     so no row is made for each pair of a query and a vector.  The blocks' numbers
     follow the two row counts.
     """
+    ship_package(vectors.sparkSession)
     vb, qb = max(8, -(-vectors.count() // VECTOR_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
     v = vectors.filter(F.col(vec_col).isNotNull()).select(
         F.pmod(F.xxhash64(id_col), F.lit(vb).cast("long")).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("_q"),

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -69,6 +70,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package: send it as a zip file unless they find it on their path.
+
+    They do in the package's own folder and where PYTHONPATH names it.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or root in (os.path.abspath(p) for p in known if p):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="paylens-zip-"), "paylens.zip")
+    atexit.register(shutil.rmtree, os.path.dirname(path), ignore_errors=True)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(os.path.join(root, "paylens")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (never localCheckpoint)."""
     checkpoint_dir(df.sparkSession)

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from paylens.session import ship_package
+
 HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
 OUT_SCHEMA = "merchant_id string, transaction_id string, event_ts timestamp, txn_velocity_1h long, txn_velocity_24h long"
@@ -62,6 +64,7 @@ def exact_velocity(events: DataFrame, lateness_hours: int = 24) -> DataFrame:
     def counts(key, pdfs, state):
         return _velocity(key, pdfs, state, lateness_hours * HOUR_US)
 
+    ship_package(events.sparkSession)
     return (events.withWatermark("event_ts", f"{lateness_hours} hours")
             .groupBy("merchant_id")
             .applyInPandasWithState(counts, OUT_SCHEMA, STATE_SCHEMA, "append",
