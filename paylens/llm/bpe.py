@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from paylens.llm.store import stored, table
 from paylens.llm.words import texts
+from paylens.session import ship_package
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 CHUNK, OVERLAP = 1 << 16, 1 << 10
@@ -140,6 +141,7 @@ def stitched(chunks: DataFrame, chunk: int, overlap: int, pattern: str = public_
 
 def encode(docs: DataFrame, path: str = RANKS, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, ids) of every whole text."""
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     one = rows.filter(F.length("text") <= chunk).mapInArrow(_encode_task(path), "doc_id long, ids array<int>")

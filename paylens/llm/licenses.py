@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from paylens.llm.store import stored, table
 from paylens.llm.words import blocks, span_hashes
+from paylens.session import ship_package
 
 COSINE, NOTICE_LINES = 0.8, 4
 
@@ -151,6 +152,7 @@ def _scan_task(templates: Templates, weight: np.ndarray, unseen: float, cosine:
 def scan(files: DataFrame, keys: list[str], text_col: str = "text", templates: dict[str, list[str]] | None = None,
          cosine: float = COSINE) -> DataFrame:
     """The columns ``keys`` of every file with own_license, own_score, line (null where none is stated) and lines."""
+    ship_package(files.sparkSession)
     known = Templates(templates or TEMPLATES)
     weight, unseen = inverse_frequencies(files, known, text_col)
     rows = files.select(*keys, F.col(text_col).cast("string").alias("text"))

@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from paylens.llm.components import components
 from paylens.llm.store import stored
 from paylens.llm.words import blocks, mix, row_shingles, span_hashes
+from paylens.session import ship_package
 
 CHUNKS, PER_CHUNK = 10, 4
 SYMBOLS = CHUNKS * PER_CHUNK
@@ -267,6 +268,7 @@ def _in_blocks(rows: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 75,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: near-duplicate groups of ``docs``."""
+    ship_package(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
     sig = stored(texts.mapInArrow(_signature_task(shingle), _SIG_TYPE), "minhash-signatures")
     named = sig.filter("n_shingles > 0 and doc_id is not null")

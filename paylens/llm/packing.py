@@ -42,6 +42,7 @@ from tokenizers import Tokenizer
 from paylens.llm.bpe import RANKS, ranks
 from paylens.llm.store import stored, table
 from paylens.llm.words import texts
+from paylens.session import ship_package
 
 CAPACITY, END = 1024, 0
 GAP, MAX_COLUMNS = 1e-3, 400
@@ -85,6 +86,7 @@ def _piece_task(json_path: str, ranks_path: str, capacity: int):
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, json_path: str = TOKENIZER, ranks_path: str = RANKS) -> DataFrame:
     """Every document's ids and closing id cut at multiples of ``capacity``."""
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_piece_task(json_path, ranks_path, capacity),
                            "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from paylens.functions.numeric import round_half
 from paylens.llm.store import stored, table
 from paylens.llm.words import blocks, span_hashes, windows
+from paylens.session import ship_package
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: relative width of a sketch's buckets, and the ratio that counts as zero
@@ -114,6 +115,7 @@ def _count_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_counts(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts of every whole text."""
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                        F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_count_task, "doc_id long, lang string, source string, "

@@ -14,6 +14,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from paylens.session import ship_package
+
 _WRITTEN: dict[str, SparkSession] = {}
 
 
@@ -55,6 +57,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_text(docs: DataFrame, columns: tuple[str, ...], text: str = "text") -> tuple[DataFrame, int, str]:
     """``columns`` and the text (sent once), the text's place among them, and the columns' schema."""
+    ship_package(docs.sparkSession)
     sent = [F.col(c).cast("long").alias(c) if c == "doc_id" else F.col(c) for c in columns]
     if text not in columns:
         sent.append(F.col(text).cast("string").alias(text))
