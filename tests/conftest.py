@@ -1,4 +1,5 @@
 import os
+import shutil
 import sys
 import tempfile
 
@@ -15,10 +16,14 @@ SF_MID = "/root/testdata/sf0.01"
 def spark():
     from paylens.session import get_spark
     s = get_spark("local[4]", app="paylens-tests", shuffle_partitions=4)
+    scratch = None
     if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="paylens-test-ckpt-"))
+        scratch = tempfile.mkdtemp(prefix="paylens-test-ckpt-")
+        s.conf.set("spark.checkpoint.dir", scratch)
     yield s
     s.stop()
+    if scratch:
+        shutil.rmtree(scratch, ignore_errors=True)
 
 
 @pytest.fixture(scope="session")
