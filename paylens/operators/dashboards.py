@@ -10,7 +10,7 @@ per-task heaps); per-group top-k as row_number <= k (WindowGroupLimit).
 
 from __future__ import annotations
 
-from datetime import date, datetime, timedelta
+from datetime import date
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,27 +19,7 @@ from paylens import constants as C
 from paylens.functions.numeric import (
     count_if, money_avg, money_sum, ratio_pct, round_half,
 )
-
-class _Lazy:
-    """Columns built on first use (no Column may exist before a session does)."""
-
-    @property
-    def FRAUD(self):
-        return F.col("is_fraud")
-
-    @property
-    def ONE(self):
-        return F.lit(1)
-
-
-_L = _Lazy()
-
-
-def _since(as_of: date, days: int):
-    """``CAST(ts AS DATE) >= as_of - days`` written on the raw column so it pushes down."""
-    start = datetime.combine(as_of - timedelta(days=days), datetime.min.time())
-    from paylens.functions.timecols import ntz_literal
-    return F.col("timestamp") >= ntz_literal(start)
+from paylens.operators.cleaning import last_days
 
 
 def overview(tx: DataFrame) -> DataFrame:
@@ -50,10 +30,10 @@ def overview(tx: DataFrame) -> DataFrame:
     from that aggregate, so the base table is read and shuffled once.
     """
     per = tx.groupBy("merchant_id", "state").agg(
-        F.count(_L.ONE).alias("n"),
+        F.count(F.lit(1)).alias("n"),
         F.sum(F.col("amount_aud").cast("decimal(24,6)")).alias("s"),
         F.count("amount_aud").alias("na"),
-        count_if(_L.FRAUD).alias("f"))
+        count_if(F.col("is_fraud")).alias("f"))
     tot = per.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_transactions"),
         F.count_distinct("merchant_id").alias("total_merchants"),
@@ -72,7 +52,7 @@ def revenue_by_category(tx: DataFrame) -> DataFrame:
     """A-2."""
     return (tx.groupBy(F.col("merchant_category").alias("category"))
             .agg(round_half(money_sum("amount_aud"), 2).alias("total_revenue"),
-                 F.count(_L.ONE).alias("transaction_count"),
+                 F.count(F.lit(1)).alias("transaction_count"),
                  round_half(money_avg("amount_aud"), 2).alias("avg_ticket"))
             .orderBy(F.desc("total_revenue"), "category"))
 
@@ -81,17 +61,17 @@ def revenue_trend(tx: DataFrame) -> DataFrame:
     """A-3: daily revenue, count and fraud count."""
     return (tx.groupBy(F.to_date("timestamp").alias("date"))
             .agg(round_half(money_sum("amount_aud"), 2).alias("daily_revenue"),
-                 F.count(_L.ONE).alias("daily_transactions"),
-                 count_if(_L.FRAUD).alias("daily_fraud_count"))
+                 F.count(F.lit(1)).alias("daily_transactions"),
+                 count_if(F.col("is_fraud")).alias("daily_fraud_count"))
             .orderBy("date"))
 
 
 def fraud_by_state(tx: DataFrame) -> DataFrame:
     """A-4."""
     return (tx.groupBy("state")
-            .agg(F.count(_L.ONE).alias("total_transactions"),
-                 count_if(_L.FRAUD).alias("fraud_count"),
-                 money_sum(F.when(_L.FRAUD, F.col("amount_aud")).otherwise(F.lit(0.0))).alias("_fv"))
+            .agg(F.count(F.lit(1)).alias("total_transactions"),
+                 count_if(F.col("is_fraud")).alias("fraud_count"),
+                 money_sum(F.when(F.col("is_fraud"), F.col("amount_aud")).otherwise(F.lit(0.0))).alias("_fv"))
             .select("state", "total_transactions", "fraud_count",
                     round_half(ratio_pct("fraud_count", "total_transactions"), 4).alias("fraud_rate_pct"),
                     round_half("_fv", 2).alias("fraud_value_aud"))
@@ -101,19 +81,19 @@ def fraud_by_state(tx: DataFrame) -> DataFrame:
 def hourly_pattern(tx: DataFrame) -> DataFrame:
     """A-5."""
     return (tx.groupBy(F.hour("timestamp").alias("hour"))
-            .agg(F.count(_L.ONE).alias("transaction_count"),
+            .agg(F.count(F.lit(1)).alias("transaction_count"),
                  round_half(money_avg("amount_aud"), 2).alias("avg_amount"),
-                 count_if(_L.FRAUD).alias("fraud_count"))
+                 count_if(F.col("is_fraud")).alias("fraud_count"))
             .orderBy("hour"))
 
 
 def payment_methods(tx: DataFrame) -> DataFrame:
     """A-6 with W-14 share of total (total as a scalar subquery)."""
-    total = tx.select(F.count(_L.ONE)).scalar()
+    total = tx.select(F.count(F.lit(1))).scalar()
     return (tx.groupBy("payment_terminal")
-            .agg(F.count(_L.ONE).alias("count"),
+            .agg(F.count(F.lit(1)).alias("count"),
                  round_half(money_avg("amount_aud"), 2).alias("avg_amount"),
-                 count_if(_L.FRAUD).alias("_fc"))
+                 count_if(F.col("is_fraud")).alias("_fc"))
             .select("payment_terminal", "count",
                     round_half(ratio_pct(F.col("count"), total), 2).alias("percentage"),
                     "avg_amount",
@@ -124,7 +104,7 @@ def payment_methods(tx: DataFrame) -> DataFrame:
 def merchant_totals(tx: DataFrame) -> DataFrame:
     """A-7 input: per (merchant, category, state) totals."""
     return (tx.groupBy("merchant_id", "merchant_category", "state")
-            .agg(F.count(_L.ONE).alias("transaction_count"),
+            .agg(F.count(F.lit(1)).alias("transaction_count"),
                  round_half(money_sum("amount_aud"), 2).alias("total_revenue"),
                  round_half(money_avg("amount_aud"), 2).alias("avg_ticket")))
 
@@ -141,11 +121,11 @@ def feature_anomaly_summary(features: DataFrame) -> DataFrame:
     """A-8 over the training-feature table."""
     z = F.col("amount_zscore")
     return features.agg(
-        F.count(_L.ONE).alias("total_reviewed"),
-        count_if(_L.FRAUD).alias("total_fraud"),
+        F.count(F.lit(1)).alias("total_reviewed"),
+        count_if(F.col("is_fraud")).alias("total_fraud"),
         round_half(F.avg(z), 4).alias("avg_zscore"),
         round_half(F.max(z), 4).alias("max_zscore"),
-        round_half(F.avg(F.when(_L.FRAUD, z)), 4).alias("avg_fraud_zscore"),
+        round_half(F.avg(F.when(F.col("is_fraud"), z)), 4).alias("avg_fraud_zscore"),
     )
 
 
@@ -167,11 +147,11 @@ def spine_fill(rows: DataFrame, key: str, spine: list[str], sums: list[str]) ->
 def threat_map(tx: DataFrame, days: int, as_of: date) -> DataFrame:
     """A-9: last-N-days per state over the fixed state spine, zero filled, with totals."""
     days = max(1, min(int(days), 365))
-    recent = (tx.filter(_since(as_of, days))
+    recent = (last_days(tx, days, as_of)
               .select("state",
-                      _L.ONE.cast("bigint").alias("transaction_count"),
-                      F.when(_L.FRAUD, 1).otherwise(0).cast("bigint").alias("fraud_count"),
-                      F.when(_L.FRAUD, F.col("amount_aud")).otherwise(F.lit(0.0))
+                      F.lit(1).cast("bigint").alias("transaction_count"),
+                      F.when(F.col("is_fraud"), 1).otherwise(0).cast("bigint").alias("fraud_count"),
+                      F.when(F.col("is_fraud"), F.col("amount_aud")).otherwise(F.lit(0.0))
                        .cast("decimal(24,6)").alias("fraud_value")))
     per_state = spine_fill(recent, "state", C.STATES,
                            ["transaction_count", "fraud_count", "fraud_value"])
@@ -192,22 +172,22 @@ def merchant_revenue(tx: DataFrame) -> DataFrame:
     """A-10 for every merchant at once."""
     return tx.groupBy("merchant_id").agg(
         round_half(money_sum("amount_aud"), 2).alias("total_revenue"),
-        F.count(_L.ONE).alias("transaction_count"),
+        F.count(F.lit(1)).alias("transaction_count"),
         round_half(money_avg("amount_aud"), 2).alias("avg_transaction"))
 
 
 def merchant_fraud(tx: DataFrame) -> DataFrame:
     """A-11."""
     return tx.groupBy("merchant_id").agg(
-        F.count(_L.ONE).alias("total"),
-        count_if(_L.FRAUD).alias("fraud_count"),
-        round_half(money_sum(F.when(_L.FRAUD, F.col("amount_aud")).otherwise(F.lit(0.0))), 2)
+        F.count(F.lit(1)).alias("total"),
+        count_if(F.col("is_fraud")).alias("fraud_count"),
+        round_half(money_sum(F.when(F.col("is_fraud"), F.col("amount_aud")).otherwise(F.lit(0.0))), 2)
         .alias("fraud_value"))
 
 
 def merchant_hour_counts(tx: DataFrame) -> DataFrame:
     return tx.groupBy("merchant_id", F.hour("timestamp").alias("hour")).agg(
-        F.count(_L.ONE).alias("txn_count"))
+        F.count(F.lit(1)).alias("txn_count"))
 
 
 def merchant_peak_hours(tx: DataFrame, k: int = 3) -> DataFrame:
@@ -221,7 +201,7 @@ def merchant_peak_hours(tx: DataFrame, k: int = 3) -> DataFrame:
 def merchant_profile(tx: DataFrame) -> DataFrame:
     """A-13: every (merchant, category, state) group (the reference returns an arbitrary one)."""
     return tx.groupBy("merchant_id", "merchant_category", "state").agg(
-        F.count(_L.ONE).alias("txn_count"),
+        F.count(F.lit(1)).alias("txn_count"),
         round_half(money_sum("amount_aud"), 2).alias("total"))
 
 
@@ -230,12 +210,12 @@ def merchant_baseline(tx: DataFrame) -> DataFrame:
     return tx.groupBy("merchant_id").agg(
         money_avg("amount_aud").alias("avg_amount"),
         F.stddev_samp("amount_aud").alias("std_amount"),
-        F.count(_L.ONE).alias("txn_count"))
+        F.count(F.lit(1)).alias("txn_count"))
 
 
 def merchant_revenue_trend(tx: DataFrame, days: int, as_of: date) -> DataFrame:
     """A-15: daily revenue per merchant over the last ``days`` days."""
-    return (tx.filter(_since(as_of, days))
+    return (last_days(tx, days, as_of)
             .groupBy("merchant_id", F.to_date("timestamp").alias("day"))
             .agg(round_half(money_sum("amount_aud"), 2).alias("revenue")))
 
@@ -244,16 +224,16 @@ def merchant_severity(tx: DataFrame) -> DataFrame:
     """A-16: fraud counts by amount band."""
     amt = F.col("amount_aud")
     return tx.groupBy("merchant_id").agg(
-        count_if(_L.FRAUD & (amt >= C.SEVERITY_HIGH_AMOUNT)).alias("high"),
-        count_if(_L.FRAUD & (amt >= C.SEVERITY_MEDIUM_AMOUNT) & (amt < C.SEVERITY_HIGH_AMOUNT)).alias("medium"),
-        count_if(_L.FRAUD & (amt < C.SEVERITY_MEDIUM_AMOUNT)).alias("low"))
+        count_if(F.col("is_fraud") & (amt >= C.SEVERITY_HIGH_AMOUNT)).alias("high"),
+        count_if(F.col("is_fraud") & (amt >= C.SEVERITY_MEDIUM_AMOUNT) & (amt < C.SEVERITY_HIGH_AMOUNT)).alias("medium"),
+        count_if(F.col("is_fraud") & (amt < C.SEVERITY_MEDIUM_AMOUNT)).alias("low"))
 
 
 def merchant_payment_share(tx: DataFrame) -> DataFrame:
     """A-17: method share per merchant (window over <= 4 aggregated rows per merchant)."""
     w = Window.partitionBy("merchant_id")
     return (tx.groupBy("merchant_id", F.col("payment_terminal").alias("method"))
-            .agg(F.count(_L.ONE).alias("n"))
+            .agg(F.count(F.lit(1)).alias("n"))
             .select("merchant_id", "method",
                     round_half(F.col("n").cast("double") / F.sum("n").over(w).cast("double"), 4)
                     .alias("share")))
@@ -261,7 +241,7 @@ def merchant_payment_share(tx: DataFrame) -> DataFrame:
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """A-19: row count per loaded table (metadata-only scans for plain parquet)."""
-    parts = [df.select(F.lit(name).alias("table_name"), F.count(_L.ONE).alias("row_count"))
+    parts = [df.select(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"))
              for name, df in tables.items()]
     out = parts[0]
     for p in parts[1:]:
@@ -280,18 +260,18 @@ def agent_daily_revenue(tx: DataFrame, days: int = 30) -> DataFrame:
 
 def agent_txn_count(tx: DataFrame) -> DataFrame:
     """A-20 count branch."""
-    return tx.groupBy("merchant_id").agg(F.count(_L.ONE).alias("txn_count"))
+    return tx.groupBy("merchant_id").agg(F.count(F.lit(1)).alias("txn_count"))
 
 
 def label_rate(tx: DataFrame) -> DataFrame:
     """A-23: mean of the boolean label."""
-    return tx.agg((count_if(_L.FRAUD).cast("double") / F.nullif(F.count(_L.ONE).cast("double"), F.lit(0.0)))
+    return tx.agg((count_if(F.col("is_fraud")).cast("double") / F.nullif(F.count(F.lit(1)).cast("double"), F.lit(0.0)))
                   .alias("fraud_rate"))
 
 
 def class_weight(tx: DataFrame) -> DataFrame:
     """A-24: negatives / max(positives, 1)."""
-    return tx.agg(count_if(~_L.FRAUD).alias("negatives"), count_if(_L.FRAUD).alias("positives")).select(
+    return tx.agg(count_if(~F.col("is_fraud")).alias("negatives"), count_if(F.col("is_fraud")).alias("positives")).select(
         "negatives", "positives",
         (F.col("negatives").cast("double") / F.greatest(F.col("positives"), F.lit(1)).cast("double"))
         .alias("scale_pos_weight"))

@@ -1,7 +1,6 @@
 """Guardrail and PII cases of the reference, as table tests (F8, F9)."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from paylens import constants as C
 from paylens.functions import text as T
