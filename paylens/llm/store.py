@@ -34,8 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
 def _remove_all() -> None:
     for path, spark in _WRITTEN.items():
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            jvm = spark._jvm
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            conf = spark._jsc.hadoopConfiguration() if spark._jsc else jvm.org.apache.hadoop.conf.Configuration()
+            p.getFileSystem(conf).delete(p, True)
         except Exception:  # noqa: BLE001  the JVM may be gone at exit
             return
 
