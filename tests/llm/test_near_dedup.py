@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from paylens.llm import components, minhash, vectors
@@ -67,6 +68,22 @@ def test_signature_similarity_estimates_jaccard():
     assert abs((sig[0] != sig[1]).mean() - 0.25) < 0.25
 
 
+def test_pairs_that_share_a_bucket_are_linked_at_any_distance(spark):
+    """Texts and their longer copies (Jaccard 56 / 74) whose signatures differ in 20 or more symbols."""
+    rng, rows = random.Random(11), []
+    for k in range(8000):
+        words = [f"{rng.randrange(1 << 30):x}" for _ in range(78)]
+        rows += [" ".join(words[:60]), " ".join(words)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows)], names=["doc_id", "text"])
+    sig = np.concatenate([np.stack([c.to_numpy() for c in b.columns[3:]], 1) for b in minhash._signature_task(5)(iter([batch]))])
+    differ = (sig.view(np.uint16)[::2] != sig.view(np.uint16)[1::2]).reshape(-1, minhash.CHUNKS, minhash.PER_CHUNK).sum(2)
+    far = np.flatnonzero((differ.sum(1) > minhash.MAX_DISTANCE) & (differ.min(1) <= 1))
+    assert len(far)
+    docs = [(int(2 * k + side), rows[2 * k + side]) for k in far for side in (0, 1)]
+    got = result(minhash.near_duplicates(frame(spark, [(d, t, "en", "s") for d, t in docs])))
+    assert got == near_groups(docs) and all(c == d // 2 * 2 for d, (_, c) in got.items())
+
+
 @pytest.mark.parametrize("links", [[(i, i + 1) for i in range(60)], [(0, i) for i in range(1, 50)],
                                    [(5, 9), (9, 5), (3, 3), (2, 9), (7, 8), (7, 8)], []])
 def test_components(spark, links):
