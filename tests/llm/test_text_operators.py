@@ -393,3 +393,30 @@ def test_licence_cosine_matches_brute_force(spark):
                         best = dot / (norm(c) * norm(k)), name
         want[d] = best[1] if best[0] >= licenses.COSINE else None
     assert {r.doc_id: r.own_license for r in licenses.op2(spark, SF_SMALL).collect()} == want
+
+
+def test_licence_texts_headers_and_wrapped_notices(spark, tmp_path):
+    """Statements over several lines, inside a line, and whole licence files of more than four lines."""
+    texts = licenses.full_texts()
+    gnu = ("# This program is free software: you can redistribute it and/or modify\n"
+           "# it under the terms of the GNU {}General Public License as published by\n# the Free Software Foundation, "
+           "either version {} of the License, or\n# (at your option) any later version.\nimport os\nprint(os.name)\n")
+    code = "\n".join(f"line {i} of some other text {i * i}" for i in range(300))
+    cases = [(t[0], name, True) for name, t in texts.items()] + [
+        ("MIT License\n\nCopyright (c) 2019 Some One <some@one.org>\n" + texts["MIT"][0].split("\n", 3)[3], "MIT", True),
+        ("// SPDX-License-Identifier: MIT\nint main() { return 0; }", "MIT", False),
+        (code + "\n/* SPDX-License-Identifier: Apache-2.0 */", "Apache-2.0", False),
+        ("SPDX-License-Identifier: GPL-2.0-only\n" + code, "GPL-2.0", False),
+        (gnu.format("", 3) + code, "GPL-3.0", False), (gnu.format("Lesser ", 3) + code, "LGPL-3.0", False),
+        (gnu.format("", 2) + code, "GPL-2.0", False),
+        (code + "\n * Released under\n * the MIT License.\n" + code, "MIT", False),
+        ("The words of this book are by many. Licensed under CC BY-NC 4.0. Please ask for more of them at the desk.", "CC-BY-NC-4.0", False),
+        ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0", True),
+        ("the software is free of charge and the license is in another file", None, False), (code, None, False)]
+    files = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "id int, text string")
+    got = {r.id: (r.own_license, r.whole) for r in licenses.scan(files, ["id"]).collect()}
+    assert got == {i: (name, whole) for i, (_, name, whole) in enumerate(cases)}
+    docs = [(1, texts["BSD-3-Clause"][0], "en", "s"), (2, code, "en", "s")]
+    frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.license, r.inherited_from) for r in licenses.op2(spark, str(tmp_path)).collect()}
+    assert got == {1: ("BSD-3-Clause", None), 2: ("BSD-3-Clause", "s/en/0")}
