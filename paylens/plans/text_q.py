@@ -289,6 +289,26 @@ def q_retrieval_answer(spark, sf_dir):
                     round_half("confidence", 6).alias("confidence"), "context", "context_hits")
 
 
+@register("retrieval_answer_whole", "K-4", f"""
+WITH {_KNN_CTE}
+SELECT query_id,
+       string_agg('vec-' || CAST(vec_id AS VARCHAR), ',' ORDER BY rank) FILTER (WHERE rank <= 3) AS sources,
+       {R('least(greatest(1.0 - least(MIN(distance), 1.0), 0.0), 1.0)', 6)} AS confidence,
+       COALESCE(string_agg('[Source: vec-' || CAST(vec_id AS VARCHAR) || ']' || chr(10) || COALESCE(d.text, ''),
+                           chr(10) || chr(10) ORDER BY rank) FILTER (WHERE distance < 0.8), '') AS context,
+       CAST(COUNT(*) FILTER (WHERE distance < 0.8) AS INTEGER) AS context_hits
+FROM nn LEFT JOIN documents d ON d.doc_id = nn.vec_id GROUP BY query_id""")
+def q_retrieval_answer_whole(spark, sf_dir):
+    """retrieval_answer with the hits' whole documents as passages."""
+    e = read_table(spark, sf_dir, "embeddings")
+    passages = e.select("vec_id", F.concat(F.lit("vec-"), F.col("vec_id").cast("string")).alias("source")).join(
+        read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("passage")),
+        "vec_id", "left")
+    a = K.retrieval_answer(K.knn(e, query_vectors(e)), passages)
+    return a.select("query_id", F.array_join("sources", ",").alias("sources"),
+                    round_half("confidence", 6).alias("confidence"), "context", "context_hits")
+
+
 # an ASCII record separator begins each document of a landed file
 RECORD = "\x1e"
 
