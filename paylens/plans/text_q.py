@@ -270,6 +270,23 @@ def q_knn_search(spark, sf_dir):
     return r.select("query_id", "vec_id", round_half("distance", 6).alias("distance"), "rank")
 
 
+@register("knn_search_twentieth", "K-3", f"""
+SELECT query_id, vec_id, {R('distance', 6)} AS distance, rank FROM (
+  SELECT q.query_id, v.vec_id, {_DIST} AS distance,
+         CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY {_DIST}, v.vec_id) AS INTEGER) AS rank
+  FROM embeddings v, (SELECT vec_id AS query_id, embedding AS query_vec FROM embeddings WHERE vec_id % 20 = 0
+                      UNION ALL SELECT -1 - label, list_transform(arg_min(embedding, vec_id), lambda x: CAST(x * 3 AS FLOAT))
+                      FROM embeddings GROUP BY label) q) s
+WHERE rank <= {C.KNN_K}""")
+def q_knn_search_twentieth(spark, sf_dir):
+    """Every vector whose id is divisible by 20 against all vectors, and the labels' stretched exemplars."""
+    e = read_table(spark, sf_dir, "embeddings")
+    own = e.filter("vec_id % 20 = 0").select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("query_vec"))
+    far = query_vectors(e).filter("query_id >= 1000").select((F.lit(999) - F.col("query_id")).cast("long").alias("query_id"), "query_vec")
+    r = K.knn(e, own.union(far))
+    return r.select("query_id", "vec_id", round_half("distance", 6).alias("distance"), "rank")
+
+
 @register("retrieval_answer", "K-4", f"""
 WITH {_KNN_CTE}
 SELECT query_id,
