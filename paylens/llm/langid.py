@@ -2,7 +2,7 @@
 
 Every language gets a dictionary: normalised text of a bounded sample of its
 labelled documents (``SAMPLE_DOCS`` on average, at most ``DOC_CHARS`` characters
-of one, ``DICT_BYTES`` in all).  A text is normalised whole (letters, lower
+of one, ``DICT_BYTES`` in all, of which every passage gets an even part).  A text is normalised whole (letters, lower
 case, single spaces), cut into blocks of ``BLOCK`` bytes so that long texts
 cannot feed on themselves, and every block is compressed with every
 dictionary; the language with the smallest total wins.  The prediction is
@@ -65,7 +65,18 @@ def fit_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_chars:
     out: dict[str, list[bytes]] = {lang: [] for lang in sizes}
     for r in sorted(rows, key=lambda r: (r.lang, r.doc_id)):
         out[r.lang].append(normalised(r.text))
-    return {lang: b" ".join(parts)[:dict_bytes] for lang, parts in sorted(out.items())}
+    return {lang: _even(parts, dict_bytes) for lang, parts in sorted(out.items())}
+
+
+def _even(parts: list[bytes], size: int) -> bytes:
+    """The passages joined in ``size`` bytes; the longest are cut to one length, so that each has its part."""
+    left, most = size - max(0, len(parts) - 1), 0
+    for k, n in enumerate(sorted(map(len, parts))):
+        most = max(0, left // (len(parts) - k))
+        if n > most:
+            break
+        left, most = left - n, n
+    return b" ".join(p[:most] for p in parts)[:size]
 
 
 def _compressors(dictionaries: dict[str, bytes]) -> list[tuple[str, zstandard.ZstdCompressor]]:

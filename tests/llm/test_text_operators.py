@@ -135,6 +135,16 @@ def test_language_awkward_and_empty(spark):
     assert {r.lang_pred for r in langid.identify(docs, {}).collect()} == {"und"}
 
 
+def test_every_sampled_passage_is_in_the_dictionary(spark):
+    """More passages than the dictionary holds: each gives an even part, late ids too."""
+    name = lambda i: "q" + "".join(chr(97 + int(c)) for c in str(i)) + "q"
+    rows = [(i, f"{name(i)} " * 900, "en", "s") for i in range(120)] + [(500, "short text", "en", "s")]
+    found = langid.fit_dictionaries(frame(spark, rows))["en"]
+    assert langid.DICT_BYTES * 0.98 <= len(found) <= langid.DICT_BYTES
+    assert all(name(i).encode() in found for i in range(120) if not is_held_out(i))
+    assert langid._even([], 9) == b"" and langid._even([b"ab", b"cdefgh", b"ijklmn"], 10) == b"ab cde ijk"
+
+
 def test_language_ties_are_rejected():
     compressors = langid._compressors({"a": b"same words here", "b": b"same words here"})
     lang, _, margin = langid.judge("same words", compressors)
