@@ -8,7 +8,7 @@ kept, and drops what its operator rejects.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paylens.llm import langid, minhash, packing, toxicity
 from paylens.llm.store import stored, table
@@ -29,9 +29,21 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays (its smallest id); rows without an id stay."""
-    kept = minhash.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    chosen = docs.join(kept, "doc_id", "leftsemi").dropDuplicates(["doc_id"])
+    """One document of each near-duplicate group stays (its smallest id); rows without an id stay.
+
+    Different texts under one id are documents of their own: all but the first by
+    fingerprint are grouped under a number made of id and text, above all ids.
+    """
+    printed = docs.withColumn("_print", F.xxhash64("text"))
+    clashing = printed.groupBy("doc_id").agg(F.min("_print").alias("_first"), F.max("_print").alias("_last")) \
+        .filter("doc_id is not null and _first < _last").select("doc_id", "_first")
+    other = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    keyed = printed.join(stored(clashing, "clashing-ids"), "doc_id", "left").withColumn(
+        "_key", F.when(F.col("_print") > F.col("_first"), F.when(F.col("doc_id").isNotNull(), other))
+        .otherwise(F.col("doc_id").cast("long")))
+    kept = minhash.near_duplicates(keyed, id_col="_key").filter("kept and doc_id is not null") \
+        .select(F.col("doc_id").alias("_key")).distinct()
+    chosen = keyed.join(kept, "_key", "leftsemi").dropDuplicates(["_key"])
     return chosen.select(*COLUMNS).union(docs.filter("doc_id is null").select(*COLUMNS))
 
 

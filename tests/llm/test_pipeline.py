@@ -40,3 +40,13 @@ def test_every_operator_is_registered():
     assert "pipeline" in names
     for n in range(1, 11):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
+
+
+def test_unlike_texts_under_one_id_stay(spark):
+    """A text goes only when its own group keeps another."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, text(1), "en", "s"), (1, text(2), "en", "s"), (1, text(1), "en", "s"), (2, text(2) + " more", "en", "s"),
+            (3, text(1), "en", "s"), (4, text(4), "en", "s"), (None, text(1), "en", "s")]
+    got = sorted((str(r.doc_id), r.text.split("x")[0]) for r in P.near_dedup(spark, frame(spark, rows), SF_SMALL).collect())
+    assert sorted(w for _, w in got) == ["w1", "w1", "w2", "w4"]
+    assert ("None", "w1") in got and ("4", "w4") in got
