@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paylens.llm import bpe, langid, lengths, licenses, minhash, oracles, packing, quality, sharding, toxicity, vectors
+from paylens.llm import (bpe, langid, lengths, licenses, minhash, oracles, packing, pieces, quality, sharding, toxicity,
+                         vectors)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": minhash.op1,
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_near_dedup": vectors.op8,
     "op9_sharding": sharding.op9,
     "op10_token_counts": lengths.op10,
+    "op11_sentencepiece": pieces.op11,
 }
 
 ORACLES: dict[str, str] = {
