@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from paylens.llm import (bpe, langid, lengths, licenses, minhash, oracles, packing, pieces, quality, sharding, toxicity,
+from paylens.llm import (bpe, langid, lengths, licenses, minhash, oracles, packing, pieces, quality, runs, sharding, toxicity,
                          vectors)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": sharding.op9,
     "op10_token_counts": lengths.op10,
     "op11_sentencepiece": pieces.op11,
+    "op12_periodic_runs": runs.op12,
 }
 
 ORACLES: dict[str, str] = {
