@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from paylens.llm import (bpe, langid, lengths, licenses, minhash, oracles, packing, pieces, quality, runs, sharding, toxicity,
-                         vectors)
+                         vectors, whitening)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": minhash.op1,
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": lengths.op10,
     "op11_sentencepiece": pieces.op11,
     "op12_periodic_runs": runs.op12,
+    "op13_embedding_whitening": whitening.op13,
 }
 
 ORACLES: dict[str, str] = {
