@@ -164,6 +164,61 @@ def q_scoped_sql(spark, sf_dir):
     return run_scoped_sql(spark, sql, SCOPED_MERCHANT, transactions(spark, sf_dir))
 
 
+#: Statements of one caller: how many rows the accepted ones may count, in DuckDB's words (None: refused).
+_SCOPE_OWN = "FROM transactions WHERE merchant_id = '{m}'"
+SCOPED_STATEMENTS = [
+    ("SELECT count(*) n FROM transactions WHERE merchant_id = '{m}'", f"SELECT count(*) {_SCOPE_OWN}"),
+    ("SELECT count(*) n FROM Transactions t WHERE '{m}' <> t.customer_id", f"SELECT count(*) {_SCOPE_OWN}"),
+    ("SELECT count(*) n FROM transactions WHERE merchant_id IN ('{m}', 'M00005') OR TRUE", f"SELECT count(*) {_SCOPE_OWN}"),
+    ("WITH transactions AS (SELECT * FROM transactions WHERE merchant_id = '{m}' AND is_fraud) SELECT count(*) n FROM transactions",
+     f"SELECT count(*) {_SCOPE_OWN} AND is_fraud"),
+    ("SELECT max(n) n FROM (WITH a AS (SELECT state, count(*) n FROM transactions WHERE merchant_id = '{m}' GROUP BY state) SELECT * FROM a)",
+     f"SELECT max(n) FROM (SELECT count(*) AS n {_SCOPE_OWN} GROUP BY state) q"),
+    ("SELECT count(DISTINCT other.merchant_id) n FROM transactions t JOIN transactions other ON t.state = other.state WHERE t.merchant_id = '{m}'",
+     f"SELECT count(DISTINCT merchant_id) {_SCOPE_OWN} AND state IS NOT NULL"),
+    ("SELECT count(*) n FROM transactions t WHERE merchant_id = '{m}' AND amount_aud > (SELECT avg(amount_aud) FROM transactions)",
+     f"SELECT count(*) {_SCOPE_OWN} AND amount_aud > (SELECT avg(amount_aud) {_SCOPE_OWN})"),
+    ("SELECT count(*) n FROM transactions", None),
+    ("WITH all_rows AS (SELECT * FROM all_rows) SELECT '{m}' m, count(*) n FROM all_rows", None),
+    ("SELECT '{m}' m, (SELECT count(*) FROM all_rows) n FROM (WITH all_rows AS (SELECT 1 x) SELECT * FROM all_rows) a", None),
+    ("WITH `parquet.{dir}/events.parquet` AS (SELECT 1 x) SELECT '{m}' m, count(*) n FROM parquet.`{dir}/events.parquet`", None),
+    ("WITH a AS (SELECT * FROM all_rows), all_rows AS (SELECT 1 x) SELECT '{m}' m, count(*) n FROM a", None),
+    ("SELECT '{m}' m, count(*) n FROM global_temp.all_rows", None),
+    ("SELECT count(TRANSFORM(merchant_id) USING 'cat') n FROM transactions WHERE merchant_id = '{m}'", None),
+    ("SELECT max(length(reflect('java.lang.System', 'lineSeparator'))) n FROM transactions WHERE merchant_id = '{m}'", None),
+    ("DROP VIEW all_rows -- {m}", None),
+]
+_SCOPED_SQL = " UNION ALL ".join(
+    f"SELECT {k} AS statement, '{m}' AS merchant_id, "
+    + (f"TRUE AS accepted, CAST(({sql.format(m=m)}) AS BIGINT) AS n" if sql else "FALSE AS accepted, CAST(NULL AS BIGINT) AS n")
+    for m in ("M00001", "M00002") for k, (_, sql) in enumerate(SCOPED_STATEMENTS))
+
+
+@register("scoped_sql_statements", "X-7", with_transactions(_SCOPED_SQL))
+def q_scoped_sql_statements(spark, sf_dir):
+    """Two merchants' statements, accepted and refused, while views of all rows exist in the caller's session and globally."""
+    from functools import reduce
+
+    from paylens.operators.sqlscope import run_scoped_sql
+    tx = transactions(spark, sf_dir)
+    tx.createOrReplaceTempView("all_rows")
+    tx.createOrReplaceGlobalTempView("all_rows")
+    out = []
+    try:
+        for m in ("M00001", "M00002"):
+            for k, (sql, _) in enumerate(SCOPED_STATEMENTS):
+                try:
+                    n = run_scoped_sql(spark, sql.format(m=m, dir=sf_dir), m, tx).agg(F.max(F.col("n").cast("long")).alias("n"))
+                    accepted = True
+                except ValueError:
+                    n, accepted = spark.range(1).select(F.lit(None).cast("long").alias("n")), False
+                out.append(n.select(F.lit(k).alias("statement"), F.lit(m).alias("merchant_id"), F.lit(accepted).alias("accepted"), "n"))
+    finally:
+        spark.catalog.dropTempView("all_rows")
+        spark.catalog.dropGlobalTempView("all_rows")
+    return reduce(lambda a, b: a.union(b), out)
+
+
 _ANSWER_SQL = with_transactions(f"""
 SELECT g.conv_id, g.turn, g.merchant_id, g.status, g.reason, g.intent, r.response,
        left(g.question, 100) AS query_snippet, CAST(length(r.response) AS INTEGER) AS response_length

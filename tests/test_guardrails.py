@@ -92,6 +92,95 @@ def test_statements_outside_the_scope_are_refused(spark, sql):
         check_sql(spark, sql, "M00001")
 
 
+SECRET_COUNT = "SELECT 'M00001' m, count(distinct user_id) n FROM secret"
+BYPASSES = [
+    "WITH secret AS (SELECT * FROM secret) " + SECRET_COUNT,                     # the inner name is the catalog's view
+    "SELECT 'M00001' m, (SELECT count(distinct user_id) FROM secret) n FROM (WITH secret AS (SELECT 1 x) SELECT * FROM secret) a",
+    "WITH `parquet./root/testdata/sf0.001/events.parquet` AS (SELECT 1 x) "
+    "SELECT 'M00001' m, count(*) n FROM parquet.`/root/testdata/sf0.001/events.parquet`",
+    "WITH a AS (WITH secret AS (SELECT 1 user_id) SELECT * FROM secret) SELECT 'M00001' m, s.user_id FROM a, secret s",
+    "WITH a AS (SELECT * FROM secret), secret AS (SELECT 1 user_id) SELECT 'M00001' m, user_id FROM a",
+    "WITH `global_temp.secret` AS (SELECT 1 x) SELECT 'M00001' m, count(*) FROM global_temp.secret",
+    "WITH t AS (SELECT 'M00001' m) SELECT * FROM t WHERE EXISTS (SELECT 1 FROM global_temp.transactions)",
+    "SELECT 'M00001' m, (SELECT max(n) FROM (SELECT count(*) n FROM global_temp.secret)) FROM transactions",
+    "SELECT count(*) FROM transactions t, LATERAL (SELECT * FROM global_temp.secret s WHERE s.user_id > 0) WHERE 'M00001' = 'M00001'",
+    "SELECT TRANSFORM(merchant_id) USING 'cat /etc/passwd' AS line FROM transactions WHERE merchant_id = 'M00001'",
+    "SELECT max(length(reflect('java.lang.System', 'getenv', 'HOME'))) FROM transactions WHERE merchant_id = 'M00001'",
+    "SELECT count(*) FROM transactions WHERE merchant_id = 'M00001' AND java_method('java.lang.System', 'lineSeparator') <> ''",
+    "SELECT input_file_name() FROM transactions WHERE merchant_id = 'M00001'",
+    "SELECT _metadata.file_path FROM transactions WHERE merchant_id = 'M00001'",
+    "SELECT scope_probe_udf(merchant_id) FROM transactions WHERE merchant_id = 'M00001'",
+    "SELECT 'M00001') a, (SELECT 1", "SHOW TABLES", "SET spark.sql.runSQLOnFiles = true -- 'M00001'",
+    "SELECT /* 'M00001' */ count(*) FROM transactions",
+]
+
+
+@pytest.mark.parametrize("sql", BYPASSES)
+def test_names_out_of_scope_do_not_reach_other_rows(spark, sql):
+    """Names that the statement defines elsewhere, quotes or spells like a path; the views exist in the caller's session."""
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.createOrReplaceTempView("secret")
+    events.createOrReplaceGlobalTempView("secret")
+    events.createOrReplaceGlobalTempView("transactions")
+    spark.udf.register("scope_probe_udf", lambda x: x)
+    from paylens.sources.tables import transactions
+    try:
+        with pytest.raises(ValueError):
+            run_scoped_sql(spark, sql, "M00001", transactions(spark, "/root/testdata/sf0.001"))
+        with pytest.raises(ValueError):
+            check_sql(spark, sql, "M00001")
+    finally:
+        spark.catalog.dropTempView("secret")
+        spark.catalog.dropGlobalTempView("secret")
+        spark.catalog.dropGlobalTempView("transactions")
+
+
+USUAL = [
+    "SELECT category, state, round(avg(amount), 2) FROM t GROUP BY ROLLUP (category, state) HAVING count(*) > 0 ORDER BY 1, 2",
+    "SELECT day, amount, sum(amount) OVER (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) w, "
+    "lag(amount) OVER (ORDER BY day) before, rank() OVER (ORDER BY amount DESC) r FROM "
+    "(SELECT date(at) day, sum(amount) amount FROM t GROUP BY date(at)) d",
+    "SELECT date_trunc('week', at) week, count(DISTINCT terminal), count_if(amount BETWEEN 10 AND 50), max_by(id, amount) FROM t GROUP BY 1",
+    "SELECT hour(at) h, extract(DAY FROM at) d, at - INTERVAL 1 DAY y, datediff(current_date(), date(at)) > 0 old, "
+    "CASE WHEN amount > 50 THEN 'high' ELSE 'low' END size, coalesce(card, 'none') card, concat_ws('-', state, category) k FROM t LIMIT 7",
+    "SELECT percentile_approx(amount, 0.5), median(amount), stddev(amount), array_join(sort_array(collect_set(state)), ',') FROM t",
+    "SELECT * FROM t a JOIN (SELECT terminal, count(*) n FROM t GROUP BY terminal) b USING (terminal) WHERE a.amount > "
+    "(SELECT avg(amount) FROM t x WHERE x.state = a.state) AND a.category LIKE '%e%' AND a.state IN ('NSW', 'VIC', 'QLD')",
+    "(SELECT id FROM t WHERE fraud UNION ALL SELECT id FROM t EXCEPT SELECT id FROM t WHERE off) LIMIT 3",
+    "SELECT state, n FROM (SELECT state, explode(sequence(1, 2)) n FROM t) WHERE n > 1",
+    "SELECT * FROM (SELECT state, amount FROM t) PIVOT (sum(amount) FOR state IN ('NSW', 'VIC'))",
+    "SELECT try_divide(sum(amount), count_if(fraud)), grouping(state) FROM t GROUP BY CUBE (state)",
+    "SELECT *, 'M00001' k FROM VALUES ('M00001', 1) AS v(m, x)",
+]
+
+
+@pytest.mark.parametrize("sql", USUAL)
+def test_usual_questions_run(spark, sql):
+    from paylens.sources.tables import transactions
+    tx = transactions(spark, "/root/testdata/sf0.001")
+    own = ("WITH t AS (SELECT transaction_id id, merchant_category category, state, amount_aud amount, `timestamp` at, "
+           "payment_terminal terminal, card_type card, is_fraud fraud, is_outside_business_hours off "
+           "FROM transactions WHERE merchant_id = 'M00001') ")
+    tx.createOrReplaceTempView("all_transactions")
+    got = run_scoped_sql(spark, own + sql if "VALUES" not in sql else sql, "M00001", tx).collect()
+    want = spark.sql((own + sql).replace("FROM transactions", "FROM all_transactions")).collect()
+    spark.catalog.dropTempView("all_transactions")
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_session_of_a_statement_is_its_own(spark):
+    from paylens.sources.tables import transactions
+    spark.conf.set("spark.sql.session.timeZone", "Australia/Sydney")
+    try:
+        found = run_scoped_sql(spark, "SELECT current_timezone(), 'M00001' m, count(*) n FROM transactions", "M00001",
+                               transactions(spark, "/root/testdata/sf0.001"))
+        assert found.first()[0] == "Australia/Sydney"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert not spark.catalog.tableExists("transactions")
+    assert spark.conf.get("spark.sql.runSQLOnFiles") == "true"
+
+
 def test_scoped_statements(spark):
     from paylens.sources.tables import transactions
     tx = transactions(spark, "/root/testdata/sf0.001")
