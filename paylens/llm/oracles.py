@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import math
-
 from paylens.functions.numeric import sql_round
-from paylens.llm import licenses, quality
+from paylens.llm import licenses
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -37,26 +35,29 @@ def _count(chars: str) -> str:
     return f"length(regexp_replace(text, '[^{chars}]', '', 'g'))"
 
 
-def _quantiles(name: str, source: str, by: str) -> str:
-    value = f"CASE WHEN bucket IS NULL THEN 0.0 ELSE {quality.ZERO!r} * pow({1 + quality.WIDTH!r}, bucket - 0.5) END"
-    return f"""{name} AS (SELECT {by}, MAX(total) AS total, MIN(CASE WHEN upto >= ceil(total * 0.25) THEN v END) AS q1,
-    MIN(CASE WHEN upto >= ceil(total * 0.75) THEN v END) AS q3 FROM (
-      SELECT {by}, {value} AS v, SUM(n) OVER (PARTITION BY {by} ORDER BY bucket NULLS FIRST) AS upto,
-             SUM(n) OVER (PARTITION BY {by}) AS total
+_RATIOS = {"symbol_ratio": ("n_symbols", "word_chars"), "dup_line_ratio": ("n_dup_lines", "n_lines"),
+           "echo_ratio": ("n_echoes", "n_words"), "upper_ratio": ("n_upper", "word_chars"),
+           "mark_ratio": ("n_marks", "word_chars"), "word_length": ("word_chars", "n_words")}
+
+
+def _at(ranks: dict[str, float], source: str, by: str) -> str:
+    """Values at ranks of the merged sketches of ``source``."""
+    picked = ", ".join(f"MIN(CASE WHEN upto >= ceil(total * {q}) THEN v END) AS {name}" for name, q in ranks.items())
+    return f"""(SELECT {by}, MAX(total) AS total, {picked} FROM (
+      SELECT {by}, CASE WHEN bucket IS NULL THEN 0.0 ELSE 1e-6 * pow(1.02, bucket - 0.5) END AS v,
+             SUM(n) OVER (PARTITION BY {by} ORDER BY bucket NULLS FIRST) AS upto, SUM(n) OVER (PARTITION BY {by}) AS total
       FROM (SELECT {by}, bucket, SUM(n) AS n FROM {source} GROUP BY {by}, bucket) s) r GROUP BY {by})"""
 
 
-_RATIOS = {"symbol_ratio": "n_symbols / greatest(word_chars, 1)", "dup_line_ratio": "n_dup_lines / greatest(n_lines, 1)",
-           "echo_ratio": "n_echoes / greatest(n_words, 1)", "upper_ratio": "n_upper / greatest(word_chars, 1)",
-           "mark_ratio": "n_marks / greatest(word_chars, 1)", "word_length": "word_chars / greatest(n_words, 1)"}
-_LEAST = " ".join(f"WHEN '{r}' THEN {x!r}" for r, x in quality.LEAST_RANGE.items())
-_LIMITS = [f"MAX(CASE WHEN ratio = '{r}' THEN q3 + reach END) AS {r}_max" for r in quality.LEAST_RANGE] + [
-    f"MAX(CASE WHEN ratio = '{r}' THEN q1 - reach END) AS {r}_min" for r in sorted(quality.LOWER)]
-_OUT = " OR ".join([f"COALESCE({e} > {r}_max, FALSE)" for r, e in _RATIOS.items()]
-                   + [f"COALESCE({_RATIOS[r]} < {r}_min, FALSE)" for r in sorted(quality.LOWER)])
+_AT = {"q1": 0.25, "q2": 0.5, "q3": 0.75, "q9": 0.9}
+_PICK = ", ".join(f"CASE WHEN o.total >= 100 THEN o.{q} WHEN l.total >= 100 THEN l.{q} ELSE e.{q} END AS {q}" for q in _AT)
+_LIMITS = ", ".join([f"MAX(CASE WHEN ratio = '{r}' THEN q3 + reach END) AS {r}_max" for r in _RATIOS]
+                    + ["MAX(CASE WHEN ratio = 'word_length' THEN q1 - reach END) AS word_length_min"])
+_OUT = " OR ".join([f"COALESCE(({k} - 2 * sqrt({k})) / greatest({n}, 1) > {r}_max, FALSE)" for r, (k, n) in _RATIOS.items()]
+                   + ["COALESCE((word_chars + 2 * sqrt(word_chars)) / greatest(n_words, 1) < word_length_min, FALSE)"])
 
 QUALITY = f"""
-WITH d AS (SELECT doc_id, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source, COALESCE(text, '') AS text,
+WITH d AS (SELECT doc_id, lang, source, COALESCE(text, '') AS text,
                   regexp_extract_all(COALESCE(text, ''), {_WORD}) AS w FROM documents),
 lines AS (SELECT doc_id, COUNT(*) AS n_lines, COUNT(*) - COUNT(DISTINCT line) AS n_dup_lines
           FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) l
@@ -70,21 +71,22 @@ c AS (SELECT d.doc_id, lang, source, len(w) AS n_words,
              COALESCE(n_lines, 0) AS n_lines, len(list_filter(range(2, len(w) + 1), lambda k: w[k] = w[k - 1])) AS n_echoes,
              {_count('A-Z')} AS n_upper, {_count('!?')} AS n_marks
       FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
-b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM c),
-long AS ({" UNION ALL ".join(f"SELECT lang, source, '{r}' AS ratio, {e} AS v FROM b WHERE NOT base_failed" for r, e in _RATIOS.items())}),
-sk AS (SELECT lang, source, ratio, CASE WHEN v >= {quality.ZERO!r} THEN
-         CAST(ceil(ln(v / {quality.ZERO!r}) / {math.log1p(quality.WIDTH)!r}) AS INTEGER) END AS bucket, COUNT(*) AS n
-       FROM long GROUP BY ALL),
-{_quantiles("own", "sk", "lang, source, ratio")}, {_quantiles("per_lang", "sk", "lang, ratio")}, {_quantiles("every", "sk", "ratio")},
-f AS (SELECT own.lang, own.source, ratio,
-        CASE WHEN own.total >= {quality.LEAST_GROUP} THEN own.q1 WHEN l.total >= {quality.LEAST_GROUP} THEN l.q1 ELSE e.q1 END AS q1,
-        CASE WHEN own.total >= {quality.LEAST_GROUP} THEN own.q3 WHEN l.total >= {quality.LEAST_GROUP} THEN l.q3 ELSE e.q3 END AS q3
-      FROM own JOIN per_lang l USING (lang, ratio) JOIN every e USING (ratio)),
-g AS (SELECT *, {quality.FENCE!r} * greatest(q3 - q1, CASE ratio {_LEAST} END) AS reach FROM f),
-t AS (SELECT lang, source, {", ".join(_LIMITS)} FROM g GROUP BY lang, source)
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c),
+long AS ({" UNION ALL ".join(f"SELECT lang, source, '{r}' AS ratio, {k} / greatest({n}, 1) AS v FROM b WHERE NOT base_failed" for r, (k, n) in _RATIOS.items())}),
+sk AS (SELECT lang, source, ratio, CASE WHEN v >= 1e-6 THEN CAST(ceil(ln(v / 1e-6) / 0.01980262729617973) AS INTEGER) END AS bucket,
+              COUNT(*) AS n FROM long GROUP BY ALL),
+positive AS (SELECT * FROM sk WHERE bucket IS NOT NULL),
+f AS (SELECT o.lang, o.source, o.ratio, {_PICK}, COALESCE(ls.usual, es.usual) AS usual
+      FROM {_at(_AT, "sk", "lang, source, ratio")} o
+      JOIN {_at(_AT, "sk", "lang, ratio")} l ON o.lang IS NOT DISTINCT FROM l.lang AND o.ratio = l.ratio
+      JOIN {_at(_AT, "sk", "ratio")} e ON o.ratio = e.ratio
+      LEFT JOIN {_at({"usual": 0.25}, "positive", "lang, ratio")} ls ON o.lang IS NOT DISTINCT FROM ls.lang AND o.ratio = ls.ratio
+      LEFT JOIN {_at({"usual": 0.25}, "positive", "ratio")} es ON o.ratio = es.ratio),
+g AS (SELECT *, CASE WHEN q3 > q1 THEN 3.0::DOUBLE * (q3 - q1) WHEN q9 > q2 THEN 3.0::DOUBLE * (q9 - q2) ELSE 0.25::DOUBLE * usual END AS reach FROM f),
+t AS (SELECT lang, source, {_LIMITS} FROM g GROUP BY lang, source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT ({_OUT}) AS kept,
-       {", ".join(f"{sql_round(x, 6)} AS {x}" for x in [f"{r}_max" for r in quality.LEAST_RANGE] + [f"{r}_min" for r in sorted(quality.LOWER)])}
-FROM b LEFT JOIN t USING (lang, source)"""
+       {", ".join(f"{sql_round(x, 6)} AS {x}" for x in [f"{r}_max" for r in _RATIOS] + ["word_length_min"])}
+FROM b LEFT JOIN t ON b.lang IS NOT DISTINCT FROM t.lang AND b.source IS NOT DISTINCT FROM t.source"""
 
 _TEMPLATES = ", ".join(f"('{name}', {i}, '{text.lower()}')" for name, texts in sorted(licenses.TEMPLATES.items())
                        for i, text in enumerate(texts))

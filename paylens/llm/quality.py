@@ -4,11 +4,19 @@ Each document gets counts over its whole text.  Ratios of these counts go into
 logarithmic-bucket sketches (buckets of a fixed relative width, so a sketch is
 a table of counts and merging is addition) per language and source, per
 language, and over all documents.  A group's threshold for a ratio is its upper
-quartile plus ``FENCE`` times its interquartile range, at least ``LEAST_RANGE``
-of it; mean word length also has the lower fence.  Groups of fewer than
-``LEAST_GROUP`` documents use their language's merged sketch, languages as
-small the sketch of all documents.  These thresholds replace fixed cutoffs; a
-document fails the verdict if any ratio lies outside its group's fences.
+quartile plus ``FENCE`` times its spread; mean word length also has the lower
+fence.  The spread is the group's interquartile range or, where its quartiles
+are equal, the distance from its median to its ninth decile.  Groups of fewer
+than ``LEAST_GROUP`` documents use their language's merged sketch, languages as
+small the sketch of all documents.  Where a ratio is the same in nine of ten
+documents of a group, the merged sketches tell how large it is where it occurs
+at all: the fence is ``RARE`` of the lower quartile of its positive values in
+the language, or else in all documents; without any there is no fence.
+
+These thresholds replace fixed cutoffs.  A document fails the verdict if a ratio
+lies outside its group's fences beyond what the count itself leaves open: its
+``SURE``-fold standard error (square root) is taken off the count first, so one
+repeated line in a short text is no evidence.
 
 Everything after the counts is DataFrame code: sketches are partial sums, so a
 hot source sends one row per bucket and task, and the thresholds meet the
@@ -36,10 +44,11 @@ from paylens.session import ship_package
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 #: relative width of a sketch's buckets, and the ratio that counts as zero
 WIDTH, ZERO = 0.02, 1e-6
-FENCE, LEAST_GROUP = 3.0, 100
-#: ratio -> least interquartile range that a fence is built on
-LEAST_RANGE = {"symbol_ratio": 0.01, "dup_line_ratio": 0.2, "echo_ratio": 0.05, "upper_ratio": 0.05,
-               "mark_ratio": 0.01, "word_length": 0.5}
+FENCE, LEAST_GROUP, RARE, SURE = 3.0, 100, 0.25, 2.0
+#: ratio -> its count and what the count is set against
+RATIOS = {"symbol_ratio": ("n_symbols", "word_chars"), "dup_line_ratio": ("n_dup_lines", "n_lines"),
+          "echo_ratio": ("n_echoes", "n_words"), "upper_ratio": ("n_upper", "word_chars"),
+          "mark_ratio": ("n_marks", "word_chars"), "word_length": ("word_chars", "n_words")}
 LOWER = {"word_length"}
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_echoes", "n_upper", "n_marks"]
@@ -122,12 +131,9 @@ def text_counts(docs: DataFrame) -> DataFrame:
                            + ", ".join(f"{c} long" for c in COUNTS))
 
 
-def ratios() -> dict[str, Column]:
-    words, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
-    return {"symbol_ratio": F.col("n_symbols") / chars,
-            "dup_line_ratio": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
-            "echo_ratio": F.col("n_echoes") / words, "upper_ratio": F.col("n_upper") / chars, "mark_ratio": F.col("n_marks") / chars,
-            "word_length": F.col("word_chars") / words}
+def ratios(errors: float = 0.0) -> dict[str, Column]:
+    """The ratios, with so many standard errors added to their counts."""
+    return {r: (F.col(count) + F.lit(errors) * F.sqrt(count)) / F.greatest(of, F.lit(1)) for r, (count, of) in RATIOS.items()}
 
 
 def base_failed() -> Column:
@@ -157,30 +163,38 @@ def quantiles(sketches: DataFrame, by: list[str], at: dict[str, float]) -> DataF
         F.min(F.when(F.col("upto") >= F.ceil(F.col("total") * q), value)).alias(name) for name, q in at.items()])
 
 
+def group_key(name: str) -> Column:
+    """Never null; null and empty values apart."""
+    return F.when(F.col(name).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(name)))
+
+
 def thresholds(counts: DataFrame) -> DataFrame:
-    """lang, source (null-safe keys lang_key, source_key) and the fences of each ratio."""
+    """Keys lang_key and source_key (see ``group_key``) and the fences of each ratio."""
     long = counts.filter(~base_failed()).select(
-        F.coalesce("lang", F.lit("")).alias("lang_key"), F.coalesce("source", F.lit("")).alias("source_key"),
+        group_key("lang").alias("lang_key"), group_key("source").alias("source_key"),
         F.explode(F.create_map(*[x for k, v in ratios().items() for x in (F.lit(k), v)])).alias("ratio", "value"))
     groups = stored(sketch(long, ["lang_key", "source_key", "ratio"]), "quality-sketch")
-    at = {"q1": 0.25, "q3": 0.75}
+    at = {"q1": 0.25, "q2": 0.5, "q3": 0.75, "q9": 0.9}
     langs = merged(groups, ["lang_key", "ratio"])
-    own = quantiles(groups, ["lang_key", "source_key", "ratio"], at)
-    lang = quantiles(langs, ["lang_key", "ratio"], at).select(
-        "lang_key", "ratio", F.col("total").alias("lt"), F.col("q1").alias("l1"), F.col("q3").alias("l3"))
-    every = quantiles(merged(langs, ["ratio"]), ["ratio"], at).select(
-        "ratio", F.col("q1").alias("e1"), F.col("q3").alias("e3"))
-
-    def pick(i: int) -> Column:
-        return F.when(F.col("total") >= LEAST_GROUP, F.col(f"q{i}")) \
-            .when(F.col("lt") >= LEAST_GROUP, F.col(f"l{i}")).otherwise(F.col(f"e{i}"))
-
-    least = F.element_at(F.create_map(*[F.lit(x) for kv in LEAST_RANGE.items() for x in kv]), F.col("ratio"))
-    fenced = own.join(lang, ["lang_key", "ratio"]).join(every, "ratio") \
-        .select("lang_key", "source_key", "ratio", pick(1).alias("q1"), pick(3).alias("q3"),
-                (F.lit(FENCE) * F.greatest(pick(3) - pick(1), least)).alias("reach"))
+    every = merged(langs, ["ratio"])
+
+    def figures(sketches: DataFrame, by: list[str], mark: str) -> DataFrame:
+        """Size and quantiles of merged sketches, and the lower quartile of the positive values."""
+        whole = quantiles(sketches, by, at).select(*by, F.col("total").alias(f"{mark}_total"), F.struct(*at).alias(mark))
+        some = quantiles(sketches.filter("bucket is not null"), by, {f"{mark}_some": 0.25}).drop("total")
+        return whole.join(some, by, "left")
+
+    fenced = quantiles(groups, ["lang_key", "source_key", "ratio"], at) \
+        .select("lang_key", "source_key", "ratio", F.col("total").alias("own_total"), F.struct(*at).alias("own")) \
+        .join(figures(langs, ["lang_key", "ratio"], "lang"), ["lang_key", "ratio"]).join(figures(every, ["ratio"], "every"), "ratio") \
+        .withColumn("q", F.when(F.col("own_total") >= LEAST_GROUP, F.col("own"))
+                    .when(F.col("lang_total") >= LEAST_GROUP, F.col("lang")).otherwise(F.col("every"))) \
+        .select("lang_key", "source_key", "ratio", "q.*", F.coalesce("lang_some", "every_some").alias("some"))
+    reach = F.when(F.col("q3") > F.col("q1"), F.lit(FENCE) * (F.col("q3") - F.col("q1"))) \
+        .when(F.col("q9") > F.col("q2"), F.lit(FENCE) * (F.col("q9") - F.col("q2"))).otherwise(F.lit(RARE) * F.col("some"))
+    fenced = fenced.withColumn("reach", reach)
     return fenced.groupBy("lang_key", "source_key").agg(
-        *[F.max(F.when(F.col("ratio") == r, F.col("q3") + F.col("reach"))).alias(f"{r}_max") for r in LEAST_RANGE],
+        *[F.max(F.when(F.col("ratio") == r, F.col("q3") + F.col("reach"))).alias(f"{r}_max") for r in RATIOS],
         *[F.max(F.when(F.col("ratio") == r, F.col("q1") - F.col("reach"))).alias(f"{r}_min") for r in sorted(LOWER)])
 
 
@@ -188,14 +202,13 @@ def quality_rules(docs: DataFrame) -> DataFrame:
     """Counts, base verdict, thresholds and verdict of every document."""
     counts = stored(text_counts(docs), "quality-counts")
     limits = stored(thresholds(counts), "quality-thresholds")
-    values = ratios()
+    least, most = ratios(-SURE), ratios(SURE)
     out = F.lit(False)
-    for r in LEAST_RANGE:
-        out = out | F.coalesce(values[r] > F.col(f"{r}_max"), F.lit(False))
+    for r in RATIOS:
+        out = out | F.coalesce(least[r] > F.col(f"{r}_max"), F.lit(False))
     for r in sorted(LOWER):
-        out = out | F.coalesce(values[r] < F.col(f"{r}_min"), F.lit(False))
-    keyed = counts.withColumn("lang_key", F.coalesce("lang", F.lit(""))) \
-        .withColumn("source_key", F.coalesce("source", F.lit("")))
+        out = out | F.coalesce(most[r] < F.col(f"{r}_min"), F.lit(False))
+    keyed = counts.withColumn("lang_key", group_key("lang")).withColumn("source_key", group_key("source"))
     return keyed.join(limits, ["lang_key", "source_key"], "left") \
         .withColumn("base_failed", base_failed()) \
         .withColumn("kept", ~F.col("base_failed") & ~out).drop("lang_key", "source_key")
@@ -204,5 +217,5 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def op4(spark, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        *[round_half(f"{r}_max", 6).alias(f"{r}_max") for r in LEAST_RANGE],
+        *[round_half(f"{r}_max", 6).alias(f"{r}_max") for r in RATIOS],
         *[round_half(f"{r}_min", 6).alias(f"{r}_min") for r in sorted(LOWER)])

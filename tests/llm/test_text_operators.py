@@ -109,6 +109,45 @@ def test_thresholds_follow_their_group(spark):
     assert not got[5000] and sum(got.values()) == 400
 
 
+def test_thresholds_follow_the_spread_of_their_group(spark):
+    def row(i, source, upper):
+        words = ["ABCDE"] * upper + ["abcde"] * (40 - upper)
+        return (i, " ".join(f"{w}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k, w in enumerate(words)), "en", source)
+
+    even = [row(i, "even", 10 + i % 2) for i in range(200)]
+    wide = [row(1000 + i, "wide", 10 + 4 * (i % 3 - 1)) for i in range(201)]
+    got = quality.quality_rules(frame(spark, [*even, *wide, row(5000, "even", 30), row(6000, "wide", 30)])).collect()
+    limit = {r.source: r.upper_ratio_max for r in got}
+    kept = {r.doc_id: r.kept for r in got}
+    # 7 letters a word: upper-case shares 10 and 11 of 40 against 6, 10 and 14 of 40, times 5 / 7
+    assert abs(limit["even"] - (11 + 3 * 1) / 56) < 0.01 and abs(limit["wide"] - (14 + 3 * 8) / 56) < 0.03
+    assert not kept[5000] and kept[6000] and sum(kept.values()) == 402
+
+
+def test_rare_ratios_are_fenced_by_the_merged_sketches(spark):
+    """No group varies in the ratio; the positive values of the language, or else of all, give the fence."""
+    plain = " ".join(f"abc{k:03}" for k in range(60))
+    rows = [(100 * g + i, f"{plain} p{i:05} q{g:05}", lang, f"s{g}") for g, lang in enumerate(["en", "en", "de"]) for i in range(100)]
+    rows.append((901, plain + " $$$$xy" * 5 + " $$$$$$" * 3, "en", "s0"))     # the language's only positive value
+    rows.append((902, plain + " $abcde", "de", "s2"))                        # one sign is no evidence
+    got = {r.doc_id: r for r in quality.quality_rules(frame(spark, rows)).collect()}
+    share = 38 / got[901].word_chars
+    for of in (1, 101):
+        assert abs(got[of].symbol_ratio_max - share / 4) < 0.01 * share
+        assert got[of].mark_ratio_max is None
+    assert got[201].symbol_ratio_max < share / 30            # the German value is the small one
+    assert {d for d, r in got.items() if not r.kept and not r.base_failed} == {901}
+
+
+def test_null_and_empty_groups_stay_apart(spark):
+    low, high = "ab cd ef gh ij kl mn op qr st uv", "abcdefgh bcdefghi cdefghij defghijk efghijkl fghijklm ghijklmn hijklmno ijklmnop jklmnopq klmnopqr"
+    rows = [(i, f"{low} {chr(97 + i % 26)}x", None, None) for i in range(120)] + [(500 + i, f"{high} {chr(97 + i % 26)}xxxxxxx", "", "") for i in range(120)]
+    got = quality.quality_rules(frame(spark, rows)).collect()
+    assert len(got) == 240 and all(r.kept for r in got)
+    limits = {(r.lang, r.source): r.word_length_max for r in got}
+    assert set(limits) == {(None, None), ("", "")} and limits[None, None] < 4 < 8 <= limits["", ""]
+
+
 # language ------------------------------------------------------------------
 
 def test_language_of_given_documents(spark):
