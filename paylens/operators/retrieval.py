@@ -1,22 +1,29 @@
 """Chunking and nearest-neighbour retrieval (K-1 … K-4, SRC-10).
 
-kNN is exact: blocks of queries meet blocks of vectors, each pair of blocks
-returns the k nearest of the block for every query, and ``row_number() <= k``
-per query (a WindowGroupLimit, trimmed before the shuffle) merges them.
+kNN is exact and pruned.  Vectors are kept in blocks: contiguous ranges by
+nearest pivot and distance to it, so that a block is a shell around its pivot.
+A query's nearest block gives its k-th distance so far; by the triangle
+inequality every block whose shell lies farther away is skipped.  Within a block
+one matrix product finds the candidates of all its queries, and only these are
+measured exactly.  ``row_number() <= k`` per query (a WindowGroupLimit, trimmed
+before the shuffle) merges the blocks.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paylens import constants as C
-from paylens.session import ship_package
+from paylens.session import cut_lineage, ship_package
 
-#: vectors and queries in one block of the kNN search
-VECTOR_BLOCK, QUERY_BLOCK = 1 << 15, 1 << 12
+#: vectors and queries in one block of the kNN search, and pivots at most
+VECTOR_BLOCK, QUERY_BLOCK, PIVOTS = 1 << 14, 1 << 12, 256
+#: hits' ids that are broadcast at most (8 bytes each)
+HIT_IDS = 1 << 20
 
 
 def chunk_text(df: DataFrame, text: str = "text", size: int = C.CHUNK_SIZE,
@@ -36,49 +43,140 @@ def chunk_text(df: DataFrame, text: str = "text", size: int = C.CHUNK_SIZE,
             .withColumn("chunk_id", (F.col("chunk_start") / step).cast("int")))
 
 
+def _squared(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances of all rows of ``x`` to all rows of ``y`` by a matrix product, and a bound of their error by row of ``x``."""
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    error = 8 * (x.shape[1] + 4) * np.finfo(float).eps * (xx + yy.max(initial=0.0))
+    return np.maximum(xx[:, None] + yy[None, :] - 2 * (x @ y.T), 0.0), error
+
+
+def _matrix(vectors) -> np.ndarray:
+    return np.stack(list(vectors)).astype(float) if len(vectors) else np.zeros((0, 0))
+
+
 def _nearest(k: int):
-    """Cogrouped blocks (query_id, query_vec) and (id, vec) to each query's k nearest vectors of the block."""
+    """Cogrouped (query_id, query_vec) and a block's (id, vec) to each query's k nearest vectors of the block."""
     def task(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        ids = vectors["id"].to_numpy()
-        x = np.stack(vectors["vec"].to_numpy()).astype(float) if len(vectors) else np.zeros((0, 0))
-        out = []
-        for query, vec in zip(queries["query_id"], queries["query_vec"]):
-            if not len(x):
-                continue
-            d = x - np.asarray(vec, float)
-            d = (d * d).cumsum(1)[:, -1]                          # summed in element order
-            best = np.lexsort((ids, d))[:k] if len(d) <= 4 * k else _smallest(d, ids, k)
-            out += [(query, int(ids[i]), float(d[i])) for i in best]
-        return pd.DataFrame(out, columns=["query_id", "id", "distance"])
+        out = {"query_id": [], "id": [], "distance": []}
+        if len(queries) and len(vectors):
+            ids, x, names = vectors["id"].to_numpy(), _matrix(vectors["vec"]), queries["query_id"].to_numpy()
+            step = max(1, (1 << 22) // len(x))
+            for lo in range(0, len(names), step):
+                q = _matrix(queries["query_vec"].iloc[lo:lo + step])
+                rough, error = _squared(q, x)
+                limit = (np.partition(rough, k - 1, 1)[:, k - 1] if len(x) > k else rough.max(1)) + 2 * error
+                row, col = np.nonzero(rough <= limit[:, None])
+                d = x[col] - q[row]
+                d = (d * d).cumsum(1)[:, -1]                      # summed in element order
+                order = np.lexsort((ids[col], d, row))
+                row, col, d = row[order], col[order], d[order]
+                first = np.searchsorted(row, row, "left")
+                kept = np.arange(len(row)) - first < k
+                out["query_id"] += names[lo:lo + step][row[kept]].tolist()
+                out["id"] += ids[col[kept]].tolist()
+                out["distance"] += d[kept].tolist()
+        return pd.DataFrame(out)
+    return task
+
+
+def _to_pivots(pivots: np.ndarray, keep: str):
+    """Batches (…, vector) to themselves with the distances to all pivots, or the nearest one's number and distance."""
+    def task(batches):
+        for batch in batches:
+            rows = batch.column(batch.num_columns - 1)
+            x = _matrix(rows.to_pylist())
+            d = np.sqrt(_squared(x, pivots)[0]) if len(x) else np.zeros((0, len(pivots)))
+            near = d.argmin(1) if len(x) else np.zeros(0, int)
+            cols, names = list(batch.columns), list(batch.schema.names)
+            if keep == "all":
+                added = [("far", pa.array(list(d), pa.list_(pa.float64())))]
+            else:
+                added = [("pivot", pa.array(near, pa.int32())), ("r", pa.array(d[np.arange(len(x)), near], pa.float64()))]
+            yield pa.RecordBatch.from_arrays(cols + [c for _, c in added], names=names + [n for n, _ in added])
     return task
 
 
-def _smallest(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k smallest (distance, id)."""
-    near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-    return near[np.lexsort((ids[near], d[near]))][:k]
+class BallIndex:
+    """Vectors in blocks around pivots, written once to the shared checkpoint folder.
+
+    ``blocks`` has (block, pivot, low, high, rows): the nearest and farthest
+    distance to the pivot.  Pivots are the ``PIVOTS`` (at most) vectors with the
+    smallest hash, the only vectors that reach the driver.
+    """
+
+    def __init__(self, vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"):
+        ship_package(vectors.sparkSession)
+        rows = vectors.filter(F.col(vec_col).isNotNull()).select(
+            F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+        self.vector_type = dict(vectors.dtypes)[vec_col]
+        n = rows.count()
+        count = max(1, min(PIVOTS, -(-n // max(1, VECTOR_BLOCK // 4))))
+        chosen = [r.vec for r in rows.orderBy(F.xxhash64("id"), "id").limit(count).collect()]
+        self.pivots = _matrix(chosen)
+        placed = rows.mapInArrow(_to_pivots(self.pivots, "nearest"), "id long, vec array<double>, pivot int, r double") if chosen else \
+            rows.withColumns({"pivot": F.lit(0), "r": F.lit(0.0)})
+        placed = placed.repartitionByRange(max(1, -(-n // VECTOR_BLOCK)), "pivot", "r", "id")
+        self.vectors = cut_lineage(placed.withColumn("block", F.spark_partition_id()))
+        shells = [F.min("r").alias("low"), F.max("r").alias("high"), F.count(F.lit(1)).alias("rows")]
+        self.blocks = cut_lineage(self.vectors.groupBy("block", "pivot").agg(*shells))
+
+    def distances(self, queries: DataFrame) -> DataFrame:
+        """(query_id, query_vec, far): each query with its distances to the pivots."""
+        kind = dict(queries.dtypes)["query_id"]
+        return cut_lineage(queries.select("query_id", F.col("query_vec").cast("array<double>").alias("query_vec")).mapInArrow(
+            _to_pivots(self.pivots, "all"), f"query_id {kind}, query_vec array<double>, far array<double>"))
+
+    @staticmethod
+    def least() -> Column:
+        """Lower bound of the distance from a query at ``d`` from a pivot to the shell ``low`` to ``high`` (rounding is allowed for)."""
+        gap = F.greatest(F.col("low") - F.col("d"), F.col("d") - F.col("high"))
+        return F.greatest(gap - F.lit(1e-9) * (F.col("d") + F.col("high") + 1), F.lit(0.0))
+
+    def search(self, queries: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+        """k nearest vectors (query_id, id, distance) within each block of ``pairs`` (query_id, block).
+
+        A block's queries come in parts of about ``QUERY_BLOCK``, so neither side of a group grows with the tables.
+        """
+        kind = dict(queries.dtypes)["query_id"]
+        parts = pairs.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts"))
+        asked = pairs.select("query_id", "block").join(parts, "block").join(queries.select("query_id", "query_vec"), "query_id") \
+            .select("block", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int").alias("part"), "query_id", "query_vec")
+        held = self.vectors.join(parts, "block").select(
+            "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "vec")
+        return asked.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInPandas(
+            _nearest(k), f"query_id {kind}, id long, distance double")
+
+    def nearest(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+        """Each query's k nearest of every block that it met, and those (query_id, block) pairs."""
+        if not len(self.pivots):
+            kind = dict(queries.dtypes)["query_id"]
+            spark = queries.sparkSession
+            return spark.createDataFrame([], f"query_id {kind}, id long, distance double"), \
+                spark.createDataFrame([], f"query_id {kind}, block int")
+        asked = self.distances(queries)
+        nearest = asked.select("query_id", (F.array_position("far", F.array_min("far")) - 1).cast("int").alias("pivot"),
+                               F.array_min("far").alias("d"))
+        home = nearest.join(self.blocks, "pivot").groupBy("query_id").agg(
+            F.min(F.struct((F.col("rows") < k).alias("short"), self.least().alias("least"), "block")).alias("home"))
+        home = cut_lineage(home.select("query_id", "home.block"))
+        first = cut_lineage(self.search(asked, home, k))
+        limit = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("limit"))
+        within = F.col("limit").isNull() | (self.least() * self.least() <= F.col("limit"))
+        cells = self.blocks.groupBy("pivot").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+        open_cells = asked.select("query_id", F.posexplode("far").alias("pivot", "d")).join(limit, "query_id", "left") \
+            .join(F.broadcast(cells), "pivot").filter(within).drop("low", "high")  # at most PIVOTS cells
+        more = open_cells.join(self.blocks, "pivot").filter(within).select("query_id", "block").distinct()
+        more = cut_lineage(more.join(home, ["query_id", "block"], "left_anti"))
+        return first.union(self.search(asked, more, k)), home.union(more)
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = C.KNN_K, id_col: str = "vec_id",
         vec_col: str = "embedding") -> DataFrame:
     """K-3: k nearest vectors per query by squared L2 (ties -> lower id), exact, for any number of queries.
 
-    ``queries`` has (query_id, query_vec).  Both sides are dealt into blocks by a
-    hash and every pair of blocks is one group; a group returns k rows per query,
-    so no row is made for each pair of a query and a vector.  The blocks' numbers
-    follow the two row counts.
+    ``queries`` has (query_id, query_vec), each id once.
     """
-    ship_package(vectors.sparkSession)
-    vb, qb = max(8, -(-vectors.count() // VECTOR_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
-    v = vectors.filter(F.col(vec_col).isNotNull()).select(
-        F.pmod(F.xxhash64(id_col), F.lit(vb).cast("long")).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(qb - 1))).alias("_q"),
-        F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
-    q = queries.select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(vb - 1).cast("long"))).alias("_v"),
-        F.pmod(F.xxhash64("query_id"), F.lit(qb)).cast("int").alias("_q"), "query_id", "query_vec")
-    kind = dict(queries.dtypes)["query_id"]
-    found = q.groupBy("_v", "_q").cogroup(v.groupBy("_v", "_q")).applyInPandas(
-        _nearest(k), f"query_id {kind}, id long, distance double")
+    found, _ = BallIndex(vectors, id_col, vec_col).nearest(queries, k)
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .withColumnRenamed("id", id_col))
@@ -91,19 +189,35 @@ def label_exemplars(vectors: DataFrame, label: str = "label", id_col: str = "vec
                   .select(F.col(label).alias("query_id"), "query_vec")
 
 
-def retrieval_answer(neighbours: DataFrame, sources: DataFrame | None = None,
+def passages_of(neighbours: DataFrame, passages: DataFrame, id_col: str = "vec_id") -> DataFrame:
+    """The rows of ``passages`` that some neighbour names, before any text is shuffled.
+
+    Ids of hits are at most k per query; up to ``HIT_IDS`` of them are broadcast as
+    a filter of the scan, more are joined.
+    """
+    wanted = cut_lineage(neighbours.select(id_col).distinct())
+    return passages.join(F.broadcast(wanted) if wanted.count() <= HIT_IDS else wanted, id_col, "leftsemi")
+
+
+def retrieval_answer(neighbours: DataFrame, sources: DataFrame | None = None, passages: DataFrame | None = None,
                      source_col: str = "source", id_col: str = "vec_id", text_col: str = "passage") -> DataFrame:
     """K-4: top-3 sources, confidence = clamp(1 - best distance), context of hits with score < .8.
 
-    ``sources`` gives each vector's source tag and passage; the context holds the
+    ``sources`` gives each vector's source tag (and its passage, unless
+    ``passages`` has them in a table of their own); the context holds the
     passages under their tags, joined by blank lines.  ``neighbours`` is a K-3
     result (query_id, id, distance, rank), at most k rows per query, so the
-    per-query ``collect_list`` is bounded by k.
+    per-query ``collect_list`` is bounded by k; only the hits' rows of both
+    tables go on to the joins.
     """
     nb = neighbours
     if sources is not None:
-        nb = nb.join(sources.select(id_col, source_col, text_col), id_col, "left") \
-               .withColumn(source_col, F.coalesce(source_col, F.lit("unknown")))
+        nb = cut_lineage(nb)
+        texts = [] if passages is not None else [text_col]
+        found = nb.join(passages_of(nb, sources.select(id_col, source_col, *texts), id_col), id_col, "left")
+        if passages is not None:
+            found = found.join(passages_of(nb, passages.select(id_col, text_col), id_col), id_col, "left")
+        nb = found.withColumn(source_col, F.coalesce(source_col, F.lit("unknown")))
     else:
         nb = nb.withColumn(source_col, F.concat(F.lit("vec-"), F.col(id_col).cast("string"))).withColumn(text_col, F.lit(""))
     g = nb.groupBy("query_id").agg(

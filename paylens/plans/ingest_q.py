@@ -331,11 +331,10 @@ SELECT {TXC}, 'PASSED' AS data_quality_flag FROM transactions
 WHERE transaction_id IS NOT NULL AND merchant_id IS NOT NULL AND amount_aud > 0"""))
 def q_nightly_curated(spark, sf_dir):
     """Landed raw JSON -> clean -> cleaned layer partitioned by category/state -> read back."""
-    import uuid
-    from paylens.session import checkpoint_dir
+    from paylens.session import scratch_path
     from paylens.sinks.writers import write_partitioned
     from paylens.sources.files import read_raw_json
-    root = f"{checkpoint_dir(spark).rstrip('/')}/nightly/{uuid.uuid4().hex}"
+    root = scratch_path(spark, "nightly")
     tx = transactions(spark, sf_dir)
     tx.write.option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(f"{root}/raw")
     curated = CL.clean_raw(read_raw_json(spark, f"{root}/raw"), stamp=False)
@@ -346,11 +345,10 @@ def q_nightly_curated(spark, sf_dir):
 @register("csv_dataset", "SRC-1", with_transactions(f"SELECT {TXC} FROM transactions"))
 def q_csv_dataset(spark, sf_dir):
     """SNK-3 CSV write, then SRC-2/SRC-1: extension-resolved CSV read under the declared schema."""
-    import uuid
     from paylens import schemas
-    from paylens.session import checkpoint_dir
+    from paylens.session import scratch_path
     from paylens.sinks.writers import write_dataset
     from paylens.sources.files import read_dataset
-    path = f"{checkpoint_dir(spark).rstrip('/')}/csv/{uuid.uuid4().hex}/transactions.csv"
+    path = f"{scratch_path(spark, 'csv')}/transactions.csv"
     write_dataset(transactions(spark, sf_dir), path, fmt="csv")
     return read_dataset(spark, path, schemas.TRANSACTIONS)

@@ -22,17 +22,13 @@ from paylens.operators import scoring as S
 from paylens.plans.features_q import ROUNDED_FEATURES_CTE, TRAINING_FEATURES_CTES, rounded_training_features
 from paylens.plans.registry import ORACLES, register
 from paylens.plans.scoring_q import FEED_ALL, FEED_STATS
-from paylens.session import checkpoint_dir
+from paylens.session import scratch_path
 from paylens.sinks import writers as W
 from paylens.sources.tables import read_table, transactions, with_transactions
 
 _N = "CAST(substr(transaction_id, 2) AS BIGINT)"
 
 
-def _scratch(spark, name: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}/{uuid.uuid4().hex}"
-
-
 @register("coerced_timestamps", "P-3", with_transactions(f"""
 SELECT transaction_id, "timestamp" FROM transactions WHERE {_N} % 11 <> 0"""))
 def q_coerced_timestamps(spark, sf_dir):
@@ -83,12 +79,16 @@ def q_clamped_feed(spark, sf_dir):
 SELECT merchant_id, COUNT(*) AS row_count FROM (SELECT * FROM transactions UNION ALL SELECT * FROM transactions WHERE is_fraud) t
 GROUP BY merchant_id"""))
 def q_appended_table(spark, sf_dir):
-    """Two appends to one catalog table."""
+    """Two appends to one catalog table, the second one retried; the table is dropped once its files are bound to the result."""
     name = f"tx_{uuid.uuid4().hex}"
-    root, tx = _scratch(spark, "tables"), transactions(spark, sf_dir)
-    W.append_table(tx, name, f"{root}/{name}")
-    W.append_table(tx.filter("is_fraud"), name)
-    return spark.table(name).groupBy("merchant_id").agg(F.count(F.lit(1)).alias("row_count"))
+    path, tx = f"{scratch_path(spark, 'tables')}/{name}", transactions(spark, sf_dir)
+    try:
+        W.append_table(tx, name, path, batch_id="all")
+        for _ in range(2):
+            W.append_table(tx.filter("is_fraud"), name, batch_id="fraud")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")  # an external table: its files stay until the process exits
+    return spark.read.parquet(path).groupBy("merchant_id").agg(F.count(F.lit(1)).alias("row_count"))
 
 
 @register("registered_view", "SNK-4", with_transactions("""
@@ -98,15 +98,17 @@ def q_registered_view(spark, sf_dir):
     name, tx = f"view_{uuid.uuid4().hex}", transactions(spark, sf_dir)
     W.register_table(spark, name, tx)
     again = W.register_table(spark, name, tx.filter("is_fraud"))
-    return spark.table(name).groupBy("merchant_id").agg(F.count(F.lit(1)).alias("row_count")) \
+    found = spark.table(name).groupBy("merchant_id").agg(F.count(F.lit(1)).alias("row_count")) \
         .withColumn("replaced_when_present", F.lit(again))
+    spark.catalog.dropTempView(name)
+    return found
 
 
 @register("report_file", "SNK-9", ORACLES["ingestion_report"])
 def q_report_file(spark, sf_dir):
     """The A-21 frame written as one JSON file and read back."""
     from paylens.plans.ingest_q import q_ingestion_report
-    root, report = _scratch(spark, "reports"), q_ingestion_report(spark, sf_dir)
+    root, report = scratch_path(spark, "reports"), q_ingestion_report(spark, sf_dir)
     W.write_report(report, root)
     return spark.read.schema(report.schema).json(root)
 
@@ -115,7 +117,7 @@ def q_report_file(spark, sf_dir):
 SELECT vec_id, 'vec-' || CAST(vec_id AS VARCHAR) AS source, CAST(len(embedding) AS INTEGER) AS dims,
        CAST(embedding[1] AS DOUBLE) AS first_value FROM embeddings""")
 def q_vector_store(spark, sf_dir):
-    root = _scratch(spark, "vectors")
+    root = scratch_path(spark, "vectors")
     K.write_vectors(read_table(spark, sf_dir, "embeddings"), root)
     return spark.read.parquet(root).select("vec_id", "source", F.size("embedding").alias("dims"),
                                            F.element_at("embedding", 1).cast("double").alias("first_value"))
@@ -128,7 +130,7 @@ SELECT merchant_id, transaction_id, amount_aud, state FROM (
 def q_snapshot_upsert(spark, sf_dir):
     """Three batches out of order and a replay; the last version holds every merchant's newest row."""
     from paylens.streaming.snapshots import latest_version, upsert_snapshot
-    root = _scratch(spark, "snapshots")
+    root = scratch_path(spark, "snapshots")
     tx = transactions(spark, sf_dir).withColumn("event_ts", F.col("timestamp"))
     for batch, part in enumerate((2, 0, 1)):
         upsert_snapshot(tx.filter(F.expr(f"{_N} % 3 = {part}")), root, batch)
@@ -145,7 +147,7 @@ def q_stream_enriched(spark, sf_dir):
     from paylens.operators.dashboards import merchant_baseline
     from paylens.sources.records import encode_records, to_base64
     from paylens.streaming import consumer as CS
-    root, tx = _scratch(spark, "enriched"), transactions(spark, sf_dir)
+    root, tx = scratch_path(spark, "enriched"), transactions(spark, sf_dir)
     to_base64(encode_records(tx)).write.json(f"{root}/landing")
     merchant_baseline(tx).select("merchant_id", "avg_amount", "txn_count").write.parquet(f"{root}/features")
     for q in CS.start_consumer(spark, CS.record_stream(spark, f"{root}/landing"), f"{root}/out", f"{root}/ckpt",
@@ -181,7 +183,7 @@ _ASK_SQL = ("SELECT conv_id, turn, CASE WHEN conv_id % 5 = 0 THEN (CASE conv_id
 @register("audit_events", "SNK-6", _AUDIT_SQL.replace("SELECT conv_id, turn, text AS question,", _ASK_SQL))
 def q_audit_events(spark, sf_dir):
     """Agent interactions and blocked queries, written to the audit tree and read back."""
-    root = _scratch(spark, "audit")
+    root = scratch_path(spark, "audit")
     q = QA.questions_from_conversations(read_table(spark, sf_dir, "conversations"), read_table(spark, sf_dir, "events"))
     rows = W.audit_rows(QA.answer_questions(_varied_questions(q), transactions(spark, sf_dir)))
     W.write_audit(rows, root)
@@ -261,7 +263,7 @@ SELECT 'ml_prediction' AS event_type, r.request_id AS transaction_id, r.merchant
 FROM req r JOIN b USING (merchant_id)""", _BASE, _REQ))
 def q_prediction_audit(spark, sf_dir):
     """ml_prediction events of all scored requests, written to the audit tree and read back."""
-    root, tx = _scratch(spark, "audit"), transactions(spark, sf_dir)
+    root, tx = scratch_path(spark, "audit"), transactions(spark, sf_dir)
     scored = S.score_requests(_requests(tx), tx).filter("status = 'scored'").withColumnRenamed("request_id", "transaction_id")
     rows = W.prediction_rows(scored, "heuristic-1", ["amount_zscore", "hour_of_day"])
     W.write_audit(rows, root)
@@ -368,7 +370,7 @@ SELECT COUNT(*) AS scored, COUNT(*) AS in_range, COUNT(*) AS equal_after_reload,
 def q_model_round_trip(spark, sf_dir):
     """M-7, M-9, R-9 in model mode: a small ensemble saved and loaded scores every transaction alike."""
     from paylens.session import cut_lineage
-    root = _scratch(spark, "models")
+    root = scratch_path(spark, "models")
     f = cut_lineage(rounded_training_features(spark, sf_dir))
     nodes = cut_lineage(ML.fit_isolation_forest(f, trees=20, psi=64))
     clf = ML.train_classifier(f, max_iter=5)

@@ -4,32 +4,26 @@ files under the shared checkpoint folder and returns the sink read back."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from paylens.plans.features_q import _frame
 from paylens.operators import features as FT
 from paylens.plans.registry import register
 from paylens.plans.scoring_q import LIVE_FEED_SQL
-from paylens.session import checkpoint_dir
+from paylens.session import scratch_path
 from paylens.sources.records import encode_records, to_base64
 from paylens.sources.tables import events_to_transactions, transactions, with_transactions
 from paylens.streaming import consumer as CS
 from paylens.streaming import velocity as V
 
 
-def _scratch(spark) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
-
-
 @register("stream_velocity", "ST-5", with_transactions(f"""
 SELECT merchant_id, transaction_id,
        COUNT(*) OVER {_frame(FT.HOUR_US)} AS txn_velocity_1h,
        COUNT(*) OVER {_frame(FT.DAY_US)} AS txn_velocity_24h
 FROM (SELECT *, epoch_us("timestamp") AS ts_us FROM transactions) t"""))
 def q_stream_velocity(spark, sf_dir):
-    root = _scratch(spark)
+    root = scratch_path(spark, "stream")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
               .option("maxFilesPerTrigger", 1).parquet(sf_dir))
@@ -47,7 +41,7 @@ SELECT transaction_id, merchant_id, least(greatest(amount_aud / 5000.0, 0.0), 1.
        least(greatest(amount_aud / 5000.0, 0.0), 1.0) > 0.85 AS is_alert
 FROM transactions"""))
 def q_stream_consumer(spark, sf_dir):
-    root = _scratch(spark)
+    root = scratch_path(spark, "stream")
     tx = transactions(spark, sf_dir)
     to_base64(encode_records(tx)).write.mode("overwrite").json(f"{root}/landing")
     q1, q2 = CS.start_consumer(spark, CS.record_stream(spark, f"{root}/landing"), f"{root}/out", f"{root}/ckpt")
@@ -60,7 +54,7 @@ def q_stream_consumer(spark, sf_dir):
 @register("stream_live_feed", "ST-7", LIVE_FEED_SQL)
 def q_stream_live_feed(spark, sf_dir):
     """R-3 over the consumer's raw sink: must equal the batch live feed."""
-    root = _scratch(spark)
+    root = scratch_path(spark, "stream")
     tx = transactions(spark, sf_dir)
     to_base64(encode_records(tx)).write.mode("overwrite").json(f"{root}/landing")
     q1, q2 = CS.start_consumer(spark, CS.record_stream(spark, f"{root}/landing"), f"{root}/out", f"{root}/ckpt")
@@ -106,7 +100,7 @@ GROUP BY 1, 2, 3""", f"""recs AS (SELECT *, {_ZONE_CASES} AS c FROM (
   SELECT *, CAST(regexp_extract(transaction_id, '(\\d+)$', 1) AS BIGINT) AS n FROM transactions) t)"""))
 def q_stream_zones(spark, sf_dir):
     """ST-1/2/3, SNK-5: broken, late, duplicate and extra-key records; raw + late + rejects = landed."""
-    root = _scratch(spark)
+    root = scratch_path(spark, "stream")
     records = zone_landing(transactions(spark, sf_dir))
     for first in (True, False):
         part = records.filter((F.col("n") % 10 < 7) == F.lit(first)).drop("n")

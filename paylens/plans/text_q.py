@@ -17,6 +17,7 @@ from paylens.functions.numeric import sql_round as R
 from paylens.operators import questions as QA
 from paylens.operators import retrieval as K
 from paylens.plans.registry import register
+from paylens.session import scratch_path
 from paylens.sources.tables import read_table, transactions, with_transactions
 
 SP = T.SPACE
@@ -299,70 +300,44 @@ def q_chunk_documents(spark, sf_dir):
 _DIST = ("list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: "
          "(CAST(v.embedding[i] AS DOUBLE) - CAST(q.query_vec[i] AS DOUBLE)) * "
          "(CAST(v.embedding[i] AS DOUBLE) - CAST(q.query_vec[i] AS DOUBLE))))")
-_KNN_CTE = f"""nn AS (
+_KNN_CTE = f"""own AS (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 20 = 0),
+queries AS (
+  SELECT vec_id AS query_id, embedding AS query_vec FROM own
+  UNION ALL SELECT -1 - 2 * o.vec_id, list_transform(range(1, len(o.embedding) + 1),
+                   lambda i: CAST((CAST(o.embedding[i] AS DOUBLE) + CAST(n.embedding[i] AS DOUBLE)) / 2 AS FLOAT))
+            FROM own o JOIN embeddings n ON n.vec_id = o.vec_id + 1
+  UNION ALL SELECT -2 - 2 * vec_id, list_transform(embedding, lambda x: CAST(x * 3 AS FLOAT)) FROM own),
+nn AS (
   SELECT query_id, vec_id, distance, rank FROM (
     SELECT q.query_id, v.vec_id, {_DIST} AS distance,
            CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY {_DIST}, v.vec_id) AS INTEGER) AS rank
-    FROM embeddings v, (SELECT label AS query_id, arg_min(embedding, vec_id) AS query_vec FROM embeddings GROUP BY label
-                          UNION ALL SELECT 1000 + label, list_transform(arg_min(embedding, vec_id), lambda x: CAST(x * 3 AS FLOAT))
-                          FROM embeddings GROUP BY label) q
-  ) s WHERE rank <= {C.KNN_K})"""
+    FROM embeddings v, queries q) s WHERE rank <= {C.KNN_K})"""
 
 
 def query_vectors(e):
-    """Every label's exemplar, and a stretched copy of it that is no vector of the corpus."""
-    own = K.label_exemplars(e)
-    far = own.select((F.col("query_id") + 1000).cast("int").alias("query_id"),
-                     F.transform("query_vec", lambda x: (x * 3).cast("float")).alias("query_vec"))
-    return own.union(far)
+    """Every vector whose id is divisible by 20 (its id), the middle between it and its successor (-1 - 2 id), and
+    a stretched copy of it, far from all vectors (-2 - 2 id)."""
+    own = e.filter("vec_id % 20 = 0").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    after = e.select((F.col("vec_id") - 1).cast("long").alias("vec_id"), F.col("embedding").alias("other"))
+    middle = own.join(after, "vec_id").select(
+        (-1 - 2 * F.col("vec_id")).alias("query_id"),
+        F.zip_with("embedding", "other", lambda a, b: ((a.cast("double") + b.cast("double")) / 2).cast("float")).alias("query_vec"))
+    far = own.select((-2 - 2 * F.col("vec_id")).alias("query_id"),
+                     F.transform("embedding", lambda x: (x * 3).cast("float")).alias("query_vec"))
+    return own.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")).union(middle).union(far)
 
 
 @register("knn_search", "K-3", f"""
 WITH {_KNN_CTE} SELECT query_id, vec_id, {R('distance', 6)} AS distance, rank FROM nn""")
 def q_knn_search(spark, sf_dir):
+    """Every vector whose id is divisible by 20, and two queries derived from it, against all vectors."""
     e = read_table(spark, sf_dir, "embeddings")
     r = K.knn(e, query_vectors(e))
     return r.select("query_id", "vec_id", round_half("distance", 6).alias("distance"), "rank")
 
 
-@register("knn_search_twentieth", "K-3", f"""
-SELECT query_id, vec_id, {R('distance', 6)} AS distance, rank FROM (
-  SELECT q.query_id, v.vec_id, {_DIST} AS distance,
-         CAST(row_number() OVER (PARTITION BY q.query_id ORDER BY {_DIST}, v.vec_id) AS INTEGER) AS rank
-  FROM embeddings v, (SELECT vec_id AS query_id, embedding AS query_vec FROM embeddings WHERE vec_id % 20 = 0
-                      UNION ALL SELECT -1 - label, list_transform(arg_min(embedding, vec_id), lambda x: CAST(x * 3 AS FLOAT))
-                      FROM embeddings GROUP BY label) q) s
-WHERE rank <= {C.KNN_K}""")
-def q_knn_search_twentieth(spark, sf_dir):
-    """Every vector whose id is divisible by 20 against all vectors, and the labels' stretched exemplars."""
-    e = read_table(spark, sf_dir, "embeddings")
-    own = e.filter("vec_id % 20 = 0").select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").alias("query_vec"))
-    far = query_vectors(e).filter("query_id >= 1000").select((F.lit(999) - F.col("query_id")).cast("long").alias("query_id"), "query_vec")
-    r = K.knn(e, own.union(far))
-    return r.select("query_id", "vec_id", round_half("distance", 6).alias("distance"), "rank")
-
-
 @register("retrieval_answer", "K-4", f"""
 WITH {_KNN_CTE}
-SELECT query_id,
-       string_agg('vec-' || CAST(vec_id AS VARCHAR), ',' ORDER BY rank) FILTER (WHERE rank <= 3) AS sources,
-       {R('least(greatest(1.0 - least(MIN(distance), 1.0), 0.0), 1.0)', 6)} AS confidence,
-       COALESCE(string_agg('[Source: vec-' || CAST(vec_id AS VARCHAR) || ']' || chr(10) || COALESCE(substring(d.text, 1, {C.CHUNK_SIZE}), ''),
-                           chr(10) || chr(10) ORDER BY rank) FILTER (WHERE distance < 0.8), '') AS context,
-       CAST(COUNT(*) FILTER (WHERE distance < 0.8) AS INTEGER) AS context_hits
-FROM nn LEFT JOIN documents d ON d.doc_id = nn.vec_id GROUP BY query_id""")
-def q_retrieval_answer(spark, sf_dir):
-    e = read_table(spark, sf_dir, "embeddings")
-    first = K.chunk_text(read_table(spark, sf_dir, "documents").select("doc_id", "text")).filter("chunk_id = 0")
-    passages = e.select("vec_id", F.concat(F.lit("vec-"), F.col("vec_id").cast("string")).alias("source")).join(
-        first.select(F.col("doc_id").alias("vec_id"), F.col("chunk").alias("passage")), "vec_id", "left")
-    a = K.retrieval_answer(K.knn(e, query_vectors(e)), passages)
-    return a.select("query_id", F.array_join("sources", ",").alias("sources"),
-                    round_half("confidence", 6).alias("confidence"), "context", "context_hits")
-
-
-@register("retrieval_answer_whole", "K-4", f"""
-WITH {_KNN_CTE}
 SELECT query_id,
        string_agg('vec-' || CAST(vec_id AS VARCHAR), ',' ORDER BY rank) FILTER (WHERE rank <= 3) AS sources,
        {R('least(greatest(1.0 - least(MIN(distance), 1.0), 0.0), 1.0)', 6)} AS confidence,
@@ -370,39 +345,25 @@ SELECT query_id,
                            chr(10) || chr(10) ORDER BY rank) FILTER (WHERE distance < 0.8), '') AS context,
        CAST(COUNT(*) FILTER (WHERE distance < 0.8) AS INTEGER) AS context_hits
 FROM nn LEFT JOIN documents d ON d.doc_id = nn.vec_id GROUP BY query_id""")
-def q_retrieval_answer_whole(spark, sf_dir):
-    """retrieval_answer with the hits' whole documents as passages."""
+def q_retrieval_answer(spark, sf_dir):
+    """The hits' whole documents as passages; queries with no, one and several hits in the context."""
     e = read_table(spark, sf_dir, "embeddings")
-    passages = e.select("vec_id", F.concat(F.lit("vec-"), F.col("vec_id").cast("string")).alias("source")).join(
-        read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("passage")),
-        "vec_id", "left")
-    a = K.retrieval_answer(K.knn(e, query_vectors(e)), passages)
+    tags = e.select(F.col("vec_id").cast("long").alias("vec_id"), F.concat(F.lit("vec-"), F.col("vec_id").cast("string")).alias("source"))
+    passages = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("passage"))
+    a = K.retrieval_answer(K.knn(e, query_vectors(e)), tags, passages)
     return a.select("query_id", F.array_join("sources", ",").alias("sources"),
                     round_half("confidence", 6).alias("confidence"), "context", "context_hits")
 
 
-# an ASCII record separator begins each document of a landed file
-RECORD = "\x1e"
-
-
 @register("corpus_chunks", "SRC-10", f"""
 SELECT doc_id, CAST(k AS INTEGER) AS chunk_id, CAST(k * {C.CHUNK_SIZE - C.CHUNK_OVERLAP} AS INTEGER) AS chunk_start,
        substring(text, k * {C.CHUNK_SIZE - C.CHUNK_OVERLAP} + 1, {C.CHUNK_SIZE}) AS chunk
 FROM (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil((length(text) - {C.CHUNK_SIZE}) / {float(C.CHUNK_SIZE - C.CHUNK_OVERLAP)}) AS BIGINT), 0) + 1)) AS k
       FROM documents) d""")
 def q_corpus_chunks(spark, sf_dir):
-    """Documents landed as Markdown files of many documents each, read back whole, split, then chunked."""
-    import uuid
-    from paylens.session import checkpoint_dir
-    from paylens.sources.files import read_markdown_corpus
-    root = f"{checkpoint_dir(spark).rstrip('/')}/corpus/{uuid.uuid4().hex}"
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    docs.select(F.concat(F.lit(RECORD), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text")).alias("value")) \
-        .write.option("maxRecordsPerFile", 500).text(root)
-    corpus = read_markdown_corpus(spark, root, pattern="*.txt")
-    part = corpus.select(F.explode(F.split("text", RECORD)).alias("p")).filter("p <> ''")
-    doc_id, body = F.substring_index("p", "\n", 1).cast("bigint"), F.expr("substring(p, instr(p, chr(10)) + 1)")
-    # the text writer ends each document with one line separator; drop exactly that one
-    text = F.when(body.endswith("\n"), F.left(body, F.length(body) - 1)).otherwise(body)
-    return K.chunk_text(part.select(doc_id.alias("doc_id"), text.alias("text"))) \
-            .select("doc_id", "chunk_id", "chunk_start", "chunk")
+    """Documents landed as Markdown files of many documents each, read back whole, split into documents, then chunked."""
+    from paylens.sinks.writers import land_markdown
+    from paylens.sources.files import read_landed_documents
+    root = scratch_path(spark, "corpus")
+    land_markdown(read_table(spark, sf_dir, "documents").select("doc_id", "text"), root)
+    return K.chunk_text(read_landed_documents(spark, root)).select("doc_id", "chunk_id", "chunk_start", "chunk")

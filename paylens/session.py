@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -50,23 +51,72 @@ def get_spark(master: str | None = None, app: str = "paylens",
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
+def is_local(spark: SparkSession) -> bool:
+    """Driver and executors are one process (``local-cluster`` is not)."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def shared_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
     Only in local mode, where driver and executors share one disk, an absent
     setting gives a scratch folder (removed when the session's process exits);
     on a cluster the setting is required.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
+        if not is_local(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="paylens-ckpt-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+        folder = tempfile.mkdtemp(prefix="paylens-ckpt-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(folder)
+        path = spark.sparkContext.getCheckpointDir()
+    return path.rstrip("/")
+
+
+_CHECKPOINTS: set[str] = set()
+_REMOVED_AT_EXIT: list[tuple[SparkSession, str]] = []
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder through Hadoop, wherever it lies."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsc.hadoopConfiguration() if spark._jsc else jvm.org.apache.hadoop.conf.Configuration()
+    target.getFileSystem(conf).delete(target, True)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> str:
+    """Have ``path`` deleted when the process exits (also after the session stopped)."""
+    if not _REMOVED_AT_EXIT:
+        atexit.register(_remove_all)
+    _REMOVED_AT_EXIT.append((spark, path))
+    return path
+
+
+def _remove_all() -> None:
+    while _REMOVED_AT_EXIT:
+        spark, path = _REMOVED_AT_EXIT.pop()
+        try:
+            remove_path(spark, path)
+        except Exception:  # noqa: BLE001  the JVM may be gone at exit
+            return
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for an intermediate result; deleted when the process exits."""
+    return remove_at_exit(spark, f"{shared_dir(spark)}/paylens-{name}-{uuid.uuid4().hex}")
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder; the context's own checkpoint folder (in it) is set once and deleted at exit."""
+    path, context = shared_dir(spark), spark.sparkContext
+    if context.applicationId not in _CHECKPOINTS:
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(path)
+        remove_at_exit(spark, context.getCheckpointDir())
+        _CHECKPOINTS.add(context.applicationId)
     return path
 
 
@@ -74,14 +124,14 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package: send it as a zip file unless they find it on their path.
+    """Let Python workers import this package: off local mode it is sent as a zip file.
 
-    They do in the package's own folder and where PYTHONPATH names it.
+    Workers of local mode find it in the folder they start in, or where PYTHONPATH names it.
     """
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    known = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
     app = spark.sparkContext.applicationId
-    if app in _SHIPPED or root in (os.path.abspath(p) for p in known if p):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [os.getcwd(), *filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))]
+    if app in _SHIPPED or is_local(spark) and root in map(os.path.abspath, known):
         return
     path = os.path.join(tempfile.mkdtemp(prefix="paylens-zip-"), "paylens.zip")
     atexit.register(shutil.rmtree, os.path.dirname(path), ignore_errors=True)

@@ -1,7 +1,7 @@
 """Sinks (SNK-1 … SNK-9): partitioned files, tables, snapshots, audit and metrics.
 
-Writes are idempotent where the caller retries (whole-layer overwrite,
-versioned snapshot directories keyed by batch id), so a lost executor or a
+Writes are idempotent where the caller retries (whole-layer overwrite, versioned
+snapshot directories and table partitions keyed by batch id), so a lost executor or a
 re-run micro-batch never duplicates rows.
 """
 
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paylens.sources.records import DOCUMENT, escape_document
+
 
 def write_partitioned(df: DataFrame, path: str, partition_cols: list[str], mode: str = "overwrite") -> None:
     """SNK-1: cleaned layer partitioned by (category, state); overwrite replaces the whole layer.
@@ -22,15 +24,40 @@ def write_partitioned(df: DataFrame, path: str, partition_cols: list[str], mode:
      .option("partitionOverwriteMode", "static").partitionBy(*partition_cols).parquet(path))
 
 
-def append_table(df: DataFrame, table: str, path: str | None = None) -> None:
-    """SNK-2: append to a catalog table (created on first write, at ``path`` if given)."""
-    if df.sparkSession.catalog.tableExists(table):
-        df.write.mode("append").insertInto(table)
+def append_table(df: DataFrame, table: str, path: str | None = None, batch_id: str | None = None) -> None:
+    """SNK-2: append to a catalog table (created on first write, at ``path`` if given).
+
+    With ``batch_id`` the table is partitioned by that column and the write
+    replaces the batch's own partition, so a retried append changes nothing; a
+    table is written with batch ids always or never.
+    """
+    spark = df.sparkSession
+    if batch_id is not None:
+        df = df.withColumn("batch_id", F.lit(batch_id))
+    if spark.catalog.tableExists(table):
+        if batch_id is None:
+            df.select(*spark.table(table).columns).write.mode("append").insertInto(table)
+        else:
+            df.select(*spark.table(table).columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+                .insertInto(table, overwrite=True)
     else:
         w = df.write.mode("append")
+        w = w.partitionBy("batch_id") if batch_id is not None else w
         (w.option("path", path) if path else w).saveAsTable(table)
 
 
+def land_markdown(docs: DataFrame, root: str, rows_per_file: int = 500) -> None:
+    """SRC-10 landing: documents (doc_id, text) as text files of many documents each.
+
+    A document is a separator, a line with ``t`` or ``n`` (null text) and its id,
+    and its text, escaped where it holds the separator itself.
+    """
+    head = F.concat(F.lit(DOCUMENT), F.when(F.col("text").isNull(), F.lit("n")).otherwise(F.lit("t")),
+                    F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"))
+    docs.select(F.concat(head, escape_document(F.coalesce("text", F.lit("")))).alias("value")) \
+        .write.option("maxRecordsPerFile", rows_per_file).text(root)
+
+
 def write_dataset(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> None:
     """SNK-3: write Parquet (or CSV with header when asked) — no silent fallback."""
     w = df.write.mode(mode)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paylens import schemas
+from paylens.sources import records
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -53,6 +54,17 @@ def read_markdown_corpus(spark: SparkSession, root: str, pattern: str = "*.md")
             .select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("text")))
 
 
+def read_landed_documents(spark: SparkSession, root: str) -> DataFrame:
+    """Documents (doc_id, text) of the files that ``land_markdown`` wrote, each file read whole; null ids and texts come back null."""
+    corpus = read_markdown_corpus(spark, root, pattern="*.txt")
+    part = corpus.select(F.explode(F.split("text", records.DOCUMENT)).alias("p")).filter(F.col("p") != "")
+    head, body = F.substring_index("p", "\n", 1), F.expr("substring(p, instr(p, chr(10)) + 1)")
+    # the text writer ends each document with one line separator; drop exactly that one
+    text = records.unescape_document(F.left(body, F.length(body) - 1))
+    return part.select(F.nullif(F.substr(head, F.lit(2)), F.lit("")).cast("bigint").alias("doc_id"),
+                       F.when(F.left(head, F.lit(1)) == "t", text).alias("text"))
+
+
 def table_or_path(spark: SparkSession, name_or_path: str) -> DataFrame:
     """SRC-11: the same query against a catalog table or a path (name binding, no SQL rewrite)."""
     if os.sep in name_or_path or name_or_path.endswith((".parquet", ".csv")):

@@ -42,3 +42,16 @@ def decode_and_validate(records: DataFrame, data_col: str = "data") -> DataFrame
             .withColumn("parsed", F.from_json("value", RECORD_FIELDS))
             .withColumn("valid", F.col("value").isNotNull() & F.json_object_keys("value").isNotNull()
                         & (F.size("missing_keys") == 0)))
+
+
+#: Begins each document of a landed file (an ASCII record separator).
+DOCUMENT = "\x1e"
+
+
+def escape_document(text: Column) -> Column:
+    """``text`` without ``DOCUMENT``; every backslash is followed by its own mark, so nothing is lost."""
+    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\s")), F.lit(DOCUMENT), F.lit("\\r"))
+
+
+def unescape_document(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("\\r"), F.lit(DOCUMENT)), F.lit("\\s"), F.lit("\\"))
