@@ -9,28 +9,15 @@ setting is absent (tests).  Tables of a session are removed when it exits.
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paylens.session import ship_package
+from paylens.session import shared_dir, ship_package
 
 _WRITTEN: dict[str, SparkSession] = {}
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; fails off local mode when none is configured."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="paylens-llm-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
 def _remove_all() -> None:
     for path, spark in _WRITTEN.items():
         try:
