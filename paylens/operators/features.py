@@ -2,18 +2,9 @@
 
 Frames are half-open ``(t-w, t]`` like a pandas time-rolling window.  No
 sliding frame is used: Spark re-aggregates a sliding range frame over its whole
-buffer for every row, which is quadratic for dense merchants.  Instead every
-additive aggregate is ``S(t) - S(t-w)`` of two incremental unbounded-preceding
-frames, the moving max uses segment prefix/suffix maxima, and the moving
-distinct-customer count is exact without per-row sets: distinct = rows in frame
-- #(consecutive same-customer pairs with both rows in the frame); a pair (p, j)
-with gap < w is inside the frame ending at t exactly when ts_j <= t < ts_p + w,
-so the pair count is a running sum of a "has close predecessor" flag minus a
-running sum of a "has close successor" flag lagged by w.
-
-All windows refine one partitioning — (merchant, time block) — so the plan has
-a single Exchange; merchants too large for one task are split into time blocks
-with replicated context (``time_blocks``).
+buffer for every row, which is quadratic for dense merchants.  All frames come
+from one segmented prefix scan (``rolling``): one shuffle by merchant and time,
+in which a merchant of any size is many tasks.
 """
 
 from __future__ import annotations
@@ -26,6 +17,7 @@ from pyspark.sql import functions as F
 from paylens import constants as C
 from paylens.functions.numeric import money_avg, zero_if_not_finite
 from paylens.functions.timecols import epoch_micros, ntz_literal
+from paylens.operators.rolling import Rolling, rolling
 
 US = 1_000_000
 HOUR_US = 3600 * US
@@ -38,202 +30,73 @@ def ts_micros(c: str = "timestamp") -> Column:
     return epoch_micros(c)
 
 
-PARTITION = ["merchant_id", "_block"]     # merchant, and time block for heavy merchants
-
-
 def indicator(cond: Column) -> Column:
     """P-10: boolean condition as 0/1 double (null -> 0)."""
     return F.coalesce(cond.cast("double"), F.lit(0.0))
 
 
-def with_customer_pair_flags(df: DataFrame, width_us: int, keys=("merchant_id",)) -> DataFrame:
-    """Flags for the exact moving distinct count over ``width_us``."""
-    cust = F.coalesce(F.col("customer_id"), F.lit(NULL_CUSTOMER))
-    w = Window.partitionBy(*keys, cust).orderBy("_ts_us", "transaction_id")
-    prev_gap = F.col("_ts_us") - F.lag("_ts_us").over(w)
-    next_gap = F.lead("_ts_us").over(w) - F.col("_ts_us")
-    return df.select(
-        "*",
-        (F.coalesce(prev_gap, F.lit(width_us)) < width_us).cast("int").alias("_close_prev"),
-        (F.coalesce(next_gap, F.lit(width_us)) < width_us).cast("int").alias("_close_next"))
-
-
 def state_means(tx: DataFrame) -> DataFrame:
     return tx.groupBy("state").agg(money_avg("amount_aud").alias("_state_avg"))
 
 
-def heavy_merchants(tx: DataFrame, heavy_rows: int) -> DataFrame:
-    """Merchants with more than ``heavy_rows`` rows (too many for one window task)."""
-    return (tx.groupBy("merchant_id").agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > heavy_rows)
-            .select("merchant_id", F.lit(True).alias("_heavy")))
-
-
-def time_blocks(rows: DataFrame, heavy: DataFrame | None, block_us: int, context_us: int) -> DataFrame:
-    """Split heavy merchants into time blocks with one window of replicated context.
-
-    A heavy merchant's row at time t belongs to block floor(t / block_us) and is
-    also copied, flagged as context, into the next block when it lies within
-    ``context_us`` of that block's start (block_us >= context_us, so at most one
-    copy).  Every frame of width <= context_us ending at a row of block b then
-    lies inside block b plus its context, so windows partitioned by
-    (merchant, block) are exact for the block's own rows; other merchants keep a
-    single block (``heavy`` is joined in the plan, no job runs to decide; None:
-    nobody is split, "all": everybody is).  Only heavy merchants' rows are replicated (at most
-    context_us / block_us of them).
-    """
-    if block_us < context_us:
-        raise ValueError("block must be at least as wide as the widest frame")
-    if heavy is None:
-        return rows.withColumn("_block", F.lit(0).cast("long")).withColumn("_primary", F.lit(True))
-    if heavy == "all":
-        r, is_heavy = rows, F.lit(True)
-    else:
-        r = rows.join(heavy, "merchant_id", "left")
-        is_heavy = F.coalesce(F.col("_heavy"), F.lit(False))
-    block = F.when(is_heavy, F.floor(F.col("_ts_us") / F.lit(block_us))).otherwise(F.lit(0)).cast("long")
-    ctx = is_heavy & (F.col("_ts_us") >= (block + 1) * F.lit(block_us) - F.lit(context_us))
-    copies = F.when(ctx, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    keep = [c for c in r.columns if c != "_heavy"]
-    exploded = r.select(*keep, block.alias("_b0"), F.explode(copies).alias("_copy"))
-    return exploded.select(*keep, (F.col("_b0") + F.col("_copy")).alias("_block"),
-                           (F.col("_copy") == 0).alias("_primary"))
-
+def _flag(cond: Column) -> Column:
+    return F.coalesce(cond.cast("long"), F.lit(0).cast("long"))
 
-def _upto(keys, lag_us: int = 0):
-    """Rows with ts <= t - lag: an unbounded-preceding frame (incremental, O(1) per row)."""
-    w = Window.partitionBy(*keys).orderBy("_ts_us")
-    return w.rangeBetween(Window.unboundedPreceding, -lag_us if lag_us else 0)
 
+def _rolling_inputs(tx: DataFrame) -> DataFrame:
+    """The transaction columns with the long columns that are rolled; amounts in exact millionths."""
+    amt = F.col("amount_aud")
+    return tx.withColumns({
+        "_ts_us": ts_micros(), "_micros": F.rint(amt * 1e6).cast("long"), "_n": _flag(amt.isNotNull()),
+        "_id": _flag(F.col("transaction_id").isNotNull()), "_one": F.lit(1).cast("long"),
+        "_tap": _flag(F.col("payment_terminal") == "tap_and_go"), "_debit": _flag(F.col("card_type") == "debit"),
+        "_off": _flag(F.col("is_outside_business_hours")), "_amount": amt.cast("double"), "_customer": F.col("customer_id")})
 
-def moving_sum(c: Column, keys, width_us: int) -> Column:
-    """Sum over (t - w, t] as S(t) - S(t - w): two incremental frames instead of a
-    sliding frame, whose cost Spark pays per row in proportion to the frame size."""
-    return F.coalesce(F.sum(c).over(_upto(keys)), F.lit(0)) - F.coalesce(F.sum(c).over(_upto(keys, width_us)),
-                                                                       F.lit(0))
-
-
-def max_queries(df: DataFrame, keys, width_us: int, row_id: str) -> DataFrame:
-    """Synthetic query rows for ``moving_max``: one per row, at t - w (value columns NULL).
-
-    ``row_id`` is the hand-back key; the row's own time is enough (rows with equal
-    times in a partition share their frame), which keeps the plan deterministic.
-    """
-    return df.select(*keys, F.col("_ts_us").alias(row_id),
-                     (F.col("_ts_us") - F.lit(width_us)).alias("_ts_us"), F.lit(True).alias("_q"))
 
+def _std_samp(n: Column, spread: Column) -> Column:
+    """Sample standard deviation in units from ``n sum(v^2) - sum(v)^2`` of millionths; null below two values."""
+    return F.when(n >= 2, F.sqrt(spread / (n * (n - 1)).cast("double")) / 1e6)
 
-def moving_max(value: str, keys, width_us: int, row_id: str) -> tuple[Column, ...]:
-    """Max over (t - w, t] in O(n log n) without a sliding frame.
 
-    Time is cut into w-wide segments.  The frame of a row in segment k is the
-    prefix [k*w, t] of its own segment (a running max) plus the part of segment
-    k-1 after t - w.  That suffix max is read by a synthetic query row (from
-    ``max_queries``, flagged ``_q``) at t - w, ordered before equal-time data
-    rows so the start stays exclusive, and handed back to its row by a window
-    on the row id.  Returns the three stage columns; apply them in order.
-    All windows refine ``keys``, so they reuse the existing shuffle.
-    """
-    seg = F.floor(F.col("_ts_us") / F.lit(width_us)).cast("long")
-    prefix = (Window.partitionBy(*keys, "_seg").orderBy("_ts_us")
-              .rangeBetween(Window.unboundedPreceding, 0))
-    suffix = (Window.partitionBy(*keys, "_seg").orderBy(F.desc("_ts_us"), F.desc("_q"))
-              .rowsBetween(Window.unboundedPreceding, -1))
-    back = Window.partitionBy(*keys, row_id)
-    return (seg,
-            F.max(F.when(~F.col("_q"), F.col(value))).over(prefix),
-            F.when(F.col("_q"), F.max(F.when(~F.col("_q"), F.col(value))).over(suffix)),
-            back)
-
-
-def training_features(tx: DataFrame, heavy_rows: int | None = 2_000_000,
-                      block_days: int = 60) -> DataFrame:
+def training_features(tx: DataFrame, slab_rows: int | None = None) -> DataFrame:
     """W-11: the 17 model features beside the transaction columns.
 
-    One hash shuffle by (merchant, time block): ordinary merchants form one
-    block; merchants with more than ``heavy_rows`` rows are cut into
-    ``block_days`` blocks with 30 days of replicated context, so no merchant's
-    whole history has to fit one task.  Every later window refines those keys and
-    reuses the shuffle.  Moving counts, sums, means, ratios and the 30-day sample
-    std are differences of incremental running sums (money in exact integer
-    millionths, the variance numerator in exact DECIMAL, so a constant window has a
-    std of exactly 0); the 7-day max uses segment prefix/suffix maxima.  No frame
-    is re-aggregated per row, so cost stays O(n log n) for dense merchants.  The
-    state mean (J-5) is an aggregate joined back.
-    ``heavy_rows=None`` disables blocking; ``heavy_rows=0`` blocks everyone.
+    Rows without a timestamp are left out (P-3).  The state mean (J-5) is an
+    aggregate of the shuffled rows, joined back.  ``slab_rows``: see ``rolling``.
     """
-    base = (tx.filter(F.col("timestamp").isNotNull())       # P-3
-              .withColumn("_ts_us", ts_micros()))
-    widest = WINDOW_US["30D"]
-    heavy = None if heavy_rows is None else "all" if heavy_rows == 0 else heavy_merchants(base, heavy_rows)
-    keys = tuple(PARTITION)
-    d7 = WINDOW_US["7D"]
-    rows = (time_blocks(base, heavy, block_days * DAY_US, widest)
-            .withColumn("_rid", F.col("_ts_us")).withColumn("_q", F.lit(False)))
-    # data rows and the 7-day-max query rows meet in one shuffle by (merchant, block)
-    base = (rows.unionByName(max_queries(rows, keys, d7, "_rid"), allowMissingColumns=True)
-            .repartition(*PARTITION))
-    data = ~F.col("_q")
-    base = with_customer_pair_flags(base, DAY_US, keys + ("_q",))
-    seg, pre, suf, back = moving_max("amount_aud", keys, d7, "_rid")
-    cols = base.columns
-    base = (base.select("*", seg.alias("_seg")).select(*cols, pre.alias("_pre"), suf.alias("_suf"))
-            .select(*cols, F.greatest(F.col("_pre"), F.max("_suf").over(back)).alias("max_amount_7d")))
+    h1, d1, d7, d30 = (WINDOW_US[w] for w in ("1H", "24H", "7D", "30D"))
+    spec = Rolling(
+        sums=(("_v1h", "_id", h1), ("_v24h", "_id", d1), ("_n7", "_n", d7), ("_s7", "_micros", d7), ("_rows7", "_one", d7),
+              ("_tap7", "_tap", d7), ("_debit7", "_debit", d7), ("_off7", "_off", d7), ("_n30", "_n", d30)),
+        spreads=(("_spread30", "_micros", d30, "_n"),), maxima=(("_max7", "_amount", d7),), distinct=(("_customers", "_customer", d1),))
+    rolled, shuffled = rolling(_rolling_inputs(tx), spec, "merchant_id", "_ts_us", slab_rows)
     amt = F.col("amount_aud")
-    micros = F.when(data, F.rint(amt * 1e6).cast("long"))
-    has_amt = (data & amt.isNotNull()).cast("long")
-    has_id = (data & F.col("transaction_id").isNotNull()).cast("long")
-    one = data.cast("long")
-    h1, d1, d30 = WINDOW_US["1H"], WINDOW_US["24H"], WINDOW_US["30D"]
-    n7 = moving_sum(has_amt, keys, d7)
-    n30 = moving_sum(has_amt, keys, d30)
-    s7 = moving_sum(micros, keys, d7)
-    s30 = moving_sum(micros, keys, d30)
-    q30 = moving_sum(micros.cast("decimal(38,0)") * micros.cast("decimal(38,0)"), keys, d30)
-    rows7 = moving_sum(one, keys, d7)
-    f = base.select(
-        *[F.col(c) for c in tx.columns], "_primary", "_q", "max_amount_7d",
-        moving_sum(has_id, keys, h1).cast("double").alias("txn_velocity_1h"),
-        moving_sum(has_id, keys, d1).cast("double").alias("txn_velocity_24h"),
-        (s7.cast("double") / 1e6 / F.nullif(n7, F.lit(0)).cast("double")).alias("avg_amount_7d"),
-        n30.alias("_n30"), s30.alias("_s30"), q30.alias("_q30"),
-        (moving_sum(one, keys, d1)
-         - (F.coalesce(F.sum(F.when(data, F.col("_close_prev"))).over(_upto(keys)), F.lit(0))
-            - F.coalesce(F.sum(F.when(data, F.col("_close_next"))).over(_upto(keys, d1)), F.lit(0))))
-        .cast("double").alias("unique_customers_1d"),
-        (moving_sum(indicator(data & (F.col("payment_terminal") == "tap_and_go")), keys, d7) / rows7)
-        .alias("pct_tap_payments_7d"),
-        (moving_sum(indicator(data & (F.col("card_type") == "debit")), keys, d7) / rows7).alias("pct_debit_7d"),
-        (moving_sum(indicator(data & F.col("is_outside_business_hours")), keys, d7) / rows7)
-        .alias("off_hours_txn_ratio_7d"),
-    ).filter(F.col("_primary") & data)
-    n = F.col("_n30")
-    var_num = n.cast("decimal(20,0)") * F.col("_q30") - F.col("_s30").cast("decimal(38,0)") * F.col("_s30")
-    std = F.coalesce(F.when(n >= 2, F.sqrt(var_num.cast("double") / (n * (n - 1)).cast("double")) / 1e6),
-                     F.lit(0.0))
-    std_safe = F.when(std == 0, F.lit(C.STD_FLOOR)).otherwise(std)
+    f = rolled.withColumn("avg_amount_7d", F.col("_s7").cast("double") / 1e6 / F.nullif("_n7", F.lit(0)).cast("double"))
     avg7 = F.col("avg_amount_7d")
+    std = F.coalesce(_std_samp(F.col("_n30"), F.col("_spread30")), F.lit(0.0))
+    std_safe = F.when(std == 0, F.lit(C.STD_FLOOR)).otherwise(std)
     passthrough = [c for c in tx.columns if c not in C.FEATURE_COLUMNS]
     f = f.select(
         *passthrough,
-        "txn_velocity_1h", "txn_velocity_24h", "avg_amount_7d", std.alias("stddev_amount_30d"),
+        F.col("_v1h").cast("double").alias("txn_velocity_1h"), F.col("_v24h").cast("double").alias("txn_velocity_24h"),
+        "avg_amount_7d", std.alias("stddev_amount_30d"),
         ((amt - avg7) / std_safe).alias("amount_zscore"),                                   # P-15 offline
-        "max_amount_7d", "unique_customers_1d", "pct_tap_payments_7d",
+        F.col("_max7").alias("max_amount_7d"), F.col("_customers").cast("double").alias("unique_customers_1d"),
+        (F.col("_tap7") / F.col("_rows7")).alias("pct_tap_payments_7d"),
         F.hour("timestamp").cast("double").alias("hour_of_day"),                            # P-11
         indicator(F.col("is_outside_business_hours")).alias("is_outside_business_hours"),   # P-10
-        "pct_debit_7d", "off_hours_txn_ratio_7d",
+        (F.col("_debit7") / F.col("_rows7")).alias("pct_debit_7d"), (F.col("_off7") / F.col("_rows7")).alias("off_hours_txn_ratio_7d"),
         indicator(F.col("payment_terminal") == "manual_entry").alias("is_manual_entry"),
         indicator(F.col("payment_terminal") == "chip_and_pin").alias("is_chip_and_pin"),
         indicator(F.col("card_type") == "credit").alias("is_credit_card"),
         (amt / F.greatest(avg7, F.lit(1.0))).alias("amount_to_merchant_avg_7d"))            # P-16
-    states = state_means(tx)
     dev = (F.col("avg_amount_7d") - F.col("_state_avg")).alias("state_avg_amount_deviation")   # J-5
-    j = f.join(states, "state", "left")
+    j = f.join(state_means(shuffled), "state", "left")
     return j.select(*passthrough, *[zero_if_not_finite(dev if c == "state_avg_amount_deviation" else F.col(c))
                                    .alias(c) for c in C.FEATURE_COLUMNS])                        # P-9
 
 
-def batch_day_features(tx: DataFrame, day: date, lookback: bool = False) -> DataFrame:
+def batch_day_features(tx: DataFrame, day: date, lookback: bool = False, slab_rows: int | None = None) -> DataFrame:
     """W-12: closed [t-w, t] frames; by default computed after the day filter.
 
     ``lookback=True`` computes the frames over the preceding 30 days first and
@@ -243,28 +106,16 @@ def batch_day_features(tx: DataFrame, day: date, lookback: bool = False) -> Data
     start = datetime.combine(day, datetime.min.time())
     end = start + timedelta(days=1)
     lo = start - timedelta(days=30) if lookback else start
-    rows = (tx.filter((F.col("timestamp") >= ntz_literal(lo)) & (F.col("timestamp") < ntz_literal(end)))
-              .withColumn("_ts_us", ts_micros()))
-    # closed frames [t - w, t] as running-sum differences (rows at or before t - w - 1us drop out)
-    keys = ("merchant_id",)
-    amt = F.col("amount_aud")
-    micros = F.rint(amt * 1e6).cast("long")
-    has_amt = amt.isNotNull().cast("long")
-    n7 = moving_sum(has_amt, keys, 7 * DAY_US + 1)
-    n30 = moving_sum(has_amt, keys, 30 * DAY_US + 1)
-    s30 = moving_sum(micros, keys, 30 * DAY_US + 1)
-    q30 = moving_sum(micros.cast("decimal(38,0)") * micros.cast("decimal(38,0)"), keys, 30 * DAY_US + 1)
-    var_num = n30.cast("decimal(20,0)") * q30 - s30.cast("decimal(38,0)") * s30
-    out = rows.select(
-        "merchant_id", "transaction_id", "timestamp",
-        moving_sum(F.lit(1).cast("long"), keys, HOUR_US + 1).alias("txn_velocity_1h"),
-        (moving_sum(micros, keys, 7 * DAY_US + 1).cast("double") / 1e6
-         / F.nullif(n7, F.lit(0)).cast("double")).alias("avg_amount_7d"),
-        F.when(n30 >= 2, F.sqrt(var_num.cast("double") / (n30 * (n30 - 1)).cast("double")) / 1e6)
-         .alias("stddev_amount_30d"),
-        F.hour("timestamp").alias("hour_of_day"),
-        "is_fraud",
-    )
+    rows = tx.filter((F.col("timestamp") >= ntz_literal(lo)) & (F.col("timestamp") < ntz_literal(end)))
+    spec = Rolling(  # [t - w, t] is (t - w - 1us, t]
+        sums=(("_v1h", "_one", HOUR_US + 1), ("_n7", "_n", 7 * DAY_US + 1), ("_s7", "_micros", 7 * DAY_US + 1),
+              ("_n30", "_n", 30 * DAY_US + 1)), spreads=(("_spread30", "_micros", 30 * DAY_US + 1, "_n"),))
+    rolled, _ = rolling(_rolling_inputs(rows), spec, "merchant_id", "_ts_us", slab_rows)
+    out = rolled.select(
+        "merchant_id", "transaction_id", "timestamp", F.col("_v1h").alias("txn_velocity_1h"),
+        (F.col("_s7").cast("double") / 1e6 / F.nullif("_n7", F.lit(0)).cast("double")).alias("avg_amount_7d"),
+        _std_samp(F.col("_n30"), F.col("_spread30")).alias("stddev_amount_30d"),
+        F.hour("timestamp").alias("hour_of_day"), "is_fraud")
     if lookback:
         out = out.filter(F.col("timestamp") >= ntz_literal(start))
     return out

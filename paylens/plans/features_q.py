@@ -98,6 +98,25 @@ def q_batch_day_features(spark, sf_dir):
                     "hour_of_day", "is_fraud")
 
 
+@register("batch_day_lookback", "W-12", with_transactions(f"""
+SELECT * FROM (
+  SELECT merchant_id, transaction_id, "timestamp",
+         CAST(COUNT(*) OVER {_frame(FT.HOUR_US, True)} AS BIGINT) AS txn_velocity_1h,
+         {R(f'AVG(amount_aud) OVER {_frame(7 * FT.DAY_US, True)}', 6)} AS avg_amount_7d,
+         {R(f'STDDEV_SAMP(amount_aud) OVER {_frame(30 * FT.DAY_US, True)}', 6)} AS stddev_amount_30d,
+         CAST(hour("timestamp") AS INTEGER) AS hour_of_day, is_fraud
+  FROM (SELECT *, epoch_us("timestamp") AS ts_us FROM transactions
+        WHERE CAST("timestamp" AS DATE) BETWEEN DATE '{DAY.isoformat()}' - 30 AND DATE '{DAY.isoformat()}') d) f
+WHERE CAST("timestamp" AS DATE) = DATE '{DAY.isoformat()}'"""))
+def q_batch_day_lookback(spark, sf_dir):
+    """The day's rows with frames that reach into the 30 days before it."""
+    f = FT.batch_day_features(transactions(spark, sf_dir), DAY, lookback=True)
+    return f.select("merchant_id", "transaction_id", "timestamp", "txn_velocity_1h",
+                    round_half("avg_amount_7d", 6).alias("avg_amount_7d"),
+                    round_half("stddev_amount_30d", 6).alias("stddev_amount_30d"),
+                    "hour_of_day", "is_fraud")
+
+
 @register("latest_snapshot", "W-16", with_transactions(
     "SELECT " + ", ".join(_q(c) for c in TRANSACTION_COLUMNS) + """ FROM (
   SELECT *, row_number() OVER (PARTITION BY merchant_id ORDER BY "timestamp" DESC, transaction_id DESC) AS rn

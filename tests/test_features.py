@@ -60,8 +60,7 @@ def brute(df: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out).set_index("transaction_id")
 
 
-@pytest.mark.parametrize("mode", [dict(heavy_rows=None), dict(heavy_rows=0, block_days=31),
-                                  dict(heavy_rows=3, block_days=40)])
+@pytest.mark.parametrize("mode", [dict(), dict(slab_rows=1), dict(slab_rows=3), dict(slab_rows=5)])
 def test_training_features_match_brute_force(spark, mode):
     df = spark.createDataFrame(ROWS, schemas.TRANSACTIONS)
     got = FT.training_features(df, **mode).toPandas().set_index("transaction_id")
@@ -81,26 +80,91 @@ def test_training_features_empty(spark):
     assert FT.training_features(df).count() == 0
 
 
-def test_one_window_exchange(spark):
-    """W-11 shuffles the rows once by merchant (the state mean is a separate tiny aggregate)."""
-    df = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+def test_rows_are_shuffled_once(spark):
+    """W-11 range-partitions the rows by merchant and time; what is planned after that shuffle reads its checkpoint only."""
+    df = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
     from paylens.sources.tables import events_to_transactions
-    plan = FT.training_features(events_to_transactions(df), heavy_rows=10)._jdf.queryExecution().executedPlan().toString()
-    import re
-    assert len(re.findall(r"Exchange hashpartitioning\(merchant_id#\d+L?, _block#\d+L?", plan)) == 1
+    f = FT.training_features(events_to_transactions(df))
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "Window" not in plan
+    assert plan.count("MapInArrow") == 1
+    assert "FlatMapGroupsInArrow" in plan or "FlatMapGroups" not in plan
 
 
-def test_blocked_equals_unblocked_on_driver_data(spark):
-    """Every merchant forced heavy with tight 30-day blocks equals the single-block plan."""
+@pytest.mark.parametrize("slab_rows", [40, 700])
+def test_small_slabs_equal_large_ones_on_driver_data(spark, slab_rows):
     from paylens.sources.tables import transactions
-    tx = transactions(spark, "/root/testdata/sf0.01")
-    a = FT.training_features(tx, heavy_rows=None)
-    b = FT.training_features(tx, heavy_rows=0, block_days=30)
+    tx = transactions(spark, "/root/testdata/sf0.001" if slab_rows < 100 else "/root/testdata/sf0.01")
+    a = FT.training_features(tx)
+    b = FT.training_features(tx, slab_rows=slab_rows)
     cols = ["transaction_id"] + C.FEATURE_COLUMNS
     pa = a.select(*cols).toPandas().set_index("transaction_id").sort_index()
     pb = b.select(*cols).toPandas().set_index("transaction_id").sort_index()
-    assert len(pa) == len(pb) == 10000
-    assert np.allclose(pa.to_numpy(), pb.to_numpy(), rtol=1e-9, atol=1e-9)
+    assert len(pa) == len(pb) == tx.count()
+    assert np.allclose(pa.to_numpy(), pb.to_numpy(), rtol=1e-12, atol=1e-12)
+
+
+SPEC_SCHEMA = "k string, ts long, a long, n long, v double, c string, note string"
+
+
+def _brute_rolling(rows, w):
+    out = []
+    for k, ts, a, n, v, c, note in rows:
+        if ts is None:
+            continue
+        f = [r for r in rows if r[0] == k and r[1] is not None and ts - w < r[1] <= ts]
+        s = sum(r[2] or 0 for r in f)
+        vs = [r[4] for r in f if r[4] is not None]
+        out.append((note, s, float(sum(r[3] or 0 for r in f) * sum((r[2] or 0) ** 2 for r in f) - s * s), max(vs, default=None),
+                    len({r[5] for r in f})))
+    return out
+
+
+def _random_rows(rnd, n, keys, span):
+    """One key holds 40 % of the rows; times tie, values and keys are null here and there."""
+    rows = []
+    for i in range(n):
+        k = "hot" if rnd.random() < 0.4 else rnd.choice(keys)
+        ts = None if rnd.random() < 0.02 else rnd.randrange(span) * 5 - span
+        rows.append((k, ts, rnd.choice([None, 0, 1, -7, 10 ** 12 + rnd.randrange(9)]), rnd.choice([0, 1, None]),
+                     rnd.choice([None, rnd.random(), 3.0]), rnd.choice(["x", "y", "z", None, str(rnd.randrange(30))]), f"r{i}"))
+    return rows
+
+
+@pytest.mark.parametrize("seed,slab_rows", [(1, 7), (2, 20), (3, 60), (4, 500), (5, None), (6, 1)])
+def test_scan_equals_brute_force_with_a_hot_key(spark, seed, slab_rows):
+    import random
+    from paylens.operators.rolling import Rolling, rolling
+    rnd = random.Random(seed)
+    rows = _random_rows(rnd, 300, ["a", "b", "c", None, "", "é"], rnd.choice([60, 900]))
+    for w in rnd.sample([1, 5, 37, 400, 2500, 100000], 3):
+        other = w * 3 + 1
+        spec = Rolling(sums=(("s", "a", w), ("far", "a", other)), spreads=(("q", "a", w, "n"),),
+                       maxima=(("m", "v", w),), distinct=(("d", "c", w),))
+        found, _ = rolling(spark.createDataFrame(rows, SPEC_SCHEMA).repartition(3), spec, "k", "ts", slab_rows)
+        got = found.select("note", "s", "q", "m", "d", "far").collect()
+        want = _brute_rolling(rows, w)
+        far = {r[0]: r[1] for r in _brute_rolling(rows, other)}
+        assert sorted(map(str, (tuple(r)[:5] for r in got))) == sorted(map(str, want))
+        assert {r.note: r.far for r in got} == far
+
+
+def test_a_hot_merchant_is_many_tasks(spark):
+    """One merchant holds 40 % of the rows: no slab, and no group of the scan, holds more than a slab's share."""
+    from paylens.operators import rolling as RL
+    df = spark.range(20000).selectExpr(
+        "case when id % 5 < 2 then 'hot' else concat('m', id % 700) end k", "id * 1000 ts", "1L one", "cast(id % 90 as string) c")
+    spec = RL.Rolling(sums=(("s", "one", 5_000_000),), distinct=(("d", "c", 5_000_000),))
+    found, base = RL.rolling(df, spec, "k", "ts", slab_rows=1000)
+    shares = base.groupBy("_slab").count().collect()
+    assert len(shares) >= 20 and max(r["count"] for r in shares) <= 1500
+    hot = base.filter("_key = '=hot'").groupBy("_slab").count().collect()
+    assert len(hot) >= 7 and max(r["count"] for r in hot) <= 1500
+    rows = found.filter("k = 'hot'").orderBy("ts").select("ts", "s", "d").collect()
+    times = [r.ts for r in rows]
+    for i in range(0, len(rows), 397):
+        inside = [t for t in times if times[i] - 5_000_000 < t <= times[i]]
+        assert rows[i].s == len(inside) and rows[i].d == len({t // 1000 % 90 for t in inside})
 
 
 def test_latest_snapshot_and_history(spark):
