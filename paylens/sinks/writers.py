@@ -32,17 +32,16 @@ def append_table(df: DataFrame, table: str, path: str | None = None, batch_id: s
     table is written with batch ids always or never.
     """
     spark = df.sparkSession
-    if batch_id is not None:
-        df = df.withColumn("batch_id", F.lit(batch_id))
     if spark.catalog.tableExists(table):
+        rows = [c for c in spark.table(table).columns if batch_id is None or c != "batch_id"]
         if batch_id is None:
-            df.select(*spark.table(table).columns).write.mode("append").insertInto(table)
+            df.select(*rows).write.mode("append").insertInto(table)
         else:
-            df.select(*spark.table(table).columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
-                .insertInto(table, overwrite=True)
+            quoted = batch_id.replace("\\", "\\\\").replace("'", "\\'")
+            spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION (batch_id = '{quoted}') SELECT * FROM {{rows}}", rows=df.select(*rows))
     else:
-        w = df.write.mode("append")
-        w = w.partitionBy("batch_id") if batch_id is not None else w
+        w = df.write if batch_id is None else df.withColumn("batch_id", F.lit(batch_id)).write.partitionBy("batch_id")
+        w = w.mode("append")
         (w.option("path", path) if path else w).saveAsTable(table)
 
 

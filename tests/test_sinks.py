@@ -111,3 +111,70 @@ def test_predict_save_load(spark):
         b.sort_values("transaction_id").anomaly_score.round(12).tolist()
     assert a.anomaly_score.between(0, 1).all()
     assert m2.count() == 1
+
+
+def _bytes(path):
+    import os
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet"))
+
+
+def test_snapshot_store_writes_follow_the_batch_and_replays_change_nothing(spark, tmp_path):
+    from paylens.streaming import snapshots as SN
+    root = f"{tmp_path}/store"
+
+    def batch(n, merchants, hour):
+        return spark.range(n).selectExpr(
+            f"concat('M', id % {merchants}) merchant_id", f"timestamp'2026-01-01 00:00:00' + make_interval(0,0,0,0,{hour},0,id) event_ts",
+            f"concat('T{hour:03}-', id) transaction_id", "cast(id as double) amount_aud", "'NSW' state")
+
+    SN.upsert_snapshot(batch(4000, 2000, 0), root, 0, least_rows=1000)              # becomes the base
+    assert SN._listed(spark, root, "base") == [0]
+    sizes = []
+    for k in range(1, 6):
+        SN.upsert_snapshot(batch(40, 20, k), root, k, least_rows=1000)
+        sizes.append(_bytes(SN._at(root, "version", k)))
+    assert SN._listed(spark, root, "base") == [0] and max(sizes) < _bytes(SN._at(root, "base", 0))
+
+    def state(at=1 << 62):
+        return sorted(tuple(r) for r in SN.version(spark, root, at).select("merchant_id", "transaction_id").collect())
+
+    before, third = state(), state(3)
+    assert len(before) == 2000 and ("M7", "T005-27") in before and ("M7", "T003-27") in third and ("M77", "T000-2077") in before
+    SN.upsert_snapshot(batch(40, 20, 3), root, 3, least_rows=1000)                  # replay
+    assert state() == before and state(3) == third
+    SN.compact(spark, root, 5, kept=2)
+    assert state() == before and SN._listed(spark, root, "base") == [0, 5] and state(3) == third   # still readable
+    SN.upsert_snapshot(batch(40, 20, 2), root, 2, least_rows=1000)                  # older than the base: nothing
+    assert state() == before
+    SN.upsert_snapshot(batch(40, 20, 6), root, 6, least_rows=1000)
+    SN.compact(spark, root, 8, kept=2)
+    assert SN._listed(spark, root, "base") == [5, 8] and SN._listed(spark, root, "version") == [6]
+    assert ("M7", "T006-27") in state() and len(state()) == 2000
+    one = SN.version(spark, root, 1 << 62, merchants=["M7"])
+    assert [tuple(r) for r in one.select("merchant_id", "transaction_id").collect()] == [("M7", "T006-27")]
+    assert SN.latest_version(spark, f"{tmp_path}/none") is None
+
+
+def test_snapshot_store_compacts_when_deltas_outgrow_the_base(spark, tmp_path):
+    from paylens.streaming import snapshots as SN
+    root, written = f"{tmp_path}/store", 0
+    for k in range(12):
+        rows = spark.range(50).selectExpr(f"concat('M', id + {50 * k}) merchant_id", "timestamp'2026-01-01' event_ts",
+                                          "'t' transaction_id", "1D amount_aud")
+        SN.upsert_snapshot(rows, root, k, least_rows=100, kept=1)
+        written += 50
+        assert SN.latest_version(spark, root).count() == written
+    bases = SN._listed(spark, root, "base")
+    assert bases[-1] >= 6 and len(SN._listed(spark, root, "version")) <= 12 - bases[-2] if len(bases) > 1 else bases
+
+
+def test_retried_append_changes_nothing(spark, tmp_path):
+    from paylens.sinks import writers as W
+    name = "retried_append_t"
+    try:
+        for batch in ("a", "b'\\", "a", "b'\\"):
+            W.append_table(spark.range(3).select("id", F.lit(batch).alias("v")), name, f"{tmp_path}/{name}", batch_id=batch)
+        assert sorted((r.id, r.v, r.batch_id) for r in spark.table(name).collect()) == [
+            (i, b, b) for i in range(3) for b in ("a", "b'\\")]
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
