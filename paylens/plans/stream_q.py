@@ -44,9 +44,8 @@ def q_stream_consumer(spark, sf_dir):
     root = scratch_path(spark, "stream")
     tx = transactions(spark, sf_dir)
     to_base64(encode_records(tx)).write.mode("overwrite").json(f"{root}/landing")
-    q1, q2 = CS.start_consumer(spark, CS.record_stream(spark, f"{root}/landing"), f"{root}/out", f"{root}/ckpt")
-    q1.awaitTermination()
-    q2.awaitTermination()
+    for q in CS.start_consumer(spark, CS.record_stream(spark, f"{root}/landing"), f"{root}/out", f"{root}/ckpt"):
+        q.awaitTermination()
     scored = spark.read.parquet(f"{root}/out/scored")
     return scored.select("transaction_id", "merchant_id", "anomaly_score", "is_alert")
 
@@ -57,9 +56,8 @@ def q_stream_live_feed(spark, sf_dir):
     root = scratch_path(spark, "stream")
     tx = transactions(spark, sf_dir)
     to_base64(encode_records(tx)).write.mode("overwrite").json(f"{root}/landing")
-    q1, q2 = CS.start_consumer(spark, CS.record_stream(spark, f"{root}/landing"), f"{root}/out", f"{root}/ckpt")
-    q1.awaitTermination()
-    q2.awaitTermination()
+    for q in CS.start_consumer(spark, CS.record_stream(spark, f"{root}/landing"), f"{root}/out", f"{root}/ckpt"):
+        q.awaitTermination()
     return CS.live_feed_from_sink(spark, f"{root}/out", 10)
 
 
@@ -89,17 +87,8 @@ def zone_landing(tx):
     return rec.select("key", data.alias("data"), "n", F.explode(copies).alias("_copy")).drop("_copy")
 
 
-@register("stream_zones", "ST-2", with_transactions("""
-SELECT zone, reason, merchant_id, COUNT(*) AS records FROM (
-  SELECT r.merchant_id, CASE WHEN c <> 'accepted' THEN c END AS reason,
-         CASE WHEN c <> 'accepted' THEN 'rejects'
-              WHEN n % 10 >= 7 AND "timestamp" < (SELECT max("timestamp") FROM recs WHERE n % 10 < 7 AND c = 'accepted') - INTERVAL 10 DAY
-              THEN 'late' ELSE 'raw' END AS zone
-  FROM recs r, (VALUES (1), (2)) copies(k) WHERE k = 1 OR n % 5 = 0) z
-GROUP BY 1, 2, 3""", f"""recs AS (SELECT *, {_ZONE_CASES} AS c FROM (
-  SELECT *, CAST(regexp_extract(transaction_id, '(\\d+)$', 1) AS BIGINT) AS n FROM transactions) t)"""))
-def q_stream_zones(spark, sf_dir):
-    """ST-1/2/3, SNK-5: broken, late, duplicate and extra-key records; raw + late + rejects = landed."""
+def _zones(spark, sf_dir, names):
+    """(zone, reason, merchant_id, records) of a consumer that ran over the landing in two runs."""
     root = scratch_path(spark, "stream")
     records = zone_landing(transactions(spark, sf_dir))
     for first in (True, False):
@@ -108,11 +97,41 @@ def q_stream_zones(spark, sf_dir):
         for q in CS.start_consumer(spark, CS.record_stream(spark, f"{root}/landing"), f"{root}/out", f"{root}/ckpt",
                                    watermark=ZONE_LATENESS):
             q.awaitTermination()
-
-    def zone(name):
+    out = None
+    for name in names:
         z = spark.read.parquet(f"{root}/out/{name}")
         reason = F.col("reason") if name == "rejects" else F.lit(None).cast("string")
-        return z.select(F.lit(name).alias("zone"), reason.alias("reason"), F.col("key").alias("merchant_id"))
+        key = F.col("merchant_id" if name == "scored" else "key").alias("merchant_id")
+        z = z.select(F.lit(name).alias("zone"), reason.alias("reason"), key)
+        out = z if out is None else out.union(z)
+    return out.groupBy("zone", "reason", "merchant_id").agg(F.count(F.lit(1)).alias("records"))
+
+
+_ZONE_RECS = f"""recs AS (SELECT *, {_ZONE_CASES} AS c FROM (
+  SELECT *, CAST(regexp_extract(transaction_id, '(\\d+)$', 1) AS BIGINT) AS n FROM transactions) t)"""
+_IS_LATE = """n % 10 >= 7 AND "timestamp" < (SELECT max("timestamp") FROM recs WHERE n % 10 < 7 AND c = 'accepted') - INTERVAL 10 DAY"""
+
 
-    zones = zone("raw").union(zone("late")).union(zone("rejects"))
-    return zones.groupBy("zone", "reason", "merchant_id").agg(F.count(F.lit(1)).alias("records"))
+@register("stream_tags", "ST-3", with_transactions(f"""
+SELECT zone, reason, merchant_id, COUNT(*) AS records FROM (
+  SELECT merchant_id, CASE WHEN c <> 'accepted' THEN c END AS reason,
+         unnest(CASE WHEN c <> 'accepted' THEN ['rejects'] WHEN {_IS_LATE} THEN ['late']
+                     WHEN k = 1 THEN ['raw', 'scored'] ELSE ['raw', 'duplicates'] END) AS zone
+  FROM recs r, (VALUES (1), (2)) copies(k) WHERE k = 1 OR n % 5 = 0) z
+GROUP BY 1, 2, 3""", _ZONE_RECS))
+def q_stream_tags(spark, sf_dir):
+    """All zones of the consumer; scored holds each accepted, timely transaction once."""
+    return _zones(spark, sf_dir, ["raw", "late", "rejects", "duplicates", "scored"])
+
+
+@register("stream_zones", "ST-2", with_transactions("""
+SELECT zone, reason, merchant_id, COUNT(*) AS records FROM (
+  SELECT r.merchant_id, CASE WHEN c <> 'accepted' THEN c END AS reason,
+         CASE WHEN c <> 'accepted' THEN 'rejects'
+              WHEN n % 10 >= 7 AND "timestamp" < (SELECT max("timestamp") FROM recs WHERE n % 10 < 7 AND c = 'accepted') - INTERVAL 10 DAY
+              THEN 'late' ELSE 'raw' END AS zone
+  FROM recs r, (VALUES (1), (2)) copies(k) WHERE k = 1 OR n % 5 = 0) z
+GROUP BY 1, 2, 3""", _ZONE_RECS))
+def q_stream_zones(spark, sf_dir):
+    """ST-1/2/3, SNK-5: broken, late, duplicate and extra-key records; raw + late + rejects = landed."""
+    return _zones(spark, sf_dir, ["raw", "late", "rejects"])

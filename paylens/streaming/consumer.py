@@ -1,28 +1,45 @@
-"""ST-1 … ST-4, ST-6, ST-7: the stream consumer as two Structured Streaming queries.
-
-records (key, data) --decode (SRC-9)--> classify (P-2, ST-2) --zones query-->
-    raw      every accepted record verbatim, duplicates included (SNK-5 layout)
-    late     accepted records older than the watermark of their micro-batch
-    rejects  undecodable, not an object, missing keys, bad timestamp, bad amount
-accepted --dedupe within watermark (ST-3)--> score (R-6) --events query-->
-    scored events, alerts (score > .85), feature snapshot (ST-6)
-
-Every landed record is in exactly one of raw, late and rejects, so nothing is
-lost silently: a bad record does not abort its batch, and a record too late for
-the stateful query is kept.  Every sink write inside ``foreachBatch`` is keyed
-by the batch id (``batch_id=N`` directories written in overwrite mode), so a
-replayed micro-batch rewrites the same files instead of duplicating.
+"""ST-1 … ST-4, ST-6, ST-7: the stream consumer as one stateful streaming query.
+
+records (key, data) --decode (SRC-9)--> classify (P-2, ST-2) --one processor--> a tag for every record
+    reject     undecodable, not an object, missing keys, bad timestamp, bad amount
+    late       accepted, older than the watermark
+    duplicate  accepted, its transaction id was seen before (ST-3)
+    scored     the first of its transaction id
+and per micro-batch the sinks
+    raw        scored and duplicate records verbatim (SNK-5 layout)
+    late, rejects, duplicates
+    scored, alerts (R-6, score > .85), feature snapshot (ST-6)
+
+One query has one watermark, so a record gets exactly one tag, and raw, late
+and rejects together are what landed: a bad record does not abort its batch,
+and one too late to be deduplicated is kept.  The newest event time is the
+query's watermark, kept in its checkpoint.  The processor's state are the ids
+seen, in hash buckets, by hour of their event time; a timer drops an hour once
+the watermark has passed it.  Every sink write is keyed by the batch id
+(``batch_id=N`` directories written in overwrite mode), so a replayed
+micro-batch rewrites the same files instead of duplicating.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from paylens import constants as C
 from paylens.functions import risk as R
+from paylens.session import ship_package
 from paylens.sources.records import decode_and_validate
 
+HOUR_US = 3_600_000_000
+#: hash buckets of the seen transaction ids; each is one task's state
+BUCKETS = 64
+
 PARSED = ("transaction_id string, merchant_id string, merchant_abn string, customer_id string, "
           "amount_aud double, currency string, timestamp string, merchant_category string, state string, "
           "payment_terminal string, card_type string, is_outside_business_hours boolean, is_fraud boolean")
@@ -66,13 +83,55 @@ def parse_events(accepted: DataFrame) -> DataFrame:
                  .withColumn("amount_aud", F.col("_amount")).drop("_amount")
 
 
-def decode_stream(records: DataFrame, watermark: str = "1 hour") -> tuple[DataFrame, DataFrame]:
-    """Returns (deduplicated events with event time, all records classified)."""
-    classified = classify(records)
-    events = (parse_events(classified.filter(F.col("reason").isNull()))
-              .withWatermark("event_ts", watermark)
-              .dropDuplicatesWithinWatermark(["transaction_id"]))                      # ST-3
-    return events, classified
+class Tagger(StatefulProcessor):
+    """Tags the records of one hash bucket of transaction ids; state: hour of the event time -> ids seen in it."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "hour long", "ids array<string>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        limit = timerValues.getCurrentWatermarkInMs() * 1000
+        held = {hour: list(ids) for (hour,), (ids,) in self.seen.iterator()}
+        known = {i for ids in held.values() for i in ids}
+        fresh: set[int] = set()
+        for part in rows:
+            tags = np.full(len(part), "reject", object)
+            accepted = part["reason"].isna().to_numpy()
+            times = part["event_us"].fillna(0).to_numpy(np.int64)
+            tags[accepted] = np.where(times[accepted] < limit, "late", "duplicate")
+            for at in np.flatnonzero(tags == "duplicate"):
+                name = part["transaction_id"].iat[at]
+                if name not in known:
+                    tags[at] = "scored"
+                    known.add(name)
+                    hour = int(times[at] // HOUR_US)
+                    held.setdefault(hour, []).append(name)
+                    fresh.add(hour)
+            kept = {c: part[c].astype(object) for c in ("key", "data", "value")}
+            yield pd.DataFrame(kept | {"event_us": part["event_us"].astype("Int64"), "reason": part["reason"].astype(object), "tag": tags})
+        for hour in fresh:
+            self.seen.updateValue((hour,), (held[hour],))
+            self.handle.registerTimer((hour + 1) * HOUR_US // 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.seen.removeKey((expiredTimerInfo.getExpiryTimeInMs() * 1000 // HOUR_US - 1,))
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def tag_records(records: DataFrame, watermark: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
+    """Every record with its tag.  The event time enters the processor as a plain number: late rows are tagged, not dropped."""
+    ship_package(records.sparkSession)
+    d = classify(records).withWatermark("event_ts", watermark)
+    name = F.get_json_object("value", "$.transaction_id")
+    d = d.select("key", "data", "value", F.unix_micros("event_ts").alias("event_us"), "reason", name.alias("transaction_id"),
+                 F.pmod(F.xxhash64(F.coalesce(name, F.col("data"))), F.lit(buckets)).cast("int").alias("bucket"))
+    tagged = d.groupBy("bucket").transformWithStateInPandas(
+        Tagger(), "key string, data string, value string, event_us long, reason string, tag string", "Append", "EventTime")
+    return tagged.select("key", "data", "value", F.timestamp_micros("event_us").alias("event_ts"), "reason", "tag")
 
 
 def score_events(valid: DataFrame) -> DataFrame:
@@ -97,65 +156,56 @@ def _write_batch(df: DataFrame, root: str, name: str, batch_id: int, partition_c
     w.parquet(f"{root}/{name}/batch_id={batch_id}")
 
 
-def _newest_before(spark: SparkSession, root: str, batch_id: int) -> Column:
-    """The newest event time of the batches before this one (null for the first), one row a batch."""
-    if batch_id == 0:
-        return F.lit(None).cast("timestamp")
-    seen = spark.read.schema("newest timestamp, batch_id long").parquet(f"{root}/progress")
-    return seen.filter(F.col("batch_id") < batch_id).select(F.max("newest")).scalar()
-
-
-def zone_sink(out_root: str, watermark: str):
-    """foreachBatch writer of the raw, late and reject zones and the batch's newest event time."""
+def batch_sink(out_root: str, features: DataFrame | None = None):
+    """foreachBatch writer of all zones, scored events, alerts and the feature snapshot."""
     from paylens.sinks.writers import with_processing_partitions
+    from paylens.streaming.snapshots import upsert_snapshot
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            ok = F.col("reason").isNull()
-            limit = _newest_before(batch.sparkSession, out_root, batch_id) - F.expr(f"INTERVAL {watermark}")
-            late = F.coalesce(F.col("event_ts") < F.col("_limit"), F.lit(False))
-            accepted = batch.filter(ok).withColumn("_limit", limit).withColumn("_late", late)
+            def tagged(*tags: str) -> DataFrame:
+                return batch.filter(F.col("tag").isin(*tags))
+
             verbatim = ["key", "value", "event_ts"]
-            _write_batch(with_processing_partitions(accepted.filter(~F.col("_late")).select(*verbatim)),
+            _write_batch(with_processing_partitions(tagged("scored", "duplicate").select(*verbatim)),
                          out_root, "raw", batch_id, ["year", "month", "day", "hour"])
-            _write_batch(accepted.filter("_late").select(*verbatim), out_root, "late", batch_id)
-            _write_batch(batch.filter(~ok).select("key", "data", "value", "reason"), out_root, "rejects", batch_id)
-            _write_batch(batch.filter(ok).agg(F.max("event_ts").alias("newest")), out_root, "progress", batch_id)
+            _write_batch(tagged("late").select(*verbatim), out_root, "late", batch_id)
+            _write_batch(tagged("duplicate").select(*verbatim), out_root, "duplicates", batch_id)
+            _write_batch(tagged("reject").select("key", "data", "value", "reason"), out_root, "rejects", batch_id)
+            events = parse_events(tagged("scored"))
+            scored = score_events(events if features is None else enrich(events, features))
+            _write_batch(scored.drop("event_ts"), out_root, "scored", batch_id)
+            _write_batch(scored.filter(F.col("is_alert")).drop("event_ts"), out_root, "alerts", batch_id)
+            upsert_snapshot(scored, f"{out_root}/snapshots", batch_id)
         finally:
             batch.unpersist()
     return sink
 
 
-def event_sink(out_root: str):
-    """foreachBatch writer of scored events, alerts and the feature snapshot."""
-    from paylens.streaming.snapshots import upsert_snapshot
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
-        try:
-            _write_batch(batch.drop("event_ts"), out_root, "scored", batch_id)
-            _write_batch(batch.filter(F.col("is_alert")).drop("event_ts"), out_root, "alerts", batch_id)
-            upsert_snapshot(batch, f"{out_root}/snapshots", batch_id)
-        finally:
-            batch.unpersist()
-    return sink
+@contextmanager
+def state_in_rocksdb(spark: SparkSession):
+    """Stateful processors need this state store; the setting is read when a query starts."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
 def start_consumer(spark: SparkSession, records: DataFrame, out_root: str, checkpoint: str,
-                   trigger_once: bool = True, features: DataFrame | None = None, watermark: str = "1 hour"):
-    """ST-1: start the consumer; zones and sinks lie under ``out_root``.
+                   trigger_once: bool = True, features: DataFrame | None = None, watermark: str = "1 hour",
+                   buckets: int = BUCKETS):
+    """ST-1: start the consumer (a tuple of its one query); zones and sinks lie under ``out_root``.
 
     ``features`` (merchant_id, feature columns…) is joined to every event (J-7).
     """
-    events, classified = decode_stream(records, watermark)
-    scored = score_events(events if features is None else enrich(events, features))
     t = {"availableNow": True} if trigger_once else {"processingTime": "10 seconds"}
-    q1 = (classified.writeStream.foreachBatch(zone_sink(out_root, watermark))
-          .option("checkpointLocation", f"{checkpoint}/zones").trigger(**t).start())
-    q2 = (scored.writeStream.foreachBatch(event_sink(out_root)).option("checkpointLocation", f"{checkpoint}/events")
-          .trigger(**t).start())
-    return q1, q2
+    with state_in_rocksdb(spark):
+        return (tag_records(records, watermark, buckets).writeStream.foreachBatch(batch_sink(out_root, features))
+                .option("checkpointLocation", checkpoint).trigger(**t).start(),)
 
 
 def read_raw(spark: SparkSession, out_root: str) -> DataFrame:

@@ -48,6 +48,11 @@ def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.withColumn("bucket", F.pmod(F.xxhash64("merchant_id"), F.lit(buckets)).cast("int"))
 
 
+def _write(rows: DataFrame, path: str, buckets: int) -> None:
+    """Rows by bucket, so that a reader of some merchants skips the other files and row groups by their bounds."""
+    _bucketed(rows, buckets).repartition("bucket").sortWithinPartitions("bucket", "merchant_id").write.mode("overwrite").parquet(path)
+
+
 def _merged(parts: list[DataFrame]) -> DataFrame:
     """Latest row per merchant of the parts."""
     rows = parts[0]
@@ -86,7 +91,7 @@ def compact(spark: SparkSession, root: str, upto: int, buckets: int = BUCKETS, k
     whole = version(spark, root, upto)
     if whole is None:
         return
-    _bucketed(whole, buckets).write.mode("overwrite").partitionBy("bucket").parquet(_at(root, "base", upto))
+    _write(whole, _at(root, "base", upto), buckets)
     oldest = max((b for b in _listed(spark, root, "base") if b <= upto - kept), default=None)
     if oldest is None:
         return
@@ -104,8 +109,7 @@ def upsert_snapshot(batch: DataFrame, root: str, batch_id: int, buckets: int = B
     if base is not None and batch_id <= base:
         return  # a replay of a batch that the base already holds
     cur = batch.select(*[c for c in SNAPSHOT_COLS if c in batch.columns])
-    _bucketed(latest_snapshot(cur, "merchant_id", ORDER), buckets) \
-        .write.mode("overwrite").partitionBy("bucket").parquet(_at(root, "version", batch_id))
+    _write(latest_snapshot(cur, "merchant_id", ORDER), _at(root, "version", batch_id), buckets)
     base, deltas = _parts(spark, root, batch_id)
     added = sum(spark.read.parquet(_at(root, "version", v)).count() for v in deltas)
     held = spark.read.parquet(_at(root, "base", base)).count() if base is not None else 0
