@@ -2,13 +2,20 @@
 
 ``windowed_velocity`` — sliding event-time windows with a watermark: partial
 aggregation per task, state per (merchant, window) only; scales with any key
-skew.  ``exact_velocity`` — per-event counts over (t-1h, t] and (t-24h, t]
-with ``applyInPandasWithState``: the state per merchant holds the event times
-of the last 24 hours before the oldest event that the watermark still admits
-(older times are pruned each batch and the whole state expires through an
-event-time timeout), so a late event finds its whole frame.  Events later than
-the watermark are dropped by Spark; an event that arrives after newer events of
-its merchant is counted for itself but does not revise counts already emitted.
+skew.
+
+``exact_velocity`` — per-event counts over (t-1h, t] and (t-24h, t] as a stream
+of changes.  State is kept by merchant and block of ``block_hours``: the
+block's own events, the times of the block before it and of the block a day
+before (in minute buckets, of which a batch rewrites those it touches), and the
+number of events in the blocks between.  An event is sent to its own block, to
+the blocks that hold it as context, and as a bare count to those between.  A
+late event therefore finds its whole frames, and every count that it changes is
+retracted (``change`` -1) and emitted anew (+1); ``current_counts`` adds the
+changes up.  Events older than the watermark are left out; a timer drops a
+block once the watermark has passed its end.  Dense merchants take blocks of an
+hour, so no state or task holds more than an hour's events and two hours of
+context; sparse ones take larger blocks and fewer keys.
 """
 
 from __future__ import annotations
@@ -19,14 +26,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from paylens.session import ship_package
 
 HOUR_US = 3_600_000_000
 DAY_US = 24 * HOUR_US
-OUT_SCHEMA = "merchant_id string, transaction_id string, event_ts timestamp, txn_velocity_1h long, txn_velocity_24h long"
-STATE_SCHEMA = "times array<long>"
+MINUTE_US = 60_000_000
+OWN, BEFORE, DAY_BEFORE, BETWEEN = range(4)
+CHANGES = "merchant_id string, transaction_id string, event_us long, txn_velocity_1h long, txn_velocity_24h long, change int"
 
 
 def windowed_velocity(events: DataFrame, width: str = "1 hour", slide: str | None = None,
@@ -36,36 +44,124 @@ def windowed_velocity(events: DataFrame, width: str = "1 hour", slide: str | Non
             .groupBy("merchant_id", w.alias("window")).agg(F.count(F.lit(1)).alias("txn_count")))
 
 
-def _velocity(key, pdfs: Iterator[pd.DataFrame], state: GroupState, lateness_us: int = DAY_US) -> Iterator[pd.DataFrame]:
-    (merchant,) = key
-    if state.hasTimedOut:
-        state.remove()
-        return
-    old = np.array(state.get[0], dtype=np.int64) if state.exists else np.zeros(0, dtype=np.int64)
-    batch = pd.concat(list(pdfs), ignore_index=True)
-    ts = (batch["event_ts"].astype("datetime64[us]").astype("int64")).to_numpy()
-    times = np.sort(np.concatenate([old, ts]))
-    # counts in (t - w, t]: index of first time > t minus index of first time > t - w
-    upto = np.searchsorted(times, ts, side="right")
-    c1 = upto - np.searchsorted(times, ts - HOUR_US, side="right")
-    c24 = upto - np.searchsorted(times, ts - DAY_US, side="right")
-    newest = int(times[-1])
-    # an event may still arrive lateness_us before the newest one, and its frame begins a day earlier
-    keep = times[times > newest - DAY_US - lateness_us]
-    state.update((keep.tolist(),))
-    state.setTimeoutTimestamp((newest + DAY_US + lateness_us) // 1000)
-    yield pd.DataFrame({"merchant_id": merchant, "transaction_id": batch["transaction_id"],
-                        "event_ts": batch["event_ts"], "txn_velocity_1h": c1.astype("int64"),
-                        "txn_velocity_24h": c24.astype("int64")})
-
-
-def exact_velocity(events: DataFrame, lateness_hours: int = 24) -> DataFrame:
-    """Per-event rolling counts (stream twin of W-1 / W-2); events up to ``lateness_hours`` late are exact."""
-    def counts(key, pdfs, state):
-        return _velocity(key, pdfs, state, lateness_hours * HOUR_US)
+def counts(own: np.ndarray, before: np.ndarray, day_before: np.ndarray, between: int, block_us: int) -> tuple[np.ndarray, np.ndarray]:
+    """Events in (t-1h, t] and (t-24h, t] of each time in ``own`` (sorted, as the contexts are)."""
+    upto = np.searchsorted(own, own, "right")
+    hour = upto - np.searchsorted(own, own - HOUR_US, "right") + len(before) - np.searchsorted(before, own - HOUR_US, "right")
+    far = before if block_us == DAY_US else day_before
+    return hour, upto + between + len(far) - np.searchsorted(far, own - DAY_US, "right")
+
+
+class Velocity(StatefulProcessor):
+    """Counts of one merchant's block, revised when its own events or its context grow."""
+
+    def __init__(self, block_us: int):
+        self.block_us = block_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getMapState("times", "role int, minute long", "us array<long>, ids array<string>")
+        self.between = handle.getValueState("between", "n long")
+
+    def _events(self, held: dict) -> tuple[np.ndarray, list]:
+        """Own times, sorted, and their ids."""
+        us = np.array([t for (role, _), (x, _) in held.items() if role == OWN for t in x], np.int64)
+        ids = [i for (role, _), (_, x) in held.items() if role == OWN for i in x]
+        order = np.argsort(us, kind="stable")
+        return us[order], [ids[k] for k in order]
+
+    def _counts(self, own: np.ndarray, held: dict, between: int) -> tuple[np.ndarray, np.ndarray]:
+        context = [np.sort(np.array([t for (r, _), (x, _) in held.items() if r == role for t in x], np.int64))
+                   for role in (BEFORE, DAY_BEFORE)]
+        return counts(own, *context, between, self.block_us)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        merchant, block = key
+        limit = timerValues.getCurrentWatermarkInMs() * 1000
+        held = {tuple(k): (list(us), list(ids)) for k, (us, ids) in self.times.iterator()}
+        between = self.between.get()[0] if self.between.exists() else 0
+        if not held and not between:
+            self.handle.registerTimer((int(block) + 1) * self.block_us // 1000)
+        old, names = self._events(held)
+        was = self._counts(old, held, between)
+        touched, more, added = set(), 0, []
+        for part in rows:
+            timely = part["event_us"].to_numpy(np.int64) >= limit
+            for role, us, name in zip(part["role"].to_numpy()[timely], part["event_us"].to_numpy(np.int64)[timely],
+                                      part["transaction_id"].to_numpy(object)[timely]):
+                if role == BETWEEN:
+                    more += 1
+                    continue
+                cell = (int(role), int(us) // MINUTE_US)
+                times, ids = held.setdefault(cell, ([], []))
+                times.append(int(us))
+                ids.append(name if role == OWN else None)
+                touched.add(cell)
+                if role == OWN:
+                    added.append((int(us), name))
+        for cell in touched:
+            self.times.updateValue(cell, held[cell])
+        if more:
+            self.between.update((between + more,))
+        if len(old):
+            now = self._counts_at(old, held, between + more)
+            moved = np.flatnonzero((was[0] != now[0]) | (was[1] != now[1]))
+            if len(moved):
+                some = [names[k] for k in moved]
+                yield self._changes(merchant, some, old[moved], was[0][moved], was[1][moved], -1)
+                yield self._changes(merchant, some, old[moved], now[0][moved], now[1][moved], 1)
+        if added:
+            added.sort(key=lambda x: x[0])
+            us = np.array([t for t, _ in added], np.int64)
+            now = self._counts_at(us, held, between + more)
+            yield self._changes(merchant, [name for _, name in added], us, *now, 1)
 
+    def _counts_at(self, us: np.ndarray, held: dict, between: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of some of the own times."""
+        own, _ = self._events(held)
+        hour, day = self._counts(own, held, between)
+        at = np.searchsorted(own, us, "left")  # equal times have equal counts
+        return hour[at], day[at]
+
+    @staticmethod
+    def _changes(merchant, ids, us, hour, day, change: int) -> pd.DataFrame:
+        return pd.DataFrame({"merchant_id": [merchant] * len(ids), "transaction_id": np.array(ids, object), "event_us": us,
+                             "txn_velocity_1h": hour.astype(np.int64), "txn_velocity_24h": day.astype(np.int64),
+                             "change": np.full(len(ids), change, np.int32)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.times.clear()
+        self.between.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def exact_velocity(events: DataFrame, lateness_hours: int = 24, block_hours: int = 1) -> DataFrame:
+    """Changes of per-event rolling counts (stream twin of W-1 / W-2); events up to ``lateness_hours`` late are counted.
+
+    ``events``: merchant_id, transaction_id, event_ts.  ``block_hours`` divides 24.
+    Start the query within ``consumer.state_in_rocksdb``.
+    """
+    if 24 % block_hours:
+        raise ValueError("blocks divide a day")
     ship_package(events.sparkSession)
-    return (events.withWatermark("event_ts", f"{lateness_hours} hours")
-            .groupBy("merchant_id")
-            .applyInPandasWithState(counts, OUT_SCHEMA, STATE_SCHEMA, "append",
-                                    GroupStateTimeout.EventTimeTimeout))
+    block_us, blocks = block_hours * HOUR_US, 24 // block_hours
+    us = F.unix_micros("event_ts")
+    timed = events.withWatermark("event_ts", f"{lateness_hours} hours").filter(F.col("event_ts").isNotNull()) \
+        .select("merchant_id", "transaction_id", us.alias("event_us"), F.floor(us / F.lit(block_us)).cast("long").alias("_b"))
+    roles = [(OWN, 0), (BEFORE, 1)] + ([(DAY_BEFORE, blocks)] if blocks > 1 else []) + [(BETWEEN, k) for k in range(1, blocks)]
+    sent = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(k).cast("long").alias("ahead")) for r, k in roles]))
+    spread = timed.select("*", sent.alias("_s")).select(
+        "merchant_id", (F.col("_b") + F.col("_s.ahead")).alias("block"), F.col("_s.role").alias("role"), "event_us",
+        F.when(F.col("_s.role") == OWN, F.col("transaction_id")).alias("transaction_id"))
+    changes = spread.groupBy("merchant_id", "block").transformWithStateInPandas(Velocity(block_us), CHANGES, "Append", "EventTime")
+    return changes.withColumn("event_ts", F.timestamp_micros("event_us")).drop("event_us")
+
+
+def current_counts(changes: DataFrame) -> DataFrame:
+    """The counts that hold after all changes, one row per event."""
+    left = changes.groupBy("merchant_id", "transaction_id", "event_ts", "txn_velocity_1h", "txn_velocity_24h") \
+        .agg(F.sum("change").alias("n")).filter("n > 0")
+    return left.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n", "_copy")

@@ -66,25 +66,51 @@ def test_late_records_are_kept(spark):
     assert sorted(r.transaction_id for r in CS.read_raw(spark, f"{root}/out").collect()) == ["A", "B", "C"]
 
 
-def test_velocity_of_late_events():
-    """20:00 on day 1, 00:00 on day 3, then 10:00 on day 2: the last sees the first inside its 24 hours."""
+def _velocity_changes(spark, root, batches, **kw):
+    """The changes after landing ``batches`` of (merchant, id, time) one after the other."""
     from paylens.streaming import velocity as V
+    for rows in batches:
+        pdf = pd.DataFrame(rows, columns=["merchant_id", "transaction_id", "event_ts"])
+        spark.createDataFrame(pdf.astype({"event_ts": "datetime64[us]"})).coalesce(1).write.mode("append").json(f"{root}/in")
+        stream = spark.readStream.schema("merchant_id string, transaction_id string, event_ts timestamp").json(f"{root}/in")
+        with CS.state_in_rocksdb(spark):
+            q = (V.exact_velocity(stream, **kw).writeStream.format("parquet").option("path", f"{root}/out")
+                 .option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start())
+        q.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
 
-    class State:
-        exists, hasTimedOut, value = False, False, None
-        get = property(lambda self: self.value)
 
-        def update(self, value):
-            self.value, self.exists = value, True
+def test_velocity_of_late_events(spark):
+    """20:00 on day 1, 00:00 on day 3, then 10:00 on day 2: the last sees the first, and the second is revised."""
+    from paylens.streaming import velocity as V
+    root = f"{checkpoint_dir(spark)}/t-{uuid.uuid4().hex}"
+    times = [pd.Timestamp(t) for t in ("2026-01-01 20:00", "2026-01-03 00:00", "2026-01-02 10:00", "2026-01-01 00:00")]
+    changes = _velocity_changes(spark, root, [[("M1", f"T{k}", t)] for k, t in enumerate(times)], lateness_hours=30, block_hours=6)
+    got = sorted((r.transaction_id, r.txn_velocity_24h, r.change) for r in changes.collect())
+    assert got == [("T0", 1, 1), ("T1", 1, -1), ("T1", 1, 1), ("T1", 2, 1), ("T2", 2, 1)]  # T3 is older than the watermark
+    assert sorted((r.transaction_id, r.txn_velocity_24h) for r in V.current_counts(changes).collect()) == [("T0", 1), ("T1", 2), ("T2", 2)]
 
-        def setTimeoutTimestamp(self, ms):  # noqa: N802
-            self.timeout = ms
 
-    state, out = State(), []
-    for t in ("2026-01-01 20:00", "2026-01-03 00:00", "2026-01-02 10:00"):
-        pdf = pd.DataFrame({"transaction_id": [t], "event_ts": pd.to_datetime([t])})
-        out += [int(x.txn_velocity_24h.iloc[0]) for x in V._velocity(("M1",), iter([pdf]), state)]
-    assert out == [1, 1, 2]
+def test_velocity_equals_the_batch_counts_whatever_arrives_when(spark):
+    """Random late events, ties at a block's edge, equal ids and a hot merchant, in blocks of 1, 6 and 24 hours."""
+    import random
+    from paylens.streaming import velocity as V
+    for block in (1, 6, 24):
+        rnd = random.Random(block)
+        root = f"{checkpoint_dir(spark)}/t-{uuid.uuid4().hex}"
+        start = pd.Timestamp("2026-01-01")
+        edge = [0, 3600, 3600 * 6, 86400, 86400 + 3600]
+        rows = [(rnd.choice(["hot", "hot", "M2"]), f"T{k % 70}",
+                 start + pd.Timedelta(rnd.choice([rnd.choice(edge), rnd.randrange(2 * 86400)]), "s")) for k in range(80)]
+        changes = _velocity_changes(spark, root, [rows[:30], rows[30:60], rows[60:]], lateness_hours=24 * 30, block_hours=block)
+
+        def inside(m, t, hours):
+            return sum(1 for x, _, u in rows if x == m and t - pd.Timedelta(hours, "h") < u <= t)
+
+        want = sorted((m, i, str(t), inside(m, t, 1), inside(m, t, 24)) for m, i, t in rows)
+        assert sorted((r.merchant_id, r.transaction_id, str(r.event_ts), r.txn_velocity_1h, r.txn_velocity_24h)
+                      for r in V.current_counts(changes).collect()) == want
+        assert {r.change for r in changes.collect()} == {-1, 1}
 
 
 def test_isolation_forest_flags_outliers(spark):
