@@ -1,19 +1,20 @@
 """G-1: ordered global running totals without a single-partition window.
 
-1. pre-aggregate by the ordering key (a hot key collapses to one row);
-2. approximate quantiles of the distinct keys give B-1 bucket bounds (a lazy
-   scalar subquery: B numbers, never data);
-3. per-bucket totals (B rows) -> exclusive prefix offsets (window over B rows,
-   bounded), joined back by broadcast (B rows, a proven bound);
+1. pre-aggregate by the ordering key (a hot key collapses to one row): one read;
+2. range-partition the distinct keys; the partitions are the buckets, as many as
+   the size asks for, frozen with a reliable checkpoint (range bounds are
+   sampled, so they must not be recomputed);
+3. per-bucket totals -> exclusive prefix offsets (one row per partition, never
+   data), joined back by broadcast;
 4. a running sum inside each bucket (partitioned window) plus the offset.
 
 Result: for each distinct key k, ``cum_<m>`` = sum of m over all keys <= k
-(or >= k when ``descending``).  Exact; the quantiles only balance the work.
+(or >= k when ``descending``).  Exact; the ranges only balance the work.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paylens.functions.numeric import round_half
@@ -29,32 +30,28 @@ def bucket_count(df: DataFrame) -> int:
     session's shuffle partitions."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = max(LEAST_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return least if size >= 1 << 56 else max(least, min(10_000, size // BUCKET_BYTES))
+    return least if size >= 1 << 56 else max(least, size // BUCKET_BYTES)
+
+
+def with_offsets(ranged: DataFrame, measures: dict[str, Column]) -> DataFrame:
+    """Rows of range partitions (``_pid``) with ``_o_<name>``: the measures' totals of all partitions before."""
+    totals = ranged.groupBy("_pid").agg(*[F.sum(m).alias(f"_t_{name}") for name, m in measures.items()])
+    upto = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{name}").over(upto), F.lit(0)).alias(f"_o_{name}") for name in measures])
+    return ranged.join(F.broadcast(offsets), "_pid")
 
 
 def global_cumulative(df: DataFrame, key: str, measures: list[str], buckets: int | None = None,
                       descending: bool = False) -> DataFrame:
-    buckets = buckets or bucket_count(df)
     k = F.col(key).cast("double")
     ordered = -k if descending else k
-    per_key = cut_lineage(df.groupBy(ordered.alias("_k"))           # read three times below
-                          .agg(*[F.sum(m).alias(m) for m in measures]))
-    fractions = [i / buckets for i in range(1, buckets)]
-    bounds = per_key.select(F.percentile_approx("_k", fractions, 10_000).alias("b")).scalar()
-    # bounds enter the plan once, as a column; the bucket is the number of bounds below the key
-    # (monotone in the key, so equal keys share a bucket)
-    bucket = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col("_k"))), F.lit(0))
-    per_key = per_key.withColumn("_bounds", bounds).withColumn("_bucket", bucket).drop("_bounds")
-    totals = per_key.groupBy("_bucket").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
-    upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)   # <= B rows
-    offsets = totals.select("_bucket", *[F.coalesce(F.sum(f"_t_{m}").over(upto), F.lit(0))
-                                         .alias(f"_o_{m}") for m in measures])
-    running = Window.partitionBy("_bucket").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    out = per_key.join(F.broadcast(offsets), "_bucket").select(
+    per_key = df.groupBy(ordered.alias("_k")).agg(*[F.sum(m).alias(m) for m in measures])
+    ranged = cut_lineage(per_key.repartitionByRange(buckets or bucket_count(df), "_k").withColumn("_pid", F.spark_partition_id()))
+    running = Window.partitionBy("_pid").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    return with_offsets(ranged, {m: F.col(m) for m in measures}).select(
         (-F.col("_k") if descending else F.col("_k")).alias(key),
         *measures,
         *[(F.col(f"_o_{m}") + F.sum(m).over(running)).alias(f"cum_{m}") for m in measures])
-    return out
 
 
 def merchant_percentile(tx: DataFrame) -> DataFrame:
@@ -74,20 +71,12 @@ def ordered_positions(df: DataFrame, order_cols: list[str], partitions: int | No
                       out: str = "_pos") -> DataFrame:
     """1-based global position by ``order_cols`` (any orderable types; make them unique).
 
-    G-1 for keys that are not numbers: range-partition by the ordering, freeze
-    that partitioning with a reliable checkpoint (range bounds are sampled, so
-    they must not be recomputed), count rows per partition (<= ``partitions``
-    rows), turn the counts into exclusive offsets, broadcast them (bounded by
-    ``partitions``) and add a row number inside each partition.  No step
-    gathers the rows in one task.
+    G-1 for keys that are not numbers: range-partition by the ordering, and add
+    the partition's offset to a row number inside it.  No step gathers the rows
+    in one task.
     """
-    partitions = partitions or bucket_count(df)
-    ranged = cut_lineage(df.repartitionByRange(partitions, *order_cols)
+    ranged = cut_lineage(df.repartitionByRange(partitions or bucket_count(df), *order_cols)
                          .withColumn("_pid", F.spark_partition_id()))
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)      # <= partitions rows
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_off"))
     local = Window.partitionBy("_pid").orderBy(*order_cols)
-    return (ranged.join(F.broadcast(offsets), "_pid")
-            .withColumn(out, F.col("_off") + F.row_number().over(local))
-            .drop("_pid", "_off"))
+    return with_offsets(ranged, {"n": F.lit(1).cast("long")}).withColumn(out, F.col("_o_n") + F.row_number().over(local)) \
+        .drop("_pid", "_o_n")

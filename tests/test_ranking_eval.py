@@ -76,3 +76,58 @@ def test_chronological_split_large_tie_group(spark):
     b = {r.transaction_id: r.split for r in EV.chronological_split(df, 0.8).collect()}
     assert a == b and sum(v == "train" for v in b.values()) == 40
     assert all(b[f"T{i:03d}"] == ("train" if i < 40 else "test") for i in range(50))
+
+
+def test_running_totals_with_more_buckets_than_keys(spark):
+    rng = np.random.default_rng(1)
+    keys = np.round(rng.standard_normal(4000), 2)
+    df = spark.createDataFrame(pd.DataFrame({"k": keys, "n": np.arange(4000)}))
+    want = pd.Series(np.arange(4000)).groupby(keys).sum().sort_index().cumsum()
+    for buckets in (1, 3, 2000):
+        got = global_cumulative(df, "k", ["n"], buckets=buckets).toPandas().sort_values("k")
+        assert got["k"].tolist() == want.index.tolist() and got["cum_n"].tolist() == want.tolist()
+
+
+def test_bucket_count_is_not_capped(spark):
+    from paylens.operators import ranking as RK
+
+    class Frame:
+        sparkSession = spark  # noqa: N815
+
+        class _jdf:  # noqa: N801
+            @staticmethod
+            def queryExecution():  # noqa: N802
+                class Plan:
+                    optimizedPlan = stats = lambda self: self
+                    sizeInBytes = lambda self: 100 << 40  # noqa: E731, N815
+                return Plan()
+
+    assert RK.bucket_count(Frame) == (100 << 40) // RK.BUCKET_BYTES > 1_000_000
+
+
+def test_split_reads_three_times_and_shuffles_only_the_cut_hour(spark):
+    from datetime import datetime, timedelta
+    rows = [(f"T{i:03d}", datetime(2024, 1, 1) + timedelta(minutes=(i * 37) % 600)) for i in range(400)] + [("late", None)]
+    df = spark.createDataFrame(rows, "transaction_id string, timestamp timestamp_ntz")
+    out = EV.chronological_split(df, 0.7)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    ordered = sorted((t, i) for i, t in rows if t is not None)
+    want = {i: "train" if n < 280 else "test" for n, (_, i) in enumerate(ordered)}
+    assert {r.transaction_id: r.split for r in out.collect()} == want
+    for share, side in ((0.0, "test"), (1.0, "train")):
+        assert {r.split for r in EV.chronological_split(df, share).collect()} == {side}
+    assert EV.chronological_split(df.limit(0)).count() == 0
+
+
+def test_metrics_where_the_best_score_lies_outside_the_bounds(spark):
+    def metrics(rows, **kw):
+        return EV.evaluate(spark.createDataFrame(rows, "score double, label int"), **kw).first()
+
+    low = metrics([(0.01, 1), (0.02, 1), (0.001, 0)])
+    assert (low.threshold, low.precision_at_threshold, low.recall_at_threshold) == (0.05, 0.0, 0.0)
+    high = metrics([(0.99, 1), (0.98, 1), (0.97, 1), (0.1, 0)])
+    assert (high.threshold, high.precision_at_threshold, high.recall_at_threshold) == (0.95, 1.0, 1.0)
+    given = metrics([(0.9, 1), (0.8, 0), (0.3, 1)], threshold=0.8)
+    assert (given.threshold, given.precision_at_threshold, given.recall_at_threshold) == (0.8, 0.5, 0.5)
+    none = metrics([])
+    assert none.threshold == 0.85 and none.roc_auc is None
