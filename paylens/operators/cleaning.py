@@ -3,24 +3,50 @@
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paylens import constants as C
+from paylens.session import cut_lineage
 
 
-def dedupe_latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """U-3: one row per key, the greatest ``order`` (then every other column) wins.
+#: keys with several rows that are broadcast at most
+DUPLICATE_KEYS = 1 << 18
+_FIXED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+
+
+def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per key (null is a key): the greatest ``order``, then every other column, wins.
 
-    A hash aggregate of ``max(struct(order..., rest...))``: partial aggregation
-    keeps one candidate per key and map task, so duplicates of a hot key never
-    gather in one task; the choice is deterministic.
+    A hash aggregate of fixed-width values finds the keys with several rows and
+    their largest first ``order`` column; only these keys are shuffled.  Rows of
+    other keys pass straight through; of the rest only the rows at the largest
+    value go on to ``max(struct(order..., rest...))``.  Partial aggregation keeps
+    one candidate per key and map task, so a hot key never gathers in one task.
+    The keys with several rows are written once; up to ``DUPLICATE_KEYS`` of them
+    are broadcast, more are joined.
     """
+    first = order[0] if isinstance(df.schema[order[0]].dataType, _FIXED) else None
+    top = [F.max(first).alias("_top")] if first else []
+    several = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *top).filter("_n > 1")
+                          .select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n", *(["_top"] if first else [])))
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    marked = df.join(F.broadcast(several) if several.count() <= DUPLICATE_KEYS else several, on, "left")
+    single = marked.filter(F.col("_n").isNull()).select(*df.columns)
+    ties = marked.filter(F.col("_n").isNotNull() & (F.col(first).eqNullSafe(F.col("_top")) if first else F.lit(True)))
     rest = [c for c in df.columns if c not in keys and c not in order]
     best = F.max(F.struct(*[F.col(c) for c in order + rest])).alias("_b")
-    return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in order + rest]) \
-             .select(*df.columns)
+    chosen = ties.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in order + rest])
+    return single.union(chosen.select(*df.columns))
+
+
+def dedupe_latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """U-3: one row per key, see ``latest_per_key``; the choice is deterministic."""
+    return latest_per_key(df, keys, order)
 
 
 def clean_raw(raw: DataFrame, stamp: bool = True) -> DataFrame:

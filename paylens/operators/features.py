@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from paylens import constants as C
 from paylens.functions.numeric import money_avg, zero_if_not_finite
 from paylens.functions.timecols import epoch_micros, ntz_literal
+from paylens.operators.cleaning import latest_per_key
 from paylens.operators.rolling import Rolling, rolling
 
 US = 1_000_000
@@ -123,14 +124,9 @@ def batch_day_features(tx: DataFrame, day: date, lookback: bool = False, slab_ro
 
 def latest_snapshot(df: DataFrame, key: str = "merchant_id",
                     order: tuple[str, ...] = ("timestamp", "transaction_id")) -> DataFrame:
-    """W-16: latest row per key as a hash aggregate (max of an ordered struct).
-
-    Partial aggregation keeps one candidate per key and map task, so a hot key
-    never concentrates its rows in one task, unlike row_number over a window.
-    """
+    """W-16: latest row per key (``cleaning.latest_per_key``)."""
     rest = [c for c in df.columns if c != key and c not in order]
-    best = F.max(F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest])).alias("_best")
-    return df.groupBy(key).agg(best).select(key, *[F.col(f"_best.{c}").alias(c) for c in list(order) + rest])
+    return latest_per_key(df, [key], list(order)).select(key, *order, *rest)
 
 
 def merchant_history(tx: DataFrame, limit: int = C.HISTORY_LIMIT) -> DataFrame:
