@@ -1,17 +1,19 @@
 """Anomaly model: isolation forest + boosted trees ensemble (M-1 … M-10).
 
 Isolation forest (Liu, Ting & Zhou, 2008) has no MLlib class, so:
-  * sampling — one Bernoulli pass keeps about ``trees * 2 * psi`` rows whatever
-    the table size; each kept row is assigned to trees by a hash of (row, tree)
-    and every tree keeps its ``psi`` lowest-hash rows (a bounded window group);
-  * building — ``groupBy(tree).applyInPandas`` grows each tree on <= psi rows
-    (random feature, uniform split between the node's min and max, depth limit
-    ceil(log2 psi)); the node table has at most trees * (2 psi - 1) rows, a bound
-    set by the parameters, not the data, and is shipped to tasks as a broadcast;
+  * sampling — a row is kept by the hash of its id (about ``trees * 2 * psi`` rows
+    whatever the table size) and joins trees by counters of (row, tree); every
+    tree takes its ``psi`` rows with the lowest counters (a bounded window group);
+  * building — ``groupBy(tree).applyInPandas`` grows each tree on <= psi rows; a
+    node's feature and cut are counters of (tree, node), the cut between the
+    node's min and max, depth limit ceil(log2 psi).  Nothing depends on the
+    partitioning, so plain SQL regrows the same trees.  The node table has at
+    most trees * (2 psi - 1) rows, a bound set by the parameters, not the data,
+    and is shipped to tasks as a broadcast;
   * scoring — a vectorised pandas UDF walks all trees level by level per Arrow
     batch: s(x) = 2 ** (-E[h(x)] / c(psi)).
-Boosted trees use MLlib's GBTClassifier with class weights and a validation
-slice for early stopping.
+Boosted trees are second-order histogram boosting (``boosting``) with class
+weights and a validation slice for early stopping.
 """
 
 from __future__ import annotations
@@ -20,15 +22,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paylens import constants as C
+from paylens.operators import boosting
+from paylens.operators.boosting import BoostedTrees
 from paylens.session import ship_package
 
 EULER = 0.5772156649015329
@@ -54,50 +55,66 @@ def assemble(df: DataFrame, columns: list[str] = C.FEATURE_COLUMNS, out: str = "
         df.fillna(0.0, subset=columns))
 
 
+PRIME = (1 << 31) - 1
+
+
+def mixed(x):
+    """One step of a counter hash modulo ``PRIME``; of a Python integer or a bigint column."""
+    x = x % PRIME
+    return (x * x + 48271 * x + 12345) % PRIME
+
+
+def draw(tree: int, node: int, k: int, seed: int) -> int:
+    """The k-th counter of a node, 0 to PRIME - 1."""
+    return mixed(mixed(mixed(tree * 1_000_003 + node * 10_007 + k * 101 + seed)))
+
+
+def _hex(text, start: int, digits: int):
+    return F.conv(F.substring(text, start, digits), 16, 10).cast("long")
+
+
 def iforest_sample(df: DataFrame, id_col: str, trees: int, psi: int, seed: int) -> DataFrame:
-    """Rows per tree: a bounded, hash-chosen subsample (<= psi rows per tree)."""
+    """Rows per tree: a bounded subsample (<= psi rows per tree), chosen by counters of the id's md5 (null ids: none)."""
     n = df.select(F.count(F.lit(1))).scalar()
     keep = F.least(F.lit(1.0), F.lit(float(trees * 2 * psi)) / n.cast("double"))
-    u = (F.xxhash64(F.col(id_col), F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)).cast("double")
-         / float(1 << 53))
+    name = F.md5(F.col(id_col).cast("string").cast("binary"))
     # P(row in a given tree | kept), as a column: subqueries may not sit inside lambdas
-    kept = df.filter(u < keep).withColumn("_pt", F.lit(2.0 * psi) / (keep * n.cast("double")))
-    tids = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: (
-        F.xxhash64(F.col(id_col), t, F.lit(seed + 1)).bitwiseAND(F.lit((1 << 53) - 1)).cast("double")
-        / float(1 << 53)) < F.col("_pt"))
-    assigned = kept.select("*", F.explode(tids).alias("tree_id")).drop("_pt")
-    order = F.xxhash64(F.col(id_col), F.col("tree_id"), F.lit(seed + 2))
-    w = Window.partitionBy("tree_id").orderBy(order, id_col)
-    return assigned.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= psi).drop("_r")
+    kept = df.withColumn("_m1", _hex(name, 1, 8)).withColumn("_m2", _hex(name, 9, 7)).filter(F.col("_m1") / float(1 << 32) < keep) \
+        .withColumn("_share", F.lit(2.0 * psi) / (keep * n.cast("double")))
+
+    def key(tree):
+        return mixed(mixed(F.col("_m2") + tree * 1_000_003 + seed))
+
+    tids = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long")), lambda t: key(t) / float(PRIME) < F.col("_share"))
+    assigned = kept.select("*", F.explode(tids).alias("tree_id"))
+    w = Window.partitionBy("tree_id").orderBy(key(F.col("tree_id")), id_col)
+    return assigned.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= psi).drop("_r", "_m1", "_m2", "_share") \
+        .withColumn("tree_id", F.col("tree_id").cast("int"))
 
 
 def _grow(pdf: pd.DataFrame, columns: list[str], psi: int, seed: int) -> pd.DataFrame:
+    """One tree; children of node k are 2k + 1 and 2k + 2."""
     tree_id = int(pdf["tree_id"].iloc[0])
-    rng = np.random.default_rng([seed, tree_id])
     x = pdf[columns].to_numpy(dtype=float)
     limit = int(math.ceil(math.log2(max(psi, 2))))
     nodes = []
     stack = [(0, np.arange(len(x)), 0)]
-    next_id = 1
     while stack:
         node_id, idx, depth = stack.pop()
         sub = x[idx]
-        if depth >= limit or len(idx) <= 1:
-            nodes.append((tree_id, node_id, -1, 0.0, -1, -1, len(idx), True))
-            continue
         lo, hi = sub.min(axis=0), sub.max(axis=0)
-        splittable = np.flatnonzero(hi > lo)
-        if splittable.size == 0:
+        free = np.flatnonzero(hi > lo)
+        if depth >= limit or len(idx) <= 1 or not len(free):
             nodes.append((tree_id, node_id, -1, 0.0, -1, -1, len(idx), True))
             continue
-        f = int(rng.choice(splittable))
-        thr = float(rng.uniform(lo[f], hi[f]))
+        f = int(free[draw(tree_id, node_id, 0, seed) % len(free)])
+        thr = float(lo[f] + draw(tree_id, node_id, 1, seed) / float(PRIME) * (hi[f] - lo[f]))
         go_left = sub[:, f] < thr
-        left, right = next_id, next_id + 1
-        next_id += 2
+        left, right = 2 * node_id + 1, 2 * node_id + 2
+        kept = [(child, part) for child, part in ((left, idx[go_left]), (right, idx[~go_left]))]
         nodes.append((tree_id, node_id, f, thr, left, right, len(idx), False))
-        stack.append((right, idx[~go_left], depth + 1))
-        stack.append((left, idx[go_left], depth + 1))
+        stack += [(child, part, depth + 1) for child, part in kept if len(part)]
+        nodes += [(tree_id, child, -1, 0.0, -1, -1, 0, True) for child, part in kept if not len(part)]
     return pd.DataFrame(nodes, columns=["tree_id", "node_id", "feature", "threshold", "left", "right",
                                         "size", "leaf"])
 
@@ -172,35 +189,28 @@ def load_isolation_forest(nodes: DataFrame, columns: list[str] = C.FEATURE_COLUM
 
 
 def train_classifier(train: DataFrame, label: str = "is_fraud", max_iter: int = 450, seed: int = 42,
-                     validation_fraction: float = 0.1) -> PipelineModel:
-    """M-3: GBT (depth 5, step .03, subsample .9, min 8 per node), class-weighted.
+                     validation_fraction: float = 0.1) -> BoostedTrees:
+    """M-3: boosted trees under the published settings (``boosting.Settings``), positives weighted by neg / pos.
 
-    Early stopping uses a validation slice of the *training* rows (the newest
-    ``validation_fraction`` by time), not the test split.
+    Early stopping looks at a slice of the *training* rows (the newest
+    ``validation_fraction`` by time), not at the test split.
     """
-    neg = F.count(F.when(~F.col(label), 1)).cast("double")
-    pos = F.greatest(F.count(F.when(F.col(label), 1)), F.lit(1)).cast("double")
-    weight = train.agg((neg / pos).alias("w")).scalar()
     from paylens.functions.timecols import epoch_micros
-    cut = train.select(F.percentile_approx(epoch_micros("timestamp"),
-                                           1.0 - validation_fraction, 10_000)).scalar()
-    data = (train.withColumn("label", F.col(label).cast("double"))
-            .withColumn("weight", F.when(F.col(label), weight).otherwise(F.lit(1.0)))
-            .withColumn("is_validation", epoch_micros("timestamp") > cut))
-    gbt = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxDepth=5,
-                        stepSize=0.03, subsamplingRate=0.9, minInstancesPerNode=8, maxIter=max_iter,
-                        featureSubsetStrategy="all", validationIndicatorCol="is_validation", seed=seed)
-    assembler = VectorAssembler(inputCols=C.FEATURE_COLUMNS, outputCol="features", handleInvalid="keep")
-    return Pipeline(stages=[assembler, gbt]).fit(data)
+    stats = train.agg(
+        (F.count(F.when(~F.col(label), 1)).cast("double") / F.greatest(F.count(F.when(F.col(label), 1)), F.lit(1)).cast("double")).alias("w"),
+        F.percentile_approx(epoch_micros("timestamp"), 1.0 - validation_fraction, 10_000).alias("cut")).first()
+    rows = train.select(
+        *C.FEATURE_COLUMNS, F.coalesce(F.col(label), F.lit(False)).cast("int").alias("label"),
+        F.when(F.col(label), F.lit(stats.w)).otherwise(F.lit(1.0)).alias("weight"),
+        F.xxhash64("transaction_id").alias("id"), (epoch_micros("timestamp") > F.lit(stats.cut)).alias("held"))
+    return boosting.fit(rows, C.FEATURE_COLUMNS, boosting.Settings(rounds=max_iter, seed=seed))
 
 
-def classifier_scores(model: PipelineModel, df: DataFrame, out: str = "clf_score") -> DataFrame:
-    p = model.transform(df.fillna(0.0, subset=C.FEATURE_COLUMNS))
-    return p.withColumn(out, vector_to_array("probability")[1]).drop("features", "rawPrediction",
-                                                                      "probability", "prediction")
+def classifier_scores(model: BoostedTrees, df: DataFrame, out: str = "clf_score") -> DataFrame:
+    return model.transform(df, out)
 
 
-def predict(df: DataFrame, iso: IsolationForestModel, clf: PipelineModel,
+def predict(df: DataFrame, iso: IsolationForestModel, clf: BoostedTrees,
             iso_range: tuple[float, float] | None = None) -> DataFrame:
     """M-7: .3 * iso + .7 * clf, clamped; missing features -> 0.
 
@@ -222,7 +232,7 @@ def predict(df: DataFrame, iso: IsolationForestModel, clf: PipelineModel,
 class EnsembleModel:
     """M-7 as an object for R-9: ``transform`` adds anomaly_score; absent features count as 0."""
 
-    def __init__(self, iso: IsolationForestModel, clf: PipelineModel, iso_range: tuple[float, float] | None = None):
+    def __init__(self, iso: IsolationForestModel, clf: BoostedTrees, iso_range: tuple[float, float] | None = None):
         self.iso, self.clf, self.iso_range = iso, clf, iso_range
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -246,14 +256,15 @@ def train_ensemble(features: DataFrame, trees: int = 200, psi: int = 256, max_it
     return iso, nodes, clf, scored, metrics
 
 
-def save_models(path: str, nodes: DataFrame, clf: PipelineModel, metrics: DataFrame) -> None:
-    """M-9: Parquet node table, MLlib pipeline, metrics table under one root."""
+def save_models(path: str, nodes: DataFrame, clf: BoostedTrees, metrics: DataFrame) -> None:
+    """M-9: the two models' node tables and the metrics table under one root."""
     nodes.write.mode("overwrite").parquet(f"{path}/isolation_forest")
-    clf.write().overwrite().save(f"{path}/classifier")
+    clf.nodes(nodes.sparkSession).coalesce(1).write.mode("overwrite").parquet(f"{path}/classifier")
     metrics.write.mode("overwrite").parquet(f"{path}/metrics")
 
 
 def load_models(spark, path: str, psi: int = 256):
     nodes = spark.read.parquet(f"{path}/isolation_forest")
-    return (load_isolation_forest(nodes, psi=psi), PipelineModel.load(f"{path}/classifier"),
+    return (load_isolation_forest(nodes, psi=psi),
+            BoostedTrees.from_nodes(spark.read.parquet(f"{path}/classifier"), C.FEATURE_COLUMNS),
             spark.read.parquet(f"{path}/metrics"))

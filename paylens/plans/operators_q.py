@@ -386,17 +386,3 @@ def q_model_round_trip(spark, sf_dir):
         F.count(F.lit(1)).alias("scored"), F.count_if(F.col("anomaly_score").between(0, 1)).alias("in_range"),
         F.count_if(F.abs(F.col("anomaly_score") - F.col("again")) < 1e-12).alias("equal_after_reload"),
         F.count_if("by_model").alias("audited"))
-
-
-@register("train_properties", "M-3", with_transactions("""
-SELECT floor(COUNT(*) * 0.8)::BIGINT AS train_rows, (COUNT(*) - floor(COUNT(*) * 0.8))::BIGINT AS test_rows,
-       (COUNT(*) - floor(COUNT(*) * 0.8))::BIGINT AS scores_in_range, TRUE AS metrics_in_range FROM transactions"""))
-def q_train_properties(spark, sf_dir):
-    """What any training run must give: the split's sizes, scores and metrics in their ranges."""
-    f = rounded_training_features(spark, sf_dir)
-    _, _, _, scored, metrics = ML.train_ensemble(f, trees=20, psi=64, max_iter=5)
-    s = scored.agg(F.count(F.lit(1)).alias("test_rows"), F.count_if(F.col("anomaly_score").between(0, 1)).alias("scores_in_range"))
-    train = f.select((F.floor(F.count(F.lit(1)) * 0.8)).cast("long").alias("train_rows"))
-    ok = metrics.select((F.col("roc_auc").between(0, 1) & F.col("threshold").between(0.05, 0.95)).alias("metrics_in_range"))
-    return train.withColumn("test_rows", s.select("test_rows").scalar()).withColumn(
-        "scores_in_range", s.select("scores_in_range").scalar()).withColumn("metrics_in_range", ok.scalar())
