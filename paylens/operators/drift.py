@@ -7,6 +7,8 @@ meet in an equi join on the feature name (J-8) over a handful of rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +99,73 @@ def psi_columns(df: DataFrame, is_current: Column, numeric: list[str], categoric
     return psi.withColumn("drifted", F.col("psi") > psi_threshold)
 
 
+def kolmogorov_p(statistic: Column, n: Column, m: Column) -> tuple[Column, Column]:
+    """The scaled two-sample Kolmogorov-Smirnov statistic (to be named ``_lam``) and its asymptotic p-value."""
+    lam = statistic * F.sqrt(n.cast("double") * m.cast("double") / (n + m).cast("double"))
+    terms = F.aggregate(F.sequence(F.lit(1), F.lit(100)), F.lit(0.0), lambda acc, k: acc + F.when(k % 2 == 1, F.lit(1.0)).otherwise(
+        F.lit(-1.0)) * F.exp(F.lit(-2.0) * k * k * F.col("_lam") * F.col("_lam")))
+    return lam, F.when(F.col("_lam") < 0.2, F.lit(1.0)).otherwise(F.least(F.greatest(2.0 * terms, F.lit(0.0)), F.lit(1.0)))
+
+
+def chi_square_p(statistic: str, freedom: str) -> Column:
+    """Upper tail of the chi-square distribution by the series of the incomplete gamma function (0 beyond 1400)."""
+    a, x = F.col(freedom) / 2.0, F.col(statistic) / 2.0
+    # ln Gamma(a + 1) of a half-integer: from Gamma(1) = 1 or Gamma(1/2) = sqrt(pi) upwards
+    half = F.col(freedom) % 2 == 1
+    low = F.when(half, F.lit(0.5)).otherwise(F.lit(1.0))
+    start = F.when(half, F.lit(0.5 * math.log(math.pi))).otherwise(F.lit(0.0))
+    steps = F.when(half, F.floor(a) + 1).otherwise(F.floor(a)).cast("int")
+    gamma = start + F.aggregate(F.sequence(F.lit(0), steps), F.lit(0.0), lambda acc, k: acc + F.when(k < steps, F.log(low + k)).otherwise(0.0))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(2000)), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")),
+                         lambda acc, k: F.struct((acc["t"] * x / (a + k)).alias("t"), (acc["s"] + acc["t"] * x / (a + k)).alias("s")),
+                         lambda acc: acc["s"])
+    lower = F.exp(a * F.log(x) - x - gamma) * series
+    return F.when((F.col(freedom) < 1) | (F.col(statistic) <= 0), F.lit(1.0)).when(x > 700, F.lit(0.0)) \
+        .otherwise(F.least(F.greatest(1.0 - lower, F.lit(0.0)), F.lit(1.0)))
+
+
+def two_sample_columns(df: DataFrame, is_current: Column, numeric: list[str], categorical: list[str], alpha: float = 0.05) -> DataFrame:
+    """D-2 per column: (feature, test, statistic, p_value, drifted) of reference against current rows.
+
+    Numeric columns: the exact Kolmogorov-Smirnov statistic, the largest distance
+    of the two distribution functions, from running counts per distinct value
+    (G-1 within a column).  Categories (null is one): chi-square over the table
+    of counts.  Both start from counts by value and period, which merge.
+    """
+    from paylens.operators.ranking import grouped_cumulative
+    from paylens.session import cut_lineage
+    tagged = cut_lineage(df.select(*numeric, *categorical, F.coalesce(is_current, F.lit(False)).alias("_cur")))
+    flags = [(~F.col("_cur")).cast("long").alias("r"), F.col("_cur").cast("long").alias("c")]
+    num = tagged.select("_cur", *[F.col(c).cast("double").alias(c) for c in numeric]).unpivot(["_cur"], numeric, "feature", "x") \
+        .filter("x is not null").select("feature", "x", *flags)
+    cum = cut_lineage(grouped_cumulative(num, "feature", "x", ["r", "c"]))
+    sizes = cum.groupBy("feature").agg(F.sum("r").alias("n"), F.sum("c").alias("m"))              # a row per column
+    apart = F.abs(F.col("cum_r").cast("double") / F.col("n").cast("double") - F.col("cum_c").cast("double") / F.col("m").cast("double"))
+    ks = cum.join(F.broadcast(sizes), "feature").groupBy("feature", "n", "m").agg(F.max(apart).alias("statistic"))
+    lam, p = kolmogorov_p(F.col("statistic"), F.col("n"), F.col("m"))
+    ks = ks.withColumn("_lam", lam).select("feature", F.lit("ks").alias("test"), "statistic", p.alias("p_value"))
+
+    values = tagged.select("_cur", *[F.col(c).cast("string").alias(c) for c in categorical]).unpivot(["_cur"], categorical, "feature", "v") \
+        .select("feature", F.coalesce("v", F.lit("null")).alias("v"), *flags).groupBy("feature", "v").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+    values = cut_lineage(values)
+    totals = values.groupBy("feature").agg(F.sum("r").cast("double").alias("n"), F.sum("c").cast("double").alias("m"), F.count(F.lit(1)).alias("k"))
+    both = (F.col("r") + F.col("c")).cast("double")
+    exp_r, exp_c = both * F.col("n") / (F.col("n") + F.col("m")), both * F.col("m") / (F.col("n") + F.col("m"))
+    cell = (F.col("r") - exp_r) * (F.col("r") - exp_r) / F.nullif(exp_r, F.lit(0.0)) + (F.col("c") - exp_c) * (F.col("c") - exp_c) / F.nullif(exp_c, F.lit(0.0))
+    chi = values.join(F.broadcast(totals), "feature").groupBy("feature").agg(
+        F.coalesce(F.sum(cell), F.lit(0.0)).alias("statistic"), (F.max("k") - 1).cast("int").alias("_free"))
+    chi = chi.select("feature", F.lit("chi2").alias("test"), "statistic", chi_square_p("statistic", "_free").alias("p_value"))
+    return ks.unionByName(chi).withColumn("drifted", F.col("p_value") < alpha)
+
+
+def two_sample_drift(columns: DataFrame, share_threshold: float = 0.5) -> DataFrame:
+    """D-2 summary of per-column tests: share and number of drifted columns, dataset flag."""
+    hits = F.count_if("drifted")
+    share = hits.cast("double") / F.count(F.lit(1)).cast("double")
+    return columns.agg(share.alias("share_of_drifted_columns"), hits.alias("number_of_drifted_columns"),
+                       (share >= share_threshold).alias("dataset_drift"))
+
+
 def distribution_drift(df: DataFrame, is_current: Column, numeric: list[str] | None = None,
                        categorical: list[str] | None = None, share_threshold: float = 0.5) -> DataFrame:
     """D-2 summary: share and number of drifted columns, dataset flag."""

@@ -54,6 +54,18 @@ def global_cumulative(df: DataFrame, key: str, measures: list[str], buckets: int
         *[(F.col(f"_o_{m}") + F.sum(m).over(running)).alias(f"cum_{m}") for m in measures])
 
 
+def grouped_cumulative(df: DataFrame, group: str, key: str, measures: list[str], buckets: int | None = None) -> DataFrame:
+    """``global_cumulative`` within each ``group``: (group, key, measures, cum_*); a group of any size is many buckets."""
+    per_key = df.groupBy(group, F.col(key).cast("double").alias("_k")).agg(*[F.sum(m).alias(m) for m in measures])
+    ranged = cut_lineage(per_key.repartitionByRange(buckets or bucket_count(df), group, "_k").withColumn("_pid", F.spark_partition_id()))
+    upto = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_pid", group).agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])  # at most partitions + groups rows
+    offsets = totals.select("_pid", group, *[F.coalesce(F.sum(f"_t_{m}").over(upto), F.lit(0)).alias(f"_o_{m}") for m in measures])
+    running = Window.partitionBy("_pid", group).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(F.broadcast(offsets), ["_pid", group]).select(
+        group, F.col("_k").alias(key), *measures, *[(F.col(f"_o_{m}") + F.sum(m).over(running)).alias(f"cum_{m}") for m in measures])
+
+
 def merchant_percentile(tx: DataFrame) -> DataFrame:
     """W-15 / J-3 for all merchants: % of merchants whose mean ticket <= own."""
     from paylens.functions.numeric import money_avg

@@ -223,6 +223,90 @@ def q_distribution_drift(spark, sf_dir):
     return DR.distribution_drift(f, _is_current(), C.DRIFT_COLUMNS, _CATEG)
 
 
+# a current period that has moved: features doubled and raised, half of the categories renamed
+_MOVED = ", ".join([f"CASE WHEN {CUR_SQL} THEN CAST({c} AS DOUBLE) * 2 + 3 ELSE CAST({c} AS DOUBLE) END AS {c}" for c in C.DRIFT_COLUMNS]
+                   + [f"CASE WHEN {CUR_SQL} AND hour_of_day >= 12 THEN 'new' ELSE {c} END AS {c}" for c in _CATEG])
+_MOVED_CTE = f"tfm AS (SELECT * REPLACE ({_MOVED}) FROM tf)"
+
+
+def _moved(f):
+    """The feature table with its current period moved, as ``_MOVED`` says."""
+    cur, late = _is_current(), F.col("hour_of_day") >= 12
+    return f.withColumns({c: F.when(cur, F.col(c).cast("double") * 2 + 3).otherwise(F.col(c).cast("double")) for c in C.DRIFT_COLUMNS}
+                         | {c: F.when(cur & late, F.lit("new")).otherwise(F.col(c)) for c in _CATEG})
+
+
+def _of_moved(ctes: list[str]) -> list[str]:
+    return TRAINING_FEATURES_CTES + [ROUNDED_FEATURES_CTE, _MOVED_CTE] + [c.replace("FROM tf", "FROM tfm") for c in ctes]
+
+
+@register("mean_shift_drift_moved", "D-1", with_transactions(f"""
+SELECT {R('AVG(shift)', 6)} AS drift_score, AVG(shift) > {C.DRIFT_THRESHOLD} AS drift_detected,
+       CASE WHEN AVG(shift) > {C.DRIFT_THRESHOLD} THEN 'retraining_triggered' ELSE 'none' END AS action_taken,
+       COUNT(*) AS columns_compared FROM sh""", *_of_moved(DRIFT_CTES[len(TRAINING_FEATURES_CTES) + 1:])))
+def q_mean_shift_drift_moved(spark, sf_dir):
+    """Means that have moved: drift is detected and retraining triggered."""
+    return DR.mean_shift_drift(_moved(rounded_training_features(spark, sf_dir)), _is_current()) \
+        .withColumn("drift_score", round_half("drift_score", 6))
+
+
+@register("distribution_drift_moved", "D-2", with_transactions("""
+SELECT CAST(COUNT(CASE WHEN psi > 0.2 THEN 1 END) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) AS share_of_drifted_columns,
+       COUNT(CASE WHEN psi > 0.2 THEN 1 END) AS number_of_drifted_columns,
+       CAST(COUNT(CASE WHEN psi > 0.2 THEN 1 END) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) >= 0.5 AS dataset_drift
+FROM psi""", *_of_moved(_psi_sql())))
+def q_distribution_drift_moved(spark, sf_dir):
+    return DR.distribution_drift(_moved(rounded_training_features(spark, sf_dir)), _is_current(), C.DRIFT_COLUMNS, _CATEG)
+
+
+def _tests_sql(table: str) -> list[str]:
+    """Per-column tests in DuckDB: distribution functions by windows, p-values by lgamma."""
+    num = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x, {CUR_SQL} AS cur FROM {table}" for c in C.DRIFT_COLUMNS)
+    cat = " UNION ALL ".join(f"SELECT '{c}' AS feature, COALESCE({c}, 'null') AS v, {CUR_SQL} AS cur FROM {table}" for c in _CATEG)
+    return [
+        f"num AS (SELECT feature, x, COUNT(*) FILTER (WHERE NOT cur) AS r, COUNT(*) FILTER (WHERE cur) AS c FROM ({num}) a WHERE x IS NOT NULL GROUP BY 1, 2)",
+        """ks AS (SELECT feature, MAX(abs(fr - fc)) AS statistic, any_value(n) AS n, any_value(m) AS m FROM (
+          SELECT feature, SUM(r) OVER w / SUM(r) OVER (PARTITION BY feature) AS fr, SUM(c) OVER w / SUM(c) OVER (PARTITION BY feature) AS fc,
+                 SUM(r) OVER (PARTITION BY feature) AS n, SUM(c) OVER (PARTITION BY feature) AS m
+          FROM num WINDOW w AS (PARTITION BY feature ORDER BY x)) d GROUP BY feature)""",
+        "ksl AS (SELECT *, statistic * sqrt(CAST(n AS DOUBLE) * CAST(m AS DOUBLE) / CAST(n + m AS DOUBLE)) AS lam FROM ks)",
+        """ksp AS (SELECT feature, 'ks' AS test, statistic, CASE WHEN lam < 0.2 THEN 1.0::DOUBLE ELSE least(greatest(2 * (
+          SELECT SUM((CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * lam * lam)) FROM range(1, 101) t(k)), 0.0), 1.0) END AS p_value FROM ksl)""",
+        f"cat AS (SELECT feature, v, COUNT(*) FILTER (WHERE NOT cur) AS r, COUNT(*) FILTER (WHERE cur) AS c FROM ({cat}) a GROUP BY 1, 2)",
+        """chi AS (SELECT feature, SUM((r - er) * (r - er) / er + (c - ec) * (c - ec) / ec) AS statistic, COUNT(*) - 1 AS free FROM (
+          SELECT *, CAST(r + c AS DOUBLE) * n / (n + m) AS er, CAST(r + c AS DOUBLE) * m / (n + m) AS ec FROM (
+            SELECT *, CAST(SUM(r) OVER (PARTITION BY feature) AS DOUBLE) AS n, CAST(SUM(c) OVER (PARTITION BY feature) AS DOUBLE) AS m FROM cat) a) b GROUP BY feature)""",
+        """chip AS (SELECT feature, 'chi2' AS test, statistic, CASE WHEN free < 1 OR statistic <= 0 THEN 1.0::DOUBLE WHEN statistic > 1400 THEN 0.0::DOUBLE
+          ELSE least(greatest(1 - (SELECT SUM(exp(-statistic / 2 + (free / 2.0 + k) * ln(statistic / 2) - lgamma(free / 2.0 + k + 1))) FROM range(0, 2001) t(k)), 0.0), 1.0) END AS p_value FROM chi)""",
+        "tests AS (SELECT * FROM ksp UNION ALL SELECT * FROM chip)"]
+
+
+@register("two_sample_columns", "D-2", with_transactions(f"""
+SELECT feature, test, {R('statistic', 6)} AS statistic, {R('p_value', 6)} AS p_value, p_value < 0.05 AS drifted FROM tests""",
+    *(TRAINING_FEATURES_CTES + [ROUNDED_FEATURES_CTE] + _tests_sql("tf"))))
+def q_two_sample_columns(spark, sf_dir):
+    """Kolmogorov-Smirnov and chi-square tests of every monitored column between the two periods."""
+    t = DR.two_sample_columns(rounded_training_features(spark, sf_dir), _is_current(), C.DRIFT_COLUMNS, _CATEG)
+    return t.select("feature", "test", round_half("statistic", 6).alias("statistic"), round_half("p_value", 6).alias("p_value"), "drifted")
+
+
+_SHARE = "CAST(COUNT(*) FILTER (WHERE p_value < 0.05) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE)"
+
+
+@register("two_sample_drift", "D-2", with_transactions(f"""
+SELECT {_SHARE} AS share_of_drifted_columns, COUNT(*) FILTER (WHERE p_value < 0.05) AS number_of_drifted_columns, {_SHARE} >= 0.5 AS dataset_drift FROM tests""",
+    *(TRAINING_FEATURES_CTES + [ROUNDED_FEATURES_CTE] + _tests_sql("tf"))))
+def q_two_sample_drift(spark, sf_dir):
+    return DR.two_sample_drift(DR.two_sample_columns(rounded_training_features(spark, sf_dir), _is_current(), C.DRIFT_COLUMNS, _CATEG))
+
+
+@register("two_sample_drift_moved", "D-2", with_transactions(f"""
+SELECT {_SHARE} AS share_of_drifted_columns, COUNT(*) FILTER (WHERE p_value < 0.05) AS number_of_drifted_columns, {_SHARE} >= 0.5 AS dataset_drift FROM tests""",
+    *(TRAINING_FEATURES_CTES + [ROUNDED_FEATURES_CTE, _MOVED_CTE] + _tests_sql("tfm"))))
+def q_two_sample_drift_moved(spark, sf_dir):
+    return DR.two_sample_drift(DR.two_sample_columns(_moved(rounded_training_features(spark, sf_dir)), _is_current(), C.DRIFT_COLUMNS, _CATEG))
+
+
 @register("feature_anomaly_summary", "A-8", with_transactions(f"""
 SELECT COUNT(*) AS total_reviewed, CAST(SUM(CASE WHEN is_fraud THEN 1 ELSE 0 END) AS BIGINT) AS total_fraud,
        {R('AVG(amount_zscore)', 4)} AS avg_zscore, {R('MAX(amount_zscore)', 4)} AS max_zscore,
@@ -336,3 +420,25 @@ def q_governance_gate(spark, sf_dir):
     metrics = EV.evaluate(s, "anomaly_score", "is_fraud")
     g = G.governance_gate(bias, metrics, C.DEFAULT_PII_FIELDS, C.DEFAULT_PII_HANDLING)
     return g.withColumn("value", round_half("value", 6))
+
+
+#: transactions of at least so much, from all to few: the gaps between categories' fraud shares grow from passed to failed
+_GATE_AMOUNTS = [0, 50, 100, 120, 130, 140, 145, 150]
+
+
+@register("governance_outcomes", "B-2", with_transactions(" UNION ALL ".join(
+    f"""SELECT {t} AS least_amount, CASE WHEN g > {C.BIAS_FAIL_GAP} THEN 'FAILED' WHEN g > {C.BIAS_WARN_GAP} THEN 'WARNING' ELSE 'PASSED' END AS status,
+       {R('g', 6)} AS value FROM (SELECT COALESCE(MAX(p) - MIN(p), 0.0) AS g FROM (
+  SELECT AVG(CASE WHEN is_fraud THEN 1.0::DOUBLE ELSE 0.0 END) AS p FROM transactions WHERE merchant_category IS NOT NULL AND amount_aud >= {t}
+  GROUP BY merchant_category) a) b""" for t in _GATE_AMOUNTS)))
+def q_governance_outcomes(spark, sf_dir):
+    """The bias check where everything is flagged (precision is the fraud share), from many rows to few."""
+    from functools import reduce
+    tx = transactions(spark, sf_dir)
+    metrics = spark.range(1).select(F.lit(0.9).alias("roc_auc"))
+    out = []
+    for t in _GATE_AMOUNTS:
+        rows = tx.filter(F.col("amount_aud") >= t).withColumn("score", F.lit(1.0))
+        gate = G.governance_gate(G.category_bias(rows, "score", "is_fraud"), metrics, C.DEFAULT_PII_FIELDS, "mask")
+        out.append(gate.filter("name = 'bias_detection'").select(F.lit(t).alias("least_amount"), "status", round_half("value", 6).alias("value")))
+    return reduce(lambda a, b: a.union(b), out)
