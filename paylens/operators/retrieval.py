@@ -24,6 +24,8 @@ from paylens.session import cut_lineage, ship_package
 VECTOR_BLOCK, QUERY_BLOCK, PIVOTS = 1 << 14, 1 << 12, 256
 #: hits' ids that are broadcast at most (8 bytes each)
 HIT_IDS = 1 << 20
+#: where a text is cut by preference: paragraphs, lines, words
+BREAKS = ("\n\n", "\n", " ")
 
 
 def chunk_text(df: DataFrame, text: str = "text", size: int = C.CHUNK_SIZE,
@@ -43,6 +45,89 @@ def chunk_text(df: DataFrame, text: str = "text", size: int = C.CHUNK_SIZE,
             .withColumn("chunk_id", (F.col("chunk_start") / step).cast("int")))
 
 
+def split_at_breaks(text: str, size: int = C.CHUNK_SIZE, overlap: int = C.CHUNK_OVERLAP,
+                    breaks: tuple[str, ...] = BREAKS) -> list[tuple[int, str]]:
+    """(start, chunk) of a text cut at the strongest break that gives small enough pieces.
+
+    The text is cut before every occurrence of the first of ``breaks`` that it
+    holds; consecutive pieces shorter than ``size`` are packed into chunks of at
+    most ``size`` characters, a chunk starting with as many of the last pieces
+    before it as fit ``overlap``; a piece of ``size`` or more is cut by the next
+    break in the same way (by characters after the last one).  Chunks lose white
+    space at both ends; empty ones are left out.
+    """
+    out: list[tuple[int, str]] = []
+
+    def emit(lo: int, hi: int) -> None:
+        chunk = text[lo:hi]
+        body = chunk.strip()
+        if body:
+            out.append((lo + len(chunk) - len(chunk.lstrip()), body))
+
+    def pack(edges: list[int]) -> None:
+        """Pieces edges[i]:edges[i + 1], packed greedily."""
+        first = 0
+        for i in range(len(edges) - 1):
+            length = edges[i + 1] - edges[i]
+            if edges[i] - edges[first] + length > size and i > first:
+                emit(edges[first], edges[i])
+                while edges[i] - edges[first] > overlap or (first < i and edges[i] - edges[first] + length > size):
+                    first += 1
+        if first < len(edges) - 1:
+            emit(edges[first], edges[-1])
+
+    def cut(lo: int, hi: int, level: int) -> None:
+        while level < len(breaks) and text.find(breaks[level], lo, hi) < 0:
+            level += 1
+        if level == len(breaks):
+            pack(list(range(lo, hi)) + [hi])
+            return
+        mark, edges, at = breaks[level], [lo], lo
+        while (at := text.find(mark, at, hi)) >= 0:
+            if at > edges[-1]:
+                edges.append(at)
+            at += len(mark)
+        edges.append(hi)
+        run = [lo]
+        for a, b in zip(edges, edges[1:]):
+            if b - a < size:
+                run.append(b)
+                continue
+            if len(run) > 1:
+                pack(run)
+            cut(a, b, level + 1)
+            run = [b]
+        if len(run) > 1:
+            pack(run)
+
+    if text:
+        cut(0, len(text), 0)
+    return out
+
+
+def chunk_at_breaks(df: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = C.CHUNK_SIZE,
+                    overlap: int = C.CHUNK_OVERLAP) -> DataFrame:
+    """K-1, break-preferring: (id, chunk_id, chunk_start, chunk), see ``split_at_breaks``; null and blank texts have no chunks.
+
+    A map without a shuffle; a text's chunks leave as they are cut.
+    """
+    ship_package(df.sparkSession)
+
+    def task(batches):
+        for batch in batches:
+            ids, rows = batch.column(0).to_pylist(), batch.column(1)
+            for i, doc in enumerate(ids):
+                found = split_at_breaks(rows[i].as_py() or "", size, overlap)
+                if found:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([doc] * len(found), batch.schema.field(0).type), pa.array(range(len(found)), pa.int32()),
+                         pa.array([a for a, _ in found], pa.int32()), pa.array([c for _, c in found], pa.string())],
+                        names=[id_col, "chunk_id", "chunk_start", "chunk"])
+
+    kind = dict(df.dtypes)[id_col]
+    return df.select(id_col, text).mapInArrow(task, f"{id_col} {kind}, chunk_id int, chunk_start int, chunk string")
+
+
 def _squared(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Squared distances of all rows of ``x`` to all rows of ``y`` by a matrix product, and a bound of their error by row of ``x``."""
     xx, yy = (x * x).sum(1), (y * y).sum(1)

@@ -297,6 +297,12 @@ def q_chunk_documents(spark, sf_dir):
     return K.chunk_text(d).select("doc_id", "chunk_id", "chunk_start", "chunk")
 
 
+@register("chunk_documents_breaks", "K-1")
+def q_chunk_documents_breaks(spark, sf_dir):
+    """Whole texts cut at paragraphs, lines and words."""
+    return K.chunk_at_breaks(read_table(spark, sf_dir, "documents"))
+
+
 _DIST = ("list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: "
          "(CAST(v.embedding[i] AS DOUBLE) - CAST(q.query_vec[i] AS DOUBLE)) * "
          "(CAST(v.embedding[i] AS DOUBLE) - CAST(q.query_vec[i] AS DOUBLE))))")
