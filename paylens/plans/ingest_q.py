@@ -168,6 +168,36 @@ def q_source_provenance(spark, sf_dir):
     return _provenance(spark, sf_dir).select("source", "status", "records", "mode")
 
 
+@register("source_outcomes", "SRC-7", with_transactions(f"""
+SELECT * FROM (VALUES
+  ('live_feed', 'success', (SELECT COUNT(*) FROM transactions), 'live', TRUE, TRUE, FALSE, FALSE),
+  ('not_landed', 'success', {len(C.RETAIL_TRADE_FALLBACK)}, 'fallback', FALSE, FALSE, TRUE, TRUE),
+  ('parsed_empty', 'success', {len(C.CARD_PAYMENTS_FALLBACK)}, 'fallback', TRUE, FALSE, TRUE, TRUE),
+  ('unreadable', 'success', {len(C.RETAIL_TRADE_FALLBACK)}, 'fallback', TRUE, FALSE, TRUE, TRUE),
+  ('corrupt_file', 'success', {len(C.CARD_PAYMENTS_FALLBACK)}, 'fallback', TRUE, FALSE, TRUE, TRUE),
+  ('no_fallback', 'failed', 0, 'fallback', TRUE, FALSE, TRUE, TRUE),
+  ('broken_fallback', 'failed', 0, 'fallback', FALSE, FALSE, TRUE, TRUE),
+  ('calibrated', 'success', {len(C.STATES)}, 'calibrated', FALSE, FALSE, FALSE, FALSE))
+v(source, status, records, mode, live_attempted, live_success, fallback_used, has_error)"""))
+def q_source_outcomes(spark, sf_dir):
+    """Sources that are read live, replaced by their fallback for every reason, and failed."""
+    from paylens.session import scratch_path
+    tx = transactions(spark, sf_dir)
+    root = scratch_path(spark, "corrupt")
+    tx.limit(1).select(F.lit("no table").alias("value")).write.text(f"{root}/file.parquet")
+    corrupt = spark.read.schema("value string").parquet(f"{root}/file.parquet")
+    trade, cards = SD.retail_trade_fallback(spark), SD.card_payments_fallback(spark)
+    broken = tx.select(F.raise_error(F.concat(F.lit("unreadable row "), "transaction_id")).cast("string").alias("x")).filter("x is null")
+    lost = SD.choose_source("no_fallback", tx.filter("false"), trade)
+    outcomes = [
+        SD.choose_source("live_feed", tx, trade), SD.choose_source("not_landed", None, trade),
+        SD.choose_source("parsed_empty", tx.filter("false"), cards), SD.choose_source("unreadable", broken, trade),
+        SD.choose_source("corrupt_file", corrupt, cards), (None, lost[1]),
+        SD.choose_source("broken_fallback", None, broken), SD.calibrated("calibrated", SD.merchant_population(spark))]
+    return SD.provenance(spark, outcomes).select("source", "status", "records", "mode", "live_attempted", "live_success", "fallback_used",
+                                                 F.col("error").isNotNull().alias("has_error"))
+
+
 @register("ingestion_report", "A-21", with_transactions("""
 SELECT COUNT(*) AS source_count, COUNT(CASE WHEN status = 'success' THEN 1 END) AS success_count,
        COUNT(CASE WHEN status = 'success' AND mode = 'live' THEN 1 END) AS live_success_count,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,19 +55,34 @@ def choose_source(name: str, landed: DataFrame | None, fallback: DataFrame,
                           fallback_used=True, error=error or ("parsed empty" if attempted else "not landed"))
 
 
+def source_counts(frames: list[DataFrame | None]) -> list[tuple[int, str | None]]:
+    """(records, error) of each frame: one job for all; only if a frame cannot be read are they counted one by one."""
+    there = [(i, f) for i, f in enumerate(frames) if f is not None]
+    found: list[tuple[int, str | None]] = [(0, None) for _ in frames]
+    if not there:
+        return found
+    try:
+        tagged = reduce(DataFrame.union, [f.select(F.lit(i).alias("i")) for i, f in there])
+        for r in tagged.groupBy("i").count().collect():  # a row per source
+            found[r.i] = (r["count"], None)
+    except Exception:  # noqa: BLE001  an unreadable source must turn into a row
+        for i, f in there:
+            try:
+                found[i] = (f.count(), None)
+            except Exception as exc:  # noqa: BLE001
+                found[i] = (0, str(exc))
+    return found
+
+
 def provenance(spark: SparkSession, outcomes: list[tuple[DataFrame | None, dict]],
                output_root: str | None = None) -> DataFrame:
     """One provenance row per source (status, records, mode, flags, error)."""
     rows = []
-    for frame, meta in outcomes:
-        try:
-            n = frame.count() if frame is not None else 0
-            status = "success" if frame is not None else "failed"
-        except Exception as exc:  # noqa: BLE001
-            n, status, meta = 0, "failed", {**meta, "error": str(exc)}
+    for (frame, meta), (n, error) in zip(outcomes, source_counts([f for f, _ in outcomes])):
+        status = "success" if frame is not None and error is None else "failed"
         path = f"{output_root}/{meta['source']}.parquet" if output_root and status == "success" else ""
         rows.append((meta["source"], status, int(n), path, meta["mode"], meta["live_attempted"],
-                     meta["live_success"], meta["fallback_used"], meta.get("error")))
+                     meta["live_success"], meta["fallback_used"], error or meta.get("error")))
     return spark.createDataFrame(rows, schemas.PROVENANCE)
 
 
