@@ -9,9 +9,10 @@ and every shard is permuted again: rows get random keys, the keys' ranges are
 counted, and a row's slot is its range's offset plus its rank inside the range,
 so a shard is as many tasks as it needs.
 
-The driver holds the block sizes and the matrix (one line per ``BLOCK_ROWS``
-rows or partition); rows never pass it.  Random keys are hashes of a stored row
-number, so recomputed tasks agree.
+The driver reads the block sizes one after the other (one per ``BLOCK_ROWS``
+rows or partition) and writes the matrix as a table, ``LINES`` lines at a time;
+it holds neither as a whole, and rows never pass it.  Random keys are hashes of
+a stored row number, so recomputed tasks agree.
 
 The law is ``rows``: shard sizes differ by one row at most.  ``grown_shard`` is
 null (it belongs to the ``key`` law).
@@ -25,12 +26,14 @@ from __future__ import annotations
 
 import json
 import random
+from collections.abc import Iterable, Iterator
+from itertools import accumulate, islice, tee
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from paylens.llm.store import stored, table
+from paylens.llm.store import appended, stored, table
 
-BLOCK_ROWS, RANGE_ROWS, LEAST_RANGES = 1 << 20, 1 << 17, 8
+BLOCK_ROWS, RANGE_ROWS, LEAST_RANGES, LINES = 1 << 20, 1 << 17, 8, 4096
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, n: int) -> int:
@@ -58,11 +61,10 @@ def hypergeometric(rng: random.Random, good: int, bad: int, n: int) -> int:
     return mode
 
 
-def communication_matrix(sizes: list[int], shards: int, seed: int) -> list[list[int]]:
-    """Rows to send from each block to each shard; columns sum to the exact shard sizes."""
-    rng, total = random.Random(seed), sum(sizes)
+def communication_lines(sizes: Iterable[int], total: int, shards: int, seed: int) -> Iterator[list[int]]:
+    """Rows to send from each block (``total`` in all) to each shard, block by block."""
+    rng = random.Random(seed)
     need = [total // shards + (j < total % shards) for j in range(shards)]
-    matrix = []
     for size in sizes:
         left, rest, line = size, sum(need), []
         for j in range(shards):
@@ -70,8 +72,20 @@ def communication_matrix(sizes: list[int], shards: int, seed: int) -> list[list[
             line.append(hypergeometric(rng, need[j], rest, left))
             left -= line[-1]
         need = [a - b for a, b in zip(need, line)]
-        matrix.append(line)
-    return matrix
+        yield line
+
+
+def communication_matrix(sizes: list[int], shards: int, seed: int) -> list[list[int]]:
+    """Rows to send from each block to each shard; columns sum to the exact shard sizes."""
+    return list(communication_lines(sizes, sum(sizes), shards, seed))
+
+
+def _matrix_parts(spark: SparkSession, sizes: DataFrame, total: int, shards: int, seed: int) -> Iterator[DataFrame]:
+    """The matrix as small frames (block, ends): a shard's last rank in each block's dealing order."""
+    names, counts = tee(((r.block, r.n) for r in sizes.orderBy("block").toLocalIterator()))
+    lines = zip((name for name, _ in names), communication_lines((n for _, n in counts), total, shards, seed))
+    while part := [{"block": name, "ends": list(accumulate(line))} for name, line in islice(lines, LINES)]:
+        yield spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(part)), "array<struct<block:string,ends:array<long>>>")))
 
 
 def _uniform(key: Column) -> Column:
@@ -91,21 +105,14 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 9) -> DataFrame:
     block = F.concat_ws("-", F.shiftright("row", 33), F.floor(at / BLOCK_ROWS))
     rows = rows.withColumn("block", block)
 
-    sizes = {r.block: r.n for r in rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")).collect()}
-    names = sorted(sizes)
-    lines = []
-    for name, line in zip(names, communication_matrix([sizes[b] for b in names], shards, seed)):
-        upto, ends = 0, []
-        for n in line:
-            upto += n
-            ends.append(upto)
-        lines.append({"block": name, "ends": ends})
-    matrix = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(lines)), "array<struct<block:string,ends:array<long>>>")))
+    sizes = stored(rows.groupBy("block").agg(F.count(F.lit(1)).alias("n")), "shard-sizes")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    matrix = appended(spark, _matrix_parts(spark, sizes, total, shards, seed), "block string, ends array<long>", "shard-matrix")
 
     local = Window.partitionBy("block").orderBy(F.xxhash64("row", F.lit(seed), F.lit("local")), "row")
     dealt = rows.withColumn("rank", F.row_number().over(local)).join(matrix, "block")
     shard = F.size(F.filter("ends", lambda e: e < F.col("rank"))).cast("int")
-    ranges = max(LEAST_RANGES, -(-sum(sizes.values()) // (shards * RANGE_ROWS)))
+    ranges = max(LEAST_RANGES, -(-total // (shards * RANGE_ROWS)))
     key = F.xxhash64("row", F.lit(seed), F.lit("shard"))
     dealt = stored(dealt.select("doc_id", "size", "text_crc32", "row", shard.alias("shard"), key.alias("key"),
                                 F.floor(_uniform(key) * ranges).cast("long").alias("range")), "shard-dealt")

@@ -40,6 +40,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def appended(spark: SparkSession, parts, schema: str, name: str) -> DataFrame:
+    """Write small frames one after the other to one table in the shared folder and read it back."""
+    if not _WRITTEN:
+        atexit.register(_remove_all)
+    path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    spark.range(0).select(F.from_json(F.lit("{}"), schema).alias("r")).select("r.*").write.parquet(path)
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
