@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from paylens.llm.store import held_out, table, with_text
 from paylens.llm.words import texts
 
-SAMPLE_DOCS, DOC_CHARS, DICT_BYTES = 160, 4000, 192 << 10
+SAMPLE_DOCS, DOC_CHARS, DICT_BYTES, LANGUAGES = 160, 4000, 192 << 10, 256
 BLOCK, LEVEL = 4096, 7
 MIN_MARGIN = 0.004
 #: relative size difference that makes a language e times less likely in the score
@@ -45,22 +45,25 @@ def normalised(text: str | None) -> bytes:
 
 
 def fit_dictionaries(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, doc_chars: int = DOC_CHARS,
-                     dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
+                     dict_bytes: int = DICT_BYTES, languages: int = LANGUAGES) -> dict[str, bytes]:
     """Raw dictionary content by language, from rows that are not held out and have a language.
 
+    Labels may be dirty: the ``languages`` with the most rows (ties: by name) are
+    learned; rows of others are still judged, by the learned ones.
     Rows are sampled by a hash of their id and text at each language's own
     rate; a sampled text gives a passage at a hashed offset.
     """
     train = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")) \
         .filter(~held_out("doc_id") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r.lang: r.n for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+             .orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not sizes:
         return {}
     rate = F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample_docs / n))]),
                         F.col("lang"))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     offset = F.pmod(F.xxhash64("doc_id", F.lit("offset")), F.greatest(F.length("text") - doc_chars, F.lit(0)) + 1)
-    rows = train.filter(draw < rate).select(
+    rows = train.filter(F.col("lang").isin(list(sizes)) & (draw < rate)).select(
         "lang", "doc_id", F.substring(F.col("text"), offset.cast("int") + 1, F.lit(doc_chars)).alias("text")).collect()
     out: dict[str, list[bytes]] = {lang: [] for lang in sizes}
     for r in sorted(rows, key=lambda r: (r.lang, r.doc_id)):
