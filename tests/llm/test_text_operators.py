@@ -184,6 +184,47 @@ def test_every_sampled_passage_is_in_the_dictionary(spark):
     assert langid._even([], 9) == b"" and langid._even([b"ab", b"cdefgh", b"ijklmn"], 10) == b"ab cde ijk"
 
 
+def test_only_the_most_frequent_languages_are_learned(spark):
+    rows = [(i, f"some words number {i}", ["en", "en", "en", "de", "de", None, f"rare{i}"][i % 7], "s") for i in range(210)]
+    found = langid.fit_dictionaries(frame(spark, rows), languages=2)
+    assert set(found) == {"en", "de"}
+    assert len(langid.identify(frame(spark, rows), found).collect()) == 210
+
+
+def test_language_query_against_a_plain_version(spark):
+    """Sampling by SQL expressions; dictionaries, compression, scores and margins in plain Python, for every document."""
+    import zstandard
+    draws = spark.read.parquet(f"{SF_SMALL}/documents.parquet").selectExpr(
+        "doc_id", "text", "lang", "pmod(xxhash64(doc_id, 'langid'), 1073741824) / 1073741824D as draw",
+        f"pmod(xxhash64(doc_id, 'offset'), greatest(length(text) - {langid.DOC_CHARS}, 0) + 1) as at").collect()
+    letters = regex.compile(r"\p{L}+")
+    plain = lambda t: " ".join(letters.findall(t.lower())).encode()
+    train = [r for r in draws if not is_held_out(r.doc_id) and r.lang is not None and r.text is not None]
+    content = {}
+    for lang in sorted({r.lang for r in train}):
+        own = sorted((r for r in train if r.lang == lang), key=lambda r: r.doc_id)
+        rate = min(1.0, langid.SAMPLE_DOCS / len(own))
+        parts = [plain(r.text[r.at:r.at + langid.DOC_CHARS]) for r in own if r.draw < rate]
+        most = max(k for k in range(max(map(len, parts)) + 1) if sum(min(k, len(p)) for p in parts) + len(parts) - 1 <= langid.DICT_BYTES)
+        joined = b" ".join(p[:most] for p in parts)
+        content[lang] = joined
+    packers = {k: zstandard.ZstdCompressor(level=langid.LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False,
+                                           dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+               for k, c in content.items()}
+    got = {r.doc_id: r for r in langid.op6(spark, SF_SMALL).collect()}
+    for r in draws:
+        data = plain(r.text or "")
+        if not data:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        size = {k: sum(len(p.compress(data[i:i + langid.BLOCK])) for i in range(0, len(data), langid.BLOCK)) for k, p in packers.items()}
+        best = min(size, key=lambda k: (size[k], k))
+        score = 1 / sum(np.exp(-min(700, (n - size[best]) / (langid.SCALE * size[best]))) for n in size.values())
+        second = min(n for k, n in size.items() if k != best)
+        assert got[r.doc_id].lang_pred == best and abs(got[r.doc_id].score - score) < 1e-12
+        assert got[r.doc_id].rejected == ((second - size[best]) / second < langid.MIN_MARGIN)
+
+
 def test_language_ties_are_rejected():
     compressors = langid._compressors({"a": b"same words here", "b": b"same words here"})
     lang, _, margin = langid.judge("same words", compressors)
@@ -234,7 +275,13 @@ def test_toxicity_awkward_and_empty(spark):
     docs = frame(spark, awkward())
     labels = spark.createDataFrame([(i, 1, i % 2) for i in range(1, 16)], "doc_id long, quality int, toxic int")
     field = toxicity.fit(docs, labels)
-    assert len(toxicity.score(docs, field).collect()) == len(awkward())
+    rows = toxicity.score(docs, field).collect()
+    assert len(rows) == len(awkward()) and all(0 <= r.score <= 1 for r in rows)
+    wordless = {(r.score, tuple(r.spans)) for r in rows if r.doc_id in (5, 6, 7)}  # null, empty, blank
+    assert len(wordless) == 1 and not wordless.pop()[1]                           # what a text without evidence has
+    real = toxicity.fit(spark.read.parquet(f"{SF_MID}/documents.parquet"), spark.read.parquet(f"{SF_MID}/labels.parquet"))
+    clean = [r for r in toxicity.score(docs, real).collect() if r.doc_id in (5, 6, 7, 12, 13, 14)]  # and without words of any list
+    assert len(clean) == 6 and all(r.score < 0.1 and not r.spans for r in clean)
     assert toxicity.fit(docs, labels.limit(0)) is None
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
     assert toxicity.score(frame(spark, []), field).collect() == []
@@ -374,11 +421,14 @@ def test_shards_are_exact(spark, monkeypatch):
     assert sharding.shard_rows(frame(spark, [])).collect() == []
 
 
-def test_shards_of_given_documents(spark):
+def test_shards_of_given_documents(spark, monkeypatch):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_MID}/documents.parquet").collect()]
     rows = sharding.op9(spark, SF_MID).collect()
     check_shards(rows, docs, 16)
     assert abs(np.corrcoef([r.doc_id for r in rows], [r.slot for r in rows])[0, 1]) < 0.15
+    monkeypatch.setattr(sharding, "LINES", 7)
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 60)                       # many lines, written seven at a time
+    check_shards(sharding.op9(spark, SF_MID).collect(), docs, 16)
     plan = sharding.op9(spark, SF_MID)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|ExistingRDD", plan)
 
@@ -444,6 +494,55 @@ def test_licence_cosine_matches_brute_force(spark):
     assert {r.doc_id: r.own_license for r in licenses.op2(spark, SF_SMALL).collect()} == want
 
 
+def test_runs_of_terms_match_a_comparison_of_every_window():
+    """Random files against random templates: cosines of all windows and whole files by dictionaries."""
+    import math
+    import random
+    rnd = random.Random(3)
+    for trial in range(400):
+        known, other = list(range(1, 7)), list(range(20, 30))
+        sized = [[rnd.choice(known) for _ in range(rnd.randrange(1, 6))] for _ in range(rnd.randrange(1, 4))]
+        terms = np.array(sorted({t for x in sized for t in x}), np.uint64)
+
+        class Templates:
+            names = [f"L{i}" for i in range(len(sized))]
+            counts = np.array([[x.count(int(t)) for t in terms] for x in sized], float)
+
+            def find(self, hashes):
+                at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
+                hit = np.flatnonzero(terms[at] == hashes)
+                return hit, at[hit]
+
+        Templates.terms = terms
+        weight, unseen, cosine = np.array([rnd.uniform(0.5, 2) for _ in terms]), 2.0, 0.8
+        runs = licenses.Runs(Templates(), 0, weight, unseen, cosine)
+        file = [rnd.choice(known + other[:rnd.randrange(1, 8)]) for _ in range(rnd.randrange(1, 25))]
+        idf = {int(t): w for t, w in zip(terms, weight)}
+        norm = lambda c: math.sqrt(sum((n * idf.get(t, unseen)) ** 2 for t, n in c.items()))
+
+        def cos(part, of):
+            a, b = Counter(part), Counter(of)
+            return sum(n * b[t] * idf[t] ** 2 for t, n in a.items() if t in b) / (norm(a) * norm(b))
+
+        want, whole = [], False
+        for name, x in zip(Templates.names, sized):
+            whole |= round(cos(file, x), 9) >= cosine
+            tried = [(-round(cos(file, x), 9), -len(x), 0, name)]
+            if len(file) > len(x):
+                scores = [round(cos(file[k:k + len(x)], x), 9) for k in range(len(file) - len(x) + 1)]
+                k = int(np.argmax(scores))
+                tried.append((-scores[k], -len(x), k, name))
+            want += [t for t in tried if -t[0] >= cosine]
+        n = len(file)
+        got, full = runs.best(np.array(file, np.uint64), np.arange(n), np.zeros(n, bool), np.arange(len(sized)))
+        assert full == whole
+        best = min(want, default=None)
+        assert (got is None) == (best is None)
+        if best:
+            assert abs(got[0] - best[0]) < 1e-8 and (got[1], got[3]) == (best[1], best[3]) or any(
+                abs(got[0] - t[0]) < 1e-8 and got[1] == t[1] for t in want), (got, want)
+
+
 def test_licence_texts_headers_and_wrapped_notices(spark, tmp_path):
     """Statements over several lines, inside a line, and whole licence files of more than four lines."""
     texts = licenses.full_texts()
