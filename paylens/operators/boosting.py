@@ -13,7 +13,8 @@ neither on the partitioning nor on the order of the sums; rows and features are
 drawn by counters.  The margins of trees since the last refresh are recomputed
 in the tasks, every ``REFRESH`` rounds they are written with the rows.  After
 each round the average precision of the held-out rows is read from ``BUCKETS``
-score buckets, and fitting ends ``patience`` rounds after its best value.
+score buckets (0 where none of them is positive), and fitting ends ``patience``
+rounds after its best value; without held-out rows all rounds are kept.
 """
 
 from __future__ import annotations
@@ -291,6 +292,8 @@ def fit(rows: DataFrame, columns: list[str], s: Settings = Settings(), cuts: lis
                         counts[r.feature, r.bin] = float(r.g)
                 if number:
                     precision = average_precision(counts[1], counts[0])
+                    if precision is None and counts.sum():
+                        precision = 0.0
                     if precision is not None:
                         history.append(precision)
                         best = max(best, (precision, -number))  # the first of the best

@@ -48,8 +48,9 @@ def q_train_properties(spark, sf_dir):
     _, _, clf, scored, metrics = trained(spark, sf_dir)
     f = rounded_training_features(spark, sf_dir)
     s, rows = B.Settings(), len(clf.history)
-    best = max(range(rows), key=lambda k: (clf.history[k], -k), default=-1) + 1
-    stopped = rows <= s.rounds and (rows == s.rounds or rows == best - 1 + s.patience + 1) and len(clf.trees) == best
+    best = max(range(rows), key=lambda k: (clf.history[k], -k), default=s.rounds - 1) + 1
+    # the rounds end ``patience`` after the best one, or as set; without held-out rows all are kept
+    stopped = rows in ((s.rounds, best + s.patience) if rows else (0,)) and len(clf.trees) == best
     t = clf.nodes(spark)
     inner = t.filter("feature >= 0").alias("t")
     child = t.select("tree", F.floor((F.col("node") - 1) / 2).cast("int").alias("node"), F.col("cover").alias("part")) \

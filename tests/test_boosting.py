@@ -116,6 +116,13 @@ def test_early_stop_and_round_trip(spark, tmp_path):
     assert a == [r.p for r in again.transform(df, "p").orderBy("id").collect()] and len(set(a)) > 2
 
 
+def test_held_out_rows_without_positives_end_the_rounds(spark):
+    x, y, w, ids, held = _data(6, 200)
+    df, names = _table(spark, x, [0 if h else v for v, h in zip(y, held)], w, ids, held, 2)
+    model = B.fit(df, names, B.Settings(rounds=50, depth=2, patience=3, least_child=1.0))
+    assert model.history == [0.0] * 4 and len(model.trees) == 1
+
+
 def test_nothing_to_split_and_no_held_out_rows(spark):
     df, names = _table(spark, [[1.0, 2.0]] * 30, [0, 1] * 15, [1.0] * 30, range(30), [False] * 30, 2)
     model = B.fit(df, names, B.Settings(rounds=3))
