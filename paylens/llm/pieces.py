@@ -285,7 +285,7 @@ def encode_texts(known: Known, some: list[str]) -> list[np.ndarray]:
                 numbers += map(known.__getitem__, words_of(part) if known.v.spaced else [part])
         sizes.append(len(numbers) - before)
     ids, n = known.encode(np.array(numbers, np.int64))
-    ends = np.r_[0, np.cumsum(n)][np.cumsum(sizes)]
+    ends = np.r_[0, np.cumsum(n)][np.cumsum(np.array(sizes, np.int64))]
     if known.chars > _KNOWN_CHARS:
         known.forget()
     return np.split(ids, ends[:-1]) if some else []

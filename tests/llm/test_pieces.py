@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -65,6 +66,14 @@ def test_decoding_equals_the_library_for_any_ids(vocab):
         assert pieces.decoded(vocab, ids) == MODEL.decode(ids).encode(), ids
 
 
+def test_a_block_that_ends_with_its_batch(vocab, monkeypatch):
+    assert pieces.encode_texts(pieces.Known(vocab), []) == []
+    monkeypatch.setattr(pieces, "_BLOCK_CHARS", 3)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["a", "long enough"])], names=["doc_id", "text"])
+    got = [r for b in pieces._encode_task(pieces.MODEL)(iter([batch])) for r in b.to_pylist()]
+    assert got == [{"doc_id": 1, "ids": MODEL.encode("a")}, {"doc_id": 2, "ids": MODEL.encode("long enough")}]
+
+
 def test_whole_table_and_awkward_rows(spark):
     rows = awkward()
     docs = frame(spark, rows)
