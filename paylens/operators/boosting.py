@@ -1,30 +1,34 @@
 """M-3: second-order gradient boosting on histograms.
 
 Features are cut into at most ``BINS`` bins at approximate quantiles; the binned
-rows (one byte a feature, label, weight, margin) are written once.  Every level
-of a tree is one job: tasks route their rows through the part of the tree there
-is and add up gradients and hessians by node, feature and bin; the sums are
-merged by a grouped aggregate, and what reaches the driver is one row per node,
-feature and bin, a bound of the parameters.  The driver picks each node's split
-by the regularised gain.
+rows (one byte a feature, label, weight, margin) are kept as NumPy blocks of an
+RDD, persisted in memory and on disk.  A round brings the margins up to date by
+the last tree and persists the drawn rows with their gradients; every level of a
+tree is then one job of a single stage: tasks route the drawn rows through the
+part of the tree there is and add up gradients and hessians by node, feature and
+bin for the lighter child of each split (the other one's sums are the parent's
+less these).  Each task sends one array bounded by the parameters; more than
+``PARTIALS`` of them are added by tasks first.  The driver picks each node's
+split by the regularised gain.
 
 Gradients are added as integers (multiples of 2^-SCALE), so a model depends
 neither on the partitioning nor on the order of the sums; rows and features are
-drawn by counters.  The margins of trees since the last refresh are recomputed
-in the tasks, every ``REFRESH`` rounds they are written with the rows.  After
-each round the average precision of the held-out rows is read from ``BUCKETS``
+drawn by counters.  Every ``REFRESH`` rounds the margins are checkpointed, which
+cuts their lineage.  After each round the average precision of the held-out rows is read from ``BUCKETS``
 score buckets (0 where none of them is positive), and fitting ends ``patience``
 rounds after its best value; without held-out rows all rounds are kept.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD, StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,15 +90,15 @@ class Tree:
         return Tree(np.full(n, -1), np.zeros(n, np.int64), *(np.zeros(n) for _ in range(4)))
 
     def by_bins(self, bins: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(bins), np.int64)
-        rows = np.arange(len(bins))
-        while True:
-            f = self.feature[node]
-            inner = f >= 0
-            if not inner.any():
-                return node
-            left = bins[rows[inner], f[inner]] <= self.cut[node[inner]]
-            node[inner] = 2 * node[inner] + np.where(left, 1, 2)
+        """Nodes of rows with ``bins`` [feature, row]."""
+        n = bins.shape[1]
+        node, flat, rows = np.zeros(n, np.int64), bins.reshape(-1), np.arange(n)
+        child, start = 2 * np.arange(len(self.feature)) + 1, np.maximum(self.feature, 0) * n
+        leaf = self.feature < 0
+        while n and not leaf[node].all():
+            down = child[node] + (flat[start[node] + rows] > self.cut[node])
+            node = np.where(leaf[node], node, down)
+        return node
 
     def by_values(self, x: np.ndarray) -> np.ndarray:
         node = np.zeros(len(x), np.int64)
@@ -116,12 +120,12 @@ def gradients(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tupl
 
 
 def best_split(g: np.ndarray, h: np.ndarray, features: list[int], s: Settings) -> tuple[float, int, int] | None:
-    """(gain, feature, last bin of the left side) of a node's histograms [feature, bin] in units of 2^-SCALE; ties: first."""
+    """(gain, feature, last bin of the left side) of a node's histograms [position in ``features``, bin] in units of 2^-SCALE; ties: first."""
     unit = float(1 << SCALE)
-    total_g, total_h = float(g[features[0]].sum()) / unit, float(h[features[0]].sum()) / unit
+    total_g, total_h = float(g[0].sum()) / unit, float(h[0].sum()) / unit
     found = None
-    for f in features:
-        left_g, left_h = np.cumsum(g[f])[:-1] / unit, np.cumsum(h[f])[:-1] / unit
+    for i, f in enumerate(features):
+        left_g, left_h = np.cumsum(g[i])[:-1] / unit, np.cumsum(h[i])[:-1] / unit
         right_g, right_h = total_g - left_g, total_h - left_h
         gain = 0.5 * (left_g ** 2 / (left_h + s.reg) + right_g ** 2 / (right_h + s.reg) - total_g ** 2 / (total_h + s.reg))
         gain = np.where((left_h >= s.least_child) & (right_h >= s.least_child), gain, -np.inf)
@@ -175,79 +179,82 @@ class BoostedTrees:
         return BoostedTrees(list(columns), trees)
 
 
-_BINNED = "bins binary, label int, weight double, id long, held boolean, margin double"
+#: rows of a block, and partial sums that the driver adds itself (more of them are added by tasks first)
+BLOCK_ROWS, PARTIALS = 1 << 16, 64
+
 
+def _block_task(cuts: list[np.ndarray]):
+    """Batches (features..., label, weight, id, held) to blocks of binned rows, one packed record each."""
+    n = len(cuts)
+
+    def packed(parts: list[tuple]) -> pa.RecordBatch:
+        block = tuple(np.concatenate(x, axis=-1) for x in zip(*parts))
+        return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(block, 5)], pa.binary())], names=["block"])
 
-def _bin_task(cuts: list[np.ndarray]):
-    """Batches (features..., label, weight, id, held) to binned rows."""
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for batch in batches:
-            bins = np.stack([np.searchsorted(c, batch.column(i).to_numpy(zero_copy_only=False), "right") for i, c in enumerate(cuts)], 1)
-            data, n = bins.astype(np.uint8), len(cuts)
-            offs = pa.py_buffer((np.arange(batch.num_rows + 1) * n).astype(np.int32).tobytes())
-            column = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, offs, pa.py_buffer(data.tobytes())])
-            yield pa.RecordBatch.from_arrays([column, *(batch.column(n + i) for i in range(4)), pa.array(np.zeros(batch.num_rows))],
-                                             names=["bins", "label", "weight", "id", "held", "margin"])
+            if not batch.num_rows:
+                continue
+            values = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            bins = np.stack([np.searchsorted(c, v, "right") for c, v in zip(cuts, values)]).astype(np.uint8)
+            label, weight, ids, held = values[n:]
+            parts.append((bins, label.astype(np.int8), weight.astype(float), ids.astype(np.int64), held.astype(bool), np.zeros(len(label))))
+            size += len(label)
+            if size >= BLOCK_ROWS:
+                yield packed(parts)
+                parts, size = [], 0
+        if parts:
+            yield packed(parts)
     return task
 
 
-def _bins(batch: pa.RecordBatch, n: int) -> np.ndarray:
-    column = batch.column(0)
-    offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[offs[0]:offs[-1]].reshape(-1, n) if len(column) else np.zeros((0, n), np.uint8)
+def _advanced(tree: Tree):
+    """Blocks with the margins after one more tree."""
+    def step(block: tuple) -> tuple:
+        return *block[:5], block[5] + tree.value[tree.by_bins(block[0])]
+    return step
 
 
-def _margins(batch: pa.RecordBatch, bins: np.ndarray, recent: list[Tree]) -> np.ndarray:
-    out = batch.column(5).to_numpy(zero_copy_only=False).copy()
-    for t in recent:
-        out += t.value[t.by_bins(bins)]
-    return out
+def _drawn_rows(number: int, features: list[int], s: Settings):
+    """Blocks to what a tree is grown on, the drawn rows' bins by feature with gradients and hessians, and the
+    counts of held-out rows by label and score bucket."""
+    def step(block: tuple) -> tuple:
+        bins, label, weight, ids, held, margin = block
+        bucket = np.minimum((BUCKETS / (1.0 + np.exp(-margin[held]))).astype(np.int64), BUCKETS - 1)
+        counted = np.unique(label[held].astype(np.int64) * BUCKETS + bucket, return_counts=True)
+        used = np.flatnonzero(~held & drawn(ids, number, s.seed, s.rows))
+        g, h = gradients(margin[used], label[used], weight[used])
+        return bins[:, used], g, h, counted
+    return step
 
 
-def _margin_task(n: int, recent: list[Tree]):
-    """Binned rows with the margins brought up to date."""
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            margin = pa.array(_margins(batch, _bins(batch, n), recent))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], margin], names=batch.schema.names)
-    return task
-
-
-def _histogram_task(n: int, recent: list[Tree], tree: Tree, slots: dict[int, int], features: list[int], number: int, s: Settings,
-                    scored: bool):
-    """Binned rows to the task's sums (slot, feature, bin, g, h); slot -1: held-out rows by label and score bucket."""
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g_sum, h_sum = (np.zeros(len(slots) * len(features) * BINS, np.int64) for _ in range(2))
-        counts = np.zeros(2 * BUCKETS, np.int64)
+def _level_sums(tree: Tree, slots: dict[int, int], features: list[int], scored: bool):
+    """A partition's histograms of gradients and hessians [slot, feature, bin], and the counts of held-out rows."""
+    def task(blocks: Iterator[tuple]) -> Iterator[tuple]:
+        sums = np.zeros((2, len(slots), len(features), BINS), np.int64)
+        counts = np.zeros(2 * BUCKETS if scored else 0, np.int64)
         slot_of = np.full(len(tree.feature), -1)
         for node, k in slots.items():
             slot_of[node] = k
-        for batch in batches:
-            bins = _bins(batch, n)
-            margin = _margins(batch, bins, recent)
-            label, held = batch.column(1).to_numpy(zero_copy_only=False), batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
+        for bins, g, h, (bucket, times) in blocks:
             if scored:
-                bucket = np.minimum((BUCKETS / (1.0 + np.exp(-margin[held]))).astype(np.int64), BUCKETS - 1)
-                counts += np.bincount(label[held] * BUCKETS + bucket, minlength=2 * BUCKETS)
-            used = ~held & drawn(batch.column(3).to_numpy(zero_copy_only=False), number, s.seed, s.rows)
+                counts[bucket] += times
             slot = slot_of[tree.by_bins(bins)]
-            used &= slot >= 0
-            g, h = gradients(margin[used], label[used], batch.column(2).to_numpy(zero_copy_only=False)[used])
+            some = np.flatnonzero(slot >= 0)
+            base, g, h = slot[some] * BINS, g[some].astype(float), h[some].astype(float)
             for i, f in enumerate(features):
-                at = (slot[used] * len(features) + i) * BINS + bins[used, f]
-                g_sum += np.rint(np.bincount(at, g, len(g_sum))).astype(np.int64)
-                h_sum += np.rint(np.bincount(at, h, len(h_sum))).astype(np.int64)
-        some = np.flatnonzero((g_sum != 0) | (h_sum != 0))
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.r_[some // (BINS * len(features)), np.full(len(seen), -1)].astype(np.int32)),
-             pa.array(np.r_[np.array(features)[some // BINS % len(features)], seen // BUCKETS].astype(np.int32)),
-             pa.array(np.r_[some % BINS, seen % BUCKETS].astype(np.int32)),
-             pa.array(np.r_[g_sum[some], counts[seen]]), pa.array(np.r_[h_sum[some], np.zeros(len(seen), np.int64)])],
-            names=["slot", "feature", "bin", "g", "h"])
+                at = base + bins[f, some]
+                for k, x in enumerate((g, h)):
+                    sums[k, :, i] += np.rint(np.bincount(at, x, len(slots) * BINS)).astype(np.int64).reshape(-1, BINS)
+        yield sums, counts
     return task
 
 
+def _added(a: tuple, b: tuple) -> tuple:
+    return a[0] + b[0], a[1] + b[1]
+
+
 def average_precision(positives: np.ndarray, negatives: np.ndarray) -> float | None:
     """Of counts by score bucket, ascending; None without positives."""
     tp, fp = np.cumsum(positives[::-1]), np.cumsum(negatives[::-1])
@@ -271,25 +278,41 @@ def fit(rows: DataFrame, columns: list[str], s: Settings = Settings(), cuts: lis
                        F.col("id").cast("long").alias("id"), F.coalesce("held", F.lit(False)).alias("held"))
     if cuts is None:
         cuts = quantile_cuts(data.filter("not held"), columns)
-    n = len(columns)
-    binned = cut_lineage(data.mapInArrow(_bin_task(cuts), _BINNED))
+    context = rows.sparkSession.sparkContext
+    parts = max(context.defaultParallelism, 2)
+    packed = cut_lineage(data.mapInArrow(_block_task(cuts), "block binary").repartition(parts))
+    state = packed.rdd.map(lambda r: pickle.loads(r.block)).persist(StorageLevel.MEMORY_AND_DISK)
+    held_back = [state]  # what is persisted: the rows with their margins, and those that the tree is grown on
+    try:
+        return _rounds(state, held_back, columns, s, cuts, 1 if parts <= PARTIALS else 2)
+    finally:
+        for x in held_back:
+            x.unpersist()
+
+
+def _rounds(state: RDD, held_back: list[RDD], columns: list[str], s: Settings, cuts: list[np.ndarray], depth: int) -> BoostedTrees:
     trees: list[Tree] = []
-    recent: list[Tree] = []
     history: list[float] = []
     best = (-1.0, 0)  # average precision, minus its number of trees
     for number in range(s.rounds + 1):
-        tree, features = Tree.empty(s.depth), drawn_features(n, number, s.seed, s.columns)
+        tree, features = Tree.empty(s.depth), drawn_features(len(columns), number, s.seed, s.columns)
+        if trees:
+            state = state.map(_advanced(trees[-1])).persist(StorageLevel.MEMORY_AND_DISK)
+            if number % REFRESH == 0:
+                state.checkpoint()
+            held_back.append(state)
+        grown = state.map(_drawn_rows(number, features, s)).persist(StorageLevel.MEMORY_AND_DISK)
+        held_back.append(grown)
         slots = {0: 0}
+        sums: dict[int, np.ndarray] = {}  # of the level's nodes: [gradients or hessians, feature, bin]
         for level in range(s.depth):
-            found = binned.mapInArrow(_histogram_task(n, recent, tree, slots, features, number, s, level == 0),
-                                      "slot int, feature int, bin int, g long, h long") \
-                .groupBy("slot", "feature", "bin").agg(F.sum(F.col("g").cast("decimal(19,0)")).alias("g"),
-                                                       F.sum(F.col("h").cast("decimal(19,0)")).alias("h")).collect()
+            found, counts = grown.mapPartitions(_level_sums(tree, slots, features, level == 0)).treeReduce(_added, depth)
             if level == 0:
-                counts = np.zeros((2, BUCKETS))
-                for r in found:
-                    if r.slot < 0:
-                        counts[r.feature, r.bin] = float(r.g)
+                for x in held_back:  # the margins before this tree have been used
+                    if x is not state and x is not grown:
+                        x.unpersist()
+                held_back[:] = [state, grown]
+                counts = counts.reshape(2, BUCKETS).astype(float)
                 if number:
                     precision = average_precision(counts[1], counts[0])
                     if precision is None and counts.sum():
@@ -301,30 +324,28 @@ def fit(rows: DataFrame, columns: list[str], s: Settings = Settings(), cuts: lis
                             return BoostedTrees(list(columns), trees[:-best[1]], history)
                 if number == s.rounds:
                     return BoostedTrees(list(columns), trees[:-best[1]] if best[0] >= 0 else trees, history)
-            g, h = (np.zeros((len(slots), n, BINS), object) for _ in range(2))
-            for r in found:
-                if r.slot >= 0:
-                    g[r.slot, r.feature, r.bin], h[r.slot, r.feature, r.bin] = int(r.g), int(r.h)
-            after: dict[int, int] = {}
-            for node, k in slots.items():
+            above, sums = sums, {node: found[:, k] for node, k in slots.items()}
+            for node in slots:
+                if level:  # a node and the one beside it share their parent's sums
+                    beside = node + 1 if node % 2 else node - 1
+                    sums[beside] = above[(node - 1) // 2] - sums[node]
+            slots = {}
+            for node in sorted(sums):
+                g, h = sums[node]
                 if level == 0:
-                    _set_leaf(tree, node, g[k, features[0]].sum(), h[k, features[0]].sum(), s)
-                split = best_split(g[k], h[k], features, s)
+                    _set_leaf(tree, node, g[0].sum(), h[0].sum(), s)
+                split = best_split(g, h, features, s)
                 if split is None:
                     continue
                 gain, f, at = split
+                i = features.index(f)
                 tree.feature[node], tree.cut[node], tree.threshold[node], tree.gain[node] = f, at, cuts[f][at], gain
                 for child, side in ((2 * node + 1, slice(None, at + 1)), (2 * node + 2, slice(at + 1, None))):
-                    _set_leaf(tree, child, g[k, f, side].sum(), h[k, f, side].sum(), s)
-                    after[child] = len(after)
-            slots = after
+                    _set_leaf(tree, child, g[i, side].sum(), h[i, side].sum(), s)
+                slots[2 * node + 1 + int(tree.cover[2 * node + 1] > tree.cover[2 * node + 2])] = len(slots)
             if not slots:
                 break
         trees.append(tree)
-        recent.append(tree)
-        if len(recent) == REFRESH:
-            binned = cut_lineage(binned.mapInArrow(_margin_task(n, recent), _BINNED))
-            recent = []
     return BoostedTrees(list(columns), trees, history)
 
 

@@ -138,3 +138,17 @@ def test_nothing_to_split_and_no_held_out_rows(spark):
         p = 1 / (1 + np.exp(-margin))
         loss.append(-np.mean(np.where(np.array(y) == 1, 2.5 * np.log(p), np.log(1 - p))))
     assert loss == sorted(loss, reverse=True)
+
+
+def test_a_level_takes_one_stage_and_a_round_few_jobs(spark):
+    x, y, w, ids, held = _data(7, 300)
+    df, names = _table(spark, x, y, w, ids, held, 2)
+    cuts = [np.arange(1, 8.0), np.linspace(0.1, 0.9, 9), np.linspace(-2, 2, 11), np.array([1.0])]
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    context.setJobGroup("boosting-levels", "boosting")
+    try:
+        B.fit(df, names, B.Settings(rounds=4, depth=3, least_child=1.0, patience=9), cuts)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    stages = [len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup("boosting-levels")]
+    assert len(stages) <= 4 * 3 + 1 + 5 and sum(n > 1 for n in stages) <= 2  # the rest: rows cut into blocks once
