@@ -28,12 +28,12 @@ def q_stream_velocity(spark, sf_dir):
     tx = transactions(spark, sf_dir).select("merchant_id", "transaction_id", F.col("timestamp").cast("timestamp").alias("event_ts"))
     part = F.pmod(F.xxhash64("transaction_id"), F.lit(3))
     for k in range(3):
-        tx.filter(part == k).coalesce(1).write.mode("append").parquet(f"{root}/landing")
-    stream = spark.readStream.schema(tx.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/landing")
-    with CS.state_in_rocksdb(spark):
-        q = (V.exact_velocity(stream, lateness_hours=24 * 400, block_hours=24).writeStream.format("parquet").outputMode("append")
-             .option("checkpointLocation", f"{root}/ckpt").option("path", f"{root}/out").trigger(availableNow=True).start())
-    q.awaitTermination()
+        tx.filter(part == k).write.mode("append").parquet(f"{root}/landing")
+        stream = spark.readStream.schema(tx.schema).parquet(f"{root}/landing")
+        with CS.state_in_rocksdb(spark):
+            q = (V.exact_velocity(stream, lateness_hours=24 * 400, block_hours=24).writeStream.format("parquet").outputMode("append")
+                 .option("checkpointLocation", f"{root}/ckpt").option("path", f"{root}/out").trigger(availableNow=True).start())
+        q.awaitTermination()
     return V.current_counts(spark.read.parquet(f"{root}/out")).select(
         "merchant_id", "transaction_id", "txn_velocity_1h", "txn_velocity_24h")
 

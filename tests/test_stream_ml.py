@@ -146,6 +146,25 @@ def test_consumer_restart_without_duplicates(spark):
     assert len(_zone(spark, root, "raw")) == 8
 
 
+def test_sparse_merchants_share_state_entries(spark):
+    """300 merchants on one day: a state entry per bucket and block, not one per merchant."""
+    from paylens.streaming import velocity as V
+    root = f"{checkpoint_dir(spark)}/t-{uuid.uuid4().hex}"
+    rows = [(f"M{k}", f"T{k}", pd.Timestamp("2026-01-01 10:00") + pd.Timedelta(k, "s")) for k in range(300)]
+    pdf = pd.DataFrame([*rows, (None, None, rows[0][2])], columns=["merchant_id", "transaction_id", "event_ts"])
+    spark.createDataFrame(pdf.astype({"event_ts": "datetime64[us]"}), "merchant_id string, transaction_id string, event_ts timestamp") \
+        .write.json(f"{root}/in")
+    stream = spark.readStream.schema("merchant_id string, transaction_id string, event_ts timestamp").json(f"{root}/in")
+    with CS.state_in_rocksdb(spark):
+        q = (V.exact_velocity(stream, block_hours=24, buckets=4).writeStream.format("parquet").option("path", f"{root}/out")
+             .option("checkpointLocation", f"{root}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    held = max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"])
+    assert 0 < held <= 4 * 2 * 4  # buckets x blocks x (rows, timer and its index)
+    got = V.current_counts(spark.read.parquet(f"{root}/out")).collect()
+    assert len(got) == 301 and {(r.txn_velocity_1h, r.txn_velocity_24h) for r in got} == {(1, 1)}
+
+
 def test_windowed_velocity(spark):
     from pyspark.sql import functions as F
     from paylens.streaming.velocity import windowed_velocity
