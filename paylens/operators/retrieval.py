@@ -22,6 +22,8 @@ from paylens.session import cut_lineage, ship_package
 
 #: vectors and queries in one block of the kNN search, and pivots at most
 VECTOR_BLOCK, QUERY_BLOCK, PIVOTS = 1 << 14, 1 << 12, 256
+#: rough distances, and components of candidates, that a task holds at once; rows of a batch compared with the pivots at once
+_ROUGH, _MEASURED, _PLACED = 1 << 19, 1 << 21, 1 << 10
 #: hits' ids that are broadcast at most (8 bytes each)
 HIT_IDS = 1 << 20
 #: where a text is cut by preference: paragraphs, lines, words
@@ -145,21 +147,26 @@ def _nearest(k: int):
         out = {"query_id": [], "id": [], "distance": []}
         if len(queries) and len(vectors):
             ids, x, names = vectors["id"].to_numpy(), _matrix(vectors["vec"]), queries["query_id"].to_numpy()
-            step = max(1, (1 << 22) // len(x))
+            step = max(1, _ROUGH // len(x))
             for lo in range(0, len(names), step):
                 q = _matrix(queries["query_vec"].iloc[lo:lo + step])
                 rough, error = _squared(q, x)
                 limit = (np.partition(rough, k - 1, 1)[:, k - 1] if len(x) > k else rough.max(1)) + 2 * error
-                row, col = np.nonzero(rough <= limit[:, None])
-                d = x[col] - q[row]
-                d = (d * d).cumsum(1)[:, -1]                      # summed in element order
-                order = np.lexsort((ids[col], d, row))
-                row, col, d = row[order], col[order], d[order]
-                first = np.searchsorted(row, row, "left")
-                kept = np.arange(len(row)) - first < k
-                out["query_id"] += names[lo:lo + step][row[kept]].tolist()
-                out["id"] += ids[col[kept]].tolist()
-                out["distance"] += d[kept].tolist()
+                close = rough <= limit[:, None]
+                ends, a = np.cumsum(close.sum(1)), 0
+                while a < len(q):  # vectors that come many times are all candidates: some queries at a time
+                    b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + _MEASURED // x.shape[1], "right")))
+                    row, col = np.nonzero(close[a:b])
+                    row += a
+                    d = x[col] - q[row]
+                    d = np.cumsum(np.multiply(d, d, out=d), 1, out=d)[:, -1]  # summed in element order
+                    order = np.lexsort((ids[col], d, row))
+                    row, col, d = row[order], col[order], d[order]
+                    kept = np.arange(len(row)) - np.searchsorted(row, row, "left") < k
+                    out["query_id"] += names[lo:lo + step][row[kept]].tolist()
+                    out["id"] += ids[col[kept]].tolist()
+                    out["distance"] += d[kept].tolist()
+                    a = b
         return pd.DataFrame(out)
     return task
 
@@ -167,7 +174,7 @@ def _nearest(k: int):
 def _to_pivots(pivots: np.ndarray, keep: str):
     """Batches (…, vector) to themselves with the distances to all pivots, or the nearest one's number and distance."""
     def task(batches):
-        for batch in batches:
+        for batch in (b.slice(lo, _PLACED) for b in batches for lo in range(0, max(b.num_rows, 1), _PLACED)):
             rows = batch.column(batch.num_columns - 1)
             x = _matrix(rows.to_pylist())
             d = np.sqrt(_squared(x, pivots)[0]) if len(x) else np.zeros((0, len(pivots)))

@@ -74,3 +74,24 @@ def test_landed_documents_come_back_whole(spark, tmp_path):
     land_markdown(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), f"{tmp_path}/corpus", 4)
     got = [tuple(r) for r in read_landed_documents(spark, f"{tmp_path}/corpus").collect()]
     assert sorted(got, key=str) == sorted(rows, key=str)
+
+
+def test_many_copies_of_a_vector_are_measured_in_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+    from paylens.operators import retrieval as K
+    rnd = np.random.default_rng(1)
+    x = np.r_[np.repeat(rnd.normal(size=(1, 64)), 4000, 0), rnd.normal(size=(96, 64))]
+    vectors = pd.DataFrame({"id": np.arange(len(x))[::-1], "vec": list(x)})
+    queries = pd.DataFrame({"query_id": np.arange(196), "query_vec": list(x[3900:])})
+    tracemalloc.start()
+    try:
+        got = K._nearest(5)(queries, vectors)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 120e6  # 196 queries x 4000 copies x 64 components of 8 bytes are 410 MB
+    assert got[got.query_id == 0][["id", "distance"]].values.tolist() == [[96.0 + k, 0.0] for k in range(5)]
+    assert len(got) == 5 * len(queries) and (got[got.query_id >= 100].groupby("query_id").distance.min() == 0).all()
