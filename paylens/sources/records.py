@@ -29,7 +29,11 @@ def decode_base64(data: Column) -> Column:
 
 def missing_keys(value: Column) -> Column:
     """P-2 / U-4: sorted required keys absent from the JSON object (null values count as present)."""
-    present = F.json_object_keys(value)
+    return absent_keys(F.json_object_keys(value))
+
+
+def absent_keys(present: Column) -> Column:
+    """Sorted required keys that are not among ``present``."""
     return F.array_sort(F.array_except(F.array(*[F.lit(k) for k in C.REQUIRED_STREAM_KEYS]),
                                        F.coalesce(present, F.array().cast("array<string>"))))
 

@@ -165,6 +165,15 @@ def test_sparse_merchants_share_state_entries(spark):
     assert len(got) == 301 and {(r.txn_velocity_1h, r.txn_velocity_24h) for r in got} == {(1, 1)}
 
 
+def test_records_are_parsed_once_for_each_field(spark):
+    """Every JSON function of the classification stands once in the plan, and the processor gets no decoded text."""
+    records = spark.createDataFrame([("k", "e30="), ("k", "@"), ("k", None)], "key string, data string")
+    d = CS.classify(records)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") == 2 and plan.lower().count("jsonobjectkeys") == 1
+    assert sorted((r.reason or "").split(":")[0] for r in d.collect()) == ["missing", "undecodable", "undecodable"]
+
+
 def test_windowed_velocity(spark):
     from pyspark.sql import functions as F
     from paylens.streaming.velocity import windowed_velocity
