@@ -74,6 +74,19 @@ def drawn_features(n: int, tree: int, seed: int, share: float) -> list[int]:
     return sorted(order[:max(1, int(share * n))].tolist())
 
 
+def leaves(values: np.ndarray, feature: np.ndarray, left: np.ndarray, right: np.ndarray, goes_left) -> np.ndarray:
+    """Leaves (``feature`` below 0) that rows with ``values`` [feature, row] reach; a leaf is its own child, so a
+    step moves all rows alike."""
+    n = values.shape[1]
+    leaf, own = feature < 0, np.arange(len(feature))
+    child = np.stack([np.where(leaf, own, right), np.where(leaf, own, left)], 1).reshape(-1)
+    start = np.maximum(feature, 0) * n
+    node, flat, rows = np.zeros(n, np.int64), values.reshape(-1), np.arange(n)
+    while n and not leaf[node].all():
+        node = child[2 * node + goes_left(flat[start[node] + rows], node)]
+    return node
+
+
 @dataclass
 class Tree:
     """A complete binary tree (children of k: 2k + 1, 2k + 2); ``feature`` -1: a leaf."""
@@ -91,25 +104,13 @@ class Tree:
 
     def by_bins(self, bins: np.ndarray) -> np.ndarray:
         """Nodes of rows with ``bins`` [feature, row]."""
-        n = bins.shape[1]
-        node, flat, rows = np.zeros(n, np.int64), bins.reshape(-1), np.arange(n)
-        child, start = 2 * np.arange(len(self.feature)) + 1, np.maximum(self.feature, 0) * n
-        leaf = self.feature < 0
-        while n and not leaf[node].all():
-            down = child[node] + (flat[start[node] + rows] > self.cut[node])
-            node = np.where(leaf[node], node, down)
-        return node
+        child = 2 * np.arange(len(self.feature)) + 1
+        return leaves(bins, self.feature, child, child + 1, lambda at, node: at <= self.cut[node])
 
     def by_values(self, x: np.ndarray) -> np.ndarray:
-        node = np.zeros(len(x), np.int64)
-        rows = np.arange(len(x))
-        while True:
-            f = self.feature[node]
-            inner = f >= 0
-            if not inner.any():
-                return node
-            left = x[rows[inner], f[inner]] < self.threshold[node[inner]]
-            node[inner] = 2 * node[inner] + np.where(left, 1, 2)
+        """Nodes of rows ``x`` [row, feature]."""
+        child = 2 * np.arange(len(self.feature)) + 1
+        return leaves(np.ascontiguousarray(x.T), self.feature, child, child + 1, lambda at, node: at < self.threshold[node])
 
 
 def gradients(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +144,7 @@ class BoostedTrees:
     history: list[float] = field(default_factory=list)
 
     def margin(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(x))
+        out, x = np.zeros(len(x)), np.asfortranarray(x)
         for t in self.trees:
             out += t.value[t.by_values(x)]
         return out
@@ -263,10 +264,16 @@ def average_precision(positives: np.ndarray, negatives: np.ndarray) -> float | N
     return float((positives[::-1] * tp / np.maximum(tp + fp, 1)).sum() / tp[-1])
 
 
+def in_few_parts(df: DataFrame) -> DataFrame:
+    """``df`` in at most as many partitions as there are cores, without a shuffle: one task merges all partitions'
+    quantile sketches, so its time must not grow with the number of partitions."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, 2))
+
+
 def quantile_cuts(df: DataFrame, columns: list[str], bins: int = BINS) -> list[np.ndarray]:
     """Distinct approximate quantiles of each column, ascending (one aggregate)."""
     ranks = [i / bins for i in range(1, bins)]
-    row = df.agg(*[F.percentile_approx(c, ranks, 10_000).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    row = in_few_parts(df).agg(*[F.percentile_approx(c, ranks, 10_000).alias(f"c{i}") for i, c in enumerate(columns)]).first()
     return [np.unique(np.array(row[f"c{i}"] if row[f"c{i}"] is not None else [], float)) for i in range(len(columns))]
 
 

@@ -59,26 +59,34 @@ def _std_samp(n: Column, spread: Column) -> Column:
     return F.when(n >= 2, F.sqrt(spread / (n * (n - 1)).cast("double")) / 1e6)
 
 
-def training_features(tx: DataFrame, slab_rows: int | None = None) -> DataFrame:
-    """W-11: the 17 model features beside the transaction columns.
+#: the transaction columns that the features are made of
+FEATURE_INPUTS = ["transaction_id", "merchant_id", "customer_id", "amount_aud", "timestamp", "state", "payment_terminal",
+                  "card_type", "is_outside_business_hours"]
+
+
+def training_features(tx: DataFrame, slab_rows: int | None = None, beside: list[str] | None = None) -> DataFrame:
+    """W-11: the 17 model features beside the transaction columns (``beside``: only these of them).
 
     Rows without a timestamp are left out (P-3).  The state mean (J-5) is an
     aggregate of the shuffled rows, joined back.  ``slab_rows``: see ``rolling``.
     """
+    if beside is not None:
+        tx = tx.select(*dict.fromkeys([*FEATURE_INPUTS, *beside]))
     h1, d1, d7, d30 = (WINDOW_US[w] for w in ("1H", "24H", "7D", "30D"))
     spec = Rolling(
         sums=(("_v1h", "_id", h1), ("_v24h", "_id", d1), ("_n7", "_n", d7), ("_s7", "_micros", d7), ("_rows7", "_one", d7),
               ("_tap7", "_tap", d7), ("_debit7", "_debit", d7), ("_off7", "_off", d7), ("_n30", "_n", d30)),
         spreads=(("_spread30", "_micros", d30, "_n"),), maxima=(("_max7", "_amount", d7),), distinct=(("_customers", "_customer", d1),))
-    rolled, shuffled = rolling(_rolling_inputs(tx), spec, "merchant_id", "_ts_us", slab_rows)
+    passthrough = [c for c in (tx.columns if beside is None else beside) if c not in C.FEATURE_COLUMNS]
+    keep = [c for c in tx.columns if c in FEATURE_INPUTS and c != "customer_id" or c in passthrough]
+    rolled, shuffled = rolling(_rolling_inputs(tx), spec, "merchant_id", "_ts_us", slab_rows, keep)
     amt = F.col("amount_aud")
     f = rolled.withColumn("avg_amount_7d", F.col("_s7").cast("double") / 1e6 / F.nullif("_n7", F.lit(0)).cast("double"))
     avg7 = F.col("avg_amount_7d")
     std = F.coalesce(_std_samp(F.col("_n30"), F.col("_spread30")), F.lit(0.0))
     std_safe = F.when(std == 0, F.lit(C.STD_FLOOR)).otherwise(std)
-    passthrough = [c for c in tx.columns if c not in C.FEATURE_COLUMNS]
     f = f.select(
-        *passthrough,
+        *dict.fromkeys([*passthrough, "state"]),
         F.col("_v1h").cast("double").alias("txn_velocity_1h"), F.col("_v24h").cast("double").alias("txn_velocity_24h"),
         "avg_amount_7d", std.alias("stddev_amount_30d"),
         ((amt - avg7) / std_safe).alias("amount_zscore"),                                   # P-15 offline
@@ -111,7 +119,8 @@ def batch_day_features(tx: DataFrame, day: date, lookback: bool = False, slab_ro
     spec = Rolling(  # [t - w, t] is (t - w - 1us, t]
         sums=(("_v1h", "_one", HOUR_US + 1), ("_n7", "_n", 7 * DAY_US + 1), ("_s7", "_micros", 7 * DAY_US + 1),
               ("_n30", "_n", 30 * DAY_US + 1)), spreads=(("_spread30", "_micros", 30 * DAY_US + 1, "_n"),))
-    rolled, _ = rolling(_rolling_inputs(rows), spec, "merchant_id", "_ts_us", slab_rows)
+    rolled, _ = rolling(_rolling_inputs(rows), spec, "merchant_id", "_ts_us", slab_rows,
+                        ["merchant_id", "transaction_id", "timestamp", "is_fraud"])
     out = rolled.select(
         "merchant_id", "transaction_id", "timestamp", F.col("_v1h").alias("txn_velocity_1h"),
         (F.col("_s7").cast("double") / 1e6 / F.nullif("_n7", F.lit(0)).cast("double")).alias("avg_amount_7d"),

@@ -154,17 +154,10 @@ class IsolationForestModel:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
-        rows = np.arange(len(x))
+        values = np.ascontiguousarray(x.T)
         for t in self.trees:
-            node = np.zeros(len(x), dtype=np.int64)
-            while True:
-                active = ~t["leaf"][node]
-                if not active.any():
-                    break
-                f = t["feature"][node[active]]
-                go_left = x[rows[active], f] < t["threshold"][node[active]]
-                node[active] = np.where(go_left, t["left"][node[active]], t["right"][node[active]])
-            total += t["path"][node]
+            feature = np.where(t["leaf"], -1, t["feature"])
+            total += t["path"][boosting.leaves(values, feature, t["left"], t["right"], lambda at, node: at < t["threshold"][node])]
         mean_path = total / max(len(self.trees), 1)
         return np.power(2.0, -mean_path / self.norm) if self.norm > 0 else np.full(len(x), 0.5)
 
@@ -196,7 +189,7 @@ def train_classifier(train: DataFrame, label: str = "is_fraud", max_iter: int =
     ``validation_fraction`` by time), not at the test split.
     """
     from paylens.functions.timecols import epoch_micros
-    stats = train.agg(
+    stats = boosting.in_few_parts(train).agg(
         (F.count(F.when(~F.col(label), 1)).cast("double") / F.greatest(F.count(F.when(F.col(label), 1)), F.lit(1)).cast("double")).alias("w"),
         F.percentile_approx(epoch_micros("timestamp"), 1.0 - validation_fraction, 10_000).alias("cut")).first()
     rows = train.select(

@@ -459,12 +459,14 @@ def _pair_counts(spec: Rolling):
     return task
 
 
-def rolling(df: DataFrame, spec: Rolling, key: str, ts: str, slab_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+def rolling(df: DataFrame, spec: Rolling, key: str, ts: str, slab_rows: int | None = None,
+            keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """``df`` with the columns of ``spec``, rows without a time left out; and ``df`` itself as it was shuffled (checkpointed).
 
     ``key`` names a string column (null is a key of its own), ``ts`` a long
     column of microseconds.  ``slab_rows``: rows of a slab, by default
-    ``SLAB_ROWS`` or a core's share.
+    ``SLAB_ROWS`` or a core's share.  ``keep``: the columns of ``df`` in the first
+    result (default: all); those that are only rolled need not come back from Python.
     """
     spark = df.sparkSession
     ship_package(spark)
@@ -482,9 +484,11 @@ def rolling(df: DataFrame, spec: Rolling, key: str, ts: str, slab_rows: int | No
         for k in {r.a, r.b}:
             seen[k] = seen.get(k, 0) + 1
     across = sorted(k for k, n in seen.items() if n > 1)
-    columns = [*df.columns, *[n for n, _ in spec.names]]
-    out = T.StructType(df.schema.fields + [T.StructField(n, t) for n, t in spec.names])
-    found = timed.mapInArrow(_whole_keys(spec, columns, frozenset(across)), out)
+    kept = df.columns if keep is None else list(keep)
+    columns = [*kept, *[n for n, _ in spec.names]]
+    out = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, t) for n, t in spec.names])
+    read = dict.fromkeys([*kept, *spec.longs, *[c for _, c, _ in (*spec.maxima, *spec.distinct)], "_key", "_ts"])
+    found = timed.select(*read).mapInArrow(_whole_keys(spec, columns, frozenset(across)), out)
     if across:
         cut = F.broadcast(spark.createDataFrame([(k,) for k in across], "_key string"))  # fewer than slabs
         pieces = timed.join(cut, "_key", "leftsemi").groupBy("_key", "_slab").agg(

@@ -75,8 +75,7 @@ def _feature_sql(c: str) -> str:
     + ", ".join(_feature_sql(c) for c in C.FEATURE_COLUMNS) + " FROM feat",
     *TRAINING_FEATURES_CTES))
 def q_training_features(spark, sf_dir):
-    f = FT.training_features(transactions(spark, sf_dir))
-    return f.select(*TX_COLS, *[round_half(c, 6).alias(c) for c in C.FEATURE_COLUMNS])
+    return rounded_training_features(spark, sf_dir)
 
 
 DAY = date(2024, 1, 15)
@@ -204,6 +203,7 @@ ROUNDED_FEATURES_CTE = ("tf AS (SELECT " + ", ".join(_q(c) for c in TX_COLS) + "
                         + ", ".join(_feature_sql(c) for c in C.FEATURE_COLUMNS) + " FROM feat)")
 
 
-def rounded_training_features(spark, sf_dir):
-    """W-11 output rounded to 6 decimals (the feature table other queries read)."""
-    return q_training_features(spark, sf_dir)
+def rounded_training_features(spark, sf_dir, beside=TX_COLS):
+    """W-11 output rounded to 6 decimals (the feature table other queries read); ``beside``: the transaction columns in it."""
+    f = FT.training_features(transactions(spark, sf_dir), beside=beside)
+    return f.select(*beside, *[round_half(c, 6).alias(c) for c in C.FEATURE_COLUMNS])

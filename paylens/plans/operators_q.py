@@ -371,7 +371,7 @@ def q_model_round_trip(spark, sf_dir):
     """M-7, M-9, R-9 in model mode: a small ensemble saved and loaded scores every transaction alike."""
     from paylens.session import cut_lineage
     root = scratch_path(spark, "models")
-    f = cut_lineage(rounded_training_features(spark, sf_dir))
+    f = cut_lineage(rounded_training_features(spark, sf_dir, ["transaction_id", "merchant_id", "amount_aud", "timestamp", "is_fraud"]))
     nodes = cut_lineage(ML.fit_isolation_forest(f, trees=20, psi=64))
     clf = ML.train_classifier(f, max_iter=5)
     ML.save_models(root, nodes, clf, EV.evaluate(f.withColumn("s", F.col("amount_zscore")), "s", "is_fraud"))

@@ -152,3 +152,38 @@ def test_a_level_takes_one_stage_and_a_round_few_jobs(spark):
         context.setLocalProperty("spark.jobGroup.id", None)
     stages = [len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup("boosting-levels")]
     assert len(stages) <= 4 * 3 + 1 + 5 and sum(n > 1 for n in stages) <= 2  # the rest: rows cut into blocks once
+
+
+def test_quantile_sketches_are_no_more_than_cores(spark):
+    """One task merges the sketches of all partitions, so they must not be as many as a large table has partitions."""
+    context = spark.sparkContext
+    rows = spark.range(0, 4000, 1, 40).selectExpr("CAST(id % 700 AS DOUBLE) AS a")
+    context.setJobGroup("quantile-sketches", "quantile cuts")
+    try:
+        cuts = B.quantile_cuts(rows, ["a"], bins=4)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("quantile-sketches") for s in tracker.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) <= max(context.defaultParallelism, 2)
+    values = sorted(i % 700 for i in range(4000))
+    assert cuts[0].tolist() == [values[math.ceil(4000 * q) - 1] for q in (0.25, 0.5, 0.75)]
+
+
+def test_leaves_against_a_walk_row_by_row():
+    """Leaves at uneven depths, children anywhere in the table, NaN (goes right), no rows."""
+    rng = np.random.default_rng(3)
+    feature = np.array([1, -1, 0, -1, 2, -1, -1])
+    left, right = np.array([2, -1, 1, -1, 5, -1, -1]), np.array([4, -1, 3, -1, 6, -1, -1])
+    threshold, x = rng.normal(size=7), rng.normal(size=(200, 3))
+    x[7, 1] = x[8, 0] = np.nan
+
+    def walk(row):
+        node = 0
+        while feature[node] >= 0:
+            node = left[node] if row[feature[node]] < threshold[node] else right[node]
+        return node
+
+    for some in (x, x[:0]):
+        got = B.leaves(np.ascontiguousarray(some.T), feature, left, right, lambda at, node: at < threshold[node])
+        assert got.tolist() == [walk(r) for r in some]

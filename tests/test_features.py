@@ -80,6 +80,16 @@ def test_training_features_empty(spark):
     assert FT.training_features(df).count() == 0
 
 
+def test_only_what_is_read_comes_back_from_python(spark):
+    """``beside`` names the transaction columns in the result; features are the same, and columns that are only rolled are not returned."""
+    df = spark.createDataFrame(ROWS, schemas.TRANSACTIONS)
+    f, g = FT.training_features(df), FT.training_features(df, beside=["transaction_id", "is_fraud"])
+    assert g.columns == ["transaction_id", "is_fraud", *C.FEATURE_COLUMNS]
+    assert sorted(map(repr, f.select(*g.columns).collect())) == sorted(map(repr, g.collect()))
+    returned = next(x for x in g._jdf.queryExecution().analyzed().toString().splitlines() if "MapInArrow" in x)
+    assert "max_7" not in returned and "_max7" in returned and "_micros" not in returned.split(")")[-1] and "currency" not in returned
+
+
 def test_rows_are_shuffled_once(spark):
     """W-11 range-partitions the rows by merchant and time; what is planned after that shuffle reads its checkpoint only."""
     df = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
