@@ -234,17 +234,20 @@ class EnsembleModel:
 
 def train_ensemble(features: DataFrame, trees: int = 200, psi: int = 256, max_iter: int = 450,
                    seed: int = 42):
-    """M-1 … M-6: chronological split, fit both models on train, min-max ensemble on test, metrics."""
+    """M-1 … M-6: chronological split, fit both models on train, min-max ensemble on test, metrics.
+
+    ``features`` is read many times, each time by few columns: give a stored table.
+    """
     from paylens.operators.evaluation import chronological_split, ensemble, evaluate
-    from paylens.session import cut_lineage
-    # iterative fits read the split many times: materialise it once in the shared checkpoint folder
-    split = cut_lineage(chronological_split(features))
+    from paylens.session import cut_lineage, stored
+    split = chronological_split(features)
     train = split.filter(F.col("split") == "train").drop("split")
     test = split.filter(F.col("split") == "test").drop("split")
     nodes = cut_lineage(fit_isolation_forest(train, trees=trees, psi=psi, seed=seed))   # grown once, read twice
     iso = load_isolation_forest(nodes, psi=psi)
     clf = train_classifier(train, max_iter=max_iter, seed=seed)
-    scored = ensemble(classifier_scores(clf, iso.transform(test)), "iso_score", "clf_score")
+    both = stored(classifier_scores(clf, iso.transform(test)), "scored")   # the rows are scored once, read by every step below
+    scored = ensemble(both, "iso_score", "clf_score")
     metrics = evaluate(scored, "anomaly_score", "is_fraud")
     return iso, nodes, clf, scored, metrics
 

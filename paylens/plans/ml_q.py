@@ -15,15 +15,19 @@ from paylens.plans.registry import register
 from paylens.sources.tables import with_transactions
 
 _TRAINED: dict[tuple[str, str], tuple] = {}
+#: the transaction columns that the training run and its results read
+_BESIDE = ["transaction_id", "merchant_id", "timestamp", "is_fraud"]
 
 
 def trained(spark, sf_dir):
-    """The full training run (200 trees, 450 rounds at most), once per session and table; its frames are checkpointed."""
-    from paylens.session import cut_lineage
+    """The full training run (200 trees, 450 rounds at most), once per session and table: its features, stored, and
+    its models; its results are checkpointed."""
+    from paylens.session import cut_lineage, stored
     at = (spark.sparkContext.applicationId, sf_dir)
     if at not in _TRAINED:
-        iso, nodes, clf, scored, metrics = ML.train_ensemble(rounded_training_features(spark, sf_dir), trees=200, psi=256, max_iter=450)
-        _TRAINED[at] = iso, nodes, clf, cut_lineage(scored), cut_lineage(metrics)
+        features = stored(rounded_training_features(spark, sf_dir, beside=_BESIDE), "features")
+        iso, nodes, clf, scored, metrics = ML.train_ensemble(features, trees=200, psi=256, max_iter=450)
+        _TRAINED[at] = features, nodes, clf, cut_lineage(scored), cut_lineage(metrics)
     return _TRAINED[at]
 
 

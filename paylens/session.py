@@ -149,3 +149,10 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared checkpoint folder (never localCheckpoint)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df, name: str):
+    """``df`` written once as a table in the shared folder, for frames that are read many times and by few columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

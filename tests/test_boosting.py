@@ -187,3 +187,106 @@ def test_leaves_against_a_walk_row_by_row():
     for some in (x, x[:0]):
         got = B.leaves(np.ascontiguousarray(some.T), feature, left, right, lambda at, node: at < threshold[node])
         assert got.tolist() == [walk(r) for r in some]
+
+
+def _both_ways(spark, monkeypatch, df, names, s, cuts=None):
+    """The models of files that executors keep, of files made anew in the middle of trees, and of persisted rows."""
+    found = []
+    for attempts in (1, 99, 2, 0):
+        lost, given = iter(range(3, 1000, 7)), B._Local.level
+        at, times = next(lost), 0
+
+        def level(self, *args):
+            nonlocal at, times
+            times += 1
+            if attempts > 1 and times == at:
+                at = next(lost)
+                self.home.foreach(B._remove)
+            return given(self, *args)
+
+        with monkeypatch.context() as patch:
+            patch.setattr(B, "ATTEMPTS", attempts)
+            patch.setattr(B._Local, "level", level)
+            found.append(B.fit(df, names, s, cuts))
+    return found
+
+
+def _same(a, b):
+    return a.history == b.history and len(a.trees) == len(b.trees) and all(
+        (getattr(x, k) == getattr(y, k)).all() for x, y in zip(a.trees, b.trees) for k in ("feature", "cut", "threshold", "gain", "cover", "value"))
+
+
+def test_files_of_executors_give_the_trees_of_persisted_rows(spark, monkeypatch):
+    """Features of few and many bins, drawn rows and features, small blocks; files lost now and then."""
+    x, y, w, ids, held = _data(8, 400)
+    x = [[*a, float(i % 3), float(i % 2)] for i, a in enumerate(x)]
+    df, names = _table(spark, x, y, w, ids, held, 3)
+    monkeypatch.setattr(B, "BLOCK_ROWS", 64)
+    s = B.Settings(rounds=5, depth=4, rate=0.3, least_child=1.0, rows=0.8, columns=0.7, patience=12)
+    first, *others = _both_ways(spark, monkeypatch, df, names, s)
+    assert len(first.history) == 5 and any((t.feature[7:15] >= 0).any() for t in first.trees)
+    assert all(_same(first, x) for x in others)
+
+
+def test_a_level_reads_only_the_rows_of_the_lesser_child(tmp_path):
+    """A task's sums of the other child follow from its own parent's, and a level that is asked for again is not done twice."""
+    rng = np.random.default_rng(5)
+    n, sizes, s = 1000, [256, 2, 3], B.Settings(rows=1.0, least_child=1.0)
+    bins = np.stack([rng.integers(0, k, n) for k in sizes]).astype(np.uint8)
+    block = (bins, rng.integers(0, 2, n).astype(np.int8), np.ones(n), np.arange(n), np.zeros(n, bool), np.zeros(n))
+    [path] = B._written(sizes, [])(iter([block]))
+    tree, read = B.Tree.empty(2), []
+    given = B._Block.of
+    try:
+        B._Block.of = lambda self, node: (read.append((node, self.rows(node))), given(self, node))[1]
+        [(root, counts, gone)] = B._local_sums(0, None, tree, {0: 0}, [0, 1, 2], 0, sizes, s)(iter([path]))
+        tree.feature[0], tree.cut[0] = 0, 200
+        read.clear()
+        for _ in range(2):
+            [(sums, _, _)] = B._local_sums(0, None, tree, {1: 0, 2: 1}, [0, 1, 2], 1, sizes, s)(iter([path]))
+    finally:
+        B._Block.of = given
+        B._remove(path)
+    right = int((bins[0] > 200).sum())
+    assert gone == 0 and read == [(0, n), (2, right)] and right < n / 2
+    g, h = B.gradients(block[5], block[1], block[2])
+    for k, rows in enumerate((bins[0] <= 200, bins[0] > 200)):
+        for f in range(3):
+            for i, x in enumerate((g, h)):
+                assert sums[i, k, f].tolist() == np.bincount(bins[f][rows], x[rows], 256).astype(np.int64).tolist()
+    assert (sums.sum(1) == root[:, 0]).all()
+
+
+def test_tables_that_features_share_stay_small():
+    sizes = [256, 2, 3, 200, 24, 2, 256, 5]
+    tables = B._tables(sizes)
+    assert sorted(f for t in tables for f in t) == list(range(len(sizes))) and len(tables) < len(sizes)
+    assert all(len(t) == 1 or math.prod(sizes[f] for f in t) <= B.CELLS for t in tables)
+
+
+def _small_training(spark, tmp_path, monkeypatch):
+    """The training queries over 400 events of their own, with 5 isolation trees and 3 rounds; how often features were made, and the scored frames."""
+    from paylens.plans import ml_q as Q
+    rnd, made, scored = random.Random(11), [], []
+    rows = [(i, 1_704_067_200 + 3600 * i, rnd.randrange(9), rnd.choice(["purchase", "error", "view", "click", "signup"]), rnd.random() * 300, '{"k": %d}' % rnd.randrange(50))
+            for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, s long, user_id long, event_type string, value double, props string") \
+        .selectExpr("event_id", "CAST(timestamp_seconds(s) AS TIMESTAMP_NTZ) AS ts", "user_id", "event_type", "value", "props").write.parquet(f"{tmp_path}/events.parquet")
+    train, features = Q.ML.train_ensemble, Q.rounded_training_features
+
+    def small(f, **_):
+        out = train(f, trees=5, psi=16, max_iter=3)
+        scored.append(out[3])
+        return out
+
+    monkeypatch.setattr(Q.ML, "train_ensemble", small)
+    monkeypatch.setattr(Q, "rounded_training_features", lambda *a, **k: made.append(1) or features(*a, **k))
+    return Q, made, scored
+
+
+def test_test_rows_are_scored_once(spark, tmp_path, monkeypatch):
+    """The minimum, the maximum, the metrics and the result read stored scores; none of them walks the trees again."""
+    Q, _, scored = _small_training(spark, tmp_path, monkeypatch)
+    out = Q.q_ensemble_scores(spark, str(tmp_path))
+    assert out.count() == 80 and out.columns == ["transaction_id", "merchant_id", "is_fraud", "iso_score", "clf_score", "anomaly_score"]
+    assert "EvalPython" not in scored[0]._jdf.queryExecution().toString()
