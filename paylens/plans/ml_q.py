@@ -49,8 +49,7 @@ SELECT floor(COUNT(*) * 0.8)::BIGINT AS train_rows, (COUNT(*) - floor(COUNT(*) *
 def q_train_properties(spark, sf_dir):
     """What the full training run must give: the split's sizes, scores and metrics in their ranges, the end of the
     rounds, and in every tree gains above zero, children of the least weight and covers that add up."""
-    _, _, clf, scored, metrics = trained(spark, sf_dir)
-    f = rounded_training_features(spark, sf_dir)
+    f, _, clf, scored, metrics = trained(spark, sf_dir)
     s, rows = B.Settings(), len(clf.history)
     best = max(range(rows), key=lambda k: (clf.history[k], -k), default=s.rounds - 1) + 1
     # the rounds end ``patience`` after the best one, or as set; without held-out rows all are kept

@@ -284,6 +284,12 @@ def _small_training(spark, tmp_path, monkeypatch):
     return Q, made, scored
 
 
+def test_features_are_made_once_for_training_and_properties(spark, tmp_path, monkeypatch):
+    Q, made, _ = _small_training(spark, tmp_path, monkeypatch)
+    row = Q.q_train_properties(spark, str(tmp_path)).collect()[0]
+    assert (row.train_rows, row.test_rows, row.scores_in_range, row.metrics_in_range) == (320, 80, 80, True) and len(made) == 1
+
+
 def test_test_rows_are_scored_once(spark, tmp_path, monkeypatch):
     """The minimum, the maximum, the metrics and the result read stored scores; none of them walks the trees again."""
     Q, _, scored = _small_training(spark, tmp_path, monkeypatch)
